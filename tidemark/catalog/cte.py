@@ -72,6 +72,48 @@ CTES: dict[str, str] = {
         JOIN (SELECT *, rate_date AS f, lead(rate_date) OVER (PARTITION BY currency ORDER BY rate_date) AS t FROM fx_seed WHERE currency = 'USD') p
           ON p.f < coalesce(r.t, DATE '9999-12-31') AND r.f < coalesce(p.t, DATE '9999-12-31')
         LEFT JOIN minor_units m ON m.currency = r.currency""",
+    "invoice_full": """SELECT *, CASE WHEN orderkey % 2 = 1 THEN 'ch_' || orderkey END AS legacy_charge_id, CAST(NULL AS VARCHAR) AS legacy_payment_intent_id,
+        paid_at + INTERVAL 30 DAY AS period_end FROM invoice""",
+    "payment": """SELECT 'inpay_' || orderkey AS invoice_payment_id, invoice_id, 'pi_' || orderkey AS payment_intent_id, 'ch_' || orderkey AS charge_id,
+        paid_at AS payment_created_at FROM invoice WHERE orderkey % 2 = 0""",
+    "session": """SELECT 'cs_live_' || orderkey AS checkout_session_id, paid_event_id AS completed_event_id, paid_at AS completed_at,
+        CASE WHEN orderkey % 10 = 9 THEN 'payment' ELSE 'subscription' END AS checkout_mode, 'complete' AS session_status, 'paid' AS payment_status, user_id,
+        CASE WHEN orderkey % 10 <> 9 OR orderkey % 20 = 9 THEN invoice_id END AS invoice_id, CASE WHEN orderkey % 10 = 9 THEN 'pi_' || orderkey END AS payment_intent_id,
+        amount_paid_minor AS amount_total_minor, amount_paid_minor // 11 AS amount_tax_minor, currency FROM invoice WHERE orderkey % 10 IN (0, 9)""",
+    "sub_change": """SELECT 'sev_' || o_orderkey AS stripe_event_id, 'sub_' || o_custkey AS subscription_id, o_orderdate AS changed_at,
+        CASE WHEN o_orderkey % 50 = 2 THEN 'customer.subscription.deleted' ELSE 'customer.subscription.updated' END AS event_type FROM orders WHERE o_orderkey % 5 = 2""",
+    "sub_item": """SELECT 'sev_' || o_orderkey AS stripe_event_id, 'price_' || (o_orderkey % 200) AS price_id, o_orderkey % 7 AS quantity FROM orders WHERE o_orderkey % 5 = 2""",
+    "money_out": f"""SELECT l.*, {_pick("o_custkey % 6", D.CURRENCIES)} AS currency, CAST(round(l_extendedprice * 100) AS BIGINT) AS c,
+        concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS line_ref FROM lineitem l JOIN orders ON o_orderkey = l_orderkey""",
+    "refund_event": """SELECT 'evt_r_' || line_ref AS stripe_event_id, l_shipdate AS refunded_at, 'ch_' || l_orderkey AS charge_id,
+        CASE WHEN l_orderkey % 2 = 0 THEN 'pi_' || l_orderkey END AS payment_intent_id, CASE WHEN l_orderkey % 3 = 0 THEN 'in_' || l_orderkey END AS legacy_invoice_id,
+        c AS cum, currency FROM money_out WHERE l_returnflag = 'R'""",
+    "refund_step": """SELECT *, cum - coalesce(lag(cum) OVER (PARTITION BY charge_id ORDER BY cum), 0) AS step FROM
+        (SELECT *, row_number() OVER (PARTITION BY charge_id, cum ORDER BY refunded_at, stripe_event_id) AS n FROM refund_event WHERE cum > 0) WHERE n = 1""",
+    "dispute": """SELECT DISTINCT ON (line_ref) 'dp_' || line_ref AS dispute_id, 'evt_d_' || line_ref || '_0' AS stripe_event_id, l_shipdate AS disputed_at, 'ch_' || l_orderkey AS charge_id,
+        CASE WHEN l_orderkey % 2 = 0 THEN 'pi_' || l_orderkey END AS payment_intent_id, c AS amount_minor, currency,
+        CASE WHEN l_partkey % 3 = 0 THEN 'fraudulent' ELSE 'general' END AS dispute_reason,
+        CASE l_partkey % 16 WHEN 0 THEN 'won' WHEN 4 THEN 'lost' WHEN 8 THEN 'warning_needs_response' ELSE 'under_review' END AS dispute_status,
+        CASE WHEN l_partkey % 16 IN (0, 4) THEN l_shipdate + INTERVAL 1 DAY END AS closed_at, l_partkey % 16 = 8 AS is_inquiry,
+        l_partkey % 16 IN (0, 12) AS is_funds_reinstated, l_partkey % 16 = 4 AS is_money_lost FROM money_out WHERE l_returnflag = 'A' AND l_partkey % 4 = 0""",
+    "pur": """SELECT 'purchase_' || i.invoice_id AS event_id, i.invoice_id, i.user_id, i.paid_at AS occurred_at, i.amount_paid_minor AS cash, i.currency, i.subscription_id, i.billing_reason,
+        coalesce(y.charge_id, i.legacy_charge_id) AS charge_id, y.payment_intent_id, i.orderkey, false AS is_pack,
+        CASE WHEN total_excluding_tax_minor IS NOT NULL THEN total_excluding_tax_minor ELSE amount_paid_minor END AS revenue,
+        CASE WHEN i.billing_reason = 'subscription_create' THEN 'purchase_first' WHEN i.billing_reason = 'subscription_cycle' THEN 'purchase_renewal'
+             WHEN i.billing_reason = 'subscription_update' AND EXISTS (SELECT 1 FROM invoice_line l JOIN plan_catalog c USING (price_id) WHERE l.invoice_id = i.invoice_id AND c.item_type = 'plan' AND l.amount_minor < 0) THEN 'purchase_upgrade'
+             WHEN i.billing_reason = 'subscription_update' AND EXISTS (SELECT 1 FROM invoice_line l JOIN plan_catalog c USING (price_id) WHERE l.invoice_id = i.invoice_id AND c.item_type = 'credit_pack' AND l.amount_minor > 0) THEN 'purchase_add_on'
+             WHEN i.billing_reason = 'subscription_update' THEN 'purchase_upgrade' END AS event_name
+        FROM invoice_full i LEFT JOIN payment y ON y.invoice_id = i.invoice_id
+        WHERE i.amount_paid_minor > 0 AND NOT EXISTS (SELECT 1 FROM session s WHERE s.checkout_mode = 'payment' AND s.invoice_id = i.invoice_id)
+        UNION ALL SELECT 'purchase_' || coalesce(invoice_id, checkout_session_id), invoice_id, user_id, completed_at, amount_total_minor, currency, NULL, NULL, NULL, payment_intent_id,
+        CAST(substr(checkout_session_id, 9) AS BIGINT), true, amount_total_minor - amount_tax_minor, 'purchase_one_time_pack' FROM session WHERE checkout_mode = 'payment'""",
+    "tied": """SELECT a.*, p.event_id AS adjusts_event_id, p.cash AS p_cash, p.revenue AS p_revenue FROM
+        (SELECT 'refund_' || charge_id || '_' || cum AS event_id, 'refund' AS event_name, refunded_at AS occurred_at, charge_id, payment_intent_id, legacy_invoice_id, -step AS cash, currency, true AS lost FROM refund_step
+         UNION ALL SELECT 'chargeback_' || dispute_id, 'chargeback', disputed_at, charge_id, payment_intent_id, NULL, -amount_minor, currency, is_money_lost FROM dispute) a
+        LEFT JOIN pur p ON p.event_name IS NOT NULL AND (p.payment_intent_id = a.payment_intent_id OR p.charge_id = a.charge_id OR p.invoice_id = a.legacy_invoice_id)""",
+    "netted": """SELECT *, CASE WHEN NOT lost THEN 0 WHEN event_name = 'refund' OR adjusts_event_id IS NULL THEN cash
+        ELSE -least(-cash, greatest(p_cash - before, 0)) END AS ledger_cash FROM
+        (SELECT *, coalesce(sum(CASE WHEN lost THEN -cash ELSE 0 END) OVER (PARTITION BY adjusts_event_id ORDER BY occurred_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tied)""",
 }
 
 

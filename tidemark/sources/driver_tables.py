@@ -218,3 +218,90 @@ def minor_units_seed(spark) -> DataFrame:
 
 def click_platforms_seed(spark) -> DataFrame:
     return seed_from(spark, CLICK_PLATFORMS, "click_id_key string, platform string, acquisition_channel string, precedence bigint")
+
+
+# ---- billing extras derived from orders and line items -----------------------
+
+def invoice_full(spark, d) -> DataFrame:
+    """Invoices with legacy keys: odd orders carry their charge on the invoice itself."""
+    return invoice(spark, d).select(
+        "*", F.when(F.col("orderkey") % 2 == 1, F.concat(F.lit("ch_"), F.col("orderkey").cast("string"))).alias("legacy_charge_id"),
+        F.lit(None).cast("string").alias("legacy_payment_intent_id"),
+        F.timestamp_micros(F.unix_micros("paid_at") + 30 * 86_400_000_000).alias("period_end"),
+    )
+
+
+def payment(spark, d) -> DataFrame:
+    key = F.col("orderkey").cast("string")
+    return invoice(spark, d).where("orderkey % 2 = 0").select(
+        F.concat(F.lit("inpay_"), key).alias("invoice_payment_id"), "invoice_id", F.concat(F.lit("pi_"), key).alias("payment_intent_id"),
+        F.concat(F.lit("ch_"), key).alias("charge_id"), F.col("paid_at").alias("payment_created_at"),
+    )
+
+
+def session(spark, d) -> DataFrame:
+    """Checkout sessions: one-time packs for every tenth order, subscription checkouts for another tenth."""
+    i = invoice(spark, d).where("orderkey % 10 in (0, 9)")
+    pack = F.col("orderkey") % 10 == 9
+    return i.select(
+        F.concat(F.lit("cs_live_"), F.col("orderkey").cast("string")).alias("checkout_session_id"), F.col("paid_event_id").alias("completed_event_id"),
+        F.col("paid_at").alias("completed_at"), F.when(pack, "payment").otherwise("subscription").alias("checkout_mode"),
+        F.lit("complete").alias("session_status"), F.lit("paid").alias("payment_status"), "user_id",
+        F.when(~pack | (F.col("orderkey") % 20 == 9), F.col("invoice_id")).alias("invoice_id"),
+        F.when(pack, F.concat(F.lit("pi_"), F.col("orderkey").cast("string"))).alias("payment_intent_id"),
+        F.col("amount_paid_minor").alias("amount_total_minor"), F.expr("amount_paid_minor div 11").alias("amount_tax_minor"), "currency",
+        F.lit(None).cast("string").alias("ga_client_id"), F.lit(None).cast("string").alias("ga_session_id"), F.lit(None).cast("string").alias("tolt_referral"),
+    )
+
+
+def sub_change(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").where("o_orderkey % 5 = 2")
+    return o.select(
+        F.concat(F.lit("sev_"), F.col("o_orderkey").cast("string")).alias("stripe_event_id"),
+        F.concat(F.lit("sub_"), F.col("o_custkey").cast("string")).alias("subscription_id"), F.col("o_orderdate").cast("timestamp").alias("changed_at"),
+        F.when(F.col("o_orderkey") % 50 == 2, "customer.subscription.deleted").otherwise("customer.subscription.updated").alias("event_type"),
+    )
+
+
+def sub_item(spark, d) -> DataFrame:
+    o = table(spark, d, "orders").where("o_orderkey % 5 = 2")
+    return o.select(
+        F.concat(F.lit("sev_"), F.col("o_orderkey").cast("string")).alias("stripe_event_id"),
+        F.concat(F.lit("price_"), (F.col("o_orderkey") % 200).cast("string")).alias("price_id"), (F.col("o_orderkey") % 7).alias("quantity"),
+    )
+
+
+def _money_out(spark, d, where: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where(where)
+    o = table(spark, d, "orders").select("o_orderkey", pick(F.col("o_custkey") % 6, CURRENCIES).alias("currency"))
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+        "line_ref", F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").cast("string"))
+    ).withColumn("key", F.col("l_orderkey").cast("string")).withColumn("c", F.expr("cast(round(l_extendedprice * 100) as bigint)"))
+
+
+def refund_event(spark, d) -> DataFrame:
+    """Returned lines as cumulative refund events of the order's charge."""
+    return _money_out(spark, d, "l_returnflag = 'R'").select(
+        F.concat(F.lit("evt_r_"), "line_ref").alias("stripe_event_id"), F.col("l_shipdate").cast("timestamp").alias("refunded_at"), F.concat(F.lit("ch_"), "key").alias("charge_id"),
+        F.lit(None).cast("string").alias("user_id"), F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("pi_"), "key")).alias("payment_intent_id"),
+        F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("in_"), "key")).alias("legacy_invoice_id"), F.col("c").alias("amount_refunded_cumulative_minor"), "currency",
+    )
+
+
+def dispute_event(spark, d) -> DataFrame:
+    """Life of a dispute for some accepted lines: opened, perhaps an inquiry, closed or reinstated."""
+    x = _money_out(spark, d, "l_returnflag = 'A' and l_partkey % 4 = 0").dropDuplicates(["line_ref"])
+    kind = F.col("l_partkey") % 16
+    end = F.when(kind == 0, F.struct(F.lit("charge.dispute.closed").alias("t"), F.lit("won").alias("s"))).when(
+        kind == 4, F.struct(F.lit("charge.dispute.closed").alias("t"), F.lit("lost").alias("s"))).when(
+        kind == 8, F.struct(F.lit("charge.dispute.updated").alias("t"), F.lit("warning_needs_response").alias("s"))).otherwise(
+        F.struct(F.lit("charge.dispute.funds_reinstated").alias("t"), F.lit("under_review").alias("s")))
+    start = F.struct(F.lit("charge.dispute.created").alias("t"), F.lit("needs_response").alias("s"))
+    x = x.select("*", F.posexplode(F.array(start, end)).alias("i", "e"))
+    opened = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    return x.select(
+        F.concat(F.lit("dp_"), "line_ref").alias("dispute_id"), F.concat_ws("_", F.lit("evt_d"), "line_ref", F.col("i").cast("string")).alias("stripe_event_id"),
+        F.col("e.t").alias("event_type"), F.timestamp_micros(opened + F.col("i") * 86_400_000_000).alias("created_at"), (opened / 1_000_000).cast("bigint").alias("created"),
+        F.concat(F.lit("ch_"), "key").alias("charge"), F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("pi_"), "key")).alias("payment_intent"),
+        F.col("c").alias("amount"), "currency", F.when(F.col("l_partkey") % 3 == 0, "fraudulent").otherwise("general").alias("reason"), F.col("e.s").alias("status"),
+    )
