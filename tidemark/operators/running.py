@@ -77,12 +77,19 @@ def running(
     aggs: Sequence[Agg],
     include_current: bool = False,
     block_seconds: int = DAY,
+    strict_time: bool = False,
 ) -> DataFrame:
-    """Aggregate over the rows of a key before (or through) the current one in (ts, tie) order."""
+    """Aggregate over the rows of a key before (or through) the current one in (ts, tie) order.
+
+    ``strict_time`` counts only rows with an earlier time, whatever their tie-break.
+    """
     base = df.withColumn("_t", F.unix_micros(F.col(ts))).withColumn("_b", _block(F.col("_t"), block_seconds))
     base = base.select("*", *[a.input().alias(f"_i{i}") for i, a in enumerate(aggs)])
     end = Window.currentRow if include_current else -1
-    frame = Window.partitionBy(*keys, "_b").orderBy("_t", *tie).rowsBetween(Window.unboundedPreceding, end)
+    if strict_time:
+        frame = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    else:
+        frame = Window.partitionBy(*keys, "_b").orderBy("_t", *tie).rowsBetween(Window.unboundedPreceding, end)
     inside = base.select("*", *[_FOLD[a.kind](F.col(f"_i{i}")).over(frame).alias(f"_w{i}") for i, a in enumerate(aggs)])
     joined = _attach(inside, _carry(base, keys, aggs), keys)
     return joined.select(
@@ -106,53 +113,77 @@ def running_by_number(
     )
 
 
-def lookup(
-    anchors: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    anchor_ts: str,
-    fact_ts: str,
-    aggs: Sequence[Agg],
-    inclusive: bool = True,
-    block_seconds: int = DAY,
+@dataclass(frozen=True)
+class Facts:
+    """One fact table of a lookup: inclusive facts count at the anchor instant, strict ones only before it."""
+
+    df: DataFrame
+    ts: str
+    aggs: Sequence[Agg]
+    inclusive: bool = True
+
+
+def lookup_many(
+    anchors: DataFrame, sides: Sequence[Facts], keys: Sequence[str], anchor_ts: str, block_seconds: int = DAY,
 ) -> DataFrame:
-    """For each anchor, aggregate the facts of its keys at or before (or strictly before) its instant.
+    """For each anchor, aggregate several fact tables of its keys up to its instant.
 
-    Rows of both sides meet in one ordered frame, so the work is linear in
-    anchors + facts. Aggregates are evaluated on the fact columns.
+    All sides and the anchors meet in one ordered frame: one shuffle and one sort,
+    linear in anchors + facts, however many lookups are asked for.
     """
-    fact_rank, anchor_rank = (0, 1) if inclusive else (1, 0)
-    known = facts.where(F.col(fact_ts).isNotNull())
-    for k in keys:
-        known = known.where(F.col(k).isNotNull())
-    right = known.select(
-        *keys, F.unix_micros(F.col(fact_ts)).alias("_t"), F.lit(fact_rank).alias("_k"),
-        *[a.input().alias(f"_i{i}") for i, a in enumerate(aggs)],
-    )
     left = anchors.select(
-        *keys, F.unix_micros(F.col(anchor_ts)).alias("_t"), F.lit(anchor_rank).alias("_k"),
-        F.struct(*anchors.columns).alias("_row"),
+        *keys, F.unix_micros(F.col(anchor_ts)).alias("_t"), F.lit(1).alias("_k"), F.struct(*anchors.columns).alias("_row"),
     )
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_b", _block(F.col("_t"), block_seconds))
+    blocks = left.select(*keys, "_t")
+    names: list[tuple[str, str, int]] = []
+    facts = None
+    for side in sides:
+        known = side.df.where(F.col(side.ts).isNotNull())
+        for k in keys:
+            known = known.where(F.col(k).isNotNull())
+        cols = []
+        for a in side.aggs:
+            cols.append(a.input().alias(f"_i{len(names)}"))
+            names.append((a.name, a.kind, len(names)))
+        part = known.select(*keys, F.unix_micros(F.col(side.ts)).alias("_t"), F.lit(0 if side.inclusive else 2).alias("_k"), *cols)
+        facts = part if facts is None else facts.unionByName(part, allowMissingColumns=True)
+    aggs = [Agg(n, kind) for n, kind, _ in names]
+
+    def with_block(df):
+        return df.withColumn("_b", _block(F.col("_t"), block_seconds))
+
+    both = with_block(left.unionByName(facts, allowMissingColumns=True))
     frame = Window.partitionBy(*keys, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = both.select(
         *keys, "_b", "_row", *[_FOLD[a.kind](F.col(f"_i{i}")).over(frame).alias(f"_w{i}") for i, a in enumerate(aggs)]
     ).where(F.col("_row").isNotNull())
-    carry = _carry(both.drop("_row"), keys, aggs)
+    carry = _carry(with_block(blocks.unionByName(facts.drop("_k"), allowMissingColumns=True)), keys, aggs)
     joined = _attach(inside, carry, keys)
     return joined.select(
         "_row.*", *[_merge(a.kind, F.col(f"_c{i}"), F.col(f"_w{i}")).alias(a.name) for i, a in enumerate(aggs)]
     )
 
 
+def lookup(
+    anchors: DataFrame, facts: DataFrame, keys: Sequence[str], anchor_ts: str, fact_ts: str, aggs: Sequence[Agg],
+    inclusive: bool = True, block_seconds: int = DAY,
+) -> DataFrame:
+    """For each anchor, aggregate the facts of its keys at or before (or strictly before) its instant."""
+    return lookup_many(anchors, [Facts(facts, fact_ts, aggs, inclusive)], keys, anchor_ts, block_seconds)
+
+
+def latest_of(order: Sequence[Column], payload: Sequence[str], name: str = "_best") -> Agg:
+    """Aggregate holding the payload of the greatest order so far; fields are p0, p1, ..."""
+    return Agg(name, "max", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(p).alias(f"p{i}") for i, p in enumerate(payload)]))
+
+
 def latest(
     anchors: DataFrame, facts: DataFrame, keys: Sequence[str], anchor_ts: str, fact_ts: str,
     order: Sequence[Column], payload: Sequence[str], inclusive: bool = True, prefix: str = "",
     block_seconds: int = DAY,
 ) -> DataFrame:
     """As-of join: the state with the greatest order among facts at or before the anchor."""
-    packed = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(p).alias(f"p{i}") for i, p in enumerate(payload)])
-    out = lookup(anchors, facts, keys, anchor_ts, fact_ts, [Agg("_best", "max", packed)], inclusive, block_seconds)
+    out = lookup(anchors, facts, keys, anchor_ts, fact_ts, [latest_of(order, payload)], inclusive, block_seconds)
     return out.select(*anchors.columns, *[F.col("_best")[f"p{i}"].alias(prefix + p) for i, p in enumerate(payload)])
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.functions.segments import event_id
 from tidemark.operators.rows import anti, keep_first
-from tidemark.operators.running import latest, running, Agg
-from tidemark.plans.identity import arms_at, best_clicks_at, first_utms_at
+from tidemark.operators.running import Agg, Facts, latest_of, lookup_many, running
+from tidemark.plans.identity import arm_facts, click_facts, open_utms, utm_facts
 from tidemark.params import Params
 
 PLAN_TIERS = ("essential", "advanced", "infinite", "wonder", "team", "business")
@@ -78,10 +78,13 @@ def conversion_ledger(
 ) -> DataFrame:
     """Events with device, click ids, UTMs and arms as known when they happened (within the clock skew)."""
     x = events.withColumn("_until", C.add_seconds("occurred_at", p.clock_skew_seconds))
-    x = latest(x, devices, ["user_id"], "_until", "device_since", [F.col("device_since"), F.col("device_id")], ["device_id"])
-    x = best_clicks_at(x, clicks, "_until", "click_id_created_at", True, click_keys)
-    x = first_utms_at(x, utms, "_until", "captured_at", True, utm_keys)
-    x = arms_at(x, exposures, "_until", flags)
+    sides = [
+        Facts(devices, "device_since", [latest_of([F.col("device_since"), F.col("device_id")], ["device_id"], "_dev")]),
+        click_facts(clicks, "click_id_created_at", click_keys), utm_facts(utms, "captured_at", utm_keys), arm_facts(exposures, flags),
+    ]
+    x = lookup_many(x, sides, ["user_id"], "_until").withColumn("device_id", F.col("_dev.p0")).drop("_dev")
+    kept = [c for c in x.columns if not c.startswith(("_u_", "_a"))]
+    x = open_utms(x, [*kept, *[F.col(f"_a{i}.arm").alias(f"arm_{i}") for i in range(len(flags))]], utm_keys)
     money_out = F.col("event_name").isin(*MONEY_OUT)
     entry = lambda v, at: F.struct(v.alias("value"), C.iso_millis(at).alias("created_at"))
     click_map = F.map_filter(
@@ -96,7 +99,7 @@ def conversion_ledger(
     prof = profile.select("user_id", "first_device_id", "country_code", "is_qa_account")
     fixes = web_fix.where("send and requires_web_fix").groupBy(F.col("canonical_event").alias("event_name")).agg(F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("web_fix_platforms"))
     x = x.join(prof, "user_id", "left").join(F.broadcast(fixes), "event_name", "left")
-    drop = ["_until", "first_device_id", "utm_known_at"] + [f"click_{k}" for k in click_keys] + list(utm_keys) + [f"arm_{i}{s}" for i in range(len(flags)) for s in ("", "_at")]
+    drop = ["_until", "first_device_id", "utm_known_at"] + [f"click_{k}" for k in click_keys] + list(utm_keys) + [f"arm_{i}" for i in range(len(flags))]
     x = x.withColumn("device_id", F.coalesce("device_id", "first_device_id")).withColumn("requires_web_fix", F.col("web_fix_platforms").isNotNull())
     if "order_id" in x.columns:
         x = x.withColumn("order_id_sha256", F.when(F.col("order_id").isNotNull(), C.sha256_hex("order_id")))

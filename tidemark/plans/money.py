@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.rows import anti, keep_first, key_map, link, to_ranges, valid_on
-from tidemark.operators.running import Agg, latest, lookup, running
+from tidemark.operators.running import Agg, latest, running
 from tidemark.params import Params
+from tidemark.sinks.tables import stage
 
 OPEN_END = "9999-12-31"
 RECURRING = ("subscription_cycle", "subscription", "subscription_threshold")
@@ -104,9 +105,11 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
         inv.where("invoice_status = 'paid' and amount_paid_minor > 0"), packs.where("invoice_id is not null"), ["invoice_id"]
     )
     x = paid.join(line_evidence(lines, catalog), "invoice_id", "left")
-    earlier = x.where("new_plan is not null").select("subscription_id", F.col("paid_at").alias("e_at"), F.col("invoice_id").alias("e_id"), F.col("new_plan").alias("e_plan"))
-    previous = Agg("_prev", "max", F.struct(F.unix_micros("e_at").alias("t"), F.col("e_id").alias("i"), F.col("e_plan").alias("p")))
-    x = lookup(x, earlier, ["subscription_id"], "paid_at", "e_at", [previous], inclusive=False).withColumn("pp", F.col("_prev.p")).drop("_prev")
+    # used by two ordered frames: computed once
+    x = stage(x)
+    previous = Agg("_prev", "max", F.when(F.col("new_plan").isNotNull(), F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), F.col("new_plan").alias("p"))))
+    x = running(x, ["subscription_id"], "paid_at", [], [previous], strict_time=True)
+    x = x.withColumn("pp", F.when(F.col("subscription_id").isNotNull(), F.col("_prev.p"))).drop("_prev")
     state = states.select("subscription_id", "changed_at", "stripe_event_id", *[F.col(c).alias("st_" + c) for c in ("pack_quantity", "plan_tier", "billing_interval", "plan_tier_code")])
     x = latest(x, state, ["subscription_id"], "paid_at", "changed_at", [F.col("changed_at"), F.col("stripe_event_id")],
                ["st_pack_quantity", "st_plan_tier", "st_billing_interval", "st_plan_tier_code"])
