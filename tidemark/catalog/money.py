@@ -11,6 +11,7 @@ from tidemark.catalog.registry import query
 from tidemark.params import Params
 from tidemark.plans import billing as B
 from tidemark.plans import money as M
+from tidemark.sinks.tables import stage
 from tidemark.sources import driver_tables as D
 
 AS_OF = datetime(2000, 1, 1)
@@ -29,7 +30,7 @@ def purchases(s, d):
 def adjustments(s, d, purch=None):
     r = B.refund_steps(D.refund_event(s, d))
     x = B.dispute_lifecycle(D.dispute_event(s, d))
-    return M.adjustments(r, x, D.payment(s, d), purch if purch is not None else purchases(s, d), fx(s))
+    return M.adjustments(r, x, D.payment(s, d), purch if purch is not None else stage(purchases(s, d)), fx(s))
 
 
 def json_deliveries(s, d):
@@ -150,6 +151,6 @@ def _(s, d):
     LEFT JOIN (SELECT adjusts_event_id, sum(-ledger_cash) AS taken FROM netted GROUP BY 1) t ON t.adjusts_event_id = p.event_id
     LEFT JOIN fx f ON f.currency = p.currency AND f.valid_from <= CAST(p.occurred_at AS DATE) AND (f.valid_to IS NULL OR CAST(p.occurred_at AS DATE) < f.valid_to) WHERE p.event_name IS NOT NULL"""))
 def _(s, d):
-    p = purchases(s, d).where("event_name is not null")
+    p = stage(purchases(s, d).where("event_name is not null"))
     n = M.net_cash(p, adjustments(s, d, p), fx(s))
     return n.select("event_id", "user_id", "occurred_at", "currency", F.col("cash_value_minor").alias("gross_minor"), "taken_minor", "restated_minor", "restated_reporting")

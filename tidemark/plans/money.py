@@ -175,7 +175,7 @@ def adjustments(refunds: DataFrame, disputes: DataFrame, payments: DataFrame, pu
         F.col("event_id").alias("adjusts_event_id"), F.col("user_id").alias("p_user"), F.col("order_id").alias("adjusts_order_id"), "invoice_id", "subscription_id",
         "plan_tier", "plan_tier_code", "billing_interval", F.col("cash_value_minor").alias("adjusted_purchase_cash_minor"), F.col("revenue_minor").alias("p_revenue"), F.lit(True).alias("_linked"),
     )
-    x = net_disputes(linked.join(base, "adjusts_event_id", "left"))
+    x = net_disputes(stage(linked.join(base, "adjusts_event_id", "left")))
     x = value_at(x, fx, "occurred_at")
     share = F.coalesce(F.col("p_revenue").cast("double") / F.nullif("adjusted_purchase_cash_minor", F.lit(0)), F.lit(1.0))
     major = F.col("ledger_cash_value_minor") / F.pow(F.lit(10.0), F.col("minor_unit_digits")) * F.col("reporting_per_unit")
@@ -205,7 +205,7 @@ def net_disputes(x: DataFrame) -> DataFrame:
         F.when(~F.col("is_money_lost"), F.lit(0)).when(F.col("event_name") == "refund", F.col("cash_value_minor"))
         .otherwise(-F.least(-F.col("cash_value_minor"), left))
     )
-    tied = tied.withColumn("ledger_cash_value_minor", ledger)
+    tied = stage(tied.withColumn("ledger_cash_value_minor", ledger))
     tied = running(tied, ["adjusts_event_id"], "occurred_at", ["event_id"], [Agg("_out", "sum", F.col("ledger_cash_value_minor"))], include_current=True)
     restated = F.when(F.col("adjusted_purchase_cash_minor").isNotNull(), F.greatest(F.col("adjusted_purchase_cash_minor") + F.col("_out"), F.lit(0)))
     tied = tied.withColumn("restated_order_value_minor", restated).drop("_out")
