@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.catalog.cte import add, sql
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import query, shared
 from tidemark.functions import columns as C
 from tidemark.params import Params
 from tidemark.plans import identity as I
 from tidemark.plans import ledger as L
 from tidemark.operators.rows import keep_first
+from tidemark.sinks.tables import stage
 from tidemark.sources import driver_tables as D
 
 NOW = datetime(2024, 1, 25)
@@ -211,10 +212,11 @@ def first_exposures(s, d):
 WEB_FIX = [("purchase_first", "meta", True, True), ("purchase_first", "google_ads", True, True), ("signup", "tiktok", True, True), ("refund", "meta", False, True), ("purchase_renewal", "meta", True, False)]
 
 
+@shared
 def conversion_ledger(s, d):
     ev = all_events(s, d).where(F.col("occurred_at") <= F.lit("2024-03-01").cast("timestamp"))
     fix = D.seed_from(s, WEB_FIX, "canonical_event string, platform string, send boolean, requires_web_fix boolean")
-    return L.conversion_ledger(ev, profile(s, d), I.device_timeline(D.device_events(s, d), "event_id"), D.click(s, d), D.utm(s, d), first_exposures(s, d), fix, Params(), D.CLICK_KEYS, D.UTM_KEYS, D.FLAGS)
+    return stage(L.conversion_ledger(ev, profile(s, d), I.device_timeline(D.device_events(s, d), "event_id"), D.click(s, d), D.utm(s, d), first_exposures(s, d), fix, Params(), D.CLICK_KEYS, D.UTM_KEYS, D.FLAGS))
 
 
 add("exposure", "SELECT user_id, flag_key, arm, event_time AS first_exposed_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, flag_key ORDER BY source_priority, event_time, event_id) AS n FROM exposure_rows) WHERE n = 1")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.catalog.cte import sql
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import query, shared
 from tidemark.params import Params
 from tidemark.plans import billing as B
 from tidemark.plans import money as M
@@ -22,15 +22,17 @@ def fx(s):
     return M.fx_ranges(D.fx_seed(s), D.minor_units_seed(s), "USD")
 
 
+@shared
 def purchases(s, d):
     states = M.subscription_states(D.sub_change(s, d), D.sub_item(s, d), D.plan_catalog(s, d))
-    return M.purchases(D.invoice_full(s, d), D.invoice_line(s, d), D.session(s, d), D.payment(s, d), states, D.plan_catalog(s, d), fx(s))
+    return stage(M.purchases(D.invoice_full(s, d), D.invoice_line(s, d), D.session(s, d), D.payment(s, d), states, D.plan_catalog(s, d), fx(s)))
 
 
-def adjustments(s, d, purch=None):
+@shared
+def adjustments(s, d):
     r = B.refund_steps(D.refund_event(s, d))
     x = B.dispute_lifecycle(D.dispute_event(s, d))
-    return M.adjustments(r, x, D.payment(s, d), purch if purch is not None else stage(purchases(s, d)), fx(s))
+    return stage(M.adjustments(r, x, D.payment(s, d), purchases(s, d), fx(s)))
 
 
 def json_deliveries(s, d):
@@ -151,6 +153,5 @@ def _(s, d):
     LEFT JOIN (SELECT adjusts_event_id, sum(-ledger_cash) AS taken FROM netted GROUP BY 1) t ON t.adjusts_event_id = p.event_id
     LEFT JOIN fx f ON f.currency = p.currency AND f.valid_from <= CAST(p.occurred_at AS DATE) AND (f.valid_to IS NULL OR CAST(p.occurred_at AS DATE) < f.valid_to) WHERE p.event_name IS NOT NULL"""))
 def _(s, d):
-    p = stage(purchases(s, d).where("event_name is not null"))
-    n = M.net_cash(p, adjustments(s, d, p), fx(s))
+    n = M.net_cash(purchases(s, d).where("event_name is not null"), adjustments(s, d), fx(s))
     return n.select("event_id", "user_id", "occurred_at", "currency", F.col("cash_value_minor").alias("gross_minor"), "taken_minor", "restated_minor", "restated_reporting")

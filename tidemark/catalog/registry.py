@@ -10,6 +10,21 @@ from pyspark.sql.types import TimestampType
 
 from tidemark.session import prepare
 
+_SHARED: dict = {}
+
+
+def shared(fn):
+    """Layers are built once per session and folder, as tables of a pipeline run are."""
+
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__module__, fn.__name__)
+        if key not in _SHARED:
+            _SHARED[key] = fn(spark, sf_dir)
+        return _SHARED[key]
+
+    return get
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 

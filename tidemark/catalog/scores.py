@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.cte import add, sql
 from tidemark.catalog.identity import first_exposures
-from tidemark.catalog.registry import query
+from tidemark.catalog.registry import query, shared
 from tidemark.functions import columns as C
 from tidemark.params import Params
 from tidemark.plans import identity as I
@@ -35,6 +35,7 @@ def features(s, d):
     return S.features_24h(su, u, D.purchase(s, d), balances, first_exposures(s, d), acq, D.FLAGS, P)
 
 
+@shared
 def model(s, d):
     """Features, outcomes and test weeks; the first two feed every fit, so they are computed once."""
     f = stage(features(s, d))
@@ -159,12 +160,13 @@ def _(s, d):
     return m.select("fit_id", "flag_index", "arm", "matured_users", "observed_conversions", *[F.round(c, 6).alias(c) for c in ("expected_conversions", "tau2", "conversion_multiplier", "value_multiplier")])
 
 
+@shared
 def scores(s, d):
     f, o, w = model(s, d)
     rates = S.segment_rates(o, w, P)
     plan = D.seed_from(s, PLAN_CREDITS, "plan_tier string, plan_monthly_credits bigint")
     x = S.scoring_rows(f, w)
-    return S.score_24h(x, rates, S.arm_multipliers(o, rates, w, P), S.converter_value(o, usage(s, d), w, P), S.cost_per_credit(o, usage(s, d), w, ARMS, P), plan, PACK_CREDITS, P)
+    return stage(S.score_24h(x, rates, S.arm_multipliers(o, rates, w, P), S.converter_value(o, usage(s, d), w, P), S.cost_per_credit(o, usage(s, d), w, ARMS, P), plan, PACK_CREDITS, P))
 
 
 add("plan_credits", "SELECT a AS plan_tier, b AS credits FROM (VALUES ('essential', 4000), ('advanced', 12000), ('infinite', 24000), ('wonder', 60000)) t(a, b)")
@@ -193,16 +195,16 @@ add("score_out", """SELECT *, r1 - c1 - f1 - k1 AS sig_profit, r2 - c2 - f2 - k2
 SCORE_COLS = ("predicted_revenue", "predicted_generation_cost", "predicted_fees", "predicted_refund_risk", "predicted_profit", "predicted_profit_with_arm_terms", "unconditional_cost", "p_convert")
 
 
-@query("ml_9_score_24h", sql("""SELECT purpose, fit_id, user_id, seg AS segment, round(r1, 4) AS predicted_revenue, round(c1, 4) AS predicted_generation_cost, round(f1, 4) AS predicted_fees, round(k1, 4) AS predicted_refund_risk, round(sig_profit, 4) AS predicted_profit,
-    round(cal_profit, 4) AS predicted_profit_with_arm_terms, round(base, 4) AS unconditional_cost, round(sig_p, 4) AS p_convert FROM score_out"""))
+@query("ml_9_score_24h", sql("""SELECT purpose, fit_id, user_id, seg AS segment, round(r1, 5) AS predicted_revenue, round(c1, 5) AS predicted_generation_cost, round(f1, 5) AS predicted_fees, round(k1, 5) AS predicted_refund_risk, round(sig_profit, 5) AS predicted_profit,
+    round(cal_profit, 5) AS predicted_profit_with_arm_terms, round(round(base, 6), 5) AS unconditional_cost, round(round(sig_p, 6), 5) AS p_convert FROM score_out"""))
 def _(s, d):
-    return scores(s, d).select("purpose", "fit_id", "user_id", "segment", *[F.round(c, 4).alias(c) for c in SCORE_COLS])
+    return scores(s, d).select("purpose", "fit_id", "user_id", "segment", *[F.round(c, 5).alias(c) for c in SCORE_COLS])
 
 
-@query("ml_10_served_scores", sql("""SELECT user_id, 7 AS horizon_days, round(sig_profit, 4) AS predicted_profit, 'v0.2-heuristic-eb-xf' AS model_version, seg AS snapshot_segment, fit_id AS snapshot_fit FROM score_out WHERE purpose = 'serve'"""))
+@query("ml_10_served_scores", sql("""SELECT user_id, 7 AS horizon_days, round(sig_profit, 5) AS predicted_profit, 'v0.2-heuristic-eb-xf' AS model_version, seg AS snapshot_segment, fit_id AS snapshot_fit FROM score_out WHERE purpose = 'serve'"""))
 def _(s, d):
     x = S.served_scores(scores(s, d), P)
-    return x.select("user_id", "horizon_days", F.round("predicted_profit", 4).alias("predicted_profit"), "model_version", C.json_str("features_snapshot", "segment").alias("snapshot_segment"), C.json_str("features_snapshot", "fit_id").alias("snapshot_fit"))
+    return x.select("user_id", "horizon_days", F.round("predicted_profit", 5).alias("predicted_profit"), "model_version", C.json_str("features_snapshot", "segment").alias("snapshot_segment"), C.json_str("features_snapshot", "fit_id").alias("snapshot_fit"))
 
 
 @query("src_10_external_scores", sql("SELECT user_id, cf_fold + 1.5::DOUBLE AS predicted_profit, 'trained-1' AS model_version FROM feat WHERE cf_fold < 3"))
