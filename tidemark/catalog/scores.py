@@ -195,16 +195,16 @@ add("score_out", """SELECT *, r1 - c1 - f1 - k1 AS sig_profit, r2 - c2 - f2 - k2
 SCORE_COLS = ("predicted_revenue", "predicted_generation_cost", "predicted_fees", "predicted_refund_risk", "predicted_profit", "predicted_profit_with_arm_terms", "unconditional_cost", "p_convert")
 
 
-@query("ml_9_score_24h", sql("""SELECT purpose, fit_id, user_id, seg AS segment, round(r1, 5) AS predicted_revenue, round(c1, 5) AS predicted_generation_cost, round(f1, 5) AS predicted_fees, round(k1, 5) AS predicted_refund_risk, round(sig_profit, 5) AS predicted_profit,
-    round(cal_profit, 5) AS predicted_profit_with_arm_terms, round(round(base, 6), 5) AS unconditional_cost, round(round(sig_p, 6), 5) AS p_convert FROM score_out"""))
+@query("ml_9_score_24h", sql("""SELECT purpose, fit_id, user_id, seg AS segment, r1 AS predicted_revenue, c1 AS predicted_generation_cost, f1 AS predicted_fees, k1 AS predicted_refund_risk, round(sig_profit, 6) AS predicted_profit,
+    round(cal_profit, 6) AS predicted_profit_with_arm_terms, round(base, 6) AS unconditional_cost, round(sig_p, 6) AS p_convert FROM score_out"""))
 def _(s, d):
-    return scores(s, d).select("purpose", "fit_id", "user_id", "segment", *[F.round(c, 5).alias(c) for c in SCORE_COLS])
+    return scores(s, d).select("purpose", "fit_id", "user_id", "segment", *SCORE_COLS)
 
 
-@query("ml_10_served_scores", sql("""SELECT user_id, 7 AS horizon_days, round(sig_profit, 5) AS predicted_profit, 'v0.2-heuristic-eb-xf' AS model_version, seg AS snapshot_segment, fit_id AS snapshot_fit FROM score_out WHERE purpose = 'serve'"""))
+@query("ml_10_served_scores", sql("""SELECT user_id, 7 AS horizon_days, round(sig_profit, 6) AS predicted_profit, 'v0.2-heuristic-eb-xf' AS model_version, seg AS snapshot_segment, fit_id AS snapshot_fit FROM score_out WHERE purpose = 'serve'"""))
 def _(s, d):
     x = S.served_scores(scores(s, d), P)
-    return x.select("user_id", "horizon_days", F.round("predicted_profit", 5).alias("predicted_profit"), "model_version", C.json_str("features_snapshot", "segment").alias("snapshot_segment"), C.json_str("features_snapshot", "fit_id").alias("snapshot_fit"))
+    return x.select("user_id", "horizon_days", "predicted_profit", "model_version", C.json_str("features_snapshot", "segment").alias("snapshot_segment"), C.json_str("features_snapshot", "fit_id").alias("snapshot_fit"))
 
 
 @query("src_10_external_scores", sql("SELECT user_id, cf_fold + 1.5::DOUBLE AS predicted_profit, 'trained-1' AS model_version FROM feat WHERE cf_fold < 3"))
