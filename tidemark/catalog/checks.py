@@ -91,7 +91,7 @@ def _(s, d):
     o = D.table(s, d, "orders").select("o_orderkey", F.lit("r1").alias("ref"), D.cents("o_totalprice").alias("score"))
     k = F.col("o_orderkey") % 50
     log = o.withColumn("ref", F.when(k == 1, "r0").otherwise("r1")).withColumn("score", F.when(k == 2, F.col("score") + 1).otherwise(F.col("score")))
-    return K.log_reproducible(log, o.select("ref").limit(1), o, "o_orderkey", "ref", "score")
+    return K.log_reproducible(log, o.select("ref").distinct(), o, "o_orderkey", "ref", "score")
 
 
 @query("dq_10_non_negative", sql("SELECT c_custkey, 'c_acctbal' AS \"column\", c_acctbal AS value FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'shifted', c_acctbal - 100 FROM customer WHERE c_acctbal - 100 < 0"))

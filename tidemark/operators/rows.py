@@ -25,6 +25,14 @@ def keep_first_counted(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     return keep_first(df, keys, order).join(counts, list(keys))
 
 
+REFERENCE_ROWS = 500_000
+
+
+def bounded(df: DataFrame, max_rows: int = REFERENCE_ROWS) -> DataFrame:
+    """Broadcast a reference table after counting it; a larger one is left to the engine's own choice."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def anti(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_anti")
 

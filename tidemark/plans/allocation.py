@@ -93,7 +93,7 @@ def cuped_rows(rows: DataFrame) -> DataFrame:
     usable = (vx > 1e-12) & (vy > 0)
     theta = t.select("flag_key", xbar.alias("xbar"), F.when(usable, cov / vx).otherwise(0.0).alias("theta"), F.when(usable, cov * cov / (vx * vy)).otherwise(0.0).alias("variance_reduction"))
     # one row per flag
-    x = rows.join(F.broadcast(theta), "flag_key")
+    x = rows.join(theta, "flag_key")
     n, sx, sxx, sy, syy, sxy, th, xb = (F.col(c) for c in ("scored_users", "sum_covariate", "sum_sq_covariate", "sum_predicted_profit", "sum_sq_predicted_profit", "sum_predicted_profit_x_covariate", "theta", "xbar"))
     sq = syy - 2 * th * (sxy - xb * sy) + th * th * (sxx - 2 * xb * sx + n * xb * xb)
     return x.withColumn("adj_sum", sy - th * (sx - n * xb)).withColumn("adj_sq", F.greatest(sq, F.lit(0.0)))
@@ -101,7 +101,7 @@ def cuped_rows(rows: DataFrame) -> DataFrame:
 
 def decomposed(rows: DataFrame, value: DataFrame) -> DataFrame:
     """Moments of value x conversion - cost per matured user (cross term by independence)."""
-    x = rows.join(F.broadcast(value.select("flag_key", "value_mean")), "flag_key")
+    x = rows.join(value.select("flag_key", "value_mean"), "flag_key")
     n, conv, cost, cq, v = F.col("matured_users"), F.col("matured_converted_users"), F.col("sum_matured_cost"), F.col("sum_sq_matured_cost"), F.col("value_mean")
     some = n > 0
     return x.withColumn("y_n", n).withColumn("y_sum", F.when(some, v * conv - cost).otherwise(0.0)).withColumn(
@@ -223,7 +223,7 @@ def posteriors(moments: DataFrame, global_moments: DataFrame, pooled: DataFrame,
     pm = C.safe_divide("s", "n")
     weak = pooled.select("flag_key", F.coalesce(pm, F.lit(0.0)).alias("m0"), F.greatest(F.coalesce(C.safe_divide("q", "n") - pm * pm, F.lit(0.0)), 1e-9 * (1 + F.coalesce(pm * pm, F.lit(0.0)))).alias("v0"))
     a0 = F.lit(1 + var_count / 2)
-    g = global_moments.join(F.broadcast(weak), "flag_key").select("flag_key", "arm", "v0", _nig(F.col("m0"), F.lit(mean_count), a0, (a0 - 1) * F.col("v0"), F.col("n_eff"), F.col("mean"), F.col("variance"), "g"))
+    g = global_moments.join(weak, "flag_key").select("flag_key", "arm", "v0", _nig(F.col("m0"), F.lit(mean_count), a0, (a0 - 1) * F.col("v0"), F.col("n_eff"), F.col("mean"), F.col("variance"), "g"))
     s2 = F.when(F.col("g.alpha") > 1, F.col("g.beta") / (F.col("g.alpha") - 1)).otherwise(F.col("v0"))
     x = moments.join(g, ["flag_key", "arm"]).withColumn("_s2", s2)
     post = _nig(F.col("g.mu"), F.lit(float(strength)), a0, (a0 - 1) * F.col("_s2"), F.col("n_eff"), F.col("mean"), F.col("variance"), "p")
@@ -268,9 +268,9 @@ def required_n(variance: Column, mde: float, floor: int, z: float = Z_975 + Z_80
 def apply_resets(rows: DataFrame, resets: DataFrame) -> DataFrame:
     """Drop exposure days before the flag's latest reset and rows of older score models."""
     last = resets.groupBy("flag_key").agg(F.max("reset_date").alias("_r"))
-    x = rows.join(F.broadcast(last), "flag_key", "left").where(F.col("_r").isNull() | (F.col("exposure_date") >= F.col("_r"))).drop("_r")
+    x = rows.join(last, "flag_key", "left").where(F.col("_r").isNull() | (F.col("exposure_date") >= F.col("_r"))).drop("_r")
     newest = x.groupBy("flag_key").agg(F.max(F.struct("exposure_date", "model_version"))["model_version"].alias("_m"))
-    return x.join(F.broadcast(newest), "flag_key").where(F.col("model_version") == F.col("_m")).drop("_m")
+    return x.join(newest, "flag_key").where(F.col("model_version") == F.col("_m")).drop("_m")
 
 
 def stats_from_ci(x: DataFrame, n: str, mean: str, low: str, high: str, z: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import global_rank, keep_first, keep_first_counted, top_fraction
+from tidemark.operators.rows import bounded, global_rank, keep_first, keep_first_counted, top_fraction
 from tidemark.params import Params
 from tidemark.plans.consent import consent_country, denied, opted_out
 
@@ -38,7 +38,7 @@ def candidates(scores: DataFrame, money_out: DataFrame, active: DataFrame, users
     out = money_out.groupBy("user_id").agg(F.bool_or(F.col("event_name") == "refund").alias("has_refund"), F.bool_or(F.col("event_name") == "chargeback").alias("has_chargeback"),
                                            F.bool_or(F.coalesce(F.col("dispute_reason") == "fraudulent", F.lit(False))).alias("has_fraud_dispute"))
     x = r.join(out, "user_id", "left").join(active.select("user_id").distinct().withColumn("is_active_subscriber", F.lit(True)), "user_id", "left").join(users.select("user_id", "country_code"), "user_id", "left")
-    x = x.join(F.broadcast(regions.select(F.col("iso2").alias("country_code"), F.lit(True).alias("requires_consent"))), "country_code", "left")
+    x = x.join(bounded(regions.select(F.col("iso2").alias("country_code"), F.lit(True).alias("requires_consent"))), "country_code", "left")
     for c in ("has_refund", "has_chargeback", "has_fraud_dispute", "is_active_subscriber", "requires_consent"):
         x = x.withColumn(c, F.coalesce(c, F.lit(False)))
     profit = F.col("predicted_profit")

@@ -56,7 +56,7 @@ def coverage(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def baselines(train: DataFrame, test: DataFrame, fit: str) -> DataFrame:
     """Baseline predictions of each test unit: training mean, first charge, conversion-only."""
     m = train.groupBy(fit).agg(F.avg("realised").alias("training_mean"), F.avg(F.when(F.col("converted"), F.col("realised"))).alias("converter_mean"))
-    x = test.join(F.broadcast(m), fit, "left")
+    x = test.join(m, fit, "left")
     return x.select("unit", fit, "training_mean", F.col("first_charge").alias("first_charge_only"), (F.col("p_convert") * F.col("converter_mean")).alias("conversion_only"))
 
 

@@ -135,7 +135,7 @@ def against_truth(df: DataFrame, truth: DataFrame, key: str, columns: Sequence[s
 def mapping_flag(ledger: DataFrame, mapping: DataFrame) -> DataFrame:
     """Events whose web-fix flag differs from what the mapping says for their kind."""
     want = mapping.groupBy(F.col("canonical_event").alias("event_name")).agg(F.bool_or(F.col("send") & F.col("requires_web_fix")).alias("_want"))
-    x = ledger.join(F.broadcast(want), "event_name", "left").withColumn("expected", F.coalesce("_want", F.lit(False)))
+    x = ledger.join(want, "event_name", "left").withColumn("expected", F.coalesce("_want", F.lit(False)))
     return x.where(F.col("requires_web_fix") != F.col("expected")).select("event_id", "event_name", "requires_web_fix", "expected")
 
 

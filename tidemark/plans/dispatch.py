@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.rows import bounded
 from tidemark.operators.running import Agg, Facts, latest, lookup_many
 from tidemark.plans.consent import SIGNALS, consent_country, denied, merge_signal, opted_out
 
@@ -21,7 +22,7 @@ def expand_mapping(events: DataFrame, mapping: DataFrame) -> DataFrame:
     The mapping is a fixed table (12 event kinds x platforms). A template placeholder that
     has no value leaves the key NULL.
     """
-    m = F.broadcast(mapping.withColumnRenamed("canonical_event", "event_name"))
+    m = bounded(mapping.withColumnRenamed("canonical_event", "event_name"))
     x = events.join(m, "event_name")
     key = F.col("dedup_template")
     for name in ("event_id", "order_id", "user_id"):
@@ -66,7 +67,7 @@ def dispatch_plan(x: DataFrame, now: datetime, enabled: Sequence[str], fixes_liv
     Needs the columns of ``expand_mapping`` (send, max_age_days, twin_window_seconds, browser_twin, twin_observed, requires_web_fix)
     and of ``platform_consent``; ``fixes_live``: event_name, platform, live_at.
     """
-    y = x.join(F.broadcast(fixes_live), ["event_name", "platform"], "left")
+    y = x.join(bounded(fixes_live), ["event_name", "platform"], "left")
     us = lambda c: F.unix_micros(c)
     at, t = us(F.lit(now)), us(F.col("occurred_at"))
     twin = F.when(F.col("browser_twin"), F.col("twin_window_seconds"))

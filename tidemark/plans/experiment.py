@@ -133,8 +133,7 @@ def arm_readout(users: DataFrame, p: Params) -> DataFrame:
         F.stddev_samp("realised_profit").alias("profit_sd"), F.avg(F.when(matured, cov)).alias("cov_arm"), C.tally(scored).alias("scored_users"), F.avg(pred).alias("pred"), F.stddev_samp(pred).alias("pred_sd"),
         F.count("residual").alias("residual_users"), F.avg("residual").alias("bias"), F.var_samp("residual").alias("rv_arm"), F.count(early).alias("n1"), F.count(later).alias("n0"), F.avg(early).alias("m1"), F.avg(later).alias("m0"),
         F.var_samp(early).alias("v1"), F.var_samp(later).alias("v0"), C.safe_divide(F.sum("expected_value_if_converted"), F.sum("p_convert")).alias("value_if_converted"), F.min("propensity").alias("min_propensity"))
-    # flags are a handful of rows
-    a = a.join(F.broadcast(flag), "flag_key")
+    a = a.join(flag, "flag_key")
     model_var = F.when(F.col("residual_users") >= p.min_matured_for_arm_error, F.col("rv_arm") / F.col("residual_users")).when(F.col("rn_pool") > 1, F.col("rv_pool") / F.col("rn_pool"))
     rate = F.col("converters") / F.col("exposed_users")
     both = (F.col("n1") > 0) & (F.col("n0") > 0)

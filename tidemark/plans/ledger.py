@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.segments import event_id
-from tidemark.operators.rows import anti, keep_first
+from tidemark.operators.rows import anti, bounded, keep_first
 from tidemark.operators.running import Agg, Facts, latest_of, lookup_many, running
 from tidemark.plans.identity import arm_facts, click_facts, open_utms, utm_facts
 from tidemark.params import Params
@@ -97,8 +97,8 @@ def conversion_ledger(
     x = x.withColumn("utm", F.when(money_out, F.map_filter(utm_map, lambda k, v: F.lit(False))).otherwise(utm_map))
     x = x.withColumn("experiment_arms", text_map(flags, [F.col(f"arm_{i}") for i in range(len(flags))]))
     prof = profile.select("user_id", "first_device_id", "country_code", "is_qa_account")
-    fixes = web_fix.where("send and requires_web_fix").groupBy(F.col("canonical_event").alias("event_name")).agg(F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("web_fix_platforms"))
-    x = x.join(prof, "user_id", "left").join(F.broadcast(fixes), "event_name", "left")
+    fixes = bounded(web_fix).where("send and requires_web_fix").groupBy(F.col("canonical_event").alias("event_name")).agg(F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("web_fix_platforms"))
+    x = x.join(prof, "user_id", "left").join(fixes, "event_name", "left")
     drop = ["_until", "first_device_id", "utm_known_at"] + [f"click_{k}" for k in click_keys] + list(utm_keys) + [f"arm_{i}" for i in range(len(flags))]
     x = x.withColumn("device_id", F.coalesce("device_id", "first_device_id")).withColumn("requires_web_fix", F.col("web_fix_platforms").isNotNull())
     if "order_id" in x.columns:

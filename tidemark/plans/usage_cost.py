@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.segments import CAPABILITY_PATTERN, parse_business_type
-from tidemark.operators.rows import keep_first, keep_first_counted
+from tidemark.operators.rows import bounded, keep_first, keep_first_counted
 from tidemark.params import Params
 
 # Vendor by price-source pattern, first match wins (fixed values).
@@ -62,7 +62,7 @@ def wildcard_match(df: DataFrame, rules: DataFrame, dims: Sequence[str], rule_id
     """Best rule per row where a NULL dimension matches anything; more named dimensions win, then the id.
 
     The rows are matched by their distinct dimension values, so the rule table meets
-    few combinations however many rows there are. Rules are a short configuration list.
+    few combinations however many rows there are.
     """
     combos = df.select(*dims).distinct()
     r = rules.select(*[F.col(c).alias("r_" + c) for c in dims], rule_id)
@@ -71,7 +71,7 @@ def wildcard_match(df: DataFrame, rules: DataFrame, dims: Sequence[str], rule_id
     for c in dims:
         on = on & (F.col("r_" + c).isNull() | (F.col("r_" + c) == F.col(c)))
         named = named + F.col("r_" + c).isNotNull().cast("int")
-    hits = combos.join(F.broadcast(r), on).groupBy(*dims).agg(F.min(F.struct((-named).alias("n"), rule_id)).alias("m"))
+    hits = combos.join(bounded(r, 10_000), on).groupBy(*dims).agg(F.min(F.struct((-named).alias("n"), rule_id)).alias("m"))
     best = hits.select(*[F.col(c).alias("_" + c) for c in dims], F.col(f"m.{rule_id}").alias(rule_id))
     match = F.lit(True)
     for c in dims:
