@@ -17,7 +17,11 @@ from tidemark.sources import driver_tables as D
 
 RUN = date(2024, 1, 31)
 TARGETS = [{"name": "us_or_tier1", "country_bucket": ("us", "tier1"), "device": ("desktop",)}, {"name": "phones", "device": ("mobile",)}, {"name": "rest"}]
-N, S_, Q = F.col("scored_users"), F.col("sum_predicted_profit"), F.col("sum_sq_predicted_profit")
+
+def score_moments():
+    """Count, sum and sum of squares of the score in a daily row."""
+    return F.col("scored_users"), F.col("sum_predicted_profit"), F.col("sum_sq_predicted_profit")
+
 
 
 def rows(s, d):
@@ -58,7 +62,7 @@ add("ipw", """SELECT *, a * a / nullif(a2, 0) AS ne, ws / nullif(a, 0) AS mean,
 
 @query("expt_16_ipw_moments", sql("SELECT flag_key, target, arm, raw_n, round(coalesce(ne, 0), 5) AS n_eff, round(mean, 3) AS mean, round(sqrt(coalesce(var, 0)), 2) AS sd FROM ipw"))
 def _(s, d):
-    m = A.ipw_moments(rows(s, d), log(s, d), N, S_, Q)
+    m = A.ipw_moments(rows(s, d), log(s, d), *score_moments())
     return m.select("flag_key", "target", "arm", "raw_n", F.round("n_eff", 5).alias("n_eff"), F.round("mean", 3).alias("mean"), F.round(F.sqrt("variance"), 2).alias("sd"))
 
 
@@ -106,13 +110,13 @@ HALF = "sqrt((1 + {t} * info) / ({t} * info * info) * (2 * ln(1 / {a}) + ln(1 +
 
 @query("expt_20_contrast", sql("SELECT flag_key, target, arm, days, tn AS treatment_n, cn AS control_n, round(est, 2) AS estimate FROM con"))
 def _(s, d):
-    x = A.contrast(rows(s, d), N, S_, Q)
+    x = A.contrast(rows(s, d), *score_moments())
     return x.select("flag_key", "target", "arm", "days", F.col("treatment_n").cast("bigint").alias("treatment_n"), F.col("control_n").cast("bigint").alias("control_n"), F.round("estimate", 2).alias("estimate"))
 
 
 @query("expt_21_confidence_sequence", sql(f"SELECT flag_key, target, arm, round(est - {HALF.format(t='4.0::DOUBLE', a='0.05::DOUBLE')}, 1) AS lower, round(est + {HALF.format(t='4.0::DOUBLE', a='0.05::DOUBLE')}, 1) AS upper FROM con WHERE tn >= 5 AND cn >= 3"))
 def _(s, d):
-    x = A.confidence_sequence(A.contrast(rows(s, d), N, S_, Q), 2.0, 0.05, 5, 3)
+    x = A.confidence_sequence(A.contrast(rows(s, d), *score_moments()), 2.0, 0.05, 5, 3)
     return x.select("flag_key", "target", "arm", F.round("lower", 1).alias("lower"), F.round("upper", 1).alias("upper"))
 
 
@@ -148,9 +152,9 @@ def _(s, d):
 
 def posterior(s, d):
     x = rows(s, d)
-    pooled = x.groupBy("flag_key").agg(F.sum(N).alias("n"), F.sum(S_).alias("s"), F.sum(Q).alias("q"))
-    g = A.ipw_moments(x.withColumn("target", F.lit("all")), log(s, d), N, S_, Q)
-    return A.posteriors(A.ipw_moments(x, log(s, d), N, S_, Q), g, pooled, 2.0, 2.0, 20.0)
+    pooled = x.groupBy("flag_key").agg(*[F.sum(c).alias(a) for c, a in zip(score_moments(), ("n", "s", "q"))])
+    g = A.ipw_moments(x.withColumn("target", F.lit("all")), log(s, d), *score_moments())
+    return A.posteriors(A.ipw_moments(x, log(s, d), *score_moments()), g, pooled, 2.0, 2.0, 20.0)
 
 
 add("ipw_all", """SELECT *, a * a / nullif(a2, 0) AS ne, ws / nullif(a, 0) AS mean, greatest(wq / nullif(a, 0) - power(ws / nullif(a, 0), 2), 0) AS var FROM (SELECT x.flag_key, x.arm, sum(w / weight * scored_users) AS a, sum(power(w / weight, 2) * scored_users) AS a2, sum(w / weight * sp) AS ws, sum(w / weight * qp) AS wq FROM aged x
@@ -171,7 +175,7 @@ def _(s, d):
 
 @query("expt_27_required_n", sql("SELECT flag_key, arm, greatest(100, CAST(ceil(2 * power(1.959963984540054::DOUBLE + 0.8416212335729143::DOUBLE, 2) * greatest(q / n - power(s / n, 2), 0) / 250000) AS BIGINT)) AS users FROM (SELECT flag_key, arm, sum(scored_users) AS n, sum(sp) AS s, sum(qp) AS q FROM daily GROUP BY 1, 2)"))
 def _(s, d):
-    x = daily(s, d).groupBy("flag_key", "arm").agg(F.sum(N).alias("n"), F.sum(S_).alias("s"), F.sum(Q).alias("q"))
+    x = daily(s, d).groupBy("flag_key", "arm").agg(*[F.sum(c).alias(a) for c, a in zip(score_moments(), ("n", "s", "q"))])
     m = C.safe_divide("s", "n")
     return x.select("flag_key", "arm", A.required_n(F.greatest(C.safe_divide("q", "n") - m * m, F.lit(0.0)), 500.0, 100).alias("users"))
 

@@ -50,7 +50,7 @@ def _(s, d):
 POIS = "CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.996340 THEN 4 WHEN u < 0.999406 THEN 5 ELSE 6 END"
 
 
-@query("ml_23_bootstrap", sql(f"""SELECT grp, round(quantile_cont(stat, 0.025), 2) AS low, round(quantile_cont(stat, 0.975), 2) AS high FROM (SELECT grp, r, sum(w * e) / sum(w) AS stat FROM (SELECT grp, r, e, {POIS} AS w FROM (SELECT grp, r, {MAE} AS e, CAST('0x' || substr(sha256(unit || ':' || r), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM unit, range(20) q(r))) GROUP BY 1, 2) GROUP BY 1"""))
+@query("ml_23_bootstrap", sql(f"""SELECT grp, round(quantile_cont(stat, 0.025), 2) AS low, round(quantile_cont(stat, 0.975), 2) AS high FROM (SELECT grp, r, sum(w * e) / nullif(sum(w), 0) AS stat FROM (SELECT grp, r, e, {POIS} AS w FROM (SELECT grp, r, {MAE} AS e, CAST('0x' || substr(sha256(unit || ':' || r), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM unit, range(20) q(r))) GROUP BY 1, 2) GROUP BY 1"""))
 def _(s, d):
     x = B.bootstrap_mae(units(s, d), 50_000.0, 20, "grp")
     return x.select("grp", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))

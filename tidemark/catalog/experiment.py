@@ -135,7 +135,7 @@ BOUNDS = "CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.9196
 
 
 @query("expt_8_ppi_bootstrap", sql(f"""SELECT flag_key, arm, round(quantile_cont(est, 0.025), 3) AS ppi_bootstrap_low, round(quantile_cont(est, 0.975), 3) AS ppi_bootstrap_high FROM
-    (SELECT flag_key, arm, r, sum(w * pred) / sum(w) + coalesce(sum(CASE WHEN resid IS NOT NULL THEN w * resid END) / nullif(sum(CASE WHEN resid IS NOT NULL THEN w END), 0), 0) AS est FROM
+    (SELECT flag_key, arm, r, sum(w * pred) / nullif(sum(w), 0) + coalesce(sum(CASE WHEN resid IS NOT NULL THEN w * resid END) / nullif(sum(CASE WHEN resid IS NOT NULL THEN w END), 0), 0) AS est FROM
      (SELECT *, {BOUNDS} AS w FROM (SELECT *, CAST('0x' || substr(sha256(user_id || ':' || flag_key || ':' || r), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM ro, range(40) q(r) WHERE is_scored)) GROUP BY 1, 2, 3) GROUP BY 1, 2"""))
 def _(s, d):
     b = E.bootstrap(readout(s, d), P)

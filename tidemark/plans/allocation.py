@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions import columns as C
 
@@ -159,7 +160,7 @@ def guardrails(rows: DataFrame, margins: dict[str, float], alpha: float, min_tre
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """P(X >= x) of a chi-square with k degrees of freedom (a few aggregated rows)."""
 
