@@ -19,6 +19,11 @@ from tidemark.streaming import jobs as J
 END = datetime(2024, 6, 1)
 
 
+def run(s, d, stream, sink, mode="append"):
+    """One availableNow run with the state sized by the event table."""
+    J.run_once(stream, sink, scratch(s), mode, J.state_partitions_for(D.table(s, d, "events").count()))
+
+
 def replay(s, df, order, files=3):
     """Write a table as time-ordered files and read it as a stream, one file per micro-batch."""
     p = scratch(s)
@@ -36,7 +41,7 @@ def replay(s, df, order, files=3):
 def _(s, d):
     out = scratch(s)
     src = replay(s, D.deliveries(s, d).select("event_id", "user_id", "received_at"), "received_at")
-    J.run_once(J.dedup(src, "event_id", "received_at"), J.versions(out), scratch(s))
+    run(s, d, J.dedup(src, "event_id", "received_at"), J.versions(out))
     return s.read.parquet(out).select("event_id", "user_id")
 
 
@@ -59,14 +64,14 @@ add("parked", "SELECT p.event_id, CASE WHEN c.at2 <= p.ts + INTERVAL 3 DAY THEN
 @query("str_2_park_and_join", sql("SELECT * FROM parked"))
 def _(s, d):
     out = scratch(s)
-    J.run_once(parked(s, d), J.versions(out), scratch(s))
+    run(s, d, parked(s, d), J.versions(out))
     return s.read.parquet(out).where("event_id >= 0").select("event_id", "status")
 
 
 @query("str_3_deadline_split", sql("SELECT event_id, CASE WHEN status = 'degraded' THEN 'dead_letter' ELSE 'accepted' END AS output FROM parked"))
 def _(s, d):
     out = scratch(s)
-    J.run_once(parked(s, d), J.split_outputs(out, "status = 'degraded'"), scratch(s))
+    run(s, d, parked(s, d), J.split_outputs(out, "status = 'degraded'"))
     read = lambda n: s.read.parquet(f"{out}/{n}").where("event_id >= 0").select("event_id", F.lit(n).alias("output"))
     return read("dead_letter").unionByName(read("accepted"))
 
@@ -75,7 +80,7 @@ def _(s, d):
 def _(s, d):
     out = scratch(s)
     src = replay(s, D.deliveries(s, d).select("event_id", "user_id", "received_at"), "received_at")
-    J.run_once(src, J.first_write_wins(out, "event_id"), scratch(s))
+    run(s, d, src, J.first_write_wins(out, "event_id"))
     return s.read.parquet(out).select("event_id", "user_id")
 
 
@@ -83,7 +88,7 @@ def _(s, d):
 def _(s, d):
     out = scratch(s)
     src = replay(s, D.ev(s, d).where("event_type = 'error'").select("user_id", F.col("k").alias("cumulative"), "ts"), "ts")
-    J.run_once(J.max_state(src, "user_id", "cumulative"), J.versions(out), scratch(s), "update")
+    run(s, d, J.max_state(src, "user_id", "cumulative"), J.versions(out), "update")
     return J.newest_version(s.read.parquet(out), ["user_id"])
 
 
@@ -99,7 +104,7 @@ def _(s, d):
     flush = s.range(1)
     buy = buy.unionByName(flush.select(F.lit("flush").alias("event_id"), F.lit(END).alias("occurred_at"), F.lit(0.0).alias("cash_value")))
     score = score.unionByName(flush.select(F.lit("flush0").alias("score_event_id"), F.lit(END).alias("scored_at"), F.lit(0.0).alias("predicted_profit")))
-    J.run_once(J.value_with_sla(replay(s, buy, "occurred_at"), replay(s, score, "scored_at"), "2 hours", 1.0), J.versions(out), scratch(s))
+    run(s, d, J.value_with_sla(replay(s, buy, "occurred_at"), replay(s, score, "scored_at"), "2 hours", 1.0), J.versions(out))
     return s.read.parquet(out).where("event_id <> 'flush'").select("event_id", "basis", "value")
 
 
@@ -120,7 +125,7 @@ def _(s, d):
     # arrival order is the reverse of event order: the newest event arrives first
     e = D.ev(s, d).select("user_id", "ts", "event_id", "event_type", F.timestamp_micros(F.lit(3_410_000_000_000_000) - F.unix_micros("ts")).alias("arrived"))
     src = replay(s, e, "arrived")
-    J.run_once(J.latest_state(src, "user_id", ["ts", "event_id"], ["event_type"]), J.versions(out), scratch(s), "update")
+    run(s, d, J.latest_state(src, "user_id", ["ts", "event_id"], ["event_type"]), J.versions(out), "update")
     x = s.read.parquet(out)
     return x.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).select("user_id", "m.ts", "m.event_type")
 
@@ -129,7 +134,7 @@ def _(s, d):
 def _(s, d):
     out = scratch(s)
     src = replay(s, D.ev(s, d).select("event_id", "user_id", "ts"), "ts")
-    J.run_once(src, J.versions(out), scratch(s))
+    run(s, d, src, J.versions(out))
     x = s.read.parquet(out).withColumn("day", F.to_date("ts"))
     gone = D.ev(s, d).where("user_id % 10 = 3").select("user_id", F.lit(datetime(2024, 1, 1)).alias("requested_at"))
     return K.expire(K.erase(x, gone, datetime(2024, 1, 30), 24), "day", datetime(2024, 1, 30), 15).select("event_id")

@@ -118,9 +118,25 @@ def due(held: DataFrame, now: datetime) -> DataFrame:
     return held.where(F.col("next_at") <= F.lit(now))
 
 
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Process what is there in micro-batches and stop."""
-    q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(
+    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", state_partitions: int | None = None,
+) -> None:
+    """Process what is there in micro-batches and stop.
+
+    The number of state partitions is fixed by the first run of a checkpoint, so it is chosen for the
+    expected state (see ``state_partitions_for``), not taken from whatever batch jobs use.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
 
 
+def state_partitions_for(rows: int, rows_per_partition: int = 500_000, least: int = 8) -> int:
+    """State partitions that keep each state store at a size one task restores quickly."""
+    return max(least, -(-rows // rows_per_partition))
