@@ -17,6 +17,8 @@ from tidemark.sources import driver_tables as D
 from tidemark.streaming import jobs as J
 
 END = datetime(2024, 6, 1)
+# files of one slice may be read in any order: rows may lag by a slice
+SLICE = "13 days"
 
 
 def run(s, d, stream, sink, mode="append"):
@@ -25,16 +27,16 @@ def run(s, d, stream, sink, mode="append"):
 
 
 def replay(s, df, order, files=3):
-    """Write a table as time-ordered files and read it as a stream, one file per micro-batch."""
+    """Write a table slice after slice in time order and read the files as a stream in several micro-batches."""
     p = scratch(s)
-    # slices of the replay: a range partitioning by time, written one after the other
+    per_batch = max(1, df.count() // 1_000_000)
     span = F.floor(F.unix_micros(order) / (86_400_000_000 * 12)).cast("int")
     base = df.withColumn("_slice", span)
     for i in range(files):
         lo, hi = 1643 + i, 1644 + i
         part = base.where((F.col("_slice") >= (lo if i else -10_000)) & (F.col("_slice") < (hi if i < files - 1 else 10_000_000)))
-        part.drop("_slice").coalesce(1).write.mode("append").parquet(p)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(p)
+        part.drop("_slice").write.mode("append").parquet(p)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(p)
 
 
 @query("str_1_inbox_dedup", sql("SELECT event_id, user_id FROM ev"))
@@ -54,7 +56,7 @@ def parked(s, d):
     flush = s.range(1)
     ev = ev.unionByName(flush.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("flush").alias("dep_key"), F.lit(END).alias("received_at")))
     first = first.unionByName(flush.select(F.lit("flush0").alias("dep_key"), F.lit(END).alias("partner_at")))
-    return J.park_and_join(replay(s, ev, "received_at"), replay(s, first, "partner_at"), "dep_key", "received_at", "partner_at", "3 days", "40 days")
+    return J.park_and_join(replay(s, ev, "received_at"), replay(s, first, "partner_at"), "dep_key", "received_at", "partner_at", "3 days", "40 days", disorder=SLICE)
 
 
 add("dep", "SELECT user_id || ':' || (k % 10) AS dep_key, min(ts) AS at2 FROM ev WHERE event_type = 'click' GROUP BY 1")
@@ -104,7 +106,7 @@ def _(s, d):
     flush = s.range(1)
     buy = buy.unionByName(flush.select(F.lit("flush").alias("event_id"), F.lit(END).alias("occurred_at"), F.lit(0.0).alias("cash_value")))
     score = score.unionByName(flush.select(F.lit("flush0").alias("score_event_id"), F.lit(END).alias("scored_at"), F.lit(0.0).alias("predicted_profit")))
-    run(s, d, J.value_with_sla(replay(s, buy, "occurred_at"), replay(s, score, "scored_at"), "2 hours", 1.0), J.versions(out))
+    run(s, d, J.value_with_sla(replay(s, buy, "occurred_at"), replay(s, score, "scored_at"), "2 hours", 1.0, SLICE), J.versions(out))
     return s.read.parquet(out).where("event_id <> 'flush'").select("event_id", "basis", "value")
 
 

@@ -15,15 +15,16 @@ def dedup(stream: DataFrame, key: str, received: str, remember: str = "35 days")
     return stream.withWatermark(received, remember).dropDuplicatesWithinWatermark([key])
 
 
-def park_and_join(events: DataFrame, partners: DataFrame, key: str, received: str, partner_received: str, max_park: str, look_back: str, salts: int = 8) -> DataFrame:
+def park_and_join(events: DataFrame, partners: DataFrame, key: str, received: str, partner_received: str, max_park: str, look_back: str, salts: int = 8, disorder: str = "1 hour") -> DataFrame:
     """Out-of-order join: an event waits for its partner up to a fixed deadline, then leaves as degraded.
 
     A left outer stream-stream join with watermarks holds the parked rows in state; the deadline is the
     event's own time plus ``max_park`` and never slides. Events of a key are spread over ``salts`` state
     partitions and its (few) partner rows are repeated for each, so a hot key is not one state store entry list.
+    ``disorder`` is how far arrival may lag behind event order before a row counts as late.
     """
-    left = events.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in events.columns]), F.lit(salts)).cast("int")).withWatermark(received, "0 seconds")
-    p = partners.withWatermark(partner_received, "0 seconds").dropDuplicatesWithinWatermark([key])
+    left = events.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in events.columns]), F.lit(salts)).cast("int")).withWatermark(received, disorder)
+    p = partners.withWatermark(partner_received, disorder).dropDuplicatesWithinWatermark([key])
     keep = [c for c in partners.columns if c != key]
     right = p.select(F.col(key).alias("_pk"), *keep, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ps"))
     on = (F.col(key) == F.col("_pk")) & (F.col("_salt") == F.col("_ps")) & (F.col(partner_received) <= F.col(received) + F.expr(f"INTERVAL {max_park}")) & (F.col(partner_received) >= F.col(received) - F.expr(f"INTERVAL {look_back}"))
@@ -89,13 +90,13 @@ def latest_state(stream: DataFrame, key: str, order: Sequence[str], payload: Seq
     return stream.groupBy(key).agg(F.max(F.struct(*order, *payload)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in (*order, *payload)])
 
 
-def value_with_sla(purchases: DataFrame, scores: DataFrame, sla: str, floor: float) -> DataFrame:
+def value_with_sla(purchases: DataFrame, scores: DataFrame, sla: str, floor: float, disorder: str = "1 hour") -> DataFrame:
     """Hold each purchase until its first score or the end of the SLA, then decide once.
 
     ``purchases``: event_id, occurred_at, cash_value; ``scores``: score_event_id, scored_at, predicted_profit.
     """
-    s = scores.withWatermark("scored_at", "0 seconds").dropDuplicatesWithinWatermark(["score_event_id"])
-    p = purchases.withWatermark("occurred_at", "0 seconds")
+    s = scores.withWatermark("scored_at", disorder).dropDuplicatesWithinWatermark(["score_event_id"])
+    p = purchases.withWatermark("occurred_at", disorder)
     on = (F.col("event_id") == F.col("score_event_id")) & (F.col("scored_at") >= F.col("occurred_at")) & (F.col("scored_at") <= F.col("occurred_at") + F.expr(f"INTERVAL {sla}"))
     x = p.join(s, on, "left_outer")
     scored = F.col("score_event_id").isNotNull()
