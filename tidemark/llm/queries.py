@@ -61,6 +61,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(base.table(spark, sf_dir, "documents"))
 
 
+@query("op6_simhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(base.table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import dedup
+
+    return dedup(base.table(spark, sf_dir, "documents"))
+
+
 @query("op9_word_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.word_bpe import code_digests
