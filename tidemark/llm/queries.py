@@ -54,6 +54,13 @@ FROM e
 """
 
 
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality
+
+    return quality(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
+
+
 @query("op2_source_mix", MIXING_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
@@ -61,6 +68,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(base.table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
