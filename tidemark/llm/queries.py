@@ -75,6 +75,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
 
 
+@query("op4_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import identify
+
+    return identify(base.table(spark, sf_dir, "pages"), base.table(spark, sf_dir, "documents"))
+
+
+HAMMING_SQL = """
+WITH c AS (
+  SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 AND NOT isnan(embedding[i]) THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, bit_count(xor(q.code, c.code))::INT AS distance FROM c q, c WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank, id, distance
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10
+"""
+
+
+@query("op5_code_search", HAMMING_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hamming import sign_codes, top_k
+
+    codes = base.stage(sign_codes(base.table(spark, sf_dir, "embeddings")))
+    return top_k(codes, codes.where("id % 100 = 0"))
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
@@ -89,6 +114,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(base.table(spark, sf_dir, "documents"))
 
 
+@query("op8_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neighbours import nearest
+
+    return nearest(base.table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_word_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.word_bpe import code_digests
