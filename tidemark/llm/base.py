@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_COLLECTING: list[list[str]] = []
+
+
+@contextmanager
+def collecting(paths: list[str]):
+    """Note in ``paths`` what is staged inside, for a later ``release``."""
+    _COLLECTING.append(paths)
+    try:
+        yield
+    finally:
+        _COLLECTING.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that no frame still to be computed reads."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write an intermediate to the shared folder and read it back: it is computed once and outlives lost executors."""
     path = f"{checkpoint_folder(df.sparkSession)}/llm/{uuid.uuid4().hex}"
+    for paths in _COLLECTING:
+        paths.append(path)
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,21 +73,21 @@ def links(classes: DataFrame, distance: int = 2, blocks: int = 4, hot_rows: int
     """Links (a, b) between the ids of distinct fingerprints (fp, id) that connect every pair within ``distance``.
 
     Two fingerprints within d bits share at least ``blocks`` - d whole blocks, so they meet under some choice of that many;
-    rows that meet are compared. A block value with more than ``hot_rows`` distinct fingerprints
-    is not compared all with all: there each fingerprint is filed under itself and, ball by ball, under all
-    values within d // 2 bits of it (and, for an odd d, compared from ball to ball). Two rows within d = 2 bits share a
-    value, and all rows under one value are within 2 bits of each other, so a star per value keeps every connection.
+    rows that meet are compared. The fingerprints of a block value with more than ``hot_rows`` of them are not compared
+    all with all: each is filed under itself and under all values one bit from it. Two within 2 bits share
+    a value, and all rows under one value (65 at most) are within 2 bits of each other, so a star per value keeps every
+    connection.
     """
     if distance != 2:
         raise ValueError("links are built for two differing bits")
     keyed = base.stage(classes.select("fp", "id", block_keys(F.col("fp"), blocks, blocks - distance).alias("key")).select("fp", "id", "key.which", "key.bits"))
-    crowded = base.stage(keyed.groupBy("which", "bits").agg(F.count(F.lit(1)).alias("n")).where(f"n > 1").select("which", "bits", (F.col("n") > hot_rows).alias("hot")))
+    crowded = base.stage(keyed.groupBy("which", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("which", "bits", (F.col("n") > hot_rows).alias("hot")))
     met = keyed.join(crowded, ["which", "bits"])
     cold = met.where("not hot")
     left, right = cold.select("which", "bits", F.col("fp").alias("fp_a"), F.col("id").alias("a")), cold.select("which", "bits", F.col("fp").alias("fp_b"), F.col("id").alias("b"))
     pair = [left.which == right.which, left.bits == right.bits, left.fp_a < right.fp_b, hamming(left.fp_a, right.fp_b) <= distance]
     compared = left.join(right, pair).select("a", "b")
-    # the value itself and its 64 neighbours; only those that leave the shared blocks alone can serve two rows of a block
+    # the value itself and its 64 neighbours
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(BITS)])
     filed = (
         met.where("hot").select("fp", "id").distinct()
@@ -97,18 +97,32 @@ def links(classes: DataFrame, distance: int = 2, blocks: int = 4, hot_rows: int
     return compared.unionAll(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 4, hot_rows: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 4, hot_rows: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fingerprint and component of every document.
 
-    Input columns: doc_id, text; others are ignored. Returns doc_id, fingerprint (16 hex digits) and component_id: the
-    smallest doc_id reachable over links of at most ``distance`` differing bits, the document's own included.
-    Equal texts collapse to one fingerprint before anything is joined. Null or empty texts have fingerprint zero
-    and are linked like any other. A row without doc_id keeps its fingerprint, belongs to the component of the others
-    with that fingerprint, and is no node itself (component null if it is alone). Repeated rows are
-    returned each; an empty table gives an empty result.
+    Input columns: doc_id, text; others are ignored, except those named in ``keep`` (carried along). Returns doc_id,
+    fingerprint (16 hex digits) and component_id: the smallest doc_id reachable over links of at most ``distance``
+    differing bits, the document's own included. Equal texts collapse to one fingerprint before anything is joined.
+    Null or empty texts have fingerprint zero and are linked like any other. A row without doc_id keeps its
+    fingerprint, belongs to the component of the others with that fingerprint, and is no node itself (component null if
+    there are no others). Repeated rows are returned each; an empty table gives an empty result.
     """
-    marked = base.stage(fingerprints(docs.select("doc_id", "text"), words).withColumn("doc_id", F.col("doc_id").cast("long")))
+    marked = base.stage(fingerprints(docs, words, ("doc_id", *keep)).withColumn("doc_id", F.col("doc_id").cast("long")))
     classes = base.stage(marked.groupBy("fp").agg(F.min("doc_id").alias("id")))
     roots = components(links(classes.where("id is not null"), distance, blocks, hot_rows))
     named = classes.join(roots, classes.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component, unchanged: the one of smallest doc_id (then of smallest text hash)."""
+    last = F.lit((1 << 63) - 1)
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = near_duplicates(docs.select("doc_id", "text", text.alias("sum")), keep=("sum",), **options)
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    kept = base.stage(found.groupBy(group.alias("g")).agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id__"), F.col("sum").alias("sum__"))).alias("k")).select("k.*"))
+    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), last).alias("id__"), text.alias("sum__"))
+    out = keyed.join(kept, ["id__", "sum__"], "left_semi")
+    if found.groupBy("doc_id", "sum").count().where("count > 1").head(1):  # rows that repeat both doc_id and text
+        out = out.dropDuplicates(["id__", "sum__"])
+    return out.select(*docs.columns)

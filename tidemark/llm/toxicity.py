@@ -251,12 +251,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, b
     return model
 
 
-def _margins(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+def _margins(rows: DataFrame, model: Model, keep: tuple[str, ...], text: str = "t") -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = base.flat(batch.column("t"))
+            data, offsets = base.flat(batch.column(text))
             margin = [model.margins(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in base.parts(offsets, PART_BYTES)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.concatenate(margin) if margin else np.zeros(0))], [*keep, "margin"])
 
@@ -266,9 +266,10 @@ def _margins(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score and predicted (score >= 0.5) of every row, by its whole text (null: empty). No shuffle."""
     names = tuple(f"k{i}" for i in range(len(keep)))
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col("text").cast("string").alias("t"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if "text" in keep else [F.col("text").cast("string").alias("t")]))
     curve = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(model.slope) * F.col("margin") + F.lit(model.shift)))))
-    return _margins(rows, model, names).select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], curve.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    found = _margins(rows, model, names, names[keep.index("text")] if "text" in keep else "t")
+    return found.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], curve.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, bound: int = 20_000) -> DataFrame:
