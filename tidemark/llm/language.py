@@ -47,7 +47,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     code = LETTER[data]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     keep = code > 0
-    keep[1:] |= (code[1:] == 0) & ((code[:-1] > 0) | (row[1:] != row[:-1]))
+    keep[1:] |= (code[1:] == 0) & (code[:-1] > 0) & (row[1:] == row[:-1])
     code, row = code[keep].astype(np.uint64), row[keep]
     if len(code) < 3:
         return nothing, nothing

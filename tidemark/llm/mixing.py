@@ -89,11 +89,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix: as many copies of every document as it gives whole times, and at a source's cut a last
     copy with the words that are left (single-spaced). Documents that give no word are not in the mix."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    planned = mix(docs, keep=others, **options).where("taken > 0")
-    copies = planned.withColumn("words", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("words") - 1) * F.col("size")))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORDS), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    return copies.withColumn("text", F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.select("doc_id", "text", "source", *[F.col(c).alias(o) for c, o in zip(docs.columns, own, strict=True)])
+    planned = mix(named, keep=tuple(own), **options).where("taken > 0").select(*own, "size", "taken")
+    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    copies = planned.withColumn("copy", copy).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    text = F.col(own[docs.columns.index("text")])
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    cut = F.when(F.col("words") < F.col("size"), first).otherwise(text)
+    return copies.select(*[cut.alias(c) if c == "text" else F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
 def _few(targets: DataFrame, limit: int = 10_000) -> bool:

@@ -201,7 +201,7 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for p in parts for x in p], pa.binary())], ["label", "x"])
 
     seen = known.mapInArrow(features, "label int, x binary").collect()
-    x = np.array([np.frombuffer(r.x, np.float32) for r in seen], np.float64).reshape(len(seen), -1)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in seen], np.float64).reshape(len(seen), 3 * DIMENSIONS + 1)
     y = np.array([r.label == 1 for r in seen], float)
     order = np.lexsort((*x.T[:4], y)) if len(x) else np.zeros(0, int)  # whatever order the rows came in
     x, y = x[order], y[order]

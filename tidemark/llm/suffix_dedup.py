@@ -73,8 +73,13 @@ def each_string(hashes: Hashes, row: np.ndarray, first: np.ndarray, last: np.nda
 
 
 def earliest(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows sorted by key and segment, and True at the first (by document, then place) of equal ones."""
+    """The rows sorted by key and segment, and True at the first (by document, then place) of equal ones.
+
+    A place that comes more than once, from rows that are one document, counts once.
+    """
     found = found[np.lexsort((found["first"], found["sum"], found["doc"], found["seg"], found["key"]))]
+    if len(found):
+        found = found[np.r_[True, np.any([found[c][1:] != found[c][:-1] for c in ("key", "seg", "doc", "sum", "first")], axis=0)]]
     head = np.ones(len(found), bool)
     head[1:] = (found["key"][1:] != found["key"][:-1]) | (found["seg"][1:] != found["seg"][:-1])
     return found, head
