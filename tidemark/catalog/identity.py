@@ -141,14 +141,15 @@ def _(s, d):
 AGENTS = ("Mozilla/5.0 (Windows NT 10.0)", "Mozilla/5.0 (compatible; Googlebot/2.1)", "curl/8.0", "Mozilla/5.0 CUBOT X30")
 
 
-@query("job_22_page_visits", sql("SELECT event_id FROM ev WHERE k % 4 IN (0, 3) AND k % 7 NOT IN (1, 2) AND k % 5 <> 1 AND k % 6 NOT IN (2)"))
+@query("job_22_page_visits", sql("SELECT event_id FROM ev WHERE k % 4 IN (0, 3) AND k % 7 NOT IN (1, 2, 3) AND k % 5 <> 1 AND k % 6 NOT IN (2, 3, 4, 5)"))
 def _(s, d):
     k = F.col("k")
     req = D.ev(s, d).select(
-        "event_id", F.when(k % 7 == 1, "POST").otherwise("GET").alias("method"), F.when(k % 7 == 2, "/static/App.JS").otherwise("/pricing").alias("path"),
+        "event_id", F.when(k % 7 == 1, "POST").otherwise("GET").alias("method"), F.when(k % 7 == 2, "/static/App.JS").when(k % 7 == 3, "/Assets/logo").when(k % 7 == 4, "/v1.2/assets").otherwise("/pricing").alias("path"),
         F.when(k % 5 == 1, "image").when(k % 5 == 2, "document").alias("fetch_dest"), F.when(k % 5 == 3, "navigate").alias("fetch_mode"), F.lit("text/html,*/*").alias("accept"),
-        F.when(k % 6 == 2, "Prefetch;anonymous").alias("purpose"), D.pick(k % 4, AGENTS).alias("user_agent"))
-    return I.page_visits(req).select("event_id")
+        F.when(k % 6 == 2, "Prefetch;anonymous").alias("sec_purpose"), F.when(k % 6 == 3, " Preview").when(k % 6 == 0, "prefetch;x").alias("purpose"), F.when(k % 6 == 4, "prefetch").when(k % 6 == 1, "previewed").alias("x_purpose"),
+        F.when(k % 6 == 5, "PREFETCH").when(k % 6 == 0, "preview").alias("x_moz"), D.pick(k % 4, AGENTS).alias("user_agent"))
+    return I.page_visits(req, ("/assets/",)).select("event_id")
 
 
 @query("job_23_enrich", sql("""SELECT e.event_id, coalesce(CASE WHEN e.k % 2 = 0 THEN 'own' END, f.dev) AS device_id, coalesce(CASE WHEN e.k % 3 = 0 THEN 'arm_own' END, f.arm) AS arm, 'fb.1.' || (epoch_us(f.at) // 1000) || '.' || f.v AS click_ref FROM ev e

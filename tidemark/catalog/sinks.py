@@ -137,11 +137,14 @@ def _(s, d):
     return s.read.parquet(K.write_layer(D.ev(s, d).groupBy("user_id").agg(F.sum("cents").alias("cents")), scratch(s), "marts", "spend"))
 
 
-@query("snk_2_partitioned_mart", sql("SELECT event_id, event_name, user_id FROM purchase WHERE CAST(occurred_at AS DATE) = DATE '2024-01-10'"))
+@query("snk_2_partitioned_mart", sql("SELECT event_id, event_name, user_id FROM purchase"))
 def _(s, d):
     p = scratch(s)
-    K.write_mart(D.purchase(s, d), p, "occurred_at", ["event_name", "user_id"], files_per_day=2)
-    return s.read.parquet(p).where("day = date'2024-01-10'").select("event_id", "event_name", "user_id")
+    # the first load also holds the errors; a refresh takes their days away
+    old = D.ev(s, d).select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("event_name"), "user_id", F.timestamp_micros(F.unix_micros("ts") - 60 * 86_400_000_000).alias("occurred_at"))
+    K.write_mart(old, p, "occurred_at", ["event_name", "user_id"])
+    K.write_mart(D.purchase(s, d).select("event_id", "event_name", "user_id", "occurred_at"), p, "occurred_at", ["event_name", "user_id"], files_per_day=2)
+    return s.read.parquet(p).select("event_id", "event_name", "user_id")
 
 
 @query("snk_3_overwrite_days", sql("SELECT CAST(ts AS DATE) AS day, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' THEN sum(cents) ELSE count(*) END AS v FROM ev GROUP BY CAST(ts AS DATE)"))
@@ -191,13 +194,21 @@ def _(s, d):
 def _(s, d):
     req = D.ev(s, d).where("event_type = 'error' and k = 0").select("user_id", F.col("ts").alias("requested_at"))
     p = scratch(s)
-    K.overwrite_days(K.erase(D.ev(s, d).withColumn("day", F.to_date("ts")), req, datetime(2024, 1, 30), 48), p, "day")
+    e = D.ev(s, d).select("event_id", "user_id", "ts")
+    # days of their own for rows of erased users only: they end up empty
+    alone = e.join(req.where("requested_at <= timestamp'2024-01-28 00:00:00'").select("user_id").distinct(), "user_id", "left_semi")
+    alone = alone.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") - 90 * 86_400_000_000)).select(*e.columns)
+    K.overwrite_days(e.unionByName(alone).withColumn("day", F.to_date("ts")), p, "day")
+    K.erase_table(s, p, "day", req, datetime(2024, 1, 30), 48)
     return s.read.parquet(p).select("event_id", "user_id")
 
 
 @query("snk_9_retention", sql("SELECT event_id FROM ev WHERE CAST(ts AS DATE) >= DATE '2024-01-20'"))
 def _(s, d):
-    return K.expire(D.ev(s, d).withColumn("day", F.to_date("ts")), "day", datetime(2024, 1, 30), 10).select("event_id")
+    p = scratch(s)
+    K.overwrite_days(D.ev(s, d).select("event_id", F.to_date("ts").alias("day")), p, "day")
+    K.expire_table(s, p, "day", datetime(2024, 1, 30), 10)
+    return s.read.parquet(p).select("event_id")
 
 
 @query("str_5_touched_days", sql("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM deliveries WHERE received_at <= TIMESTAMP '2024-01-20' AND CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM deliveries WHERE received_at <= TIMESTAMP '2024-01-20' AND received_at >= TIMESTAMP '2024-01-17') GROUP BY 1"))

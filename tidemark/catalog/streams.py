@@ -17,8 +17,6 @@ from tidemark.sources import driver_tables as D
 from tidemark.streaming import jobs as J
 
 END = datetime(2024, 6, 1)
-# files of one slice may be read in any order: rows may lag by a slice
-SLICE = "13 days"
 
 
 def run(s, d, stream, sink, mode="append"):
@@ -35,7 +33,7 @@ def replay(s, df, order, files=3):
     for i in range(files):
         lo, hi = 1643 + i, 1644 + i
         part = base.where((F.col("_slice") >= (lo if i else -10_000)) & (F.col("_slice") < (hi if i < files - 1 else 10_000_000)))
-        part.drop("_slice").write.mode("append").parquet(p)
+        part.drop("_slice").repartition(per_batch).write.mode("append").parquet(p)  # one micro-batch a slice
     return s.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(p)
 
 
@@ -48,42 +46,40 @@ def _(s, d):
 
 
 def parked(s, d):
-    """Purchases wait for the click that carries their key; the last rows push the watermark past every deadline."""
+    """Purchases wait for a click that carries their key; every seventh arrives 24 days late, far behind the rest."""
     e = D.ev(s, d)
-    key = F.concat_ws(":", F.col("user_id").cast("string"), (F.col("k") % 10).cast("string"))
-    ev = e.where("event_type = 'purchase'").select("event_id", key.alias("dep_key"), F.col("ts").alias("received_at"))
-    first = e.where("event_type = 'click'").groupBy(key.alias("dep_key")).agg(F.min("ts").alias("partner_at"))
-    flush = s.range(1)
-    ev = ev.unionByName(flush.select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("flush").alias("dep_key"), F.lit(END).alias("received_at")))
-    first = first.unionByName(flush.select(F.lit("flush0").alias("dep_key"), F.lit(END).alias("partner_at")))
-    return J.park_and_join(replay(s, ev, "received_at"), replay(s, first, "partner_at"), "dep_key", "received_at", "partner_at", "3 days", "40 days", disorder=SLICE)
+    rows = e.where("event_type in ('purchase', 'click')").select(
+        F.when(F.col("event_type") == "purchase", "event").otherwise("partner").alias("side"),
+        F.concat_ws(":", F.col("user_id").cast("string"), (F.col("k") % 10).cast("string")).alias("dep_key"), "event_id", F.col("ts").alias("at"),
+        F.timestamp_micros(F.unix_micros("ts") + F.when((F.col("event_type") == "purchase") & (F.col("k") % 7 == 0), 24 * 86_400_000_000).otherwise(0)).alias("arrived"))
+    out = scratch(s)
+    run(s, d, replay(s, rows, "arrived").drop("arrived"), J.park(out, ["dep_key"], "event_id", 3 * 86_400, 5 * 86_400))
+    return J.settle(s, out)
 
 
-add("dep", "SELECT user_id || ':' || (k % 10) AS dep_key, min(ts) AS at2 FROM ev WHERE event_type = 'click' GROUP BY 1")
-add("parked", "SELECT p.event_id, CASE WHEN c.at2 <= p.ts + INTERVAL 3 DAY THEN 'resolved' ELSE 'degraded' END AS status FROM ev p LEFT JOIN dep c ON c.dep_key = p.user_id || ':' || (p.k % 10) WHERE p.event_type = 'purchase'")
+add("dep", "SELECT user_id || ':' || (k % 10) AS dep_key, ts AS at2 FROM ev WHERE event_type = 'click'")
+add("parked", "SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM dep WHERE dep_key = p.user_id || ':' || (p.k % 10) AND at2 BETWEEN p.ts - INTERVAL 5 DAY AND p.ts + INTERVAL 3 DAY) THEN 'resolved' ELSE 'degraded' END AS status FROM ev p WHERE event_type = 'purchase'")
 
 
 @query("str_2_park_and_join", sql("SELECT * FROM parked"))
 def _(s, d):
-    out = scratch(s)
-    run(s, d, parked(s, d), J.versions(out))
-    return s.read.parquet(out).where("event_id >= 0").select("event_id", "status")
+    return parked(s, d).select("event_id", "status")
 
 
 @query("str_3_deadline_split", sql("SELECT event_id, CASE WHEN status = 'degraded' THEN 'dead_letter' ELSE 'accepted' END AS output FROM parked"))
 def _(s, d):
     out = scratch(s)
-    run(s, d, parked(s, d), J.split_outputs(out, "status = 'degraded'"))
-    read = lambda n: s.read.parquet(f"{out}/{n}").where("event_id >= 0").select("event_id", F.lit(n).alias("output"))
+    J.split_outputs(out, "status = 'degraded'")(parked(s, d).select("event_id", "status"), 0)
+    read = lambda n: s.read.parquet(f"{out}/{n}").select("event_id", F.lit(n).alias("output"))
     return read("dead_letter").unionByName(read("accepted"))
 
 
-@query("str_4_first_write_wins", sql("SELECT event_id, user_id FROM ev"))
+@query("str_4_first_write_wins", sql("SELECT event_id, user_id, min(received_at) AS received_at FROM deliveries GROUP BY 1, 2"))
 def _(s, d):
     out = scratch(s)
     src = replay(s, D.deliveries(s, d).select("event_id", "user_id", "received_at"), "received_at")
-    run(s, d, src, J.first_write_wins(out, "event_id"))
-    return s.read.parquet(out).select("event_id", "user_id")
+    run(s, d, src, J.first_write_wins(out, "event_id", ["received_at"]))
+    return s.read.parquet(out).select("event_id", "user_id", "received_at")
 
 
 @query("str_6_monotone_refunds", sql("SELECT user_id, max(k) AS cumulative FROM ev WHERE event_type = 'error' GROUP BY 1"))
@@ -94,20 +90,26 @@ def _(s, d):
     return J.newest_version(s.read.parquet(out), ["user_id"])
 
 
-add("sla", "SELECT 'purchase_' || event_id AS event_id, ts, cents, k FROM ev WHERE event_type = 'purchase'")
+# half an hour steps after the purchase; k % 5 = 4: an early and a late score, and one dated before the purchase
+add("sla", "SELECT 'purchase_' || event_id AS event_id, cents, k, k % 8 <= 4 AND k % 5 < 3 AS one, k % 5 = 4 AND k % 8 <= 3 AS two FROM ev WHERE event_type = 'purchase'")
 
 
-@query("str_7_value_sla", sql("SELECT event_id, CASE WHEN k % 5 < 3 AND k % 8 <= 4 THEN 'predicted_profit_90d' ELSE 'cash_fallback' END AS basis, CASE WHEN k % 5 < 3 AND k % 8 <= 4 THEN greatest(floor((k - 40) / 4.0::DOUBLE * 100 + 0.5) / 100, 1) ELSE floor(cents / 100.0::DOUBLE * 100 + 0.5) / 100 END AS value FROM sla"))
+@query("str_7_value_sla", sql("SELECT event_id, CASE WHEN one OR two THEN 'predicted_profit_90d' ELSE 'cash_fallback' END AS basis, CASE WHEN one OR two THEN greatest(floor((k - 40) / 4.0::DOUBLE * 100 + 0.5) / 100, 1) ELSE floor(cents / 100.0::DOUBLE * 100 + 0.5) / 100 END AS value FROM sla"))
 def _(s, d):
     out = scratch(s)
     p = D.purchase(s, d)
-    score = p.where("k % 5 < 3").select(F.col("event_id").alias("score_event_id"), F.timestamp_micros(F.unix_micros("occurred_at") + (F.col("k") % 8).cast("bigint") * 1_800_000_000).alias("scored_at"), ((F.col("k") - 40) / 4).alias("predicted_profit"))
-    buy = p.select("event_id", "occurred_at", (F.col("cash_minor") / 100).alias("cash_value"))
-    flush = s.range(1)
-    buy = buy.unionByName(flush.select(F.lit("flush").alias("event_id"), F.lit(END).alias("occurred_at"), F.lit(0.0).alias("cash_value")))
-    score = score.unionByName(flush.select(F.lit("flush0").alias("score_event_id"), F.lit(END).alias("scored_at"), F.lit(0.0).alias("predicted_profit")))
-    run(s, d, J.value_with_sla(replay(s, buy, "occurred_at"), replay(s, score, "scored_at"), "2 hours", 1.0, SLICE), J.versions(out))
-    return s.read.parquet(out).where("event_id <> 'flush'").select("event_id", "basis", "value")
+    none = F.lit(None).cast("double")
+    buy = p.select(F.lit("event").alias("side"), "event_id", "user_id", F.col("occurred_at").alias("at"), (F.col("cash_minor") / 100).alias("cash_value"), none.alias("predicted_profit"))
+    # (rows it exists for, half hours after the purchase, added to the score)
+    profit = (F.col("k") - 40) / 4
+    kinds = (("k % 5 < 3", F.col("k") % 8, 0.0), ("k % 5 = 4", F.col("k") % 8 + 1, 0.0), ("k % 5 = 4", F.col("k") % 8 + 2, 50.0), ("k % 5 = 4", F.lit(-1), 70.0))
+    for test, steps, more in kinds:
+        score = p.where(test).select(F.lit("partner").alias("side"), "event_id", "user_id", F.timestamp_micros(F.unix_micros("occurred_at") + steps.cast("bigint") * 1_800_000_000).alias("at"), none.alias("cash_value"), (profit + more).alias("predicted_profit"))
+        buy = buy.unionByName(score)
+    # another user's score of the same purchase serves nobody
+    other = p.where("k % 5 = 3").select(F.lit("partner").alias("side"), "event_id", (F.col("user_id") + 1).alias("user_id"), F.col("occurred_at").alias("at"), none.alias("cash_value"), profit.alias("predicted_profit"))
+    run(s, d, replay(s, buy.unionByName(other), "at"), J.park(out, ["event_id", "user_id"], "event_id", 2 * 3600, 0))
+    return J.sla_value(J.settle(s, out), 1.0)
 
 
 @query("str_8_held_queue", sql("""SELECT event_id, platform, CASE WHEN skip IS NOT NULL THEN 'skipped' WHEN fix AND platform <> 'meta' THEN 'held' ELSE 'pending' END AS status FROM (SELECT *, CASE WHEN platform <> 'meta' AND platform <> 'google_ads' THEN 'platform_disabled' WHEN NOT send THEN 'no'
@@ -134,9 +136,11 @@ def _(s, d):
 
 @query("str_10_retention", sql("SELECT event_id FROM ev WHERE CAST(ts AS DATE) >= DATE '2024-01-15' AND user_id % 10 <> 3"))
 def _(s, d):
-    out = scratch(s)
+    out, table = scratch(s), scratch(s)
     src = replay(s, D.ev(s, d).select("event_id", "user_id", "ts"), "ts")
     run(s, d, src, J.versions(out))
-    x = s.read.parquet(out).withColumn("day", F.to_date("ts"))
+    K.overwrite_days(s.read.parquet(out).drop("batch_id").withColumn("day", F.to_date("ts")), table, "day")
     gone = D.ev(s, d).where("user_id % 10 = 3").select("user_id", F.lit(datetime(2024, 1, 1)).alias("requested_at"))
-    return K.expire(K.erase(x, gone, datetime(2024, 1, 30), 24), "day", datetime(2024, 1, 30), 15).select("event_id")
+    K.erase_table(s, table, "day", gone, datetime(2024, 1, 30), 24)
+    K.expire_table(s, table, "day", datetime(2024, 1, 30), 15)
+    return s.read.parquet(table).select("event_id")

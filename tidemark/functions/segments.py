@@ -107,7 +107,7 @@ FALLBACK_ID_PATTERN = "^[A-Za-z]+_[0-9]+_.+_[0-9]{13}$"
 def parse_dedup_id(c: str) -> tuple[Column, Column]:
     """(kind, reference) of a browser-side dedup id; unstable fallback ids carry no reference."""
     s = F.col(c)
-    event, order = F.substring(s, 10, 100_000), F.substring(s, 5, 100_000)
+    event, order = F.expr(f"substring({c}, 10)"), F.expr(f"substring({c}, 5)")
     is_ref = lambda x: x.rlike(INVOICE_ID_PATTERN) | x.rlike(SESSION_ID_PATTERN)
     kind = (
         F.when(s.startswith("reg_") & (F.length(s) > 4), "signup")

@@ -92,6 +92,27 @@ def to_ranges(df: DataFrame, keys: Sequence[str], start: str, end_name: str) ->
     return df.withColumn(end_name, F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
 
 
+def overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], block_days: int = 31) -> DataFrame:
+    """All pairs of overlapping half-open date ranges (an open end is NULL), as an equality join on blocks of days.
+
+    Each range is filed under the blocks it touches, open ends up to the last start of either side, and a pair counts in the first
+    block it shares. Empty ranges overlap nothing.
+    """
+    last = max((x for x in (left.agg(F.max(a[0])).first()[0], right.agg(F.max(b[0])).first()[0]) if x is not None), default=None)
+    block = lambda d: F.floor(F.unix_date(d) / block_days).cast("int")
+
+    def filed(df: DataFrame, ends: tuple[str, str], name: str) -> DataFrame:
+        start, end = F.col(ends[0]), F.col(ends[1])
+        final = F.least(F.coalesce(F.date_sub(end, 1), F.lit(last)), F.lit(last))
+        real = df.where(end.isNull() | (start < end))
+        return real.withColumn(name, F.explode(F.sequence(block(start), F.greatest(block(start), block(final)))))
+
+    x, y = filed(left, a, "_lb"), filed(right, b, "_rb")
+    meet = (F.col(b[1]).isNull() | (F.col(a[0]) < F.col(b[1]))) & (F.col(a[1]).isNull() | (F.col(b[0]) < F.col(a[1])))
+    first = F.col("_lb") == block(F.greatest(F.col(a[0]), F.col(b[0])))
+    return x.join(y, F.col("_lb") == F.col("_rb")).where(meet & first).drop("_lb", "_rb")
+
+
 def valid_on(day: Column, start: Column, end: Column) -> Column:
     """Half-open validity test; an open end is valid for ever."""
     return (start <= day) & (end.isNull() | (day < end))
@@ -127,14 +148,16 @@ def entity_diff(before: DataFrame, after: DataFrame, key: str, fields: str) -> D
     )
 
 
-def global_rank(df: DataFrame, score: str, descending: bool = False, blocks: int = 256) -> DataFrame:
+def global_rank(df: DataFrame, score: str, descending: bool = False, block_rows: int = 200_000) -> DataFrame:
     """Rank over the whole table without a one-task window.
 
     Equal scores are counted first, the distinct scores are cut into blocks at
-    approximate quantiles, and the block totals (at most ``blocks`` rows) are
+    approximate quantiles into blocks of about ``block_rows``, and the block totals are
     accumulated. Adds ``rank_min`` (1-based), ``ties`` and ``total``.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("ties"))
+    distinct = df.agg(F.approx_count_distinct(score)).first()[0]
+    blocks = max(16, -(-distinct // block_rows))
     step = max(2, int(blocks**0.5))
     cuts = counts.agg(F.percentile_approx(score, [i / blocks for i in range(1, blocks)], 10_000).alias("c")).scalar()
     placed = counts.withColumn("_cuts", cuts)

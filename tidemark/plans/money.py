@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import REFERENCE_ROWS, anti, keep_first, key_map, link, to_ranges, valid_on
+from tidemark.operators.rows import anti, bounded, keep_first, key_map, link, overlaps, to_ranges, valid_on
 from tidemark.operators.running import Agg, latest, running
 from tidemark.params import Params
 from tidemark.sinks.tables import stage
@@ -20,11 +20,10 @@ BUSINESS_TIERS = ("team", "business")
 
 def fx_ranges(rates: DataFrame, units: DataFrame, reporting: str) -> DataFrame:
     """Validity ranges of each currency in the reporting currency, with its minor-unit digits."""
-    small = rates.limit(REFERENCE_ROWS + 1).count() <= REFERENCE_ROWS
     dated = rates.select(F.upper("currency").alias("currency"), F.col("rate_date").alias("valid_from"), F.col("usd_per_unit").cast("double").alias("usd"))
     ranges = to_ranges(dated, ["currency"], "valid_from", "valid_to").withColumn("end", F.coalesce("valid_to", F.lit(OPEN_END).cast("date")))
     base = ranges.where(F.col("currency") == reporting).select(F.col("valid_from").alias("bf"), F.col("end").alias("be"), F.col("usd").alias("bu"))
-    cut = ranges.join(F.broadcast(base) if small else base, (F.col("bf") < F.col("end")) & (F.col("valid_from") < F.col("be")))
+    cut = overlaps(ranges, base, ("valid_from", "end"), ("bf", "be"))
     digits = units.select(F.upper("currency").alias("currency"), "minor_unit_digits")
     out = cut.join(digits, "currency", "left").select(
         "currency", F.lit(reporting).alias("reporting_currency"), F.greatest("valid_from", "bf").alias("valid_from"),
@@ -32,7 +31,7 @@ def fx_ranges(rates: DataFrame, units: DataFrame, reporting: str) -> DataFrame:
         F.coalesce("minor_unit_digits", F.lit(2)).cast("int").alias("minor_unit_digits"), F.col("minor_unit_digits").isNotNull().alias("minor_unit_digits_known"),
     )
     # the hint travels with the table: every later lookup joins it without a shuffle
-    return F.broadcast(out) if small else out
+    return bounded(out)
 
 
 def value_at(df: DataFrame, fx: DataFrame, ts: str) -> DataFrame:

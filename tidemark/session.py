@@ -42,11 +42,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without one
-    (tests, local mode) gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; only a local session without one (tests) gets a temporary
+    folder, since the executors of a cluster would each write to their own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.environ.get("TIDEMARK_LOCAL_CHECKPOINTS") or tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.rows import keep_first
+from tidemark.session import checkpoint_folder
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -34,10 +36,10 @@ def write_layer(df: DataFrame, folder: str, layer: str, name: str) -> str:
 
 
 def write_mart(df: DataFrame, path: str, ts: str, cluster: Sequence[str], day: str = "day", files_per_day: int = 1) -> None:
-    """Day-partitioned, clustered table; a day is spread over ``files_per_day`` tasks by the cluster columns."""
+    """Full refresh of a day-partitioned, clustered table (days that are no longer there go); a day is spread over ``files_per_day`` tasks by the cluster columns."""
     out = df.withColumn(day, F.to_date(F.col(ts)))
     salt = F.pmod(F.hash(*cluster), F.lit(files_per_day))
-    out.repartition(F.col(day), salt).sortWithinPartitions(day, *cluster).write.mode("overwrite").partitionBy(day).parquet(path)
+    out.repartition(F.col(day), salt).sortWithinPartitions(day, *cluster).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(day).parquet(path)
 
 
 def overwrite_days(df: DataFrame, path: str, day: str) -> None:
@@ -45,17 +47,21 @@ def overwrite_days(df: DataFrame, path: str, day: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def append_new(log_path: str, df: DataFrame, keys: Sequence[str]) -> int:
-    """Append rows whose keys are not logged yet; running it again adds nothing."""
+def append_new(log_path: str, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> int:
+    """Append rows whose keys are not logged yet; running it again adds nothing.
+
+    Of several rows with one key the first by ``order`` (by default: all columns) is taken.
+    """
     spark = df.sparkSession
+    firsts = keep_first(df, list(keys), [F.col(c) for c in (order or df.columns)])
     try:
         log = spark.read.parquet(log_path)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        new = df.dropDuplicates(list(keys))
+        new = firsts
     else:
-        new = df.dropDuplicates(list(keys)).join(log.select(*keys), list(keys), "left_anti")
+        new = firsts.join(log.select(*keys), list(keys), "left_anti")
     # the rows read depend on the table being written: fix them before appending
     fixed = stage(new)
     count = fixed.count()
@@ -118,3 +124,40 @@ def erase(df: DataFrame, requests: DataFrame, now: datetime, older_than_hours: i
 def expire(df: DataFrame, day: str, today: datetime, days: int) -> DataFrame:
     """Rows of the days kept by the retention rule (a filter on the partition column)."""
     return df.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), days))
+
+
+def drop_days(spark: SparkSession, path: str, day: str, values: Sequence[date]) -> None:
+    """Delete whole partitions of a day-partitioned table."""
+    for value in values:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={value.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def erase_table(spark: SparkSession, path: str, day: str, requests: DataFrame, now: datetime, older_than_hours: int) -> list[date]:
+    """Erase the settled requests from a day-partitioned table in place; returns the days that were touched.
+
+    Only days that hold rows to erase are rewritten: what stays is written aside first, then replaces the days, and days
+    that end up empty are deleted. Running it again, also after a failure half-way, ends in the same table.
+    """
+    table = spark.read.parquet(path)
+    keep = erase(table, requests, now, older_than_hours)
+    due = requests.where(F.unix_micros("requested_at") <= F.unix_micros(F.lit(now)) - older_than_hours * 3_600_000_000)
+    touched = [r[0] for r in table.join(due.select("user_id").distinct(), "user_id", "left_semi").select(day).distinct().collect()]  # one row per day
+    if touched:
+        aside = f"{checkpoint_folder(spark)}/aside/{uuid.uuid4().hex}"
+        keep.where(F.col(day).isin(touched)).write.parquet(aside)
+        rest = spark.read.parquet(aside)
+        left = {r[0] for r in rest.select(day).distinct().collect()}
+        overwrite_days(rest, path, day)
+        drop_days(spark, path, day, [x for x in touched if x not in left])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(aside)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched
+
+
+def expire_table(spark: SparkSession, path: str, day: str, today: datetime, days: int) -> list[date]:
+    """Delete the partitions the retention rule no longer keeps; returns their days."""
+    first = today.date() - timedelta(days=days)
+    gone = [r[0] for r in spark.read.parquet(path).select(day).distinct().collect() if r[0] is not None and r[0] < first]  # one row per day
+    drop_days(spark, path, day, gone)
+    return gone

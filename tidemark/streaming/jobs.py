@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.operators.rows import keep_first
 
 
 def dedup(stream: DataFrame, key: str, received: str, remember: str = "35 days") -> DataFrame:
@@ -15,21 +17,75 @@ def dedup(stream: DataFrame, key: str, received: str, remember: str = "35 days")
     return stream.withWatermark(received, remember).dropDuplicatesWithinWatermark([key])
 
 
-def park_and_join(events: DataFrame, partners: DataFrame, key: str, received: str, partner_received: str, max_park: str, look_back: str, salts: int = 8, disorder: str = "1 hour") -> DataFrame:
-    """Out-of-order join: an event waits for its partner up to a fixed deadline, then leaves as degraded.
+def park(folder: str, keys: Sequence[str], event_id: str, max_park_s: int, look_back_s: int, disorder_s: int = 3600) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that holds each event until its partner or its deadline, and loses none.
 
-    A left outer stream-stream join with watermarks holds the parked rows in state; the deadline is the
-    event's own time plus ``max_park`` and never slides. Events of a key are spread over ``salts`` state
-    partitions and its (few) partner rows are repeated for each, so a hot key is not one state store entry list.
-    ``disorder`` is how far arrival may lag behind event order before a row counts as late.
+    The stream carries both sides: ``side`` ('event' or 'partner'), the join ``keys``, ``event_id``, ``at`` and payload
+    columns. A waiting event is resolved by the earliest partner of its keys within [at - look back, at + park]; other partners
+    of the key do not hide it. Once the largest time seen has passed the deadline by ``disorder_s`` it leaves as
+    degraded; until then it is parked. Nothing is dropped as late: an event that arrives after its deadline is joined with the stored
+    partners like any other and leaves in the same batch.
+
+    Every batch owns one partition of each table (partners, parked, clock, out), so a replayed batch changes nothing.
+    Only partners that can still serve a waiting event are read.
     """
-    left = events.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in events.columns]), F.lit(salts)).cast("int")).withWatermark(received, disorder)
-    p = partners.withWatermark(partner_received, disorder).dropDuplicatesWithinWatermark([key])
-    keep = [c for c in partners.columns if c != key]
-    right = p.select(F.col(key).alias("_pk"), *keep, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ps"))
-    on = (F.col(key) == F.col("_pk")) & (F.col("_salt") == F.col("_ps")) & (F.col(partner_received) <= F.col(received) + F.expr(f"INTERVAL {max_park}")) & (F.col(partner_received) >= F.col(received) - F.expr(f"INTERVAL {look_back}"))
-    status = F.when(F.col("_pk").isNotNull(), "resolved").otherwise("degraded")
-    return left.join(right, on, "left_outer").withColumn("status", status).drop("_salt", "_ps", "_pk")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+
+        def put(df: DataFrame, name: str) -> None:
+            df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
+
+        def earlier(name: str, schema) -> DataFrame | None:
+            try:
+                return spark.read.schema(schema).parquet(f"{folder}/{name}")
+            except Exception as error:
+                if "PATH_NOT_FOUND" not in str(error):
+                    raise
+                return None
+
+        rows = batch.persist()
+        stored = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
+        put(rows.where("side = 'partner'"), "partners")
+        clock_schema = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("batch_id", T.LongType())])
+        clocks = earlier("clock", clock_schema)
+        seen = rows.agg(F.max("at").alias("at"))
+        if clocks is not None:
+            seen = seen.unionByName(clocks.where(F.col("batch_id") < batch_id).select("at")).agg(F.max("at").alias("at"))
+        clock = seen.first()["at"]
+        waiting = rows.where("side = 'event'")
+        held = earlier("parked", stored)
+        if held is not None:
+            waiting = waiting.unionByName(held.where(F.col("batch_id") == batch_id - 1).drop("batch_id"))
+        waiting = waiting.dropDuplicates([event_id]).persist()
+        oldest = waiting.agg(F.min("at")).first()[0]
+        payload = [c for c in batch.columns if c not in (*keys, event_id, "side", "at")]
+        partners = earlier("partners", stored).where(F.col("batch_id") <= batch_id)
+        if oldest is not None:
+            partners = partners.where(F.unix_micros("at") >= F.unix_micros(F.lit(oldest)) - look_back_s * 1_000_000)
+        p = partners.select(*keys, F.struct(F.col("at").alias("partner_at"), *payload).alias("partner"))
+        gap = F.unix_micros("partner.partner_at") - F.unix_micros("at")
+        near = (gap <= max_park_s * 1_000_000) & (gap >= -look_back_s * 1_000_000)
+        hits = waiting.select(*keys, event_id, "at").join(p, list(keys)).where(near).groupBy(event_id).agg(F.min("partner").alias("partner"))
+        known = waiting.join(hits, event_id, "left")
+        over = F.unix_micros("at") + (max_park_s + disorder_s) * 1_000_000 < F.unix_micros(F.lit(clock))
+        status = F.when(F.col("partner").isNotNull(), "resolved").when(over, "degraded")
+        decided = known.withColumn("status", status).persist()
+        put(decided.where("status is not null").drop("side"), "out")
+        put(decided.where("status is null").select(*batch.columns), "parked")
+        put(spark.createDataFrame([(clock,)], "at timestamp"), "clock")
+        for x in (decided, waiting, rows):
+            x.unpersist()
+
+    return write
+
+
+def settle(spark: SparkSession, folder: str) -> DataFrame:
+    """All decided events; those still parked count as degraded, for a stream that has ended."""
+    out = spark.read.parquet(f"{folder}/out").drop("batch_id")
+    held = spark.read.parquet(f"{folder}/parked")
+    last = held.where(F.col("batch_id") == (spark.read.parquet(f"{folder}/clock").agg(F.max("batch_id")).first()[0]))
+    return out.unionByName(last.drop("batch_id", "side").withColumn("status", F.lit("degraded")), allowMissingColumns=True)
 
 
 def split_outputs(folder: str, bad: str) -> Callable[[DataFrame, int], None]:
@@ -47,12 +103,12 @@ def split_outputs(folder: str, bad: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def first_write_wins(folder: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch ledger: a key is written once, by the first batch that brings it."""
+def first_write_wins(folder: str, key: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch ledger: a key is written once, by the first batch that brings it and the first row by ``order`` in it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
+        rows = keep_first(batch, [key], [F.col(c) for c in order])
         try:
             # rows of this very batch (a replay) do not count as earlier writes
             known = spark.read.parquet(folder).where(F.col("batch_id") < batch_id).select(key)
@@ -90,19 +146,15 @@ def latest_state(stream: DataFrame, key: str, order: Sequence[str], payload: Seq
     return stream.groupBy(key).agg(F.max(F.struct(*order, *payload)).alias("m")).select(key, *[F.col(f"m.{c}").alias(c) for c in (*order, *payload)])
 
 
-def value_with_sla(purchases: DataFrame, scores: DataFrame, sla: str, floor: float, disorder: str = "1 hour") -> DataFrame:
-    """Hold each purchase until its first score or the end of the SLA, then decide once.
+def sla_value(decided: DataFrame, floor: float) -> DataFrame:
+    """Value of parked purchases: the earliest score within the SLA, or the cash where none came in time.
 
-    ``purchases``: event_id, occurred_at, cash_value; ``scores``: score_event_id, scored_at, predicted_profit.
+    ``decided``: rows of ``settle`` with cash_value and partner.predicted_profit.
     """
-    s = scores.withWatermark("scored_at", disorder).dropDuplicatesWithinWatermark(["score_event_id"])
-    p = purchases.withWatermark("occurred_at", disorder)
-    on = (F.col("event_id") == F.col("score_event_id")) & (F.col("scored_at") >= F.col("occurred_at")) & (F.col("scored_at") <= F.col("occurred_at") + F.expr(f"INTERVAL {sla}"))
-    x = p.join(s, on, "left_outer")
-    scored = F.col("score_event_id").isNotNull()
+    scored = F.col("status") == "resolved"
     cents = lambda c: F.floor(c * 100 + 0.5) / 100
-    value = F.when(scored, F.greatest(cents(F.col("predicted_profit")), F.lit(floor))).otherwise(cents(F.col("cash_value")))
-    return x.select("event_id", "occurred_at", F.when(scored, "predicted_profit_90d").otherwise("cash_fallback").alias("basis"), value.alias("value"))
+    value = F.when(scored, F.greatest(cents(F.col("partner.predicted_profit")), F.lit(floor))).otherwise(cents(F.col("cash_value")))
+    return decided.select("event_id", F.when(scored, "predicted_profit_90d").otherwise("cash_fallback").alias("basis"), value.alias("value"))
 
 
 def touched_days(source: DataFrame, uploaded: str, day: str, now: datetime, lookback_days: int, max_late_days: int) -> DataFrame:
