@@ -115,10 +115,10 @@ def _(s, d):
     return K.against_truth(got, t, "user_id", ["cash_minor", "purchases"]).select("user_id", "column")
 
 
-@query("dq_13_web_fix_flag", sql("SELECT event_id, event_name, true AS expected FROM all_events WHERE occurred_at <= TIMESTAMP '2024-03-01' AND event_name = 'purchase_add_on'"))
+@query("dq_13_web_fix_flag", sql("SELECT event_id, event_name, event_name = 'purchase_add_on' AS expected FROM all_events WHERE event_name IN ('purchase_add_on', 'signup')"))
 def _(s, d):
     # the ledger was built with another mapping; one kind needs a fix only in this one
-    return K.mapping_flag(identity.conversion_ledger(s, d).where("event_name in ('purchase_first', 'purchase_add_on', 'purchase_upgrade')"), D.seed_from(s, MAP, MAP_DDL)).select("event_id", "event_name", "expected")
+    return K.mapping_flag(identity.conversion_ledger(s, d), D.seed_from(s, MAP, MAP_DDL)).select("event_id", "event_name", "expected")
 
 
 @query("dq_14_vectors", sql("SELECT event_id, 'zone date' AS name FROM ev WHERE CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) <> CAST(ts AS DATE)"))
@@ -134,6 +134,6 @@ def _(s, d):
     return K.vectors(cases).select("event_id", "name")
 
 
-@query("dq_15_quarantine", sql("SELECT 'ledger_entry_without_user' AS issue, 'excluded' AS severity, count(*) AS records FROM ev WHERE k = 50 UNION ALL SELECT 'stripe_event_type_not_handled', 'flagged', count(*) FROM ev WHERE event_type = 'error'"))
+@query("dq_15_quarantine", sql(f"SELECT issue, severity, count(*) AS records FROM ({reconcile.ISSUES}) GROUP BY 1, 2"))
 def _(s, d):
-    return K.quarantine_counts(reconcile.issues(s, d)).where("issue in ('ledger_entry_without_user', 'stripe_event_type_not_handled')")
+    return K.quarantine_counts(reconcile.issues(s, d))

@@ -79,13 +79,13 @@ def _(s, d):
 
 
 @query("dsp_4_restated_value", sql("""SELECT a.event_id, CASE WHEN a.c < max(a.c) OVER (PARTITION BY a.charge) THEN 'superseded_by_later_refund' ELSE 'pending' END AS status, CASE WHEN NOT a.c < max(a.c) OVER (PARTITION BY a.charge) THEN floor(coalesce(CASE WHEN p.k % 2 = 0 THEN (p.k + 1)::DOUBLE END, p.cash_minor / power(10, 2)) * greatest(p.cash_minor - a.c, 0) / p.cash_minor * 100 + 0.5) / 100 END AS restated_value,
-    greatest(p.cash_minor - a.c, 0) = 0 AS full_refund FROM (SELECT event_id || '_' || i AS event_id, event_id AS pid, event_id AS charge, cash_minor * i // 3 AS c FROM purchase, range(1, 4) r(i) WHERE cash_minor > 0 AND k % 3 = 0) a JOIN purchase p ON p.event_id = a.pid"""))
+    greatest(p.cash_minor - a.c, 0) = 0 AS full_refund FROM (SELECT event_id || '_' || i AS event_id, event_id AS pid, event_id AS charge, cash_minor * i // 3 AS c FROM purchase, range(1, 4) r(i) WHERE cash_minor > 0) a JOIN purchase p ON p.event_id = a.pid"""))
 def _(s, d):
     p = D.purchase(s, d).where("cash_minor > 0")
     i = F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])).alias("i")
-    adj = p.where("k % 3 = 0").select("*", i).select(F.concat_ws("_", "event_id", F.col("i").cast("string")).alias("event_id"), F.lit("refund").alias("event_name"), F.col("event_id").alias("adjusts_event_id"), F.col("event_id").alias("charge_id"),
+    adj = p.select("*", i).select(F.concat_ws("_", "event_id", F.col("i").cast("string")).alias("event_id"), F.lit("refund").alias("event_name"), F.col("event_id").alias("adjusts_event_id"), F.col("event_id").alias("charge_id"),
                                                      F.expr("cash_minor * i div 3").alias("cumulative_minor"), F.lit(-1).cast("bigint").alias("cash_minor"))
-    sends = p.where("k % 3 = 0").select("event_id", F.lit("google_ads").alias("platform"), F.when(F.col("k") % 2 == 0, (F.col("k") + 1).cast("double")).alias("sent_value"), F.lit("USD").alias("sent_currency"))
+    sends = p.select("event_id", F.lit("google_ads").alias("platform"), F.when(F.col("k") % 2 == 0, (F.col("k") + 1).cast("double")).alias("sent_value"), F.lit("USD").alias("sent_currency"))
     return X.restate(adj, p.withColumn("digits", F.lit(2)), sends).select("event_id", "status", "restated_value", "full_refund")
 
 

@@ -215,7 +215,7 @@ WEB_FIX = [("purchase_first", "meta", True, True), ("purchase_first", "google_ad
 
 @shared
 def conversion_ledger(s, d):
-    ev = all_events(s, d).where(F.col("occurred_at") <= F.lit("2024-03-01").cast("timestamp"))
+    ev = all_events(s, d)
     fix = D.seed_from(s, WEB_FIX, "canonical_event string, platform string, send boolean, requires_web_fix boolean")
     return stage(L.conversion_ledger(ev, profile(s, d), I.device_timeline(D.device_events(s, d), "event_id"), D.click(s, d), D.utm(s, d), first_exposures(s, d), fix, Params(), D.CLICK_KEYS, D.UTM_KEYS, D.FLAGS))
 
@@ -225,7 +225,7 @@ add("all_events", """SELECT event_id, event_name, occurred_at, user_id, NULL AS
 LEDGER = sql("""SELECT e.event_id, coalesce(t.device_id, p.first_device_id) AS device_id, c.v AS gclid_value, u.v AS utm_source, x.arm AS image_arm,
     CASE e.event_name WHEN 'purchase_first' THEN 'google_ads,meta' WHEN 'signup' THEN 'tiktok' END AS web_fix_platforms, sha256(e.order_id) AS order_id_sha256, c.v IS NOT NULL AS has_google_click_id, u.v IS NOT NULL AS has_utm_source, p.is_qa_account,
     p.country_code IS NOT NULL AS consent_region_known
-    FROM (SELECT *, occurred_at + INTERVAL 300 SECOND AS until FROM all_events WHERE occurred_at <= TIMESTAMP '2024-03-01') e LEFT JOIN profile p ON p.user_id = e.user_id
+    FROM (SELECT *, occurred_at + INTERVAL 300 SECOND AS until FROM all_events) e LEFT JOIN profile p ON p.user_id = e.user_id
     ASOF LEFT JOIN timeline t ON t.user_id = e.user_id AND t.device_since <= e.until
     LEFT JOIN (SELECT * FROM (SELECT a.event_id, k.click_id_value AS v, row_number() OVER (PARTITION BY a.event_id ORDER BY k.source_priority, k.click_id_created_at DESC, k.click_id_value) AS n FROM all_events a JOIN click k ON k.user_id = a.user_id AND k.click_id_key = 'gclid'
         AND k.click_id_created_at <= a.occurred_at + INTERVAL 300 SECOND WHERE a.event_name NOT IN ('refund', 'chargeback')) WHERE n = 1) c ON c.event_id = e.event_id
@@ -243,7 +243,7 @@ def _(s, d):
 
 @query("prj_20_coverage_flags", sql("""SELECT e.event_name, count(*) AS events, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM click k WHERE k.user_id = e.user_id AND k.click_id_created_at <= e.occurred_at + INTERVAL 300 SECOND)) AS with_click,
     count(*) FILTER (WHERE EXISTS (SELECT 1 FROM click k WHERE k.user_id = e.user_id AND k.click_id_key = 'fbclid' AND k.click_id_created_at <= e.occurred_at + INTERVAL 300 SECOND)) AS fbc_buildable FROM all_events e
-    WHERE e.event_name NOT IN ('refund', 'chargeback') AND occurred_at <= TIMESTAMP '2024-03-01' GROUP BY 1"""))
+    WHERE e.event_name NOT IN ('refund', 'chargeback') GROUP BY 1"""))
 def _(s, d):
     x = conversion_ledger(s, d).where(~F.col("event_name").isin(*L.MONEY_OUT))
     return x.groupBy("event_name").agg(F.count(F.lit(1)).alias("events"), C.tally(F.col("has_any_click_id")).alias("with_click"), C.tally(F.col("meta_fbc_buildable")).alias("fbc_buildable"))

@@ -137,11 +137,14 @@ def issues(s, d):
     return stage(R.quarantine(ev, lines, D.plan_catalog(s, d), MO.purchases(s, d), MO.adjustments(s, d), orphans, D.invoice(s, d).select("user_id"), accounts))
 
 
-@query("job_20_quarantine", sql("""SELECT issue, severity, count(*) AS n, coalesce(sum(diff), 0) AS ledger_difference_minor FROM (SELECT 'stripe_event_type_not_handled' AS issue, 'flagged' AS severity, 0 AS diff FROM ev WHERE event_type = 'error'
+ISSUES = """SELECT 'stripe_event_type_not_handled' AS issue, 'flagged' AS severity, 0 AS diff FROM ev WHERE event_type = 'error'
     UNION ALL SELECT 'invoice_line_unknown_price', 'flagged', 0 FROM invoice_line WHERE price_id NOT IN (SELECT price_id FROM plan_catalog) UNION ALL SELECT 'purchase_unclassified', 'excluded', -cash FROM pur WHERE event_name IS NULL
     UNION ALL SELECT 'money_without_fx_rate', 'excluded', 0 FROM pur p WHERE NOT EXISTS (SELECT 1 FROM fx f WHERE f.currency = p.currency AND f.valid_from <= CAST(p.occurred_at AS DATE) AND (f.valid_to IS NULL OR CAST(p.occurred_at AS DATE) < f.valid_to))
     UNION ALL SELECT 'adjustment_not_linked_to_purchase', 'flagged', 0 FROM netted WHERE adjusts_event_id IS NULL
     UNION ALL SELECT 'dispute_' || CASE WHEN NOT lost THEN 'dispute_won_or_inquiry' WHEN ledger_cash = 0 THEN 'dispute_after_full_refund' ELSE 'chargeback' END, 'flagged', CASE WHEN lost AND ledger_cash <> cash THEN ledger_cash - cash ELSE 0 END FROM netted WHERE event_name = 'chargeback' AND (NOT lost OR ledger_cash = 0 OR ledger_cash <> cash)
-    UNION ALL SELECT 'ledger_entry_without_user', 'excluded', 0 FROM ev WHERE k = 50 UNION ALL SELECT DISTINCT ON (o_custkey) 'stripe_customer_not_an_app_user', 'flagged', 0 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0) GROUP BY 1, 2"""))
+    UNION ALL SELECT 'ledger_entry_without_user', 'excluded', 0 FROM ev WHERE k = 50 UNION ALL SELECT DISTINCT ON (o_custkey) 'stripe_customer_not_an_app_user', 'flagged', 0 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0"""
+
+
+@query("job_20_quarantine", sql(f"SELECT issue, severity, count(*) AS n, coalesce(sum(diff), 0) AS ledger_difference_minor FROM ({ISSUES}) GROUP BY 1, 2"))
 def _(s, d):
     return issues(s, d).groupBy("issue", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum("ledger_difference_minor").alias("ledger_difference_minor"))

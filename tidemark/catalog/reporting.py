@@ -44,9 +44,10 @@ def _(s, d):
     return T.purchase_value(V.served_values(purchase.scored(s, d), scores.P)).select("purchase_month", "acquisition_channel", "purchase_kind", "model_version", "purchases")
 
 
-@query("rpt_4_data_quality", sql("""SELECT CAST(ts AS DATE) AS day, 'stripe_event_type_not_handled' AS issue, 'flagged' AS severity, count(*) AS records FROM ev WHERE event_type = 'error' GROUP BY 1"""))
+@query("rpt_4_data_quality", sql("""SELECT CAST(ts AS DATE) AS day, 'stripe_event_type_not_handled' AS issue, 'flagged' AS severity, count(*) AS records FROM ev WHERE event_type = 'error' GROUP BY 1
+    UNION ALL SELECT CAST(ts AS DATE), 'ledger_entry_without_user', 'excluded', count(*) FROM ev WHERE k = 50 GROUP BY 1"""))
 def _(s, d):
-    i = reconcile.issues(s, d).where("issue = 'stripe_event_type_not_handled'")
+    i = reconcile.issues(s, d)
     x = i.join(D.ev(s, d).select(F.col("event_id").cast("string").alias("record_id"), F.to_date("ts").alias("seen_on")), "record_id")
     return T.data_quality(x, "seen_on").drop("ledger_difference_minor")
 

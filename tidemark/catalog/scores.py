@@ -207,9 +207,9 @@ def _(s, d):
     return x.select("user_id", "horizon_days", "predicted_profit", "model_version", C.json_str("features_snapshot", "segment").alias("snapshot_segment"), C.json_str("features_snapshot", "fit_id").alias("snapshot_fit"))
 
 
-@query("src_10_external_scores", sql("SELECT user_id, cf_fold + 1.5::DOUBLE AS predicted_profit, 'trained-1' AS model_version FROM feat WHERE cf_fold < 3"))
+@query("src_10_external_scores", sql("SELECT user_id, cf_fold + 1.5::DOUBLE AS predicted_profit, 'trained-1' AS model_version FROM feat"))
 def _(s, d):
-    f = features(s, d).where("cf_fold < 3").select("user_id", *[F.lit(0.5).alias(c) for c in ("predicted_revenue", "predicted_generation_cost", "predicted_fees", "predicted_refund_risk")], (F.col("cf_fold") + 1.5).alias("predicted_profit"), F.lit("trained-1").alias("model_version"))
+    f = features(s, d).select("user_id", *[F.lit(0.5).alias(c) for c in ("predicted_revenue", "predicted_generation_cost", "predicted_fees", "predicted_refund_risk")], (F.col("cf_fold") + 1.5).alias("predicted_profit"), F.lit("trained-1").alias("model_version"))
     return S.served_scores(scores(s, d), P, f).select("user_id", "predicted_profit", "model_version")
 
 

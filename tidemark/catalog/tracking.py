@@ -51,14 +51,14 @@ def _(s, d):
     return T.page_views(hits(s, d)).groupBy("journey_id", "step", "platform").agg(F.sum("views").alias("views"))
 
 
-add("routes", "SELECT DISTINCT user_id AS journey_id, day(ts) AS step, day(ts) = 1 AS hard, (user_id + day(ts)) % 4 <> 0 OR day(ts) = 1 AS clean FROM ev WHERE day(ts) <= 4")
+add("routes", "SELECT DISTINCT user_id AS journey_id, day(ts) AS step, day(ts) = 1 AS hard, (user_id + day(ts)) % 4 <> 0 OR day(ts) = 1 AS clean FROM ev")
 
 
 @query("trk_4_exactly_one", sql("""SELECT journey_id, platform, CASE WHEN ref = 0 OR cl = 0 THEN 'ERROR' WHEN wrong > 0 THEN 'FAIL' WHEN un > 0 THEN 'ERROR' ELSE 'PASS' END AS status FROM (SELECT r.journey_id, p.platform, coalesce(sum(v) FILTER (WHERE hard), 0) AS ref, count(*) FILTER (WHERE NOT hard AND clean) AS cl, count(*) FILTER (WHERE NOT hard AND NOT clean) AS un,
     count(*) FILTER (WHERE NOT hard AND clean AND coalesce(v, 0) <> 1) AS wrong FROM routes r CROSS JOIN (VALUES ('google_ads'), ('meta')) p(platform) LEFT JOIN (SELECT journey_id, step, platform, count(*) AS v FROM pv GROUP BY 1, 2, 3) c ON c.journey_id = r.journey_id AND c.step = r.step AND c.platform = p.platform GROUP BY 1, 2)"""))
 def _(s, d):
     step = F.dayofmonth("ts")
-    r = D.ev(s, d).where(step <= 4).select(F.col("user_id").alias("journey_id"), step.alias("step")).distinct()
+    r = D.ev(s, d).select(F.col("user_id").alias("journey_id"), step.alias("step")).distinct()
     r = r.select("*", (F.col("step") == 1).alias("is_hard_load"), (((F.col("journey_id") + F.col("step")) % 4 != 0) | (F.col("step") == 1)).alias("clean"))
     return T.exactly_one(T.page_views(hits(s, d)), r, PLATFORMS).select("journey_id", "platform", "status")
 
