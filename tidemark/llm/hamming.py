@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +62,17 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     order = Window.partitionBy("q").orderBy("distance", "id")
     found, finished = None, []
     for radius in range(width + 1):
-        # all values of a segment at this distance, as one constant
-        flips = F.split(F.lit(",".join(str(sum(1 << b for b in bits)) for bits in combinations(range(width), radius))), ",").cast("array<bigint>")
-        probes = active.select("q", F.posexplode(F.array(*[segment(q, s, width) for s in range(segments)])).alias("seg", "own")).select("q", "seg", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("value"))
+        probes = active.select("q", F.posexplode(F.array(*[segment(q, s, width) for s in range(segments)])).alias("seg", "value")).withColumn("bit", F.lit(-1))
+        for _ in range(radius):  # flip one more bit, above the last one flipped
+            probes = probes.where(F.col("bit") < width - 1).select("q", "seg", "value", F.explode(F.sequence(F.col("bit") + 1, F.lit(width - 1))).alias("bit"))
+            probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
+        probes = probes.select("q", "seg", "value")
         distances = [segment_distance(q, code, s, width) for s in range(segments)]
         here = F.lit(True)
         for s, d in enumerate(distances):
             here = here & F.when(F.col("seg") > s, d > radius).otherwise(d >= radius)
-        met = probes.join(index, ["seg", "value"]).where(here).select("q", F.explode("ids").alias("id"), F.bit_count(q.bitwiseXOR(code)).alias("distance"))
+        # the probes are many more than the rows they are made from, so neither side may be broadcast by its estimate
+        met = probes.join(index.hint("merge"), ["seg", "value"]).where(here).select("q", F.explode("ids").alias("id"), F.bit_count(q.bitwiseXOR(code)).alias("distance"))
         if found is not None:
             met = met.unionAll(found)
         best = base.stage(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "distance"))
