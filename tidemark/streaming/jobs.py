@@ -80,6 +80,24 @@ def park(folder: str, keys: Sequence[str], event_id: str, max_park_s: int, look_
     return write
 
 
+def park_and_join(events: DataFrame, partners: DataFrame, key: str, received: str, partner_received: str, max_park: str, look_back: str, salts: int = 8, disorder: str = "1 hour") -> DataFrame:
+    """Out-of-order join: an event waits for its partner up to a fixed deadline, then leaves as degraded.
+
+    A left outer stream-stream join with watermarks holds the parked rows in state; the deadline is the
+    event's own time plus ``max_park`` and never slides. Events of a key are spread over ``salts`` state
+    partitions and its (few) partner rows are repeated for each, so a hot key is not one state store entry list.
+    ``disorder`` is how far arrival may lag behind event order: rows further behind are not seen by the join. Where
+    every row must get an answer, use ``park``.
+    """
+    left = events.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in events.columns]), F.lit(salts)).cast("int")).withWatermark(received, disorder)
+    p = partners.withWatermark(partner_received, disorder).dropDuplicatesWithinWatermark([key])
+    keep = [c for c in partners.columns if c != key]
+    right = p.select(F.col(key).alias("_pk"), *keep, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_ps"))
+    on = (F.col(key) == F.col("_pk")) & (F.col("_salt") == F.col("_ps")) & (F.col(partner_received) <= F.col(received) + F.expr(f"INTERVAL {max_park}")) & (F.col(partner_received) >= F.col(received) - F.expr(f"INTERVAL {look_back}"))
+    status = F.when(F.col("_pk").isNotNull(), "resolved").otherwise("degraded")
+    return left.join(right, on, "left_outer").withColumn("status", status).drop("_salt", "_ps", "_pk")
+
+
 def settle(spark: SparkSession, folder: str) -> DataFrame:
     """All decided events; those still parked count as degraded, for a stream that has ended."""
     out = spark.read.parquet(f"{folder}/out").drop("batch_id")
@@ -103,12 +121,13 @@ def split_outputs(folder: str, bad: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def first_write_wins(folder: str, key: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch ledger: a key is written once, by the first batch that brings it and the first row by ``order`` in it."""
+def first_write_wins(folder: str, key: str, order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """foreachBatch ledger: a key is written once, by the first batch that brings it and the first row by ``order``
+    (by default: all columns) in it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = keep_first(batch, [key], [F.col(c) for c in order])
+        rows = keep_first(batch, [key], [F.col(c) for c in (order or batch.columns)])
         try:
             # rows of this very batch (a replay) do not count as earlier writes
             known = spark.read.parquet(folder).where(F.col("batch_id") < batch_id).select(key)
