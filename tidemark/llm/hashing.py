@@ -6,7 +6,7 @@ import numpy as np
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Powers are kept for buffers of at least so many bytes.
-LEAST_POWERS = 1 << 21
+LEAST_POWERS = 1 << 20
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)

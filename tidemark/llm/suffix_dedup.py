@@ -17,10 +17,10 @@ from tidemark.llm.repeats import classes
 #: Bytes of the gram by which a string is filed; a string's anchor is its gram of least hash, the leftmost if several.
 GRAM = 24
 #: Bytes of text looked at together in one task.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 #: Text bytes whose anchors meet in one bucket; segment bytes that are sorted together.
 ANCHOR_BUCKET_BYTES = 32 << 20
-SEGMENT_BUCKET_BYTES = 2 << 20
+SEGMENT_BUCKET_BYTES = 1 << 20
 #: An anchor in more than this share of the sampled anchors is spread over its strings.
 HOT_SHARE = 1 / 20_000
 #: A known anchor with more different segments than this is spread over its strings as well.
