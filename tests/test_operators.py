@@ -125,3 +125,16 @@ def test_known_vectors(spark):
     assert row.sha == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
     assert (row.epoch, row.iso, row.la, row.j) == ("2023-11-14 22:13:20", "2024-02-29T23:59:59.123Z", "2023-12-31", "1")
     assert (row.not_bool, row.div, row.part) == (None, None, None)
+
+
+def test_quantiles_from_counts_equal_percentile(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", round(rng.gauss(0, 50))) for _ in range(3000)] + [("one", 5), ("two", 1), ("two", 2), ("none", None)] + [("tie", 7)] * 9
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in R.quantiles(df, ["k"], "v", {"lo": 0.025, "mid": 0.5, "hi": 0.9}, cuts=8).collect()}
+    plain = {r.k: (r.lo, r.mid, r.hi) for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.5).alias("mid"), F.percentile("v", 0.9).alias("hi")).collect()}
+    assert {k: [round(x, 9) for x in v] for k, v in got.items()} == {k: [round(x, 9) for x in v] for k, v in plain.items()}
+    weighed = df.groupBy("k", "v").count()
+    assert {r.k: r.mid for r in R.quantiles(weighed, ["k"], "v", {"mid": 0.5}, "count").collect()} == {k: v[1] for k, v in plain.items()}

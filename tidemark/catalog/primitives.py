@@ -555,7 +555,7 @@ def _(s, d):
 
 @query("agg_10_quantile", sql("SELECT event_type, quantile_cont(cents, 0.9) AS q90, quantile_cont(cents, 0.5) AS q50 FROM ev GROUP BY 1"))
 def _(s, d):
-    return D.ev(s, d).groupBy("event_type").agg(C.quantile("cents", 0.9).alias("q90"), C.quantile("cents", 0.5).alias("q50"))
+    return R.quantiles(D.ev(s, d), ["event_type"], "cents", {"q90": 0.9, "q50": 0.5})
 
 
 @query("agg_11_sufficient_statistics", sql("""SELECT event_type, count(*) AS n, sum(cents) AS s, sum(CAST(cents AS DOUBLE) * cents) AS q, sum(CAST(cents AS DOUBLE) * k) AS xy FROM ev GROUP BY 1"""))

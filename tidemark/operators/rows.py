@@ -178,6 +178,30 @@ def global_rank(df: DataFrame, score: str, descending: bool = False, block_rows:
     return df.join(ranks, F.col(score) == F.col("_score"), "left").drop("_score")
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float], weight: str | None = None, cuts: int = 64) -> DataFrame:
+    """Exact continuous quantiles per key from value counts, without gathering a key's values in one place.
+
+    Rows are counted per key and value (``weight``: counts made before), the values of a key are cut into blocks at approximate
+    quantiles, and ranks run inside blocks and over block totals, so a hot key is sorted by many tasks.
+    """
+    on = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*on, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
+    edges = counts.groupBy(*on).agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 1000).alias("_cuts"), F.sum("_n").alias("_total"))
+    placed = counts.join(edges, on).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = placed.groupBy(*on, "_block").agg(F.sum("_n").alias("_size"))
+    earlier = Window.partitionBy(*on).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*on, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*on, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_in", F.sum("_n").over(inside)).join(starts, [*on, "_block"]).withColumn("_end", F.col("_start") + F.col("_in"))
+    aggs = []
+    for name, q in named.items():
+        place = F.lit(q) * (F.col("_total") - 1)
+        at = lambda i: F.max(F.when((F.col("_end") - F.col("_n") <= i) & (i < F.col("_end")), F.col(value)))
+        aggs += [at(F.floor(place)).alias(f"_{name}_lo"), at(F.ceil(place)).alias(f"_{name}_hi"), F.max(place - F.floor(place)).alias(f"_{name}_f")]
+    found = ranked.groupBy(*on).agg(*aggs)
+    return found.select(*on, *[F.when(F.col(f"_{n}_f") == 0, F.col(f"_{n}_lo").cast("double")).otherwise((1 - F.col(f"_{n}_f")) * F.col(f"_{n}_lo") + F.col(f"_{n}_f") * F.col(f"_{n}_hi")).alias(n) for n in named])
+
+
 def top_fraction(df: DataFrame, score: str, numerator: int, denominator: int) -> DataFrame:
     """Rows at or above the k-th best score, k = ceil(n * p) in whole numbers, ties included."""
     ranked = global_rank(df, score, descending=True)

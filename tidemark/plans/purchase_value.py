@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.rows import quantiles
 from tidemark.operators.running import Agg, Facts, lookup_many, running
 from tidemark.params import Params, Z_BY_COVERAGE
 from tidemark.plans.identity import arm_facts, click_facts, utm_facts
@@ -131,7 +132,9 @@ def value_params(features: DataFrame, outcomes: DataFrame, usage: DataFrame, adj
     names = [c for c in x.columns if c not in cell]
     # every (fold, week) cell of the fits appears in some part; missing parts are empty sums
     f = into_fits(x, weeks, p).groupBy("fit_id").agg(*[F.sum(c).alias(c) for c in names])
-    q90 = into_fits(pk.select(*cell, future.alias("v")).where("v is not null"), weeks, p).groupBy("fit_id").agg(C.quantile("v", 0.9).alias("q90"))
+    # values are counted per cell first: only the counts are repeated per fit
+    counted = pk.select(*cell, future.alias("v")).where("v is not null").groupBy(*cell, "v").agg(F.count(F.lit(1)).alias("n"))
+    q90 = quantiles(into_fits(counted, weeks, p), ["fit_id"], "v", {"q90": 0.9}, "n")
     f = fits.join(f, "fit_id", "left").join(q90, "fit_id", "left")
     mean = C.safe_divide("bs", "bn")
     cv = F.when((F.coalesce("bn", F.lit(0)) >= 5) & (mean > 0), F.sqrt(C.sample_variance(F.col("bn"), F.col("bs"), F.col("bq"))) / mean).otherwise(p.prior_burn_cv)
