@@ -57,18 +57,18 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     entries = base.stage(rows.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= k).groupBy("code").agg(F.collect_list("id").alias("ids")))
     index = base.stage(entries.select("code", "ids", F.posexplode(F.array(*[segment(F.col("code"), s, width) for s in range(segments)])).alias("seg", "value")))
     asked = base.stage(queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct())
-    active = base.stage(asked.select("q").distinct())
+    active = base.stage(asked.select("q").distinct().withColumn("worst", F.lit(BITS)))  # the kth distance so far
     q, code = F.col("q"), F.col("code")
     order = Window.partitionBy("q").orderBy("distance", "id")
     found, finished = None, []
     for radius in range(width + 1):
-        probes = active.select("q", F.posexplode(F.array(*[segment(q, s, width) for s in range(segments)])).alias("seg", "value")).withColumn("bit", F.lit(-1))
+        probes = active.select("q", "worst", F.posexplode(F.array(*[segment(q, s, width) for s in range(segments)])).alias("seg", "value")).withColumn("bit", F.lit(-1))
         for _ in range(radius):  # flip one more bit, above the last one flipped
-            probes = probes.where(F.col("bit") < width - 1).select("q", "seg", "value", F.explode(F.sequence(F.col("bit") + 1, F.lit(width - 1))).alias("bit"))
+            probes = probes.where(F.col("bit") < width - 1).select("q", "worst", "seg", "value", F.explode(F.sequence(F.col("bit") + 1, F.lit(width - 1))).alias("bit"))
             probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, bit)")))
-        probes = probes.select("q", "seg", "value")
+        probes = probes.select("q", "worst", "seg", "value")
         distances = [segment_distance(q, code, s, width) for s in range(segments)]
-        here = F.lit(True)
+        here = F.bit_count(q.bitwiseXOR(code)) <= F.col("worst")  # what is farther than k others is not kept
         for s, d in enumerate(distances):
             here = here & F.when(F.col("seg") > s, d > radius).otherwise(d >= radius)
         # the probes are many more than the rows they are made from, so neither side may be broadcast by its estimate
@@ -77,14 +77,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
             met = met.unionAll(found)
         best = base.stage(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "distance"))
         covered = segments * (radius + 1) - 1
-        done = best.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("worst")).where((F.col("n") >= k) & (F.col("worst") <= covered)).select("q")
+        state = base.stage(best.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(BITS).alias("worst")))
+        done = state.where((F.col("worst") <= covered) & (F.col("worst") < BITS)).select("q") if covered < BITS else state.select("q")
         finished.append(best.join(done, "q", "left_semi"))
-        active = base.stage(active.join(done, "q", "left_anti"))
+        active = base.stage(active.select("q").join(done, "q", "left_anti").join(state, "q", "left").select("q", F.coalesce("worst", F.lit(BITS)).alias("worst")))
         found = best.join(active, "q", "left_semi")
         if not active.head(1):
             break
-    else:
-        finished.append(found)
     results = finished[0]
     for more in finished[1:]:
         results = results.unionAll(more)
