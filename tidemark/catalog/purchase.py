@@ -79,13 +79,33 @@ def _(s, d):
     return V.renewal_rates(feats(s, d), outs(s, d), fits, w, D.TIERS, P)
 
 
-@query("ml_14_value_params", sql("""SELECT f.fit_id, coalesce(k.packs, 0) AS packs, round((coalesce(k.future, 0) + 10.0::DOUBLE * 5) / (coalesce(k.ripe, 0) + 10.0::DOUBLE), 6) AS pack_future_revenue, round(CASE WHEN coalesce(k.ripe, 0) >= 10 THEN k.q90 ELSE 30 END, 6) AS pack_future_q90
-    FROM (SELECT DISTINCT fit_id FROM fits) f LEFT JOIN (SELECT c.fit_id, count(*) AS packs, count(*) FILTER (WHERE complete) AS ripe, sum((rev - own) / 100.0::DOUBLE) FILTER (WHERE complete) AS future, quantile_cont(CASE WHEN complete THEN (rev - own) / 100.0::DOUBLE END, 0.9) AS q90
-    FROM pout p JOIN fit_cells c ON c.cf_fold = p.cf_fold AND c.signup_week = p.signup_week WHERE purchase_kind = 'pack' GROUP BY 1) k USING (fit_id)"""))
+add("vpaid", """SELECT user_id, cf_fold, signup_week, least(CASE purchase_kind WHEN 'annual' THEN 12.0::DOUBLE ELSE 1.0::DOUBLE END, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(occurred_at)) / 1e6::DOUBLE / (30.4375::DOUBLE * 86400)) AS m,
+    4000 * list_position([""" + ", ".join(f"'{t}'" for t in D.TIERS) + """], plan_tier) AS plan_credits FROM pfeat WHERE event_name IN ('purchase_first', 'purchase_renewal') AND purchase_kind IN ('monthly', 'annual')""")
+add("vburn", """SELECT user_id, sum(CASE WHEN credit_field = 'subscription_monthly_credit' THEN credits ELSE 0 END) AS sub_c, sum(CASE WHEN credit_field = 'one_time_pack_credit' THEN credits ELSE 0 END) AS pack_c FROM usage WHERE NOT is_failed GROUP BY 1""")
+add("vuser", """SELECT u.cf_fold, u.signup_week, b.sub_c, CASE WHEN u.m >= 1 THEN b.sub_c / u.m END AS b FROM (SELECT user_id, cf_fold, signup_week, sum(m) AS m FROM vpaid GROUP BY 1, 2, 3) u LEFT JOIN vburn b USING (user_id)""")
+add("vparam", """SELECT f.fit_id, coalesce(m.months, 0) AS observed_months, (coalesce(a.addon, 0) + 50.0::DOUBLE * 1) / (coalesce(m.months, 0) + 50.0::DOUBLE) AS addon_per_month,
+    (coalesce(u.sub_credits, 0) + 40000.0::DOUBLE * 0.4::DOUBLE) / (coalesce(m.capacity, 0) + 40000.0::DOUBLE) AS plan_utilization,
+    CASE WHEN coalesce(u.bn, 0) >= 5 AND u.bs > 0 THEN sqrt(greatest((u.bq - u.bs * u.bs / u.bn) / (u.bn - 1), 0)) / (u.bs / u.bn) ELSE 0.6::DOUBLE END AS burn_cv, coalesce(k.packs, 0) AS packs,
+    (coalesce(w.pack_used, 0) + 40000.0::DOUBLE * 0.4::DOUBLE) / (coalesce(k.packs, 0) * 5000.0::DOUBLE + 40000.0::DOUBLE) AS pack_utilization, (coalesce(k.future, 0) + 10.0::DOUBLE * 5) / (coalesce(k.ripe, 0) + 10.0::DOUBLE) AS pack_future_revenue,
+    CASE WHEN coalesce(k.ripe, 0) >= 10 THEN k.q90 ELSE 30 END AS pack_future_q90, coalesce(g.chg, 0) AS observed_charges, (coalesce(g.rf, 0) + 200.0::DOUBLE * 0.02::DOUBLE) / (coalesce(g.chg, 0) + 200.0::DOUBLE) AS refund_rate,
+    (coalesce(g.cb, 0) + 200.0::DOUBLE * 0.005::DOUBLE) / (coalesce(g.chg, 0) + 200.0::DOUBLE) AS chargeback_rate
+    FROM (SELECT DISTINCT fit_id FROM fits) f
+    LEFT JOIN (SELECT c.fit_id, sum(m) AS months, sum(m * plan_credits) AS capacity FROM vpaid JOIN fit_cells c USING (cf_fold, signup_week) GROUP BY 1) m USING (fit_id)
+    LEFT JOIN (SELECT c.fit_id, sum(revenue_minor) / 100.0::DOUBLE AS addon FROM pfeat JOIN fit_cells c USING (cf_fold, signup_week) WHERE event_name IN ('purchase_add_on', 'purchase_upgrade') GROUP BY 1) a USING (fit_id)
+    LEFT JOIN (SELECT c.fit_id, sum(coalesce(sub_c, 0))::DOUBLE AS sub_credits, count(b) AS bn, sum(b) AS bs, sum(b * b) AS bq FROM vuser JOIN fit_cells c USING (cf_fold, signup_week) GROUP BY 1) u USING (fit_id)
+    LEFT JOIN (SELECT c.fit_id, count(*) AS packs, count(*) FILTER (WHERE complete) AS ripe, sum((rev - own) / 100.0::DOUBLE) FILTER (WHERE complete) AS future, quantile_cont(CASE WHEN complete THEN (rev - own) / 100.0::DOUBLE END, 0.9) AS q90
+        FROM pout p JOIN fit_cells c USING (cf_fold, signup_week) WHERE purchase_kind = 'pack' GROUP BY 1) k USING (fit_id)
+    LEFT JOIN (SELECT c.fit_id, sum(b.pack_c)::DOUBLE AS pack_used FROM (SELECT DISTINCT user_id, cf_fold, signup_week FROM pfeat WHERE purchase_kind = 'pack') x JOIN vburn b USING (user_id) JOIN fit_cells c USING (cf_fold, signup_week) GROUP BY 1) w USING (fit_id)
+    LEFT JOIN (SELECT c.fit_id, count(*) AS chg, sum(coalesce(j.rf, 0)) AS rf, sum(coalesce(j.cb, 0)) AS cb FROM pfeat p LEFT JOIN (SELECT adjusts_event_id AS event_id, count(*) FILTER (WHERE event_name = 'refund') AS rf, count(*) FILTER (WHERE event_name = 'chargeback') AS cb FROM adjustment GROUP BY 1) j USING (event_id)
+        JOIN fit_cells c USING (cf_fold, signup_week) WHERE p.occurred_at + INTERVAL 30 DAY <= TIMESTAMP '2024-01-31' GROUP BY 1) g USING (fit_id)""")
+VALUE_PARAMS = ("observed_months", "addon_per_month", "plan_utilization", "burn_cv", "packs", "pack_utilization", "pack_future_revenue", "pack_future_q90", "observed_charges", "refund_rate", "chargeback_rate")
+
+
+@query("ml_14_value_params", sql("SELECT fit_id, " + ", ".join(n if n in ("packs", "observed_charges") else f"round({n}, 6) AS {n}" for n in VALUE_PARAMS) + " FROM vparam"))
 def _(s, d):
     fits, w = _fits(s, d)
     x = V.value_params(feats(s, d), outs(s, d), usage(s, d), D.adjustment(s, d), fits, w, PACK_CREDITS, P)
-    return x.select("fit_id", "packs", F.round("pack_future_revenue", 6).alias("pack_future_revenue"), F.round("pack_future_q90", 6).alias("pack_future_q90"))
+    return x.select("fit_id", *[F.col(n) if n in ("packs", "observed_charges") else F.round(n, 6).alias(n) for n in VALUE_PARAMS])
 
 
 @shared
