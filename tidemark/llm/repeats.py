@@ -34,8 +34,8 @@ def suffix_order(symbol: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.n
             break
         some = order[at]
         further = np.where(left[some] >= step, rank[np.minimum(some + step, n - 1)] + 1, 0)
-        group = rank[some]
-        sorting = np.lexsort((some, further, group))
+        group = rank[some]  # rising; a stable sort leaves ties in the order of their places
+        sorting = np.argsort(group * (n + 1) + further, kind="stable")
         some, further, group = some[sorting], further[sorting], group[sorting]
         order[at] = some
         new = np.ones(len(at), bool)
