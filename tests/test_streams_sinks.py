@@ -128,3 +128,12 @@ def test_no_local_folder_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         checkpoint_folder(Cluster)
+
+
+def test_a_load_with_wrong_counts_fails(spark):
+    from tidemark.sources import readers
+
+    frames = {"a": spark.range(3), "b": spark.range(2)}
+    readers.require_counts(frames, {"a": 3, "b": 2})
+    with pytest.raises(ValueError, match="b 2 instead of 5"):
+        readers.require_counts(frames, {"a": 3, "b": 5})

@@ -10,10 +10,12 @@ from tidemark.catalog import experiment, identity, purchase, reconcile, scores
 from tidemark.catalog.cte import add, sql
 from tidemark.catalog.identity import LEDGER
 from tidemark.catalog.registry import query
+from tidemark.functions import columns as C
 from tidemark.plans import experiment as E
 from tidemark.plans import purchase_value as V
 from tidemark.plans import reconciliation as R
 from tidemark.plans import reporting as T
+from tidemark.plans import scores_24h as S
 from tidemark.sources import driver_tables as D
 
 _HEAD, _BODY = LEDGER.split("\nSELECT e.event_id", 1)
@@ -59,6 +61,21 @@ def _(s, d):
     return s.table("rpt_experiment_profit_by_arm").select("flag_key", "arm", "exposed_users")
 
 
+@query("rpt_5b_model_parameters", sql("SELECT count(*) AS fitted, 1 AS refs FROM seg_rate"))
+def _(s, d):
+    from tidemark.sinks.tables import create_views
+    _f, o, w = scores.model(s, d)
+    create_views({"rpt_model_parameters": S.current_parameters(s, scores.P, S.segment_rates(o, w, scores.P), S.converter_value(o, scores.usage(s, d), w, scores.P))}, [])
+    return s.table("rpt_model_parameters").agg(C.tally(F.col("name").startswith("p_convert.")).alias("fitted"), F.countDistinct("fitted_params_ref").alias("refs"))
+
+
+@query("rpt_5c_reconciliation", sql("SELECT l.l AS report_layer, count(*) * CASE l.l WHEN 'tag_received' THEN 13 ELSE 16 END AS steps FROM months g, (VALUES ('tag_received'), ('ads_attributed')) l(l) GROUP BY l.l"))
+def _(s, d):
+    from tidemark.sinks.tables import create_views
+    create_views({"rpt_reconciliation": R.waterfall(reconcile.wide(s, d))}, [])
+    return s.table("rpt_reconciliation").groupBy("report_layer").agg(F.count(F.lit(1)).alias("steps"))
+
+
 add("rtruth", "SELECT CAST(date_trunc('month', occurred_at) AS DATE) AS m, count(*) AS n, sum(cash_minor) / 100.0::DOUBLE AS v FROM purchase GROUP BY 1")
 
 

@@ -73,6 +73,13 @@ def assert_counts(frames: dict[str, DataFrame], manifest: dict[str, int]) -> Dat
     return rows.where(~F.col("rows").eqNullSafe(F.col("expected")))
 
 
+def require_counts(frames: dict[str, DataFrame], manifest: dict[str, int]) -> None:
+    """Fail the load if any table's row count differs from the manifest."""
+    wrong = assert_counts(frames, manifest).collect()  # at most one row per table
+    if wrong:
+        raise ValueError("row counts differ from the manifest: " + ", ".join(f"{r.table} {r.rows} instead of {r.expected}" for r in wrong))
+
+
 def freshness(df: DataFrame, loaded_at: str, now, warn_hours: int, error_hours: int) -> DataFrame:
     """Status of a source by the age of its newest row."""
     newest = df.agg(F.max(loaded_at).alias("newest"))
