@@ -83,3 +83,15 @@ def test_neighbours_of_empty_and_lonely_rows(spark):
     assert nearest(vectors(spark, [])).collect() == []
     assert nearest(vectors(spark, [(0, [1.0, 0.0])])).collect() == []
     assert [(r.query_id, r.vec_id) for r in nearest(vectors(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])])).collect()] == [(0, 1)]
+
+
+def test_neighbours_visit_as_many_leaves_as_recall_needs(spark):
+    x = np.random.default_rng(4).normal(size=(4000, 16)).astype(np.float32)
+    got = nearest(vectors(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)]), trees=4, leaf_rows=32, leaves=4).collect()
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        score = d @ d[q]
+        score[q] = -2
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-score)[:5].tolist()))
+    assert hits / (80 * 5) >= 0.9

@@ -89,6 +89,34 @@ def search(forest: list[Tree], x: np.ndarray, leaves: int) -> list[tuple[int, in
     return found
 
 
+def reach(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """The least margin on the way to every leaf, for every vector: ``search`` visits leaves in this order."""
+    margin = x @ tree.normal.T - tree.threshold
+    node, leaf = np.full(margin.shape, -np.inf), np.full((len(x), tree.leaves), -np.inf)
+    for i in range(len(tree.threshold)):  # parents come before their children
+        past = np.maximum(node[:, i], np.abs(margin[:, i]))
+        below = margin[:, i] < 0
+        for child, value in ((tree.left[i], np.where(below, node[:, i], past)), (tree.right[i], np.where(below, past, node[:, i]))):
+            if child >= 0:
+                node[:, child] = value
+            else:
+                leaf[:, -1 - child] = value
+    return leaf
+
+
+def leaves_needed(forest: list[Tree], x: np.ndarray, owner: np.ndarray, found: np.ndarray, recall: float, chunk: int = 32) -> int:
+    """How many leaves a query has to visit until it meets the share ``recall`` of ``found``; row i is sought by the query ``x[owner[i]]``."""
+    places = [t.route(found) for t in forest]
+    needed = np.zeros(len(found), np.int64)
+    for a in range(0, len(x), chunk):
+        ways = [reach(t, x[a : a + chunk]) for t in forest]
+        order = np.sort(np.concatenate(ways, axis=1), axis=1)
+        for i in np.flatnonzero((owner >= a) & (owner < a + chunk)):
+            least = min(way[owner[i] - a, place[i]] for way, place in zip(ways, places))
+            needed[i] = np.searchsorted(order[owner[i] - a], least, "right")
+    return int(np.sort(needed)[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else 0
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -112,16 +140,48 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.size("v") == (common.n if common else 0))
 
 
+def exact(entries: DataFrame, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` entries nearest to each of a few queries (ids ``q``, unit vectors ``x``), by one pass over all: the query of each and its unit vector."""
+    kind = dict(entries.dtypes)["v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cosine = x @ unit(matrix(batch.column("v"))).T
+            cosine[q[:, None] == batch.column("rep").to_numpy()] = -np.inf
+            at = np.argsort(-cosine, axis=1)[:, :k]
+            taken = batch.select(["rep", "v"]).take(pa.array(at.ravel()))
+            owner = np.repeat(np.arange(len(q), dtype=np.int64), at.shape[1])
+            new = pa.Table.from_arrays([pa.array(owner), pa.array(np.take_along_axis(cosine, at, 1).ravel()), taken.column("rep"), taken.column("v")], ["owner", "score", "rep", "v"])
+            both = pa.concat_tables([best, new]) if best is not None else new
+            owner = both.column("owner").to_numpy()
+            order = np.lexsort((both.column("rep").to_numpy(), -both.column("score").to_numpy(), owner))
+            place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+            best = both.take(pa.array(order[place < k])).combine_chunks()
+        if best is not None:
+            yield from best.to_batches()
+
+    top = Window.partitionBy("owner").orderBy(F.col("score").desc(), "rep")
+    found = entries.select("rep", "v").mapInArrow(run, f"owner long, score double, rep long, v {kind}").where("score > double('-infinity')")
+    rows = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("owner", "v").collect()  # len(q) x k at most
+    return np.array([r.owner for r in rows], np.int64), unit(np.array([r.v for r in rows], np.float64)) if rows else np.zeros((0, x.shape[1]))
+
+
 def nearest(
     vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding",
-    trees: int = 24, leaf_rows: int = 256, leaves: int = 170, sample_rows: int = 20_000, seed: int = 5,
+    trees: int = 24, leaf_rows: int = 256, leaves: int = 170, sample_rows: int = 20_000, seed: int = 5, recall: float = 0.95, tried: int = 256,
 ) -> DataFrame:
     """The ``k`` nearest rows by cosine of every row whose id is divisible by ``every``.
 
     The forest is grown on at most ``sample_rows`` vectors (in the order of a hash); every row is then filed in a leaf
-    of each tree. A query visits its ``leaves`` best leaves of the whole forest; their rows are scored exactly, in double
+    of each tree. A query visits its best leaves of the whole forest; their rows are scored exactly, in double
     precision, leaf by leaf. Returns query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
+    How many leaves that takes grows with the table, so it is measured on it: the nearest rows of ``tried`` queries are found by
+    one pass over all rows, and as many leaves are visited as the share ``recall`` of them needs (``leaves`` at least).
+
     Equal vectors are one entry, which keeps its k + 1 smallest ids: no other can be among k nearest. Vectors that are null,
     zero or hold a null or non-finite component take no part, nor do rows without id or of another length than
     the most common one; other columns are ignored. Rows that repeat an id with different vectors are candidates each, a
@@ -137,6 +197,12 @@ def nearest(
     sample = unit(np.array([r.v for r in entries.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("v").collect()] or [[1.0]]))
     rng = np.random.default_rng(seed)
     forest = [grow(sample, max(8, int(leaf_rows * len(sample) / max(1, n))), rng) for _ in range(trees)]
+    asked = rows.where(F.col("vec_id") % every == 0).join(entries.select(F.col("rep").alias("q"), "v"), "v").select("vec_id", "q", "v")
+    if leaves < sum(t.leaves for t in forest):
+        tries = asked.select("q", "v").distinct().orderBy(F.xxhash64("q"), "q").limit(tried).collect()
+        if tries:
+            x = unit(np.array([r.v for r in tries], np.float64))
+            leaves = max(leaves, leaves_needed(forest, x, *exact(entries, np.array([r.q for r in tries], np.int64), x, k), recall))
     first = np.cumsum([0, *(t.leaves for t in forest)])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +240,6 @@ def nearest(
 
     kind = dict(entries.dtypes)["v"]
     filed = entries.select("rep", "v").mapInArrow(file, f"leaf long, rep long, v {kind}")
-    asked = rows.where(F.col("vec_id") % every == 0).join(entries.select(F.col("rep").alias("q"), "v"), "v").select("vec_id", "q", "v")
     visited = asked.select("q", "v").distinct().mapInArrow(visit, f"leaf long, q long, v {kind}")
     scored = visited.groupBy("leaf").cogroup(filed.groupBy("leaf")).applyInArrow(score, "q long, rep long, score double")
     best = scored.groupBy("q", "rep").agg(F.max("score").alias("score"))
