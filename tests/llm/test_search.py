@@ -95,3 +95,15 @@ def test_neighbours_visit_as_many_leaves_as_recall_needs(spark):
         score[q] = -2
         hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-score)[:5].tolist()))
     assert hits / (80 * 5) >= 0.9
+
+
+def test_neighbours_of_each_vector_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in rng.normal(size=8 if i % 3 else 4).astype(np.float32)]) for i in range(150)]
+    got = nearest(vectors(spark, rows), k=3).collect()
+    expected = []
+    for q in (0, 50, 100):
+        a = np.array(rows[q][1])
+        score = {i: np.array(v) @ a / np.linalg.norm(v) / np.linalg.norm(a) for i, v in rows if len(v) == len(a) and i != q}
+        expected += [(q, n + 1, i, round(float(score[i]), 9)) for n, i in enumerate(sorted(score, key=lambda i: -score[i])[:3])]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == expected

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,14 +131,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, v) of rows whose vector is not null, not zero and has finite components only, in the most common length."""
+    """(vec_id, v) of rows whose vector is not null, not zero and has finite components only."""
     v = F.col(embedding)
     v = v if dict(vectors.select(v.alias("v")).dtypes)["v"] == "array<float>" else v.cast("array<double>")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(
+    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(
         "vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)"
     )
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    return rows.where(F.size("v") == (common.n if common else 0))
 
 
 def exact(entries: DataFrame, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,12 +182,22 @@ def nearest(
     one pass over all rows, and as many leaves are visited as the share ``recall`` of them needs (``leaves`` at least).
 
     Equal vectors are one entry, which keeps its k + 1 smallest ids: no other can be among k nearest. Vectors that are null,
-    zero or hold a null or non-finite component take no part, nor do rows without id or of another length than
-    the most common one; other columns are ignored. Rows that repeat an id with different vectors are candidates each, a
+    zero or hold a null or non-finite component take no part, nor do rows without id; other columns are ignored. Vectors of
+    each length are searched among themselves, with a forest of their own. Rows that repeat an id with different vectors are candidates each, a
     query's own id excepted; repeated equal rows count once. An empty table gives an empty result.
     """
     rows = base.stage(usable(vectors, vec_id, embedding).distinct())
-    n = rows.count()
+    sizes = sorted((r.length, r["count"]) for r in rows.groupBy(F.size("v").alias("length")).count().collect()) or [(0, 0)]
+    groups = [_pairs(rows.where(F.size("v") == length), n, k, every, trees, leaf_rows, leaves, sample_rows, seed, recall, tried) for length, n in sizes]
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    pairs = reduce(DataFrame.unionByName, groups)
+    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _pairs(
+    rows: DataFrame, n: int, k: int, every: int, trees: int, leaf_rows: int, leaves: int, sample_rows: int, seed: int, recall: float, tried: int,
+) -> DataFrame:
+    """(query_id, vec_id, score) with at least the ``k`` nearest found among ``n`` rows of one vector length."""
     ranked = Window.partitionBy("v").orderBy("vec_id")
     entries = base.stage(
         rows.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1)
@@ -245,6 +254,4 @@ def nearest(
     best = scored.groupBy("q", "rep").agg(F.max("score").alias("score"))
     top = Window.partitionBy("q").orderBy(F.col("score").desc(), "rep")
     best = base.stage(best.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r").join(entries.select("rep", "ids"), "rep"))
-    pairs = asked.select(F.col("vec_id").alias("query_id"), "q").join(best, "q").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return asked.select(F.col("vec_id").alias("query_id"), "q").join(best, "q").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
