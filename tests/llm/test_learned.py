@@ -189,3 +189,15 @@ def test_language_of_empty_tables(spark, documents):
     assert language.identify(pages_of(spark, []), learn(documents)).collect() == []
     got = language.identify(pages_of(spark, [(1, "http://a.b/", "<p>x</p>")]), documents([])).collect()
     assert [(r.page_id, r.lang, r.confidence) for r in got] == [(1, None, None)]
+
+
+def test_more_languages_than_are_held_at_once(spark, documents):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    spoken = {f"l{i:02}": ["".join(rng.choices(letters, k=6)) for _ in range(12)] for i in range(70)}
+    docs = documents([(i, " ".join(w), x) for x, w in spoken.items() for i in range(1 if x in ("l00", "l69") else 2)])
+    pages = pages_of(spark, [(i, f"http://h{i}.x{i}/", f"<p>{' '.join(w)}</p>") for i, w in enumerate(spoken.values())])
+    got = {r.page_id: (r.lang, r.confidence) for r in language.identify(pages, docs).collect()}
+    assert {i: x for i, (x, _) in got.items()} == dict(enumerate(spoken))
+    for at_once in (9, 100):
+        assert {r.page_id: (r.lang, pytest.approx(r.confidence)) for r in language.identify(pages, docs, at_once=at_once).collect()} == got

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ PART_BYTES = 1 << 21
 EVIDENCE = 60.0
 #: Pseudo-pages by which a host leans on its domain, a domain on its suffix, a suffix on all pages; and a declaration on all.
 PRIOR_PAGES = 4.0
-#: Languages told apart (the most frequent ones, then by name).
-LANGUAGES = 64
+#: Languages whose tables a task holds at once; all are told apart.
+AT_ONCE = 64
 
 MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 
@@ -61,24 +62,41 @@ def visible(page: bytes) -> bytes:
     return html.unescape(MARKUP.sub(b" ", page).decode("utf-8", "replace")).encode()
 
 
-def gram_counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
-    """Trigram counts (language x GRAMS) over all documents of the languages. A task adds up one table of fixed size."""
+def gram_tables(docs: DataFrame, languages: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """Trigram counts over all documents of the languages, in rows (block, sums) of BLOCK counts. A task adds up ``at_once`` tables of fixed size and hands them on when others come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = {x: i for i, x in enumerate(languages)}
-        total = np.zeros((len(languages), GRAMS), np.int64)
+        held: dict[int, int] = {}
+        total = np.zeros((at_once, GRAMS), np.int64)
+        salt = TaskContext.get().partitionId() % 256
+
+        def sums() -> pa.RecordBatch:
+            rows = [(i, at, j) for i, at in held.items() for j in range(GRAMS // BLOCK) if total[at, j * BLOCK : (j + 1) * BLOCK].any()]
+            tables = [total[at, j * BLOCK : (j + 1) * BLOCK].tobytes() for _, at, j in rows]
+            return pa.RecordBatch.from_arrays([pa.array([i * (GRAMS // BLOCK) + j for i, _, j in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(tables, pa.binary())], ["block", "salt", "sums"])
+
         for batch in batches:
             data, offsets = base.flat(batch.column("t"))
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for a, b in base.parts(offsets, PART_BYTES):
                 gram, row = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                total += np.bincount(lang[a:b][row] * GRAMS + gram, minlength=total.size).reshape(total.shape)
-        rows = [(i, j) for i in range(len(languages)) for j in range(GRAMS // BLOCK) if total[i, j * BLOCK : (j + 1) * BLOCK].any()]
-        salt = TaskContext.get().partitionId() % 256
-        sums = [total[i, j * BLOCK : (j + 1) * BLOCK].tobytes() for i, j in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([i * (GRAMS // BLOCK) + j for i, j in rows], pa.int32()), pa.array([salt] * len(rows), pa.int32()), pa.array(sums, pa.binary())], ["block", "salt", "sums"])
+                found = np.unique(lang[a:b])
+                for c in range(0, len(found), at_once):
+                    some = found[c : c + at_once].tolist()
+                    if len(held.keys() | set(some)) > at_once:
+                        yield sums()
+                        held.clear()
+                        total[:] = 0
+                    for i in some:
+                        held.setdefault(i, len(held))
+                    place = np.full(len(languages), -1)
+                    place[some] = [held[i] for i in some]
+                    at = place[lang[a:b]][row]
+                    total += np.bincount((at * GRAMS + gram)[at >= 0], minlength=total.size).reshape(total.shape)
+        yield sums()
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
@@ -86,10 +104,21 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
 
     rows = docs.where(F.col("lang").isin(languages)).select(F.col("lang"), F.col("text").cast("string").alias("t"))
     tables = rows.mapInArrow(run, "block int, salt int, sums binary").groupBy("block", "salt").applyInArrow(add, "block int, sums binary")
-    out = np.zeros(len(languages) * GRAMS)
-    for r in tables.groupBy("block").applyInArrow(add, "block int, sums binary").collect():  # LANGUAGES x GRAMS numbers at most
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.int64)
-    return out.reshape(len(languages), GRAMS)
+    return tables.groupBy("block").applyInArrow(add, "block int, sums binary")
+
+
+def dense(tables: DataFrame, start: int, end: int) -> np.ndarray:
+    """Trigram counts (language x GRAMS) of the languages ``start`` to ``end``."""
+    out = np.zeros((end - start) * GRAMS)
+    first, last = start * (GRAMS // BLOCK), end * (GRAMS // BLOCK)
+    for r in tables.where((F.col("block") >= first) & (F.col("block") < last)).collect():  # (end - start) x GRAMS numbers at most
+        out[(r.block - first) * BLOCK : (r.block - first + 1) * BLOCK] = np.frombuffer(r.sums, np.int64)
+    return out.reshape(-1, GRAMS)
+
+
+def gram_counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
+    """Trigram counts (language x GRAMS) over all documents of the languages."""
+    return dense(gram_tables(docs, languages, min(AT_ONCE, len(languages))), 0, len(languages))
 
 
 def log_rates(counts: np.ndarray) -> np.ndarray:
@@ -97,20 +126,31 @@ def log_rates(counts: np.ndarray) -> np.ndarray:
     return np.log(counts + 0.5) - np.log(counts.sum(1, keepdims=True) + 0.5 * GRAMS)
 
 
-def text_posterior(data: np.ndarray, offsets: np.ndarray, rates: np.ndarray) -> np.ndarray:
-    """Posterior of the languages by text alone, with equal priors; flat for a text without trigrams."""
-    out = np.zeros((len(offsets) - 1, len(rates)))
+def text_posterior(data: np.ndarray, offsets: np.ndarray, rates: np.ndarray | Iterable[np.ndarray]) -> np.ndarray:
+    """Posterior of the languages by text alone, with equal priors; flat for a text without trigrams. The rates may come in blocks of languages."""
     gram, row = grams(data, offsets)
-    if len(gram):
-        count = np.bincount(row, minlength=len(out))
-        for i, r in enumerate(rates):
-            out[:, i] = np.bincount(row, weights=r[gram], minlength=len(out))
-        out *= (np.minimum(1.0, EVIDENCE / np.maximum(count, 1)))[:, None]
+    n = len(offsets) - 1
+    count = np.bincount(row, minlength=n)
+    parts = []
+    for block in [rates] if isinstance(rates, np.ndarray) else rates:
+        part = np.zeros((n, len(block)))
+        if len(gram):
+            for i, r in enumerate(block):
+                part[:, i] = np.bincount(row, weights=r[gram], minlength=n)
+        parts.append(part)
+    out = np.concatenate(parts, axis=1)
+    out *= (np.minimum(1.0, EVIDENCE / np.maximum(count, 1)))[:, None]
     out = np.exp(out - out.max(1, keepdims=True))
     return out / out.sum(1, keepdims=True)
 
 
-def evidence(pages: DataFrame, rates: np.ndarray, page_id: str) -> DataFrame:
+def _loaded(blocks: list[Broadcast]) -> Iterator[np.ndarray]:
+    """The blocks one after another; a single one stays in memory, of several only the one in use."""
+    for b in blocks:
+        yield b.value if len(blocks) == 1 or b._path is None else b.load_from_path(b._path)
+
+
+def evidence(pages: DataFrame, blocks: list[Broadcast], page_id: str) -> DataFrame:
     """page_id, host, domain, suffix, declared and the posterior by text (p) of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(
@@ -126,8 +166,8 @@ def evidence(pages: DataFrame, rates: np.ndarray, page_id: str) -> DataFrame:
             for a, b in base.parts(offsets, PART_BYTES):
                 texts = [visible((x or "").encode()) for x in batch.column("t").slice(a, b - a).to_pylist()]
                 ends = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-                found.append(text_posterior(np.frombuffer(b"".join(texts), np.uint8), ends, rates))
-            p = np.concatenate(found) if found else np.zeros((0, len(rates)))
+                found.append(text_posterior(np.frombuffer(b"".join(texts), np.uint8), ends, _loaded(blocks)))
+            p = np.concatenate(found) if found else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("declared"), pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))], ["page_id", "host", "declared", "p"])
 
     out = rows.mapInArrow(run, f"page_id {dict(rows.dtypes)['page_id']}, host string, declared string, p array<double>")
@@ -135,10 +175,13 @@ def evidence(pages: DataFrame, rates: np.ndarray, page_id: str) -> DataFrame:
     return out.select("page_id", "host", F.when(F.size(labels) > 1, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("host")).alias("domain"), F.element_at(labels, -1).alias("suffix"), "declared", "p")
 
 
-def _sums(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Element-wise sums of p per key."""
-    parts = rows.groupBy(*keys).agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
-    return parts.select(*keys, F.array(*[F.col(f"s{i}") for i in range(n)]).alias("sums"))
+def _sums(rows: DataFrame, n: int, *keys: str, at_once: int = AT_ONCE) -> DataFrame:
+    """Element-wise sums of p per key, in blocks of ``at_once`` languages."""
+    piece = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit((n - 1) // at_once)), lambda i: F.slice("p", i * at_once + 1, at_once)))
+    parts = rows.select(*keys, piece.alias("i", "piece")).groupBy(*keys, "i").agg(*[F.sum(F.get("piece", F.lit(j))).alias(f"s{j}") for j in range(min(n, at_once))])
+    blocks = parts.select(*keys, F.struct("i", F.array(*[F.col(f"s{j}") for j in range(min(n, at_once))]).alias("s")).alias("b"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["s"]))
+    return blocks.groupBy(*keys).agg(F.slice(whole, 1, n).alias("sums"))
 
 
 def _less(sums: Column, own: Column) -> Column:
@@ -156,8 +199,8 @@ def _lean(sums: Column, parent: Column) -> Column:
     return F.when(sums.isNotNull(), mixed).otherwise(parent)
 
 
-def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id") -> DataFrame:
-    """Language of every page.
+def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", at_once: int = AT_ONCE) -> DataFrame:
+    """Language of every page, among all languages of ``docs``; ``at_once`` of them are held in memory together.
 
     ``docs`` (text, lang) teach the trigram rates, all of them; ``pages`` need ``page_id``, url and html. The posterior
     by text of all pages is summed per suffix, domain, host and declared language; a page's prior is its
@@ -170,18 +213,21 @@ def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id") -> Dat
     returned each; other columns are ignored. Without any document of known language lang is null; an empty table gives
     an empty result.
     """
-    known = docs.where("lang is not null").groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
-    languages = sorted(r.lang for r in known.collect())
+    languages = sorted(r.lang for r in docs.where("lang is not null").select("lang").distinct().collect())
     n = len(languages)
-    rates = log_rates(gram_counts(docs, languages)) if n else np.zeros((1, GRAMS))
-    rows = base.stage(evidence(pages, rates, page_id))
+    tables = base.stage(gram_tables(docs, languages, min(at_once, n))) if n else None
+    share = pages.sparkSession.sparkContext.broadcast
+    blocks = [share(log_rates(dense(tables, a, min(n, a + at_once)))) for a in range(0, n, at_once)] or [share(np.zeros((1, GRAMS)))]
+    rows = base.stage(evidence(pages, blocks, page_id))
+    for b in blocks:
+        b.destroy()
     if not n:
         return rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
-    everything = base.stage(_sums(rows, n, F.lit(0).alias("one"))).first()
+    everything = base.stage(_sums(rows.withColumn("one", F.lit(0)), n, "one", at_once=at_once)).first()
     everywhere = F.array(*[F.lit(float(x)) for x in (everything.sums if everything else [0.0] * n)])
     joined = rows
     for key in ("suffix", "domain", "host", "declared"):
-        joined = joined.join(base.stage(_sums(rows.where(F.col(key).isNotNull()), n, key)).withColumnRenamed("sums", f"{key}_sums"), key, "left")
+        joined = joined.join(base.stage(_sums(rows.where(F.col(key).isNotNull()), n, key, at_once=at_once)).withColumnRenamed("sums", f"{key}_sums"), key, "left")
     joined = joined.withColumn("level", F.transform(_less(everywhere, F.col("p")), lambda s: s + 0.5))
     joined = joined.withColumn("rate", F.transform("level", lambda s: s)).withColumn("level", F.transform("level", lambda s: s / _total(F.col("rate"))))
     joined = joined.withColumn("everyone", F.col("level"))
