@@ -52,24 +52,61 @@ def test_gapped_and_inserted_characters(model, insult):
     assert rate(model, "Babe bifo dudegi gogafu gofu.") < 0.5
 
 
-def test_kernel_is_the_sum_over_subsequences():
+def test_kernel_is_the_normalized_sum_over_subsequences():
     def weights(w):
-        code = toxicity.CODE[np.frombuffer(w, np.uint8)]
+        code = [0, *toxicity.CODE[np.frombuffer(w, np.uint8)], 0]
         out = {}
-        for i in range(len(w)):
+        for i in range(len(code)):
             for a, b in toxicity.TRIPLES:
-                if i + b < len(w):
+                if i + b < len(code):
                     k = (code[i], code[i + a], code[i + b])
                     out[k] = out.get(k, 0) + toxicity.DECAY ** (b - 2)
         return out
 
-    some, marks = [b"snotface", b"snxotface", b"ab", b"aaaaaa"], [b"snotface", b"aaa"]
+    some, marks = [b"snotface", b"snxotface", b"ab", b"aaaaaa", b"z"], [b"snotface", b"aaa"]
     got = toxicity.kernel(some, marks)
     for i, s in enumerate(some):
         for j, m in enumerate(marks):
             a, b = weights(s), weights(m)
-            exact = sum(x * b.get(k, 0) for k, x in a.items()) / (toxicity.norms(np.array([len(s)]))[0] * toxicity.norms(np.array([len(m)]))[0])
-            assert got[i, j] == pytest.approx(exact)
+            size = [sum(x * x for x in v.values()) ** 0.5 for v in (a, b)]
+            assert got[i, j] == pytest.approx(sum(x * b.get(k, 0) for k, x in a.items()) / size[0] / size[1], abs=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_the_logistic_curve_settles_with_margins_far_from_zero(seed):
+    rng = np.random.default_rng(seed)
+    label = (rng.random(2000) < 0.11).astype(float)
+    strong = np.where(label == 1, rng.normal(6, 1, 2000), rng.normal(3, 0.5, 2000))
+    x = np.c_[strong, strong - 1, rng.normal(0, 1, 2000)]
+    theta = toxicity.logistic(x, label)
+    assert (theta[:-1] >= 0).all()
+    assert np.mean((x @ theta[:-1] + theta[-1] > 0) == label) > 0.97
+    few = toxicity.logistic(x[:, :1], np.r_[1.0, np.zeros(1999)])
+    assert np.isfinite(few).all()
+
+
+def test_the_machine_separates_and_its_loss_does_not_cycle():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 5))
+    y = np.where(x[:, 0] + 0.2 * x[:, 1] > 0.5, 1.0, -1.0)
+    w, bias = toxicity.squared_hinge(x, y, np.where(y > 0, 20.0, 1.0), 0.1)
+    assert np.mean(np.sign(x @ w + bias) == y) > 0.93
+
+
+def test_labelled_rows_of_the_given_tables(spark):
+    """Of the given tables' toxic rows a few hold no insult at all, so not all can be found."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).join(labels, "doc_id").toPandas()
+    for held, least in ((False, 0.85), (True, 0.8)):
+        some = got[got.held_out == held]
+        assert (some[some.toxic == 1].predicted == 1).mean() >= least
+        assert (some[some.toxic == 0].predicted == 0).mean() >= 0.9
+
+
+def test_repeated_lines_add_nothing(model):
+    line = "Babe bifo dudegi gogafu gofu.\n"
+    assert rate(model, line * 50) == pytest.approx(rate(model, line))
 
 
 def test_one_place_scores_like_the_parts(model):

@@ -1,9 +1,9 @@
-"""Toxicity: a gapped subsequence kernel on words, Nyström landmarks and a support vector machine learned from labelled sentences."""
+"""Toxicity: a gapped subsequence kernel between words, summed over sentences, with Nyström landmarks and a support vector machine learned from labelled sentences."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +11,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import base
+from tidemark.llm.hashing import Hashes
 from tidemark.llm.labelled import fold, training_rows
 
 #: Offsets (second, third letter) of the subsequences of three letters, up to two letters left out in between.
 TRIPLES = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 #: Weight of a subsequence for each letter left out.
 DECAY = 0.6
+#: Power of the kernel: sums over a sentence are then carried by its few words that resemble a landmark.
+POWER = 4
 LETTERS = 64
+#: Strongest sentences of a document that its score is made of.
+STRONGEST = 3
 PART_BYTES = 1 << 21
-#: Longest word (in bytes) that training looks at.
-TRAINING_WORD = 48
+#: Words whose kernel values are computed together.
+CHUNK = 4000
+#: Similarity histogram of a landmark candidate: bins between 0 and 1.
+BINS = 100
 
 
 def _letter_codes() -> np.ndarray:
@@ -63,8 +70,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     begins = offsets[:-1][np.diff(offsets) > 0]
     first = np.zeros(len(data), bool)
     first[begins] = True
-    ended = np.zeros(len(data), np.int64)
-    ended[1:] = SENTENCE_END[data[:-1]]
+    ended = np.zeros(len(data), bool)  # a full stop inside a word ("i.d.i.o.t") ends nothing
+    ended[1:] = edge[1:] & SENTENCE_END[data[:-1]]
+    ended |= data == 0x0A
     sentence = np.cumsum(ended | first)
     word = np.cumsum(edge | first)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -82,193 +90,407 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(letters, start, length, row[at[start]], sentence[at[start]])
 
 
-def norms(length: np.ndarray) -> np.ndarray:
-    """Norm of a word's subsequence weights, counted as if all were different: it depends on the length alone."""
-    total = np.zeros(len(length))
-    for _, b in TRIPLES:
-        total += np.maximum(length - b, 0) * DECAY ** (2 * (b - 2))
-    return np.sqrt(np.maximum(total, 1.0))
+def framed(letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of the given words with a mark (0) before and after each, end to end, and the word of each place."""
+    owner = np.repeat(np.arange(len(start)), length + 2)
+    first = np.cumsum(length + 2) - (length + 2)
+    within = np.arange(len(owner)) - np.repeat(first, length + 2) - 1
+    inside = (within >= 0) & (within < np.repeat(length, length + 2))
+    code = np.zeros(len(owner), np.int32)
+    code[inside] = CODE[letters[(np.repeat(start, length + 2) + within)[inside]]]
+    return code, owner
 
 
-def subsequences(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each kind of triple: where it lies within one word, its number, and its weight."""
-    code = CODE[w.letters].astype(np.int32)
-    owner = np.repeat(np.arange(len(w.start)), w.length)
+def subsequences(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, number and weight of every subsequence of three letters."""
+    found = []
     for a, b in TRIPLES:
         if len(code) > b:
-            inside = np.flatnonzero(owner[b:] == owner[:-b])
-            yield inside, (code[inside] * LETTERS + code[inside + a]) * LETTERS + code[inside + b], DECAY ** (b - 2)
+            i = np.flatnonzero(owner[b:] == owner[:-b])
+            found.append((owner[i], (code[i] * LETTERS + code[i + a]) * LETTERS + code[i + b], np.full(len(i), DECAY ** (b - 2), np.float32)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def norms(owner: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Length of every word's vector of subsequence weights (a repeated subsequence adds up)."""
+    key = owner * LETTERS**3 + number
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(weight[order].astype(float), begin) if len(key) else np.zeros(0)
+    return np.sqrt(np.maximum(np.bincount(key[begin] // LETTERS**3, sums * sums, minlength=n), 1e-9))
+
+
+class Landmarks:
+    """Landmark words with their subsequence weights, ready for kernel values."""
+
+    def __init__(self, some: list[bytes]) -> None:
+        self.words = list(some)
+        owner, number, weight = subsequences(*framed(*_flat(self.words)))
+        used, column = np.unique(number, return_inverse=True)
+        self.dense = np.zeros((len(used), len(some)), np.float32)
+        np.add.at(self.dense, (column, owner), weight)
+        self.dense /= norms(owner, number, weight, len(some))
+        self.place = np.full(LETTERS**3, -1, np.int32)
+        self.place[used] = np.arange(len(used))
+
+    def values(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Normalized kernel values of words against the landmarks, a chunk of words at a time: first word, (words, landmarks)."""
+        for a in range(0, len(start), CHUNK):
+            n = min(CHUNK, len(start) - a)
+            owner, number, weight = subsequences(*framed(letters, start[a : a + n], length[a : a + n]))
+            size = norms(owner, number, weight, n)
+            at = self.place[number]
+            hit = np.flatnonzero(at >= 0)
+            hit = hit[np.argsort(owner[hit], kind="stable")]
+            out = np.zeros((n, len(self.words)), np.float32)
+            if len(hit):
+                own = owner[hit]
+                begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                out[own[begin]] = np.add.reduceat(self.dense[at[hit]] * weight[hit][:, None], begin, axis=0)
+            yield a, np.minimum(out / size[:, None].astype(np.float32), 1)
+
+    def kernel(self, some: list[bytes]) -> np.ndarray:
+        parts = [x for _, x in self.values(*_flat(some))]
+        return np.concatenate(parts).astype(float) if parts else np.zeros((0, len(self.words)))
+
+
+def _flat(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    length = np.array([len(x) for x in some], np.int64)
+    return np.frombuffer(b"".join(some), np.uint8), np.cumsum(length) - length, length
 
 
-def word_scores(w: Words, table: np.ndarray, bias: float) -> np.ndarray:
-    """Decision value of every word: the kernel expansion over all landmarks, folded into one table of subsequence weights."""
-    if not len(w.start):
-        return np.zeros(0)
-    at_letter = np.zeros(len(w.letters))
-    for inside, number, weight in subsequences(w):
-        at_letter[inside] += table[number] * weight
-    return np.add.reduceat(at_letter, w.start) / norms(w.length) + bias
+def kernel(some: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Normalized kernel values of words against landmarks."""
+    return Landmarks(landmarks).kernel(some)
 
 
 @dataclass
-class Model:
-    table: np.ndarray
-    bias: float
-    slope: float
-    shift: float
+class Sentences:
+    """Distinct words of a part of text and, for each document, the sentence of every word's first place."""
 
-    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Largest word value of every row; a row without words has the bias."""
-        out = np.full(len(offsets) - 1, self.bias)
+    words: Words
+    first: np.ndarray  # place of every distinct word
+    word: np.ndarray  # distinct word of every entry
+    row: np.ndarray
+    sentence: np.ndarray  # numbered from 0 over the part
+    sentence_row: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
+        """A word counts once a document, so repeated lines add nothing."""
         w = words(data, offsets)
-        np.maximum.at(out, w.row, word_scores(w, self.table, self.bias))
+        if not len(w.start):
+            nothing = np.zeros(0, np.int64)
+            return Sentences(w, nothing, nothing, nothing, nothing, nothing)
+        _, first, word = np.unique(Hashes(w.letters).of(w.start, w.start + w.length), return_index=True, return_inverse=True)
+        _, entry = np.unique(w.row * len(first) + word, return_index=True)
+        entry.sort()
+        known, sentence = np.unique(w.sentence[entry], return_inverse=True)
+        row_of = np.zeros(len(known), np.int64)
+        row_of[sentence] = w.row[entry]
+        return Sentences(w, first, word[entry], w.row[entry], sentence, row_of)
+
+    def values(self, model: Model) -> np.ndarray:
+        """Machine's value (without bias) of every sentence: the sum over its words."""
+        word = np.zeros(len(self.first))
+        for a, k in model.landmarks.values(self.words.letters, self.words.start[self.first], self.words.length[self.first]):
+            word[a : a + len(k)] = k**POWER @ model.beta
+        return np.bincount(self.sentence, word[self.word], minlength=len(self.sentence_row))
+
+
+@dataclass
+class Model:
+    landmarks: Landmarks | None
+    beta: np.ndarray
+    theta: np.ndarray = field(default_factory=lambda: np.zeros(STRONGEST + 1))  # of the strongest sentences; the last is the shift
+
+    def strongest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Largest sentence values of every row, in falling order (no sentence: 0)."""
+        out = np.zeros((len(offsets) - 1, STRONGEST))
+        if self.landmarks is None:
+            return out
+        s = Sentences.of(data, offsets)
+        value = s.values(self)
+        order = np.lexsort((-value, s.sentence_row))
+        row = s.sentence_row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < STRONGEST
+        out[row[top], rank[top]] = value[order[top]]
         return out
 
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.strongest(data, offsets) @ self.theta[:-1] + self.theta[-1]
+
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
 
 
-def _flat_words(some: list[bytes]) -> Words:
-    length = np.array([len(x) for x in some], np.int64)
-    return Words(np.frombuffer(b"".join(some), np.uint8), np.cumsum(length) - length, length, np.arange(len(some)), np.arange(len(some)))
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear support vector machine with squared hinge loss: Newton steps, halved until the loss falls."""
+    x = np.c_[x, np.ones(len(x))]
+    diagonal = np.r_[np.full(x.shape[1] - 1, ridge), ridge * 1e-3]
+    w, f = np.zeros(x.shape[1]), np.zeros(len(x))
 
+    def loss(f: np.ndarray, w: np.ndarray) -> float:
+        return float((weight * np.maximum(1 - y * f, 0) ** 2).sum() + (diagonal * w * w).sum())
 
-def kernel(some: list[bytes], landmarks: list[bytes], chunk: int = 2000) -> np.ndarray:
-    """Normalized kernel values of words against landmarks."""
-    marks = _flat_words(landmarks)
-    owner = np.repeat(np.arange(len(landmarks)), marks.length)
-    found = [(owner[i], n, np.full(len(i), x)) for i, n, x in subsequences(marks)]
-    mark, number, weight = (np.concatenate(x) for x in zip(*found))
-    used, column = np.unique(number, return_inverse=True)
-    dense = np.zeros((len(used) + 1, len(landmarks)))
-    np.add.at(dense, (column, mark), weight)
-    dense /= norms(marks.length)
-    out = np.zeros((len(some), len(landmarks)))
-    for a in range(0, len(some), chunk):
-        part = _flat_words(some[a : a + chunk])
-        word_of = np.repeat(np.arange(len(part.start)), part.length)
-        for inside, number, weight in subsequences(part):
-            at = np.minimum(np.searchsorted(used, number), len(used) - 1)
-            hit = used[at] == number
-            np.add.at(out, a + word_of[inside[hit]], dense[at[hit]] * weight)
-        out[a : a + chunk] /= norms(part.length)[:, None]
-    return out
-
-
-def squared_hinge(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine with squared hinge loss, by Newton steps."""
-    x = np.c_[z, np.ones(len(z))]
-    w = np.zeros(x.shape[1])
-    diagonal = np.r_[np.full(z.shape[1], ridge), ridge * 1e-3]
+    least = loss(f, w)
     for _ in range(rounds):
-        active = y * (x @ w) < 1
+        active = y * f < 1
         xa = x[active] * weight[active, None]
-        new = np.linalg.solve(xa.T @ x[active] + np.diag(diagonal), xa.T @ y[active])
-        if np.allclose(new, w, atol=1e-9):
+        step = np.linalg.solve(xa.T @ x[active] + np.diag(diagonal), xa.T @ y[active]) - w
+        along, size = x @ step, 1.0
+        while size > 1e-6 and loss(f + size * along, w + size * step) >= least - 1e-9 * abs(least):
+            size /= 2
+        if size <= 1e-6:
             break
-        w = new
-    return w
+        w, f = w + size * step, f + size * along
+        least = loss(f, w)
+    return w[:-1], float(w[-1])
 
 
-def platt(margin: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through margins, with smoothed targets."""
-    positive = label.sum()
-    target = np.where(label == 1, (positive + 1) / (positive + 2), 1 / (len(label) - positive + 2))
-    theta, x = np.array([1.0, 0.0]), np.c_[margin, np.ones(len(margin))]
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-6, x.T @ (target - p))
-        theta = theta + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(theta[0]), float(theta[1])
-
+def logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray | float = 1.0, balance: float = 0.5, ridge: float = 1e-3, rounds: int = 200) -> np.ndarray:
+    """Weights and shift of a logistic curve: Newton steps, halved until the loss falls, so they cannot cycle.
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, bound: int = 20_000, landmarks: int = 128, ridge: float = 0.3) -> Model:
-    """Learn from at most ``bound`` labelled documents outside the held-out fold.
-
-    Each sentence of a clean document is clean; of a toxic document at least one sentence is toxic, by some word of it.
-    Which one is learned in turns: words that toxic documents have far more often are candidates; a support vector machine on
-    the landmark features separates them from words of clean sentences; each toxic document then keeps only its
-    strongest candidate, and the machine is fitted again. Without both labels the score is constant.
+    Rows of label 1 weigh (clean rows / toxic rows) ** balance times their weight. No weight is negative: such a column is left out.
     """
-    wanted = training_rows(labels, "toxic", folds, held_out, bound)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).join(F.broadcast(wanted), "doc_id")
+    use = np.ones(x.shape[1], bool)
+    share = np.where(label == 1, (max(1, (label != 1).sum()) / max(1, (label == 1).sum())) ** balance, 1.0) * weight
+    while True:
+        z = np.c_[x[:, use], np.ones(len(x))]
+        theta = np.zeros(z.shape[1])
+
+        def loss(theta: np.ndarray) -> float:
+            f = z @ theta
+            return float((share * (np.logaddexp(0, f) - label * f)).sum() + ridge * (theta @ theta))
+
+        least = loss(theta)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(z @ theta, -50, 50)))
+            curve = (z * (share * p * (1 - p))[:, None]).T @ z + 2 * ridge * np.eye(len(theta))
+            step = np.linalg.solve(curve, z.T @ (share * (label - p)) - 2 * ridge * theta)
+            size = 1.0
+            while size > 1e-8 and loss(theta + size * step) >= least:
+                size /= 2
+            if size <= 1e-8:
+                break
+            theta = theta + size * step
+            fell, least = least - loss(theta), loss(theta)
+            if fell < 1e-9:
+                break
+        if (theta[:-1] >= 0).all() or not use.any():
+            out = np.zeros(x.shape[1] + 1)
+            out[np.r_[use, True]] = theta
+            return out
+        use[np.flatnonzero(use)[theta[:-1] < 0]] = False
+
+
+def _spelled(rows: DataFrame) -> DataFrame:
+    """(doc_id, label, word): every document's distinct words."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = base.flat(batch.column("t"))
             for a, b in base.parts(offsets, PART_BYTES):
-                w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                use = np.flatnonzero((w.length >= 3) & (w.length <= TRAINING_WORD))
-                raw = w.letters.tobytes()
-                pairs = sorted({(r, raw[s : s + n]) for r, s, n in zip(w.row[use].tolist(), w.start[use].tolist(), w.length[use].tolist())})
-                at = np.array([a + r for r, _ in pairs], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), batch.column("label").take(pa.array(at)), pa.array([x for _, x in pairs], pa.binary())], ["doc_id", "label", "word"])
-
-    spelled = base.stage(rows.mapInArrow(spell, "doc_id long, label int, word binary"))
+                s = Sentences.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                raw = s.words.letters.tobytes()
+                text = [raw[x : x + n] for x, n in zip(s.words.start[s.first].tolist(), s.words.length[s.first].tolist())]
+                at = pa.array(a + s.row)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("label").take(at), pa.array([text[i] for i in s.word.tolist()], pa.binary())], ["doc_id", "label", "word"])
+
+    return rows.mapInArrow(spell, "doc_id long, label int, word binary")
+
+
+def _resemblance(spelled: DataFrame, counted: DataFrame, candidates: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by label, candidate and bin of their largest kernel value with the candidate (values under ``least`` are not counted)."""
+    marks = Landmarks(candidates)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.column("word").to_pylist()
+            for a, k in marks.values(*_flat(some)):
+                word, mark = np.nonzero(k >= least)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("word").take(pa.array(a + word)), pa.array(mark.astype(np.int32)), pa.array(np.minimum(k[word, mark] * BINS, BINS - 1).astype(np.int32))], ["word", "mark", "bin"])
+
+    near = base.stage(counted.select("word").mapInArrow(pairs, "word binary, mark int, bin int"))
+    met = spelled.join(near, "word").groupBy("doc_id", "label", "mark").agg(F.max("bin").alias("bin"))
+    counts = np.zeros((2, len(candidates), BINS))
+    for r in met.groupBy("label", "mark", "bin").count().collect():
+        counts[int(r.label == 1), r.mark, r.bin] += r["count"]
+    return counts[1], counts[0]
+
+
+def _significant(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, tail: float) -> np.ndarray:
+    """Evidence of every candidate: log likelihood ratio of the toxic documents that resemble it more than all but ``tail`` of the clean ones."""
+    above = np.cumsum(clean[:, ::-1], axis=1)[:, ::-1]
+    edge = np.minimum((above > tail * n_clean).sum(axis=1), BINS - 1)
+    at = np.arange(len(edge))
+    found, missed = np.cumsum(toxic[:, ::-1], axis=1)[:, ::-1][at, edge], above[at, edge]
+    expected = (missed + 0.5) / n_clean * n_toxic
+    return np.where(found > expected, found * np.log(np.maximum(found, 1e-9) / expected) - (found - expected), 0.0)
+
+
+def _with_letter(word: bytes, turn: int) -> bytes:
+    """The word with one more letter inside, chosen from its own bytes."""
+    at = 1 + (sum(word) + 7 * turn) % (len(word) - 1)
+    return word[:at] + bytes([97 + (sum(word) * 5 + 11 * turn) % 26]) + word[at:]
+
+
+def _witnesses(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Every document's strongest sentence: label, number of the sentence, landmark features; and the strongest word of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = base.flat(batch.column("t"))
+            for a, b in base.parts(offsets, PART_BYTES):
+                s = Sentences.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                start, length = s.words.start[s.first], s.words.length[s.first]
+                value = np.zeros(len(s.first))
+                for at, k in model.landmarks.values(s.words.letters, start, length):
+                    value[at : at + len(k)] = k**POWER @ model.beta
+                sums = np.bincount(s.sentence, value[s.word], minlength=len(s.sentence_row))
+                best = np.lexsort((-sums, s.sentence_row))
+                best = best[np.r_[True, s.sentence_row[best][1:] != s.sentence_row[best][:-1]]] if len(best) else best
+                rank = np.full(len(sums), -1)
+                rank[best] = np.arange(len(best))
+                entry = np.flatnonzero(rank[s.sentence] >= 0)
+                used, word = np.unique(s.word[entry], return_inverse=True)
+                of = rank[s.sentence[entry]]
+                features = np.zeros((len(best), len(model.beta)), np.float32)
+                for at, k in model.landmarks.values(s.words.letters, start[used], length[used]):
+                    here = (word >= at) & (word < at + len(k))
+                    np.add.at(features, of[here], k[word[here] - at] ** POWER)
+                order = np.lexsort((value[s.word[entry]], of))
+                last = order[np.r_[of[order][1:] != of[order][:-1], True]] if len(order) else order
+                raw = s.words.letters.tobytes()
+                strongest = [raw[start[i] : start[i] + length[i]] for i in s.word[entry[last]].tolist()]
+                first = np.searchsorted(s.sentence_row, np.arange(len(offsets)))
+                row = s.sentence_row[best]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(a + row)), batch.column("label").take(pa.array(a + row)), pa.array((best - first[row]).astype(np.int32)), pa.array([x.tobytes() for x in features], pa.binary()), pa.array(strongest, pa.binary())],
+                    ["doc_id", "label", "sentence", "features", "word"])
+
+    got = rows.mapInArrow(run, "doc_id long, label int, sentence int, features binary, word binary").toArrow()
+    features = np.frombuffer(b"".join(got.column("features").to_pylist()), np.float32).reshape(got.num_rows, len(model.beta))
+    number = np.c_[got.column("doc_id").to_numpy(), got.column("sentence").to_numpy()]
+    return got.column("label").to_numpy(), number, features, got.column("word").to_pylist()
+
+
+def _machine(rows: DataFrame, model: Model, insults: list[tuple[bytes, float]], ridge: float, rounds: int) -> tuple[float, dict[bytes, float]]:
+    """Fit ``model.beta`` in turns: toxic documents bring their strongest sentence, clean ones every sentence that was once their strongest.
+
+    Insults are sentences of one word. Returns the bias and, for the strongest words of
+    the clean sentences, how far they stand above the clean margin.
+    """
+    k = model.landmarks.kernel(model.landmarks.words) ** POWER
+    size, vectors = np.linalg.eigh((k + k.T) / 2)
+    root = vectors[:, size > 1e-3] / np.sqrt(size[size > 1e-3])
+    alone = model.landmarks.kernel([w for w, _ in insults]) ** POWER
+    alone_weight = np.array([n for _, n in insults])
+    clean: dict[tuple[int, int], tuple[np.ndarray, bytes]] = {}
+    bias = 0.0
+    for _ in range(rounds):
+        label, number, features, strongest = _witnesses(rows, model)
+        for i in np.flatnonzero(label != 1):
+            clean.setdefault((int(number[i, 0]), int(number[i, 1])), (features[i], strongest[i]))
+        toxic = features[label == 1]
+        against = np.stack([x for x, _ in clean.values()]) if clean else np.zeros((0, len(model.beta)), np.float32)
+        x = np.r_[toxic.astype(float), alone, against] @ root
+        y = np.r_[np.ones(len(toxic) + len(alone)), -np.ones(len(against))]
+        w, bias = squared_hinge(x, y, np.r_[np.ones(len(toxic)), alone_weight, np.ones(len(against))], ridge)
+        model.beta = root @ w
+    above: dict[bytes, float] = {}
+    for (features, word), value in zip(clean.values(), against @ model.beta + bias):
+        above[word] = above.get(word, 0.0) + max(0.0, float(value) + 1)
+    return bias, above
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, bound: int = 20_000, candidates: int = 400, landmarks: int = 96, clean_landmarks: int = 64, landmark_bytes: int = 64, ridge: float = 0.1) -> Model:
+    """Learn from at most ``bound`` labelled documents outside the held-out fold.
+
+    Landmarks: the ``candidates`` words (of at most ``landmark_bytes``) that toxic documents have most often against clean ones are
+    compared with the words of all training documents; those that toxic documents *resemble* significantly more often stay, and
+    the ``landmarks`` of most evidence that differ from each other are chosen.
+    Sentences: every sentence of a clean document is clean; of a toxic one, the strongest is toxic, which is learned in turns.
+    Insults alone, and insults with a letter put in, are toxic sentences too, so that the machine tolerates insertions.
+    The clean words that the machine rates highest become up to ``clean_landmarks`` further landmarks (one for
+    twenty clean documents), and it is fitted again with the clean sentences it then mistakes.
+    A document's score is a logistic curve over its three strongest sentences. Without both labels, or without
+    any significant word, the score is constant: below 0.5, or above it where no row is clean.
+    """
+    wanted = training_rows(labels, "toxic", folds, held_out, bound)
+    rows = base.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).join(F.broadcast(wanted), "doc_id").repartition(16))
     sizes = {r.label: r.n for r in wanted.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for x, n in sizes.items() if x != 1)
-    table = np.zeros(LETTERS**3, np.float32)
+    constant = Model(None, np.zeros(0), np.r_[np.zeros(STRONGEST), 20.0 if n_toxic and not n_clean else -20.0])
     if not n_toxic or not n_clean:
-        return Model(table, 0.0, 0.0, 20.0 if n_toxic else -20.0)
+        return constant
+    spelled = base.stage(_spelled(rows))
     counted = base.stage(spelled.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("b")))
     odds = F.log((F.col("a") + 0.1) / n_toxic) - F.log((F.col("b") + 0.1) / n_clean)
-    strong = counted.where((F.col("a") >= 2) & (odds > 2.5)).orderBy((odds * F.sqrt("a")).desc(), "word").limit(2000).select("word", "a")
-    clean = counted.where("b > 0 and a <= b").orderBy(F.col("b").desc(), "word").limit(3000).select("word").unionAll(
-        counted.where("b > 0 and a <= b").orderBy(F.xxhash64("word"), "word").limit(12_000).select("word")).distinct()
-    candidate = [bytes(r.word) for r in strong.collect()]
-    negative = sorted(bytes(r.word) for r in clean.collect())
-    if not candidate or not negative:
-        return Model(table, -1.0, 0.0, float(np.log(n_toxic / n_clean)))
-    held = spelled.where("label = 1").join(F.broadcast(strong.select("word")), "word").groupBy("doc_id").agg(F.collect_list("word").alias("words"))
-    number = {x: i for i, x in enumerate(candidate)}
-    bags = [np.array([number[bytes(x)] for x in r.words]) for r in held.select("words").collect()]
-    half = landmarks // 2
-    marks = list(dict.fromkeys([*candidate[:half], *negative[:: max(1, len(negative) // half)][:half]]))
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    z, clean_z = kernel(candidate, marks) @ root, kernel(negative, marks) @ root
-    weight = np.bincount(np.concatenate(bags), minlength=len(candidate)).astype(float)
-    w = np.zeros(z.shape[1] + 1)
-    for _ in range(4):
-        on = weight > 0
-        x, y = np.r_[z[on], clean_z], np.r_[np.ones(on.sum()), -np.ones(len(negative))]
-        share = np.r_[np.sqrt(weight[on]) / np.sqrt(weight[on]).sum(), np.full(len(negative), 1 / len(negative))] * len(negative)
-        w = squared_hinge(x, y, share, ridge)
-        value = z @ w[:-1] + w[-1]
-        strongest = [bag[np.argmax(value[bag])] for bag in bags]
-        weight = np.bincount(strongest, minlength=len(candidate)).astype(float)
-    beta = root @ w[:-1]
-    m = _flat_words(marks)
-    owner = np.repeat(np.arange(len(marks)), m.length)
-    scale = beta / norms(m.length)
-    for inside, found, decay in subsequences(m):
-        np.add.at(table, found, (scale[owner[inside]] * decay).astype(np.float32))
-    model = Model(table, float(w[-1]), 1.0, 0.0)
-    seen = _margins(rows, model, ("label",)).toPandas()
-    model.slope, model.shift = platt(seen["margin"].to_numpy(), (seen["label"] == 1).to_numpy().astype(int))
+    strong = counted.where((F.col("a") >= 2) & (F.length("word") >= 3) & (F.length("word") <= landmark_bytes) & (odds > 2)).orderBy((odds * F.sqrt("a")).desc(), "word").limit(candidates).collect()
+    if not strong:
+        return constant
+    candidate, often = [bytes(r.word) for r in strong], np.array([float(r.a) for r in strong])
+    evidence = _significant(*_resemblance(spelled, counted, candidate, 0.35), n_toxic, n_clean, 0.01)
+    real = np.flatnonzero(evidence > 3)
+    if not len(real):
+        return constant
+    alike = kernel([candidate[i] for i in real], [candidate[i] for i in real]) ** POWER
+    chosen: list[int] = []
+    left = np.ones(len(real))
+    while len(chosen) < min(landmarks, len(real)):
+        best = int(np.argmax(evidence[real] * left))
+        if left[best] <= 1e-6:
+            break
+        chosen.append(best)
+        left = np.minimum(left, 1 - np.minimum(alike[best], 1) ** 2)
+        left[best] = 0
+    insults = [(candidate[i], often[i]) for i in real]
+    insults += [(_with_letter(w, t), 0.25 * n) for w, n in insults if len(w) >= 4 for t in range(2)]
+    model = Model(Landmarks([candidate[real[i]] for i in chosen]), np.full(len(chosen), 1 / len(chosen)))
+    _, above = _machine(rows, model, insults, ridge, 2)
+    known = set(model.landmarks.words)
+    further = [w for w, x in sorted(above.items(), key=lambda p: (-p[1], p[0])) if x > 0 and w not in known and 0 < len(w) <= landmark_bytes][: min(clean_landmarks, n_clean // 20)]
+    model = Model(Landmarks([*model.landmarks.words, *further]), np.r_[model.beta, np.zeros(len(further))])
+    _machine(rows, model, insults, ridge, 3)
+    seen = _strongest(rows, model, ("label",)).toPandas()
+    alone = np.zeros((len(insults), STRONGEST))
+    alone[:, 0] = model.landmarks.kernel([w for w, _ in insults]) ** POWER @ model.beta
+    weight = np.array([n for _, n in insults])
+    x = np.r_[seen[[f"s{i}" for i in range(STRONGEST)]].to_numpy(), alone]
+    label = np.r_[(seen["label"] == 1).to_numpy().astype(float), np.ones(len(alone))]
+    model.theta = logistic(x, label, np.r_[np.ones(len(seen)), weight * n_toxic / weight.sum() / 4])
     return model
 
 
-def _margins(rows: DataFrame, model: Model, keep: tuple[str, ...], text: str = "t") -> DataFrame:
+def _strongest(rows: DataFrame, model: Model, keep: tuple[str, ...], text: str = "t") -> DataFrame:
     kinds = dict(rows.dtypes)
+    names = [f"s{i}" for i in range(STRONGEST)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = base.flat(batch.column(text))
-            margin = [model.margins(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in base.parts(offsets, PART_BYTES)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.concatenate(margin) if margin else np.zeros(0))], [*keep, "margin"])
+            found = [model.strongest(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in base.parts(offsets, PART_BYTES)]
+            found = np.concatenate(found) if found else np.zeros((0, STRONGEST))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(found[:, i]) for i in range(STRONGEST)]], [*keep, *names])
 
-    return rows.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keep], "margin double"]))
+    return rows.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in keep], *[f"{n} double" for n in names]]))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score and predicted (score >= 0.5) of every row, by its whole text (null: empty). No shuffle."""
     names = tuple(f"k{i}" for i in range(len(keep)))
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if "text" in keep else [F.col("text").cast("string").alias("t")]))
-    curve = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.lit(model.slope) * F.col("margin") + F.lit(model.shift)))))
-    found = _margins(rows, model, names, names[keep.index("text")] if "text" in keep else "t")
+    margin = F.lit(float(model.theta[-1]))
+    for i in range(STRONGEST):
+        margin = margin + F.lit(float(model.theta[i])) * F.col(f"s{i}")
+    curve = 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), margin))))
+    found = _strongest(rows, model, names, names[keep.index("text")] if "text" in keep else "t")
     return found.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], curve.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
