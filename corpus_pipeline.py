@@ -65,8 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
+    """Apply the stages to documents; each result is written to the shared folder and read again.
+
+    A stage that keeps no row of a table that had some stops the run: that is a failed model, not a result.
+    """
     docs = base.table(spark, sf_dir, "documents")
-    for _, work in STAGES[:-1]:
+    for name, work in STAGES[:-1]:
+        had_rows = not docs.isEmpty()
         docs = base.stage(work(spark, docs, sf_dir))
+        if had_rows and docs.isEmpty():
+            raise RuntimeError(f"stage {name} kept no document")
     return STAGES[-1][1](spark, docs, sf_dir)
