@@ -24,8 +24,10 @@ LETTERS = 64
 #: Strongest sentences of a document that its score is made of.
 STRONGEST = 3
 PART_BYTES = 1 << 21
-#: Words whose kernel values are computed together.
-CHUNK = 4000
+#: Words that resemble no insult landmark at least this much count nothing.
+ALIKE = 0.4
+#: Words that are compared together, and words whose exact kernel values are computed together.
+SIFTED, CHUNK = 20_000, 4000
 #: Similarity histogram of a landmark candidate: bins between 0 and 1.
 BINS = 100
 
@@ -124,10 +126,11 @@ def norms(owner: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) ->
 
 
 class Landmarks:
-    """Landmark words with their subsequence weights, ready for kernel values."""
+    """Landmark words with their subsequence weights, ready for kernel values. The first ``insults`` of them decide which words count."""
 
-    def __init__(self, some: list[bytes]) -> None:
+    def __init__(self, some: list[bytes], insults: int | None = None) -> None:
         self.words = list(some)
+        self.insults = len(some) if insults is None else insults
         owner, number, weight = subsequences(*framed(*_flat(self.words)))
         used, column = np.unique(number, return_inverse=True)
         self.dense = np.zeros((len(used), len(some)), np.float32)
@@ -135,9 +138,12 @@ class Landmarks:
         self.dense /= norms(owner, number, weight, len(some))
         self.place = np.full(LETTERS**3, -1, np.int32)
         self.place[used] = np.arange(len(used))
+        self.most = np.zeros(LETTERS**3, np.float32)  # largest weight of a subsequence in any insult
+        self.most[used] = self.dense[:, : self.insults].max(axis=1, initial=0)
 
-    def values(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Normalized kernel values of words against the landmarks, a chunk of words at a time: first word, (words, landmarks)."""
+    def exact(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Normalized kernel values of words against the landmarks."""
+        out = np.zeros((len(start), len(self.words)), np.float32)
         for a in range(0, len(start), CHUNK):
             n = min(CHUNK, len(start) - a)
             owner, number, weight = subsequences(*framed(letters, start[a : a + n], length[a : a + n]))
@@ -145,16 +151,39 @@ class Landmarks:
             at = self.place[number]
             hit = np.flatnonzero(at >= 0)
             hit = hit[np.argsort(owner[hit], kind="stable")]
-            out = np.zeros((n, len(self.words)), np.float32)
             if len(hit):
                 own = owner[hit]
                 begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                out[own[begin]] = np.add.reduceat(self.dense[at[hit]] * weight[hit][:, None], begin, axis=0)
-            yield a, np.minimum(out / size[:, None].astype(np.float32), 1)
+                out[a + own[begin]] = np.add.reduceat(self.dense[at[hit]] * weight[hit][:, None], begin, axis=0)
+            out[a : a + n] /= size[:, None]
+        return np.minimum(out, 1, out=out)
+
+    def alike(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that resemble an insult landmark by ``ALIKE`` or more, and their kernel values with all landmarks.
+
+        A word is compared exactly only if its subsequences, each with the largest weight that any insult gives it, could reach that.
+        """
+        found = []
+        for a in range(0, len(start), SIFTED):
+            n = min(SIFTED, len(start) - a)
+            code, owner = framed(letters, start[a : a + n], length[a : a + n])
+            bound, size = np.zeros(len(code), np.float32), np.zeros(len(code), np.float32)
+            for x, y in TRIPLES:
+                if len(code) > y:
+                    value = self.most[(code[:-y] * LETTERS + code[x : len(code) - y + x]) * LETTERS + code[y:]] * np.float32(DECAY ** (y - 2))
+                    inside = owner[y:] == owner[:-y]
+                    bound[:-y] += value * inside
+                    size[:-y] += inside * np.float32(DECAY ** (2 * (y - 2)))
+            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            reach = np.add.reduceat(bound, begin) >= 0.999 * ALIKE * np.sqrt(np.add.reduceat(size, begin))
+            found.append(a + np.flatnonzero(reach))
+        maybe = np.concatenate(found) if found else np.zeros(0, np.int64)
+        k = self.exact(letters, start[maybe], length[maybe])
+        use = k[:, : self.insults].max(axis=1, initial=0) >= ALIKE
+        return maybe[use], k[use]
 
     def kernel(self, some: list[bytes]) -> np.ndarray:
-        parts = [x for _, x in self.values(*_flat(some))]
-        return np.concatenate(parts).astype(float) if parts else np.zeros((0, len(self.words)))
+        return self.exact(*_flat(some)).astype(float)
 
 
 def _flat(some: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,10 +223,10 @@ class Sentences:
         return Sentences(w, first, word[entry], w.row[entry], sentence, row_of)
 
     def values(self, model: Model) -> np.ndarray:
-        """Machine's value (without bias) of every sentence: the sum over its words."""
+        """Machine's value (without bias) of every sentence: the sum over its words that resemble an insult."""
         word = np.zeros(len(self.first))
-        for a, k in model.landmarks.values(self.words.letters, self.words.start[self.first], self.words.length[self.first]):
-            word[a : a + len(k)] = k**POWER @ model.beta
+        at, k = model.landmarks.alike(self.words.letters, self.words.start[self.first], self.words.length[self.first])
+        word[at] = k**POWER @ model.beta
         return np.bincount(self.sentence, word[self.word], minlength=len(self.sentence_row))
 
 
@@ -304,17 +333,16 @@ def _spelled(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(spell, "doc_id long, label int, word binary")
 
 
-def _resemblance(spelled: DataFrame, counted: DataFrame, candidates: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Documents by label, candidate and bin of their largest kernel value with the candidate (values under ``least`` are not counted)."""
+def _resemblance(spelled: DataFrame, counted: DataFrame, candidates: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by label, candidate and bin of their largest kernel value with the candidate (values under ``ALIKE`` are not counted)."""
     marks = Landmarks(candidates)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.column("word").to_pylist()
-            for a, k in marks.values(*_flat(some)):
-                word, mark = np.nonzero(k >= least)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("word").take(pa.array(a + word)), pa.array(mark.astype(np.int32)), pa.array(np.minimum(k[word, mark] * BINS, BINS - 1).astype(np.int32))], ["word", "mark", "bin"])
+            at, k = marks.alike(*_flat(batch.column("word").to_pylist()))
+            word, mark = np.nonzero(k >= ALIKE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word").take(pa.array(at[word])), pa.array(mark.astype(np.int32)), pa.array(np.minimum(k[word, mark] * BINS, BINS - 1).astype(np.int32))], ["word", "mark", "bin"])
 
     near = base.stage(counted.select("word").mapInArrow(pairs, "word binary, mark int, bin int"))
     met = spelled.join(near, "word").groupBy("doc_id", "label", "mark").agg(F.max("bin").alias("bin"))
@@ -350,20 +378,20 @@ def _witnesses(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, n
                 s = Sentences.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 start, length = s.words.start[s.first], s.words.length[s.first]
                 value = np.zeros(len(s.first))
-                for at, k in model.landmarks.values(s.words.letters, start, length):
-                    value[at : at + len(k)] = k**POWER @ model.beta
+                at, k = model.landmarks.alike(s.words.letters, start, length)
+                value[at] = k**POWER @ model.beta
+                powered = np.full(len(s.first), -1)
+                powered[at] = np.arange(len(at))
                 sums = np.bincount(s.sentence, value[s.word], minlength=len(s.sentence_row))
                 best = np.lexsort((-sums, s.sentence_row))
                 best = best[np.r_[True, s.sentence_row[best][1:] != s.sentence_row[best][:-1]]] if len(best) else best
                 rank = np.full(len(sums), -1)
                 rank[best] = np.arange(len(best))
                 entry = np.flatnonzero(rank[s.sentence] >= 0)
-                used, word = np.unique(s.word[entry], return_inverse=True)
                 of = rank[s.sentence[entry]]
                 features = np.zeros((len(best), len(model.beta)), np.float32)
-                for at, k in model.landmarks.values(s.words.letters, start[used], length[used]):
-                    here = (word >= at) & (word < at + len(k))
-                    np.add.at(features, of[here], k[word[here] - at] ** POWER)
+                here = powered[s.word[entry]]
+                np.add.at(features, of[here >= 0], k[here[here >= 0]] ** POWER)
                 order = np.lexsort((value[s.word[entry]], of))
                 last = order[np.r_[of[order][1:] != of[order][:-1], True]] if len(order) else order
                 raw = s.words.letters.tobytes()
@@ -436,7 +464,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, b
     if not strong:
         return constant
     candidate, often = [bytes(r.word) for r in strong], np.array([float(r.a) for r in strong])
-    evidence = _significant(*_resemblance(spelled, counted, candidate, 0.35), n_toxic, n_clean, 0.01)
+    evidence = _significant(*_resemblance(spelled, counted, candidate), n_toxic, n_clean, 0.01)
     real = np.flatnonzero(evidence > 3)
     if not len(real):
         return constant
@@ -456,7 +484,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, b
     _, above = _machine(rows, model, insults, ridge, 2)
     known = set(model.landmarks.words)
     further = [w for w, x in sorted(above.items(), key=lambda p: (-p[1], p[0])) if x > 0 and w not in known and 0 < len(w) <= landmark_bytes][: min(clean_landmarks, n_clean // 20)]
-    model = Model(Landmarks([*model.landmarks.words, *further]), np.r_[model.beta, np.zeros(len(further))])
+    model = Model(Landmarks([*model.landmarks.words, *further], len(chosen)), np.r_[model.beta, np.zeros(len(further))])
     _machine(rows, model, insults, ridge, 3)
     seen = _strongest(rows, model, ("label",)).toPandas()
     alone = np.zeros((len(insults), STRONGEST))
