@@ -133,3 +133,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import token_counts
 
     return token_counts(base.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+RANKED_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+m AS (SELECT doc_id, (50 + (50 * n * n_docs) // n_terms)::BIGINT AS m FROM d, c),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ranked_search import search
+
+    return search(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import edited_texts
+
+    return edited_texts(base.table(spark, sf_dir, "documents"))
