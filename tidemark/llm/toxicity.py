@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import base
+from tidemark.llm import base, terms
 from tidemark.llm.hashing import Hashes
 from tidemark.llm.labelled import fold, training_rows
 
@@ -25,7 +25,9 @@ LETTERS = 64
 STRONGEST = 3
 PART_BYTES = 1 << 21
 #: Words that resemble no insult landmark at least this much count nothing.
-ALIKE = 0.4
+ALIKE = 0.45
+#: Words a task remembers as unlike all insults (a power of two).
+REMEMBERED = 1 << 20
 #: Words that are compared together, and words whose exact kernel values are computed together.
 SIFTED, CHUNK = 20_000, 4000
 #: Similarity histogram of a landmark candidate: bins between 0 and 1.
@@ -141,6 +143,15 @@ class Landmarks:
         self.most = np.zeros(LETTERS**3, np.float32)  # largest weight of a subsequence in any insult
         self.most[used] = self.dense[:, : self.insults].max(axis=1, initial=0)
 
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "_unlike"}
+
+    def remembered(self) -> np.ndarray:
+        """Hashes of words met in this task that resemble no insult, each at its place."""
+        if not hasattr(self, "_unlike"):
+            self._unlike = np.zeros(REMEMBERED, np.uint64)
+        return self._unlike
+
     def exact(self, letters: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Normalized kernel values of words against the landmarks."""
         out = np.zeros((len(start), len(self.words)), np.float32)
@@ -197,37 +208,39 @@ def kernel(some: list[bytes], landmarks: list[bytes]) -> np.ndarray:
 
 
 @dataclass
-class Sentences:
-    """Distinct words of a part of text and, for each document, the sentence of every word's first place."""
+class Found:
+    """The words of a part of text that resemble an insult, each once for every document, at its first place."""
 
-    words: Words
-    first: np.ndarray  # place of every distinct word
-    word: np.ndarray  # distinct word of every entry
     row: np.ndarray
-    sentence: np.ndarray  # numbered from 0 over the part
-    sentence_row: np.ndarray
+    sentence: np.ndarray  # number within the part
+    kernel: np.ndarray  # powered kernel values with all landmarks
+    word: list[bytes]
 
     @staticmethod
-    def of(data: np.ndarray, offsets: np.ndarray) -> Sentences:
-        """A word counts once a document, so repeated lines add nothing."""
+    def of(landmarks: Landmarks, data: np.ndarray, offsets: np.ndarray) -> Found:
+        """A word counts once a document, so repeated lines add nothing. Words already known to be unlike all insults are skipped."""
         w = words(data, offsets)
         if not len(w.start):
-            nothing = np.zeros(0, np.int64)
-            return Sentences(w, nothing, nothing, nothing, nothing, nothing)
-        _, first, word = np.unique(Hashes(w.letters).of(w.start, w.start + w.length), return_index=True, return_inverse=True)
-        _, entry = np.unique(w.row * len(first) + word, return_index=True)
-        entry.sort()
-        known, sentence = np.unique(w.sentence[entry], return_inverse=True)
-        row_of = np.zeros(len(known), np.int64)
-        row_of[sentence] = w.row[entry]
-        return Sentences(w, first, word[entry], w.row[entry], sentence, row_of)
-
-    def values(self, model: Model) -> np.ndarray:
-        """Machine's value (without bias) of every sentence: the sum over its words that resemble an insult."""
-        word = np.zeros(len(self.first))
-        at, k = model.landmarks.alike(self.words.letters, self.words.start[self.first], self.words.length[self.first])
-        word[at] = k**POWER @ model.beta
-        return np.bincount(self.sentence, word[self.word], minlength=len(self.sentence_row))
+            return Found(w.row, w.sentence, np.zeros((0, len(landmarks.words)), np.float32), [])
+        value = Hashes(w.letters).of(w.start, w.start + w.length)
+        known = landmarks.remembered()
+        slot = (value & np.uint64(REMEMBERED - 1)).astype(np.int64)
+        fresh = np.flatnonzero(known[slot] != value)
+        once, first, number = np.unique(value[fresh], return_index=True, return_inverse=True)
+        first = fresh[first]
+        at, k = landmarks.alike(w.letters, w.start[first], w.length[first])
+        like = np.full(len(once), -1)
+        like[at] = np.arange(len(at))
+        unlike = once[like < 0]
+        known[(unlike & np.uint64(REMEMBERED - 1)).astype(np.int64)] = unlike
+        place = np.flatnonzero(like[number] >= 0)
+        which, place = like[number[place]], fresh[place]
+        _, kept = np.unique(w.row[place] * np.int64(max(1, len(at))) + which, return_index=True)
+        kept.sort()
+        which, place = which[kept], place[kept]
+        raw = w.letters.tobytes()
+        text = [raw[x : x + n] for x, n in zip(w.start[first[at]].tolist(), w.length[first[at]].tolist())]
+        return Found(w.row[place], w.sentence[place], k[which] ** POWER, [text[i] for i in which.tolist()])
 
 
 @dataclass
@@ -237,14 +250,17 @@ class Model:
     theta: np.ndarray = field(default_factory=lambda: np.zeros(STRONGEST + 1))  # of the strongest sentences; the last is the shift
 
     def strongest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Largest sentence values of every row, in falling order (no sentence: 0)."""
+        """Largest sentence values of every row, in falling order; a sentence's value is the sum over its words, at least 0."""
         out = np.zeros((len(offsets) - 1, STRONGEST))
         if self.landmarks is None:
             return out
-        s = Sentences.of(data, offsets)
-        value = s.values(self)
-        order = np.lexsort((-value, s.sentence_row))
-        row = s.sentence_row[order]
+        f = Found.of(self.landmarks, data, offsets)
+        known, sentence = np.unique(f.sentence, return_inverse=True)
+        row = np.zeros(len(known), np.int64)
+        row[sentence] = f.row
+        value = np.maximum(np.bincount(sentence, f.kernel @ self.beta, minlength=len(known)), 0)
+        order = np.lexsort((-value, row))
+        row = row[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         top = rank < STRONGEST
         out[row[top], rank[top]] = value[order[top]]
@@ -324,11 +340,14 @@ def _spelled(rows: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = base.flat(batch.column("t"))
             for a, b in base.parts(offsets, PART_BYTES):
-                s = Sentences.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                raw = s.words.letters.tobytes()
-                text = [raw[x : x + n] for x, n in zip(s.words.start[s.first].tolist(), s.words.length[s.first].tolist())]
-                at = pa.array(a + s.row)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("label").take(at), pa.array([text[i] for i in s.word.tolist()], pa.binary())], ["doc_id", "label", "word"])
+                w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(w.start):
+                    continue
+                _, first, word = np.unique(Hashes(w.letters).of(w.start, w.start + w.length), return_index=True, return_inverse=True)
+                entry = np.unique(w.row * len(first) + word)
+                text = terms.as_array(w.letters, w.start[first], w.start[first] + w.length[first]).cast(pa.binary())
+                at = pa.array(a + entry // len(first))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("label").take(at), text.take(pa.array(entry % len(first)))], ["doc_id", "label", "word"])
 
     return rows.mapInArrow(spell, "doc_id long, label int, word binary")
 
@@ -369,37 +388,36 @@ def _with_letter(word: bytes, turn: int) -> bytes:
 
 
 def _witnesses(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Every document's strongest sentence: label, number of the sentence, landmark features; and the strongest word of it."""
+    """Every document's strongest sentence: label, number of the sentence, landmark features; and the strongest word of it.
+
+    A document without any word that resembles an insult brings an empty sentence.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = base.flat(batch.column("t"))
             for a, b in base.parts(offsets, PART_BYTES):
-                s = Sentences.of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                start, length = s.words.start[s.first], s.words.length[s.first]
-                value = np.zeros(len(s.first))
-                at, k = model.landmarks.alike(s.words.letters, start, length)
-                value[at] = k**POWER @ model.beta
-                powered = np.full(len(s.first), -1)
-                powered[at] = np.arange(len(at))
-                sums = np.bincount(s.sentence, value[s.word], minlength=len(s.sentence_row))
-                best = np.lexsort((-sums, s.sentence_row))
-                best = best[np.r_[True, s.sentence_row[best][1:] != s.sentence_row[best][:-1]]] if len(best) else best
-                rank = np.full(len(sums), -1)
-                rank[best] = np.arange(len(best))
-                entry = np.flatnonzero(rank[s.sentence] >= 0)
-                of = rank[s.sentence[entry]]
-                features = np.zeros((len(best), len(model.beta)), np.float32)
-                here = powered[s.word[entry]]
-                np.add.at(features, of[here >= 0], k[here[here >= 0]] ** POWER)
-                order = np.lexsort((value[s.word[entry]], of))
-                last = order[np.r_[of[order][1:] != of[order][:-1], True]] if len(order) else order
-                raw = s.words.letters.tobytes()
-                strongest = [raw[start[i] : start[i] + length[i]] for i in s.word[entry[last]].tolist()]
-                first = np.searchsorted(s.sentence_row, np.arange(len(offsets)))
-                row = s.sentence_row[best]
+                f = Found.of(model.landmarks, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                value = f.kernel @ model.beta
+                known, sentence = np.unique(f.sentence, return_inverse=True)
+                row = np.zeros(len(known), np.int64)
+                row[sentence] = f.row
+                features = np.zeros((len(known), len(model.beta)), np.float32)
+                np.add.at(features, sentence, f.kernel)
+                best = np.full(b - a, -1)
+                order = np.lexsort((features @ model.beta, row))
+                best[row[order]] = order  # the last of a row is its strongest
+                top = np.full(len(known), -1)
+                order = np.lexsort((value, sentence))
+                top[sentence[order]] = order
+                has = best >= 0
+                out = np.zeros((b - a, len(model.beta)), np.float32)
+                out[has] = features[best[has]]
+                first = np.searchsorted(row, np.arange(b - a))
+                number = np.where(has, best - first, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(a + row)), batch.column("label").take(pa.array(a + row)), pa.array((best - first[row]).astype(np.int32)), pa.array([x.tobytes() for x in features], pa.binary()), pa.array(strongest, pa.binary())],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), pa.array(number.astype(np.int32)), pa.array([x.tobytes() for x in out], pa.binary()),
+                     pa.array([f.word[top[i]] if i >= 0 else b"" for i in best.tolist()], pa.binary())],
                     ["doc_id", "label", "sentence", "features", "word"])
 
     got = rows.mapInArrow(run, "doc_id long, label int, sentence int, features binary, word binary").toArrow()
