@@ -165,3 +165,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fingerprints import edited_texts
 
     return edited_texts(base.table(spark, sf_dir, "documents"))
+
+
+@query("op13_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.variants import variants
+
+    return variants(base.table(spark, sf_dir, "documents"))
