@@ -89,8 +89,9 @@ def test_lookup_ignores_input_order(spark, data):
 def test_global_rank_and_top_fraction(spark):
     values = [5, 5, 5, 5, 1, 2, 9, 9, 3, 7]
     d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, v double")
-    for r in R.global_rank(d, "v", blocks=4).collect():
-        assert r.rank_min == 1 + sum(1 for q in values if q < r.v) and r.total == len(values)
+    for rows in (1, 2, 200_000):
+        for r in R.global_rank(d, "v", block_rows=rows).collect():
+            assert r.rank_min == 1 + sum(1 for q in values if q < r.v) and r.total == len(values)
     assert sorted(r.v for r in R.top_fraction(d, "v", 1, 10).collect()) == [9.0, 9.0]
     assert sorted(r.v for r in R.top_fraction(d, "v", 4, 10).collect()) == [5.0, 5.0, 5.0, 5.0, 7.0, 9.0, 9.0]
 

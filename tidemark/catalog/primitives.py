@@ -338,11 +338,11 @@ def _(s, d):
 
 @query("jn_9_range_overlap", sql("""SELECT a.series, count(*) AS n, min(greatest(a.f, b.f)) AS first_from, count(*) FILTER (WHERE a.t IS NULL AND b.t IS NULL) AS open_ends FROM
     (SELECT series, f, lead(f) OVER (PARTITION BY series ORDER BY f) AS t FROM (SELECT DISTINCT user_id AS series, CAST(ts AS DATE) AS f FROM ev WHERE event_type = 'purchase')) a JOIN
-    (SELECT f, lead(f) OVER (ORDER BY f) AS t FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) + INTERVAL 8000 DAY AS f FROM orders WHERE o_orderkey % 40 = 0) x) b
+    (SELECT f, lead(f) OVER (ORDER BY f) AS t FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) + INTERVAL 8000 DAY AS f FROM orders) x) b
     ON (b.t IS NULL OR a.f < b.t) AND (a.t IS NULL OR b.f < a.t) GROUP BY 1"""))
 def _(s, d):
     own = D.ev(s, d).where("event_type = 'purchase'").select(F.col("user_id").alias("series"), F.to_date("ts").alias("af")).distinct()
-    base = D.table(s, d, "orders").where("o_orderkey % 40 = 0").select(F.lit("base").alias("base"), F.date_add(F.col("o_orderdate").cast("date"), 8000).alias("bf")).distinct()
+    base = D.table(s, d, "orders").select(F.lit("base").alias("base"), F.date_add(F.col("o_orderdate").cast("date"), 8000).alias("bf")).distinct()
     hits = R.overlaps(R.to_ranges(own, ["series"], "af", "at"), R.to_ranges(base, ["base"], "bf", "bt"), ("af", "at"), ("bf", "bt"))
     both_open = F.col("at").isNull() & F.col("bt").isNull()
     return hits.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min(F.greatest("af", "bf")).cast("timestamp_ntz").alias("first_from"), F.sum(both_open.cast("long")).alias("open_ends"))

@@ -53,8 +53,10 @@ def parked(s, d):
         F.concat_ws(":", F.col("user_id").cast("string"), (F.col("k") % 10).cast("string")).alias("dep_key"), "event_id", F.col("ts").alias("at"),
         F.timestamp_micros(F.unix_micros("ts") + F.when((F.col("event_type") == "purchase") & (F.col("k") % 7 == 0), 24 * 86_400_000_000).otherwise(0)).alias("arrived"))
     out = scratch(s)
-    run(s, d, replay(s, rows, "arrived").drop("arrived"), J.park(out, ["dep_key"], "event_id", 3 * 86_400, 5 * 86_400))
-    return J.settle(s, out)
+    # every fourth event is delivered again with the last files
+    again = rows.where("event_id % 4 = 0").withColumn("arrived", F.lit(END))
+    run(s, d, replay(s, rows.unionByName(again), "arrived").drop("arrived"), J.park(out, ["dep_key"], "event_id", 3 * 86_400, 5 * 86_400))
+    return J.settle(s, out, rows.drop("arrived").schema)
 
 
 add("dep", "SELECT user_id || ':' || (k % 10) AS dep_key, ts AS at2 FROM ev WHERE event_type = 'click'")
@@ -109,7 +111,32 @@ def _(s, d):
     # another user's score of the same purchase serves nobody
     other = p.where("k % 5 = 3").select(F.lit("partner").alias("side"), "event_id", (F.col("user_id") + 1).alias("user_id"), F.col("occurred_at").alias("at"), none.alias("cash_value"), profit.alias("predicted_profit"))
     run(s, d, replay(s, buy.unionByName(other), "at"), J.park(out, ["event_id", "user_id"], "event_id", 2 * 3600, 0))
-    return J.sla_value(J.settle(s, out), 1.0)
+    return J.sla_value(J.settle(s, out, buy.schema), 1.0)
+
+
+@query("str_3b_dead_letters", sql("""SELECT event_id, CASE WHEN k % 6 < 3 THEN 'accepted' ELSE 'dead_letter' END AS output, CAST(least(k % 6, 3) AS INT) AS attempts FROM ev WHERE event_type IN ('purchase', 'error')"""))
+def _(s, d):
+    out = scratch(s)
+    rows = D.ev(s, d).where("event_type in ('purchase', 'error')").select("event_id", "k", "ts")
+    # a row goes through once it has failed k % 6 times; three failures are the limit
+    sink = J.retry(out, lambda x: x.withColumn("failed", F.col("attempts") < F.col("k") % 6), 3)
+    run(s, d, replay(s, rows, "ts"), sink)
+    empty = s.createDataFrame([], rows.schema)
+    for batch in (3, 4, 5):  # the sweeps after the stream's last batch
+        sink(empty, batch)
+    read = lambda n: s.read.parquet(f"{out}/{n}").select("event_id", F.lit(n).alias("output"), "attempts")
+    return read("dead_letter").unionByName(read("accepted"))
+
+
+@query("str_7b_first_decision", sql("""SELECT user_id, min(ts) AS decided_at, arg_min(k, (ts, event_id)) AS value FROM ev WHERE event_type = 'purchase' GROUP BY user_id"""))
+def _(s, d):
+    out = scratch(s)
+    rows = D.ev(s, d).where("event_type = 'purchase'").select("user_id", F.col("ts").alias("decided_at"), "event_id", F.col("k").alias("value"))
+    proposals = replay(s, rows, "decided_at")
+    run(s, d, proposals, J.decide_once(out, "user_id", "decided_at", 3650))
+    # the whole stream once more, with other values: nothing changes
+    J.decide_once(out, "user_id", "decided_at", 3650)(rows.withColumn("value", F.col("value") + 1), 3)
+    return s.read.parquet(out).select("user_id", "decided_at", "value")
 
 
 @query("str_8_held_queue", sql("""SELECT event_id, platform, CASE WHEN skip IS NOT NULL THEN 'skipped' WHEN fix AND platform <> 'meta' THEN 'held' ELSE 'pending' END AS status FROM (SELECT *, CASE WHEN platform <> 'meta' AND platform <> 'google_ads' THEN 'platform_disabled' WHEN NOT send THEN 'no'

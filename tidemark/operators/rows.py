@@ -92,25 +92,56 @@ def to_ranges(df: DataFrame, keys: Sequence[str], start: str, end_name: str) ->
     return df.withColumn(end_name, F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
 
 
-def overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], block_days: int = 31) -> DataFrame:
-    """All pairs of overlapping half-open date ranges (an open end is NULL), as an equality join on blocks of days.
-
-    Each range is filed under the blocks it touches, open ends up to the last start of either side, and a pair counts in the first
-    block it shares. Empty ranges overlap nothing.
+#: Lengths of the blocks that date ranges are cut into: 1, 2, 4, ... days, the longest longer than all the dates there are.
+LEVELS = 22
+
+
+def _pieces(first: Column, last: Column) -> Column:
+    """Aligned blocks (level, number) that make up the days ``first`` to ``last`` exactly: at most two of each length."""
+    out = []
+    for level in range(LEVELS):
+        size = F.lit(1 << level)
+        # whole blocks of this length inside the range; an odd one at either end is in no longer block inside it
+        low, high = F.ceil(first / size), F.floor((last + 1) / size)
+        left = (low < high) & (F.pmod(low, F.lit(2)) == 1)
+        right = (low + left.cast("int") < high) & (F.pmod(high, F.lit(2)) == 1)
+        for use, number in ((left, low), (right, high - 1)):
+            out.append(F.when(use, F.struct(F.lit(level).alias("level"), number.cast("bigint").alias("number"))))
+    return F.array_compact(F.array(*out))
+
+
+def points_in_ranges(points: DataFrame, day: str, ranges: DataFrame, ends: tuple[str, str], on: Sequence[str] = ()) -> DataFrame:
+    """Every point with the half-open date ranges (an open end is NULL) that hold its day, as an equality join.
+
+    A range is cut into the aligned blocks of 1, 2, 4, ... days that make it up (at most two of each length), a point is filed
+    under the block of each length that some range uses, and they meet on (length, block) and the columns ``on``. Exactly one
+    block of a range holds a given day, so no pair is met twice, and a long range is a few rows whatever its length.
+    """
+    start, end = F.col(ends[0]), F.col(ends[1])
+    farthest = points.agg(F.max(day)).first()[0]
+    final = F.least(F.coalesce(F.date_sub(end, 1), F.lit(farthest)), F.lit(farthest))
+    number = lambda c: F.unix_date(c).cast("bigint")
+    real = ranges.where((end.isNull() | (start < end)) & (start <= F.lit(farthest)))
+    cut = real.withColumn("_piece", F.explode(_pieces(number(start), number(final)))).withColumn("_level", F.col("_piece.level")).withColumn("_block", F.col("_piece.number")).drop("_piece")
+    used = sorted(r[0] for r in cut.select("_level").distinct().collect())  # at most LEVELS + 1
+    levels = F.array(*[F.lit(x) for x in used]) if used else F.array().cast("array<int>")
+    filed = points.withColumn("_level", F.explode(levels)).withColumn("_block", F.floor(number(F.col(day)) / F.pow(F.lit(2.0), F.col("_level"))).cast("bigint"))
+    return filed.join(cut, [*on, "_level", "_block"]).drop("_level", "_block")
+
+
+def overlaps(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], on: Sequence[str] = ()) -> DataFrame:
+    """All pairs of overlapping half-open date ranges (an open end is NULL), as two equality joins of starts and ranges.
+
+    Two ranges overlap where the later start lies in the other range: the starts of one side are looked up in the ranges of
+    the other (equal starts by the first look only), so no pair is met twice. ``on``: columns that must be equal too. Empty
+    ranges overlap nothing.
     """
-    last = max((x for x in (left.agg(F.max(a[0])).first()[0], right.agg(F.max(b[0])).first()[0]) if x is not None), default=None)
-    block = lambda d: F.floor(F.unix_date(d) / block_days).cast("int")
-
-    def filed(df: DataFrame, ends: tuple[str, str], name: str) -> DataFrame:
-        start, end = F.col(ends[0]), F.col(ends[1])
-        final = F.least(F.coalesce(F.date_sub(end, 1), F.lit(last)), F.lit(last))
-        real = df.where(end.isNull() | (start < end))
-        return real.withColumn(name, F.explode(F.sequence(block(start), F.greatest(block(start), block(final)))))
-
-    x, y = filed(left, a, "_lb"), filed(right, b, "_rb")
-    meet = (F.col(b[1]).isNull() | (F.col(a[0]) < F.col(b[1]))) & (F.col(a[1]).isNull() | (F.col(b[0]) < F.col(a[1])))
-    first = F.col("_lb") == block(F.greatest(F.col(a[0]), F.col(b[0])))
-    return x.join(y, F.col("_lb") == F.col("_rb")).where(meet & first).drop("_lb", "_rb")
+    real = lambda df, ends: df.where(F.col(ends[1]).isNull() | (F.col(ends[0]) < F.col(ends[1])))
+    x, y = real(left, a), real(right, b)
+    late_right = points_in_ranges(y, b[0], x, a, on)
+    late_left = points_in_ranges(x, a[0], y, b, on).where(F.col(a[0]) > F.col(b[0]))
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    return late_right.select(*columns).unionByName(late_left.select(*columns))
 
 
 def valid_on(day: Column, start: Column, end: Column) -> Column:

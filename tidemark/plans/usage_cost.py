@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.segments import CAPABILITY_PATTERN, parse_business_type
-from tidemark.operators.rows import bounded, keep_first, keep_first_counted
+from tidemark.operators.rows import keep_first, keep_first_counted
 from tidemark.params import Params
 
 # Vendor by price-source pattern, first match wins (fixed values).
@@ -61,18 +61,27 @@ def price_settings(costs: DataFrame, p: Params) -> DataFrame:
 def wildcard_match(df: DataFrame, rules: DataFrame, dims: Sequence[str], rule_id: str) -> DataFrame:
     """Best rule per row where a NULL dimension matches anything; more named dimensions win, then the id.
 
-    The rows are matched by their distinct dimension values, so the rule table meets
-    few combinations however many rows there are.
+    Rules are indexed by the set of dimensions they name: each set is one equality join of the rows' distinct dimension values with the
+    best rule per value, so rules and rows never meet all with all, whatever the number of rules.
     """
     combos = df.select(*dims).distinct()
-    r = rules.select(*[F.col(c).alias("r_" + c) for c in dims], rule_id)
-    on = F.lit(True)
-    named = F.lit(0)
-    for c in dims:
-        on = on & (F.col("r_" + c).isNull() | (F.col("r_" + c) == F.col(c)))
-        named = named + F.col("r_" + c).isNotNull().cast("int")
-    hits = combos.join(bounded(r, 10_000), on).groupBy(*dims).agg(F.min(F.struct((-named).alias("n"), rule_id)).alias("m"))
-    best = hits.select(*[F.col(c).alias("_" + c) for c in dims], F.col(f"m.{rule_id}").alias(rule_id))
+    named = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(i)) for i, c in enumerate(dims)]))
+    sets = [tuple(r[0]) for r in rules.select(named.alias("s")).distinct().collect()]  # at most 2^dimensions
+    found = combos
+    candidates = []
+    for number, places in enumerate(sorted(sets)):
+        some = [dims[i] for i in places]
+        best = rules.where(named == F.array(*[F.lit(i) for i in places]) if places else F.size(named) == 0).groupBy(*[F.col(c).alias(f"_{number}_{c}") for c in some]).agg(F.min(rule_id).alias(f"_rule{number}"))
+        if some:
+            on = F.lit(True)
+            for c in some:
+                on = on & (F.col(c) == F.col(f"_{number}_{c}"))
+            found = found.join(best, on, "left").drop(*[f"_{number}_{c}" for c in some])
+        else:
+            found = found.withColumn(f"_rule{number}", F.lit(best.first()[0]))
+        candidates.append(F.when(F.col(f"_rule{number}").isNotNull(), F.struct(F.lit(-len(places)).alias("n"), F.col(f"_rule{number}").alias("id"))))
+    choice = F.array_min(F.array_compact(F.array(*candidates)))["id"] if candidates else F.lit(None).cast(dict(rules.dtypes)[rule_id])
+    best = found.select(*[F.col(c).alias("_" + c) for c in dims], choice.alias(rule_id))
     match = F.lit(True)
     for c in dims:
         match = match & F.col(c).eqNullSafe(F.col("_" + c))

@@ -47,26 +47,54 @@ def overwrite_days(df: DataFrame, path: str, day: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
-def append_new(log_path: str, df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> int:
+KEY_BUCKET = "key_bucket"
+
+
+def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The bucket of every row's key: what a keyed log is partitioned by."""
+    return df.withColumn(KEY_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a partitioned table holds any partition (an empty write leaves none)."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found is not None and len(found) > 0
+
+
+def logged(spark: SparkSession, path: str, rows: DataFrame, schema: str, **partitions: str) -> DataFrame | None:
+    """The rows of a bucketed log that can hold the keys of ``rows``: only their buckets are listed and read (None: no log yet).
+
+    ``rows`` carries the bucket column; ``partitions`` are further partition columns and their types.
+    """
+    if not has_rows(spark, path):
+        return None
+    met = [r[0] for r in rows.select(KEY_BUCKET).distinct().collect()]  # at most one a bucket
+    columns = ", ".join([schema, f"{KEY_BUCKET} int", *[f"{n} {t}" for n, t in partitions.items()]])
+    return spark.read.schema(columns).parquet(path).where(F.col(KEY_BUCKET).isin(met))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A bucketed log without its bucket column."""
+    return spark.read.parquet(path).drop(KEY_BUCKET)
+
+
+def append_new(log_path: str, df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int = 64) -> int:
     """Append rows whose keys are not logged yet; running it again adds nothing.
 
-    Of several rows with one key the first by ``order`` (by default: all columns) is taken.
+    Of several rows with one key the first by ``order`` (by default: all columns) is taken. The log is partitioned by a
+    hash of the key, so a load reads the keys of its own buckets only; ``buckets`` is fixed with the first load: choose it so
+    that a small load meets a small part of the log.
     """
     spark = df.sparkSession
-    firsts = keep_first(df, list(keys), [F.col(c) for c in (order or df.columns)])
-    try:
-        log = spark.read.parquet(log_path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        new = firsts
-    else:
-        new = firsts.join(log.select(*keys), list(keys), "left_anti")
+    kinds = dict(df.dtypes)
+    firsts = stage(with_bucket(keep_first(df, list(keys), [F.col(c) for c in (order or df.columns)]), keys, buckets))
+    log = logged(spark, log_path, firsts, ", ".join(f"`{c}` {kinds[c]}" for c in keys))
     # the rows read depend on the table being written: fix them before appending
-    fixed = stage(new)
+    fixed = firsts if log is None else stage(firsts.join(log.select(*keys), list(keys), "left_anti").select(*firsts.columns))
     count = fixed.count()
     if count:
-        fixed.write.mode("append").parquet(log_path)
+        fixed.repartition(KEY_BUCKET).write.mode("append").partitionBy(KEY_BUCKET).parquet(log_path)
     return count
 
 
@@ -126,15 +154,19 @@ def expire(df: DataFrame, day: str, today: datetime, days: int) -> DataFrame:
     return df.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), days))
 
 
-def drop_days(spark: SparkSession, path: str, day: str, values: Sequence[date]) -> None:
-    """Delete whole partitions of a day-partitioned table."""
+#: Folder value of a partition whose column is NULL.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def drop_days(spark: SparkSession, path: str, day: str, values: Sequence[date | None]) -> None:
+    """Delete whole partitions of a day-partitioned table (None: the rows without a day)."""
     for value in values:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={value.isoformat()}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={NO_VALUE if value is None else value.isoformat()}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def erase_table(spark: SparkSession, path: str, day: str, requests: DataFrame, now: datetime, older_than_hours: int) -> list[date]:
-    """Erase the settled requests from a day-partitioned table in place; returns the days that were touched.
+def erase_table(spark: SparkSession, path: str, day: str, requests: DataFrame, now: datetime, older_than_hours: int) -> list[date | None]:
+    """Erase the settled requests from a day-partitioned table in place; returns the days that were touched (None: undated rows).
 
     Only days that hold rows to erase are rewritten: what stays is written aside first, then replaces the days, and days
     that end up empty are deleted. Running it again, also after a failure half-way, ends in the same table.
@@ -144,8 +176,10 @@ def erase_table(spark: SparkSession, path: str, day: str, requests: DataFrame, n
     due = requests.where(F.unix_micros("requested_at") <= F.unix_micros(F.lit(now)) - older_than_hours * 3_600_000_000)
     touched = [r[0] for r in table.join(due.select("user_id").distinct(), "user_id", "left_semi").select(day).distinct().collect()]  # one row per day
     if touched:
+        dated = F.col(day).isin([x for x in touched if x is not None]) if any(x is not None for x in touched) else F.lit(False)
+        affected = F.coalesce(dated, F.lit(False)) | (F.col(day).isNull() & F.lit(None in touched))
         aside = f"{checkpoint_folder(spark)}/aside/{uuid.uuid4().hex}"
-        keep.where(F.col(day).isin(touched)).write.parquet(aside)
+        keep.where(affected).write.parquet(aside)
         rest = spark.read.parquet(aside)
         left = {r[0] for r in rest.select(day).distinct().collect()}
         overwrite_days(rest, path, day)
@@ -156,8 +190,8 @@ def erase_table(spark: SparkSession, path: str, day: str, requests: DataFrame, n
 
 
 def expire_table(spark: SparkSession, path: str, day: str, today: datetime, days: int) -> list[date]:
-    """Delete the partitions the retention rule no longer keeps; returns their days."""
+    """Delete the partitions the retention rule no longer keeps, rows without a day among them (nothing shows that they may stay); returns their days."""
     first = today.date() - timedelta(days=days)
-    gone = [r[0] for r in spark.read.parquet(path).select(day).distinct().collect() if r[0] is not None and r[0] < first]  # one row per day
+    gone = [r[0] for r in spark.read.parquet(path).select(day).distinct().collect() if r[0] is None or r[0] < first]  # one row per day
     drop_days(spark, path, day, gone)
     return gone

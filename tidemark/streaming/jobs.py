@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.rows import keep_first
+from tidemark.sinks.tables import KEY_BUCKET, has_rows, logged, with_bucket
 
 
 def dedup(stream: DataFrame, key: str, received: str, remember: str = "35 days") -> DataFrame:
@@ -17,52 +18,57 @@ def dedup(stream: DataFrame, key: str, received: str, remember: str = "35 days")
     return stream.withWatermark(received, remember).dropDuplicatesWithinWatermark([key])
 
 
-def park(folder: str, keys: Sequence[str], event_id: str, max_park_s: int, look_back_s: int, disorder_s: int = 3600) -> Callable[[DataFrame, int], None]:
+def _put(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+    """Write a batch's own partitions of a table; a replay overwrites them."""
+    df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "batch_id").parquet(path)
+
+
+def _of_batch(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """A batch's own partition of a table, read without listing the others (none: no rows)."""
+    one = f"{path}/batch_id={batch_id}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(one)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(one)
+
+
+def park(folder: str, keys: Sequence[str], event_id: str, max_park_s: int, look_back_s: int, disorder_s: int = 3600, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that holds each event until its partner or its deadline, and loses none.
 
     The stream carries both sides: ``side`` ('event' or 'partner'), the join ``keys``, ``event_id``, ``at`` and payload
     columns. A waiting event is resolved by the earliest partner of its keys within [at - look back, at + park]; other partners
     of the key do not hide it. Once the largest time seen has passed the deadline by ``disorder_s`` it leaves as
     degraded; until then it is parked. Nothing is dropped as late: an event that arrives after its deadline is joined with the stored
-    partners like any other and leaves in the same batch.
+    partners like any other and leaves in the same batch. An event is decided once: ids are kept in a log
+    bucketed by their hash, and a delivery of a decided id is dropped after a look into its bucket. A delivery of a parked id
+    changes nothing, so the deadline never slides.
 
-    Every batch owns one partition of each table (partners, parked, clock, out), so a replayed batch changes nothing.
-    Only partners that can still serve a waiting event are read.
+    Every batch owns one partition of each table (partners by day, parked, clock, decided, out), so a replayed batch changes
+    nothing. Partners are read by day partition: only those that can still serve a waiting event.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-
-        def put(df: DataFrame, name: str) -> None:
-            df.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{folder}/{name}")
-
-        def earlier(name: str, schema) -> DataFrame | None:
-            try:
-                return spark.read.schema(schema).parquet(f"{folder}/{name}")
-            except Exception as error:
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-                return None
-
         rows = batch.persist()
-        stored = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
-        put(rows.where("side = 'partner'"), "partners")
-        clock_schema = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("batch_id", T.LongType())])
-        clocks = earlier("clock", clock_schema)
-        seen = rows.agg(F.max("at").alias("at"))
-        if clocks is not None:
-            seen = seen.unionByName(clocks.where(F.col("batch_id") < batch_id).select("at")).agg(F.max("at").alias("at"))
-        clock = seen.first()["at"]
-        waiting = rows.where("side = 'event'")
-        held = earlier("parked", stored)
-        if held is not None:
-            waiting = waiting.unionByName(held.where(F.col("batch_id") == batch_id - 1).drop("batch_id"))
-        waiting = waiting.dropDuplicates([event_id]).persist()
-        oldest = waiting.agg(F.min("at")).first()[0]
+        dated = T.StructType([*batch.schema.fields, T.StructField("day", T.DateType()), T.StructField("batch_id", T.LongType())])
+        _put(rows.where("side = 'partner'").withColumn("day", F.to_date("at")), f"{folder}/partners", batch_id, "day")
+        # the clock only grows: the batch before holds the largest time so far
+        before = _of_batch(spark, f"{folder}/clock", T.StructType([T.StructField("at", T.TimestampType())]), batch_id - 1)
+        clock = rows.select("at").unionByName(before).agg(F.max("at")).first()[0]
+        arrived = with_bucket(rows.where("side = 'event'"), [event_id], buckets)
+        known_ids = logged(spark, f"{folder}/decided", arrived, f"`{event_id}` {dict(batch.dtypes)[event_id]}", batch_id="bigint")
+        if known_ids is not None:
+            arrived = arrived.join(known_ids.where(F.col("batch_id") < batch_id).select(event_id), event_id, "left_anti")
+        waiting = arrived.select(*batch.columns, F.lit(1).alias("_new"))
+        waiting = waiting.unionByName(_of_batch(spark, f"{folder}/parked", batch.schema, batch_id - 1).withColumn("_new", F.lit(0)))
+        waiting = keep_first(waiting, [event_id], [F.col("_new"), F.col("at")]).drop("_new").persist()
+        oldest, newest = waiting.agg(F.min("at"), F.max("at")).first()
         payload = [c for c in batch.columns if c not in (*keys, event_id, "side", "at")]
-        partners = earlier("partners", stored).where(F.col("batch_id") <= batch_id)
-        if oldest is not None:
-            partners = partners.where(F.unix_micros("at") >= F.unix_micros(F.lit(oldest)) - look_back_s * 1_000_000)
+        if oldest is None or not has_rows(spark, f"{folder}/partners"):
+            partners = spark.createDataFrame([], dated)
+        else:
+            days = F.col("day").between(F.lit((oldest - timedelta(seconds=look_back_s)).date()), F.lit((newest + timedelta(seconds=max_park_s)).date()))
+            partners = spark.read.schema(dated).parquet(f"{folder}/partners").where(days & (F.col("batch_id") <= batch_id))
         p = partners.select(*keys, F.struct(F.col("at").alias("partner_at"), *payload).alias("partner"))
         gap = F.unix_micros("partner.partner_at") - F.unix_micros("at")
         near = (gap <= max_park_s * 1_000_000) & (gap >= -look_back_s * 1_000_000)
@@ -71,9 +77,10 @@ def park(folder: str, keys: Sequence[str], event_id: str, max_park_s: int, look_
         over = F.unix_micros("at") + (max_park_s + disorder_s) * 1_000_000 < F.unix_micros(F.lit(clock))
         status = F.when(F.col("partner").isNotNull(), "resolved").when(over, "degraded")
         decided = known.withColumn("status", status).persist()
-        put(decided.where("status is not null").drop("side"), "out")
-        put(decided.where("status is null").select(*batch.columns), "parked")
-        put(spark.createDataFrame([(clock,)], "at timestamp"), "clock")
+        _put(decided.where("status is not null").drop("side"), f"{folder}/out", batch_id)
+        _put(decided.where("status is null").select(*batch.columns), f"{folder}/parked", batch_id)
+        _put(spark.createDataFrame([(clock,)], "at timestamp"), f"{folder}/clock", batch_id)
+        _put(with_bucket(decided.where("status is not null").select(event_id), [event_id], buckets), f"{folder}/decided", batch_id, KEY_BUCKET)
         for x in (decided, waiting, rows):
             x.unpersist()
 
@@ -98,12 +105,29 @@ def park_and_join(events: DataFrame, partners: DataFrame, key: str, received: st
     return left.join(right, on, "left_outer").withColumn("status", status).drop("_salt", "_ps", "_pk")
 
 
-def settle(spark: SparkSession, folder: str) -> DataFrame:
-    """All decided events; those still parked count as degraded, for a stream that has ended."""
-    out = spark.read.parquet(f"{folder}/out").drop("batch_id")
-    held = spark.read.parquet(f"{folder}/parked")
-    last = held.where(F.col("batch_id") == (spark.read.parquet(f"{folder}/clock").agg(F.max("batch_id")).first()[0]))
-    return out.unionByName(last.drop("batch_id", "side").withColumn("status", F.lit("degraded")), allowMissingColumns=True)
+def settle(spark: SparkSession, folder: str, stream_schema: T.StructType) -> DataFrame:
+    """All decided events; those still parked count as degraded, for a stream that has ended.
+
+    ``stream_schema`` is the schema of the stream given to ``park``: with it the tables can be read even where one was never filled.
+    """
+    fields = [f for f in stream_schema.fields if f.name != "side"]
+    batch = T.StructField("batch_id", T.LongType())
+    number = spark.read.schema(T.StructType([batch])).parquet(f"{folder}/clock").agg(F.max("batch_id")).first()[0]
+    held = spark.read.schema(T.StructType([*fields, batch])).parquet(f"{folder}/parked").where(F.col("batch_id") == number)
+    still = held.drop("batch_id").withColumn("status", F.lit("degraded"))
+    partner = _partner_type(stream_schema, folder, spark)
+    out = spark.read.schema(T.StructType([*fields, *partner, T.StructField("status", T.StringType()), batch])).parquet(f"{folder}/out").drop("batch_id")
+    return out.unionByName(still, allowMissingColumns=True)
+
+
+def _partner_type(stream_schema: T.StructType, folder: str, spark: SparkSession) -> list[T.StructField]:
+    """The partner column as written, read from a table that has rows; before any decision it is unknown and left out."""
+    try:
+        return [f for f in spark.read.parquet(f"{folder}/out").schema.fields if f.name == "partner"]
+    except Exception as error:
+        if "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return []
 
 
 def split_outputs(folder: str, bad: str) -> Callable[[DataFrame, int], None]:
@@ -121,22 +145,67 @@ def split_outputs(folder: str, bad: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def first_write_wins(folder: str, key: str, order: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+def first_write_wins(folder: str, key: str, order: Sequence[str] = (), buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """foreachBatch ledger: a key is written once, by the first batch that brings it and the first row by ``order``
-    (by default: all columns) in it."""
+    (by default: all columns) in it.
+
+    The ledger is partitioned by a hash of the key: a batch looks only into the buckets of its own keys.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = with_bucket(keep_first(batch, [key], [F.col(c) for c in (order or batch.columns)]), [key], buckets).persist()
+        # rows of this very batch (a replay) do not count as earlier writes
+        known = logged(batch.sparkSession, folder, rows, f"`{key}` {dict(batch.dtypes)[key]}", batch_id="bigint")
+        new = rows if known is None else rows.join(known.where(F.col("batch_id") < batch_id).select(key), key, "left_anti")
+        _put(new.select(*rows.columns), folder, batch_id, KEY_BUCKET)
+        rows.unpersist()
+
+    return write
+
+
+def decide_once(folder: str, key: str, at: str, remember_days: int, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of decisions that never change: the first proposal of a key to arrive is stored (within a batch the first by
+    ``at``), later ones are ignored, whatever they say.
+
+    A proposal meets the decisions dated from ``remember_days`` before it on; beyond that it is a new decision. Decisions
+    are partitioned by day and by a hash of the key, so a batch reads the days within memory and the buckets of
+    its keys, and expiry deletes whole days (``sinks.tables.expire_table`` with the column ``day``).
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        firsts = keep_first(batch, [key], [F.col(at), *[F.col(c) for c in batch.columns if c not in (key, at)]])
+        rows = with_bucket(firsts.withColumn("day", F.to_date(at)), [key], buckets).persist()
+        first = rows.agg(F.min("day")).first()[0]
+        stored = logged(batch.sparkSession, folder, rows, f"`{key}` {dict(batch.dtypes)[key]}", day="date", batch_id="bigint")
+        new = rows
+        if stored is not None and first is not None:
+            live = stored.where((F.col("batch_id") < batch_id) & (F.col("day") >= F.lit(first - timedelta(days=remember_days))))
+            remembered = live.select(F.col(key).alias("_key"), F.col("day").alias("_day"))
+            new = rows.join(remembered, (F.col(key) == F.col("_key")) & (F.col("day") <= F.date_add("_day", remember_days)), "left_anti")
+        _put(new.select(*rows.columns), folder, batch_id, "day", KEY_BUCKET)
+        rows.unpersist()
+
+    return write
+
+
+def retry(folder: str, failing: Callable[[DataFrame], DataFrame], max_attempts: int) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that tries rows again in later batches and gives them up after ``max_attempts`` failures.
+
+    ``failing`` adds a boolean column ``failed`` to rows that carry ``attempts`` (failures so far). A failed row is kept with one more
+    attempt and tried with the next batch; its last allowed failure moves it to the dead letters, with the number
+    of attempts. Each row stands alone: one that fails holds back no other. Every batch owns one partition of each table
+    (accepted, retry, dead_letter), so a replayed batch changes nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = keep_first(batch, [key], [F.col(c) for c in (order or batch.columns)])
-        try:
-            # rows of this very batch (a replay) do not count as earlier writes
-            known = spark.read.parquet(folder).where(F.col("batch_id") < batch_id).select(key)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            rows = rows.join(known, key, "left_anti")
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(folder)
+        rows = batch.withColumn("attempts", F.lit(0))
+        rows = rows.unionByName(_of_batch(spark, f"{folder}/retry", rows.schema, batch_id - 1))
+        tried = failing(rows).withColumn("failed", F.coalesce("failed", F.lit(True))).withColumn("attempts", F.col("attempts") + F.col("failed").cast("int")).persist()
+        _put(tried.where("not failed").drop("failed"), f"{folder}/accepted", batch_id)
+        _put(tried.where(F.col("failed") & (F.col("attempts") >= max_attempts)).drop("failed"), f"{folder}/dead_letter", batch_id)
+        _put(tried.where(F.col("failed") & (F.col("attempts") < max_attempts)).drop("failed"), f"{folder}/retry", batch_id)
+        tried.unpersist()
 
     return write
 
