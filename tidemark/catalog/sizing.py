@@ -43,10 +43,11 @@ def _(s, d):
 
 
 @query("siz_2_blocker_proxy", sql("""SELECT CAST(date_trunc('week', signup_at) AS DATE) AS signup_week, count(*) AS signups, count(*) FILTER (WHERE NOT seen) AS without_events, count(*) FILTER (WHERE pays) AS payers, count(*) FILTER (WHERE pays AND NOT seen) AS payers_without_events, 100 * count(*) FILTER (WHERE NOT seen) / count(*) AS pct_without_events
-    FROM (SELECT *, EXISTS (SELECT 1 FROM ev e WHERE e.user_id = s.user_id AND e.event_type = 'error' AND e.ts >= s.signup_at - INTERVAL 1 DAY AND e.ts < s.signup_at + INTERVAL 7 DAY) AS seen, EXISTS (SELECT 1 FROM purchase p WHERE p.user_id = s.user_id AND p.cash_minor > 15000) AS pays FROM signup s) GROUP BY 1"""))
+    FROM (SELECT *, EXISTS (SELECT 1 FROM ev e WHERE e.user_id = s.user_id AND e.event_type <> 'signup' AND e.ts >= s.signup_at - INTERVAL 1 DAY AND e.ts < s.signup_at + INTERVAL 7 DAY) AS seen, EXISTS (SELECT 1 FROM purchase p WHERE p.user_id = s.user_id AND p.cash_minor > 0) AS pays FROM signup s) GROUP BY 1"""))
 def _(s, d):
-    e = D.ev(s, d).where("event_type = 'error'").select("user_id", F.col("ts").alias("event_time"))
-    return Z.blocker_proxy(D.signup(s, d), e, D.purchase(s, d).where("cash_minor > 15000"))
+    # product events: all but the signup itself; payers: whoever paid anything
+    e = D.ev(s, d).where("event_type <> 'signup'").select("user_id", F.col("ts").alias("event_time"))
+    return Z.blocker_proxy(D.signup(s, d), e, D.purchase(s, d).where("cash_minor > 0"))
 
 
 @query("siz_3_landing_context", sql("""SELECT landing_context, count(*) AS devices, count(*) FILTER (WHERE paid) AS with_paid_click, count(*) FILTER (WHERE si) AS signed_in, count(*) FILTER (WHERE paid AND NOT si) AS paid_never_signed_in, 100 * count(*) FILTER (WHERE si) / count(*) AS pct_signed_in FROM (SELECT CASE WHEN k % 3 = 0 THEN 'in_app_browser (user agent)' WHEN k % 7 IN (0, 3) THEN 'social_referrer (proxy)' ELSE 'other' END AS landing_context,

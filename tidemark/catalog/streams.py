@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from tidemark.catalog.sinks import scratch
 from tidemark.plans.dispatch import dispatch_plan
 from tidemark.sinks import tables as K
 from tidemark.sources import driver_tables as D
+from tidemark.streaming import held as H
 from tidemark.streaming import jobs as J
 
 END = datetime(2024, 6, 1)
@@ -144,10 +145,16 @@ def _(s, d):
     WHEN TIMESTAMP '2024-01-28' > occurred_at + to_seconds(least(days * 86400, CASE WHEN twin AND tw IS NOT NULL THEN tw ELSE days * 86400 END)) THEN 'no' WHEN fix AND platform = 'meta' AND occurred_at < TIMESTAMP '2024-01-27' THEN 'no' END AS skip FROM dspc WHERE k % 2 = 0)"""))
 def _(s, d):
     live = D.seed_from(s, [("purchase_first", "meta", "2024-01-27 00:00:00")], "event_name string, platform string, live_at timestamp")
-    held = decided(s, d).withColumn("next_at", F.when(F.col("k") % 2 == 0, F.lit(DISPATCH_NOW)).otherwise(F.lit(END))).withColumn("value_pending", F.lit(False))
-    # re-deciding a due row is the same plan as its first decision
-    again = dispatch_plan(J.due(held, DISPATCH_NOW), DISPATCH_NOW, ("meta", "google_ads"), live, True, True)
-    return again.select("event_id", "platform", "status")
+    # every second purchase is due at the time of dispatch, the others stay in the state
+    held = decided(s, d).withColumn("next_at", F.when(F.col("k") % 2 == 0, F.lit(DISPATCH_NOW)).otherwise(F.lit(END))).withColumn("value_pending", F.lit(False)).withColumn("received_at", F.col("occurred_at"))
+    nothing = {"event_id": F.lit("clock"), "platform": F.lit("clock"), "next_at": F.lit(END), "received_at": F.lit(DISPATCH_NOW + timedelta(days=9))}
+    clock = s.range(1).select(*[nothing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in held.schema.fields])
+    out = scratch(s)
+    due = H.due_sends(replay(s, held.unionByName(clock), "received_at"), ["event_id", "platform"], "next_at", "received_at", "0 seconds")
+    # deciding a due row is the same plan as its first decision, as of its check
+    sink = H.decide_due(out, lambda rows, now: dispatch_plan(rows, now, ("meta", "google_ads"), live, True, True), "next_at", "received_at", 3600)
+    H.run_held(due, sink, scratch(s), J.state_partitions_for(D.table(s, d, "events").count()))
+    return s.read.parquet(f"{out}/checked").select("event_id", "platform", "status")
 
 
 @query("str_9_latest_state", sql("SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type FROM ev GROUP BY 1"))

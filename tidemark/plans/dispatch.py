@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -61,11 +61,11 @@ def platform_consent(x: DataFrame, regulated: Sequence[str], unknown_region: str
     return x.withColumn("block_reason", reason).withColumn("consent_mode", mode)
 
 
-def dispatch_plan(x: DataFrame, now: datetime, enabled: Sequence[str], fixes_live: DataFrame, multi_source: bool, dedup_verified: bool, skew_seconds: int = 300) -> DataFrame:
+def dispatch_plan(x: DataFrame, now: datetime | Column, enabled: Sequence[str], fixes_live: DataFrame, multi_source: bool, dedup_verified: bool, skew_seconds: int = 300) -> DataFrame:
     """Status and reason per event x platform, in the order the rules apply.
 
     Needs the columns of ``expand_mapping`` (send, max_age_days, twin_window_seconds, browser_twin, twin_observed, requires_web_fix)
-    and of ``platform_consent``; ``fixes_live``: event_name, platform, live_at.
+    and of ``platform_consent``; ``fixes_live``: event_name, platform, live_at. ``now``: a time, or a column with each row's own.
     """
     y = x.join(bounded(fixes_live), ["event_name", "platform"], "left")
     us = lambda c: F.unix_micros(c)

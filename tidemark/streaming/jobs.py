@@ -254,11 +254,6 @@ def touched_days(source: DataFrame, uploaded: str, day: str, now: datetime, look
     return known.where(fresh_day).join(F.broadcast(days), day, "left_semi")
 
 
-def due(held: DataFrame, now: datetime) -> DataFrame:
-    """Held rows whose re-check time has come."""
-    return held.where(F.col("next_at") <= F.lit(now))
-
-
 def run_once(
     stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", state_partitions: int | None = None,
 ) -> None:
