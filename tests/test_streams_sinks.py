@@ -209,6 +209,17 @@ def test_rows_without_a_day_are_erased(spark, tmp_path):
     assert [r.user_id for r in spark.read.parquet(path).collect()] == [3]
 
 
+def test_a_hot_key_is_spread(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 700).cast("string"))).alias("k"), F.col("id").alias("i"))
+    side = spark.range(700).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([("hot", -1)], "k string, v long"))
+    small, large = R.lookup(rows, side, ["k"]), R.lookup(rows, side, ["k"], max_rows=10)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) and large.columns == small.columns and large.count() == 20_000
+    # the join's input as it is shuffled: no piece of the hot key holds much of it
+    keyed = rows.withColumn("p", F.when(F.col("k") == "hot", F.pmod(F.xxhash64("k", "i"), F.lit(64)))).groupBy("k", "p").count()
+    assert keyed.agg(F.max("count")).first()[0] < 2 * 18_000 / 64
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+
+
 def test_speculative_loads_by_header(spark):
     names = ("sec_purpose", "purpose", "x_purpose", "x_moz")
     cases = [("sec_purpose", "prefetch;anonymous-client-ip", False), ("purpose", "prefetch", False), ("purpose", "prefetch;x", True), ("x_purpose", "Preview ", False), ("x_moz", "prefetch", False), ("x_moz", "preview", True)]

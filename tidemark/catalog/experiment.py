@@ -98,10 +98,10 @@ def _(s, d):
 
 @query("expt_2_allocation_log", sql("SELECT r.user_id, l.flag_key, l.arm, l.slice AS allocation_slice, l.prob AS assignment_probability FROM exposure r JOIN alloc_log l ON l.flag_key = r.flag_key AND l.valid_from <= CAST(r.first_exposed_at AS DATE) AND (l.valid_to IS NULL OR CAST(r.first_exposed_at AS DATE) < l.valid_to)"))
 def _(s, d):
-    from tidemark.operators.rows import valid_on
+    from tidemark.operators.rows import points_in_ranges
     log = E.allocation_log(s, D.seed_from(s, LOG, LOG_DDL)).withColumnRenamed("arm", "log_arm")
-    x = readout(s, d).select("user_id", "flag_key", F.to_date("first_exposed_at").alias("day")).join(F.broadcast(log), "flag_key")
-    return x.where(valid_on(F.col("day"), F.col("valid_from"), F.col("valid_to"))).select("user_id", "flag_key", F.col("log_arm").alias("arm"), "allocation_slice", "assignment_probability")
+    x = readout(s, d).select("user_id", "flag_key", F.to_date("first_exposed_at").alias("day"))
+    return points_in_ranges(x, "day", log, ("valid_from", "valid_to"), ["flag_key"]).select("user_id", "flag_key", F.col("log_arm").alias("arm"), "allocation_slice", "assignment_probability")
 
 
 add("rflag", """SELECT flag_key, avg(CASE WHEN is_scored THEN paid::INT END) AS w, var_samp(resid) AS rv, count(resid) AS rn, avg(cov) FILTER (WHERE is_matured) AS cm,

@@ -95,7 +95,7 @@ def _(s, d):
 def _(s, d):
     # every customer with the rate periods of the currency it pays in
     c = D.table(s, d, "customer").select("c_custkey", D.pick(F.col("c_custkey") % 6, D.CURRENCIES).alias("currency"))
-    return c.join(F.broadcast(fx(s)), "currency").select("c_custkey", "currency", "valid_from", "valid_to", F.col("reporting_per_unit").alias("per_unit"), F.col("minor_unit_digits").alias("digits"))
+    return c.join(fx(s), "currency").select("c_custkey", "currency", "valid_from", "valid_to", F.col("reporting_per_unit").alias("per_unit"), F.col("minor_unit_digits").alias("digits"))
 
 
 @query("prj_16_classification", sql("SELECT invoice_id, event_name FROM pur WHERE NOT is_pack"))

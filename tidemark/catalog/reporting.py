@@ -86,10 +86,22 @@ def _(s, d):
     return x.select("platform", "purchases", F.round("truth_value", 2).alias("truth_value"), F.round("warehouse_value", 2).alias("warehouse_value"), "platform_conversions", F.round("platform_value", 2).alias("platform_value"))
 
 
-@query("rpt_6b_waterfall_question", sql("SELECT 13 AS step_order, 'platform_reported' AS step_name, dn::DOUBLE AS conversions_delta, round(dv, 2) AS value_delta FROM rsum WHERE base = 'a' AND platform = 'meta' AND m = DATE '2024-01-01'"))
+add("wqf", "SELECT *, in_scope AND can_send AS sent, in_scope AND can_send AND delivered AS got, round(rule_value, 2) AS rv, round(sent_value, 2) AS sv FROM rfact WHERE platform = 'meta'")
+add("wqu", """SELECT count(*) AS n, sum(net) AS net, sum(gross) AS gross, count(*) FILTER (WHERE in_scope) AS scope_n, sum(gross) FILTER (WHERE in_scope) AS scope_v, count(*) FILTER (WHERE sent) AS sent_n, sum(gross) FILTER (WHERE sent) AS sent_v, sum(epp) FILTER (WHERE sent) AS counted_n,
+    sum(gross * epp) FILTER (WHERE sent) AS counted_v, sum(rv * epp) FILTER (WHERE sent) AS valued_v, sum(epp) FILTER (WHERE got) AS got_n, sum(sv * epp) FILTER (WHERE got) AS got_v FROM wqf WHERE mu = DATE '2024-01-01'""")
+add("wqa", "SELECT sum(epp) FILTER (WHERE got) AS n, sum(sv * epp) FILTER (WHERE got) AS v FROM wqf WHERE ma = DATE '2024-01-01'")
+add("wqt", "SELECT count(*) AS n, sum(cash_minor / 100.0::DOUBLE) AS v FROM purchase WHERE occurred_at >= TIMESTAMP '2024-01-01' AND occurred_at < TIMESTAMP '2024-02-01'")
+# meta values a purchase by its lifetime where known, so that and the stated value are the same state
+add("wqs", """SELECT 1 AS o, 'stripe_truth' AS name, 'source' AS grp, n, v FROM wqt UNION ALL SELECT 2, 'warehouse_vs_stripe', 'pipeline', n, net FROM wqu UNION ALL SELECT 3, 'refunds_not_netted', 'valuation', n, gross FROM wqu UNION ALL SELECT 4, 'out_of_scope_purchase_types', 'definition', scope_n, scope_v FROM wqu
+    UNION ALL SELECT 5, 'blocked_users', 'delivery', sent_n, sent_v FROM wqu UNION ALL SELECT 6, 'double_counting', 'counting', counted_n, counted_v FROM wqu UNION ALL SELECT 7, 'ltv_in_value', 'valuation', counted_n, valued_v FROM wqu UNION ALL SELECT 8, 'value_not_sent', 'valuation', counted_n, valued_v FROM wqu
+    UNION ALL SELECT 9, 'fallback_misvaluation', 'valuation', got_n, got_v FROM wqu UNION ALL SELECT 10, 'time_zone', 'reporting', n, v FROM wqa""")
+
+
+@query("rpt_6b_waterfall_question", sql("""SELECT o AS step_order, name AS step_name, grp AS step_group, (n - coalesce(lag(n) OVER (ORDER BY o), 0))::DOUBLE AS conversions_delta, round(v - coalesce(lag(v) OVER (ORDER BY o), 0), 2) + 0.0 AS value_delta, round(v, 2) + 0.0 AS value_running FROM wqs
+    UNION ALL SELECT 11, 'modeled_platform_report', 'total', n::DOUBLE, round(v, 2), round(v, 2) FROM wqa UNION ALL SELECT 12, 'residual', 'residual', 0, 0, round(v, 2) FROM wqa UNION ALL SELECT 13, 'platform_reported', 'total', n::DOUBLE, round(v, 2), round(v, 2) FROM wqa"""))
 def _(s, d):
-    x = T.waterfall_question(R.waterfall(reconcile.wide(s, d)), date(2024, 1, 1), "meta", "tag_received").where("step_name = 'platform_reported'")
-    return x.select("step_order", "step_name", "conversions_delta", F.round("value_delta", 2).alias("value_delta"))
+    x = T.waterfall_question(R.waterfall(reconcile.wide(s, d)), date(2024, 1, 1), "meta", "tag_received")
+    return x.select("step_order", "step_name", "step_group", "conversions_delta", (F.round("value_delta", 2) + 0.0).alias("value_delta"), (F.round("value_running", 2) + 0.0).alias("value_running"))
 
 
 @query("rpt_7_arm_question", sql("SELECT arm, n AS exposed_users, round(rate, 4) AS conversion_rate FROM rci WHERE flag_key LIKE '%image'"))

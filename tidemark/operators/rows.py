@@ -33,6 +33,25 @@ def bounded(df: DataFrame, max_rows: int = REFERENCE_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def lookup(df: DataFrame, side: DataFrame, keys: Sequence[str], heavy_share: float = 0.02, salts: int = 64, max_rows: int = REFERENCE_ROWS) -> DataFrame:
+    """Left join with a side of one row a key, whatever share of the rows one key holds.
+
+    A side within ``max_rows`` is broadcast, so nothing is shuffled by key. Beyond that, keys that hold more than ``heavy_share`` of the rows
+    (at most 1 / heavy_share of them, found by counting) are spread over ``salts`` pieces and their side rows repeated for each.
+    """
+    on = list(keys)
+    if side.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(side), on, "left")
+    total = df.count()
+    heavy = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > F.lit(heavy_share * total)).select(*on).withColumn("_heavy", F.lit(True))
+    hot = F.broadcast(heavy)
+    piece = F.when(F.col("_heavy"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    rows = df.join(hot, on, "left").withColumn("_piece", piece).drop("_heavy")
+    pieces = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = side.join(hot, on, "left").withColumn("_piece", F.explode(pieces)).drop("_heavy")
+    return rows.join(spread, [*on, "_piece"], "left").drop("_piece")
+
+
 def anti(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_anti")
 

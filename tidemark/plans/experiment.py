@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import keep_first, valid_on
+from tidemark.operators.rows import bounded, keep_first, valid_on
 from tidemark.operators.running import Agg, lookup
 from tidemark.params import Params
 from tidemark.plans.scores_24h import fees
@@ -33,7 +33,7 @@ def propensity(x: DataFrame, log: DataFrame) -> DataFrame:
     """Attach the assignment probability in force on the exposure date (NULL when not logged)."""
     g = log.select(F.col("flag_key").alias("_f"), F.col("arm").alias("_a"), F.col("allocation_slice").alias("_s"), "valid_from", "valid_to", F.col("assignment_probability").alias("propensity"), "data_origin")
     on = (F.col("flag_key") == F.col("_f")) & (F.col("arm") == F.col("_a")) & (F.col("allocation_slice") == F.col("_s")) & valid_on(F.col("exposure_date"), F.col("valid_from"), F.col("valid_to"))
-    y = x.join(g, on, "left").drop("_f", "_a", "_s", "valid_from", "valid_to")
+    y = x.join(bounded(g), on, "left").drop("_f", "_a", "_s", "valid_from", "valid_to")
     return y.withColumn("propensity_source", F.when(F.col("propensity").isNotNull(), F.coalesce("data_origin", F.lit("allocation_log"))).otherwise("unavailable")).drop("data_origin")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import anti, bounded, keep_first, key_map, link, overlaps, to_ranges, valid_on
+from tidemark.operators.rows import anti, bounded, keep_first, key_map, link, lookup, overlaps, to_ranges, valid_on
 from tidemark.operators.running import Agg, latest, running
 from tidemark.params import Params
 from tidemark.sinks.tables import stage
@@ -57,7 +57,7 @@ def mark_first(df: DataFrame, key: str, order: Sequence[str], name: str) -> Data
 def line_evidence(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per invoice: new and old plan line, pack quantity and unknown prices, in one aggregation."""
     cat = catalog.select("price_id", "item_type", F.col("plan_tier").alias("t"), F.col("billing_interval").alias("bi"), F.col("plan_tier_code").alias("tc"))
-    x = lines.join(cat, "price_id", "left")
+    x = lookup(lines, cat, ["price_id"])
     plan = F.col("item_type") == "plan"
     up = F.struct((-F.col("amount_minor")).alias("a"), F.col("line_id").alias("l"), "t", "bi", "tc")
     down = F.struct(F.col("amount_minor").alias("a"), F.col("line_id").alias("l"), "t")
@@ -72,7 +72,7 @@ def line_evidence(lines: DataFrame, catalog: DataFrame) -> DataFrame:
 def subscription_states(changes: DataFrame, items: DataFrame, catalog: DataFrame) -> DataFrame:
     """Plan and pack quantity after each subscription change."""
     cat = catalog.select("price_id", "item_type", "plan_tier", "billing_interval", "plan_tier_code")
-    x = items.select("stripe_event_id", "price_id", "quantity").join(cat, "price_id", "left")
+    x = lookup(items.select("stripe_event_id", "price_id", "quantity"), cat, ["price_id"])
     plan = F.col("item_type") == "plan"
     agg = x.groupBy("stripe_event_id").agg(
         F.sum(F.when(F.col("item_type") == "credit_pack", F.col("quantity"))).alias("q"),

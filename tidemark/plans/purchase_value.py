@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import quantiles
+from tidemark.operators.rows import lookup, quantiles
 from tidemark.operators.running import Agg, Facts, lookup_many, running
 from tidemark.params import Params, Z_BY_COVERAGE
 from tidemark.plans.identity import arm_facts, click_facts, utm_facts
@@ -44,7 +44,7 @@ def purchase_features(purch: DataFrame, usage: DataFrame, exposures: DataFrame,
             *[F.col(f"_a{i}.arm").alias(f"arm_{i}") for i in range(len(flags))]]
     month = F.col("event_name").isin("purchase_first", "purchase_renewal") & (F.col("billing_interval") == "month")
     x = running(x.select(*keep), ["user_id"], "occurred_at", ["event_id"], [Agg("previous_purchases", "count"), Agg("paid_months_before", "sum", F.when(month, 1).otherwise(0))])
-    x = x.join(countries, "user_id", "left").join(catalog, ["plan_tier", "billing_interval"], "left")
+    x = lookup(x.join(countries, "user_id", "left"), catalog, ["plan_tier", "billing_interval"])
     known = F.col("country_known_at") <= F.col("occurred_at")
     kind = F.when((F.col("event_name") == "purchase_one_time_pack") | F.col("billing_interval").isNull(), "pack").when(F.col("billing_interval") == "year", "annual").otherwise("monthly")
     for c in ("generations_before", "credits_before", "video_credits_before", "cost_before_micros", "paid_credits_before", "previous_purchases", "paid_months_before"):

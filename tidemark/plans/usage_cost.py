@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.functions.segments import CAPABILITY_PATTERN, parse_business_type
-from tidemark.operators.rows import keep_first, keep_first_counted
+from tidemark.operators.rows import keep_first, keep_first_counted, lookup
 from tidemark.params import Params
 
 # Vendor by price-source pattern, first match wins (fixed values).
@@ -125,8 +125,9 @@ def generation_cost(details: DataFrame, refunds: DataFrame, prices: DataFrame, o
         F.col("vendor").alias("cs_vendor"), F.col("vendor_discount_pct").alias("cs_discount"))
     mean = prices.groupBy(F.col("business_type").alias("cost_business_type")).agg(
         F.avg("list_cost_per_credit_usd").alias("mean_cpc"), F.max("vendor").alias("mean_vendor"), F.max("vendor_discount_pct").alias("mean_discount"))
-    x = g.join(failed, ["user_id", "business_type", "business_id"], "left").join(exact, ["cost_business_type", "costed_unit_credits"], "left")
-    x = x.join(cheapest, "cost_business_type", "left").join(mean, "cost_business_type", "left")
+    # a few capabilities hold most of the usage: prices are broadcast, or their hot keys spread
+    x = lookup(g.join(failed, ["user_id", "business_type", "business_id"], "left"), exact, ["cost_business_type", "costed_unit_credits"])
+    x = lookup(x, mean.join(cheapest, "cost_business_type", "left"), ["cost_business_type"])
     best = override_for(x.select("cost_business_type", "em_setting", "day").distinct(), overrides).select(
         F.col("cost_business_type").alias("_b"), F.col("em_setting").alias("_s"), F.col("day").alias("_d"), "override_id", "o_setting", "route",
         "override_vendor", "unit_cost_usd", "cost_per_credit_usd", "discount_pct")
