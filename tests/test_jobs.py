@@ -3,6 +3,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,16 @@ def test_p_best_is_seeded_and_ordered(spark):
     assert a == b and a["good"][0] > 0.99 and a["bad"][1] == pytest.approx(10, abs=1.5)
 
 
+@pytest.mark.parametrize("alpha,beta", [(3.0, 4.0), (20.0, 50.0), (0.7, 1.0)])
+def test_posterior_draws_have_their_distribution(spark, alpha, beta):
+    """P(one arm beats a fixed one) is a Student t tail: compared with draws of the same posterior by another generator."""
+    post = spark.createDataFrame([("f", "t", "a", 1.0, 4.0, alpha, beta), ("f", "t", "b", 0.0, 1e12, 50.0, 1.0)], "flag_key string, target string, arm string, mu double, kappa double, alpha double, beta double")
+    got = {r.arm: r.p_best for r in A.p_best(post, 20_000, 11).collect()}
+    rng = np.random.default_rng(0)
+    other = 1.0 + np.sqrt(beta / rng.gamma(alpha, 1.0, 400_000) / 4.0) * rng.standard_normal(400_000)
+    assert got["a"] == pytest.approx((other > 0).mean(), abs=0.015) and got["a"] + got["b"] == pytest.approx(1)
+
+
 def test_value_bucket_edges(spark):
     x = spark.createDataFrame([(None,), (-1.0,), (0.0,), (0.5,), (1.0,), (1.2,), (1.19,), (1.44,)], "v double").select(AU.value_bucket(F.col("v")).alias("b"))
     assert [r.b for r in x.collect()] == ["none", "0", "0", "<1", "0", "1", "0", "2"]

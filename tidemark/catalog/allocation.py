@@ -168,9 +168,17 @@ def _(s, d):
     return p.select("flag_key", "target", "arm", F.round("mu", 2).alias("mu"), F.round("kappa", 4).alias("kappa"), F.round("alpha", 4).alias("alpha"))
 
 
-@query("expt_26_p_best")
+add("npost", """SELECT i.flag_key, i.target, i.arm, CASE WHEN ne > 0 THEN (20 * g.mu + ne * mean) / (20 + ne) ELSE g.mu END AS mu, 20 + CASE WHEN ne > 0 THEN ne ELSE 0 END AS kappa, 2 + CASE WHEN ne > 0 THEN ne / 2 ELSE 0 END AS alpha,
+    s2 + CASE WHEN ne > 0 THEN ne * var / 2 + 20 * ne * power(mean - g.mu, 2) / (2 * (20 + ne)) ELSE 0 END AS beta FROM ipw i JOIN gpost g USING (flag_key, arm)""")
+_U = "((('0x' || substr(md5('7|' || flag_key || '|' || target || '|' || arm || '|' || draw || '|{}|' || {}), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE"
+_Z = lambda purpose, j: f"sqrt(-2 * ln({_U.format(purpose, j)})) * cos(2 * pi() * ({_U.format(purpose + 1, j)}))"
+add("ngam", f"""SELECT *, 1 + z / sqrt(9 * dd) AS root, power(1 + z / sqrt(9 * dd), 3) AS v FROM (SELECT p.*, draw, j, alpha - 1.0::DOUBLE / 3 AS dd, {_Z(0, 'j')} AS z, {_U.format(2, 'j')} AS u FROM npost p, range(0, 2000) r(draw), range(0, 12) c(j))""")
+add("ndraw", f"""SELECT *, mu + sqrt(beta / gam / kappa) * {_Z(3, 0)} AS x FROM (SELECT flag_key, target, arm, mu, kappa, alpha, beta, draw, coalesce(arg_min(dd * v, j) FILTER (WHERE root > 0 AND ln(u) < 0.5 * z * z + dd - dd * v + dd * ln(CASE WHEN root > 0 THEN v ELSE 1 END)), arg_max(dd * v, j)) AS gam FROM ngam GROUP BY ALL)""")
+
+
+@query("expt_26_p_best", sql("SELECT flag_key, target, arm, avg((x = top)::INT) AS p_best, round(avg(top - x), 4) AS expected_loss FROM (SELECT *, max(x) OVER (PARTITION BY flag_key, target, draw) AS top FROM ndraw) GROUP BY 1, 2, 3"))
 def _(s, d):
-    return A.p_best(posterior(s, d), 2000, 7)
+    return A.p_best(posterior(s, d), 2000, 7).withColumn("expected_loss", F.round("expected_loss", 4))
 
 
 @query("expt_27_required_n", sql("SELECT flag_key, arm, greatest(100, CAST(ceil(2 * power(1.959963984540054::DOUBLE + 0.8416212335729143::DOUBLE, 2) * greatest(q / n - power(s / n, 2), 0) / 250000) AS BIGINT)) AS users FROM (SELECT flag_key, arm, sum(scored_users) AS n, sum(sp) AS s, sum(qp) AS q FROM daily GROUP BY 1, 2)"))
