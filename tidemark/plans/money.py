@@ -110,11 +110,13 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
     # used by two ordered frames: computed once
     x = stage(x)
     previous = Agg("_prev", "max", F.when(F.col("new_plan").isNotNull(), F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), F.col("new_plan").alias("p"))))
-    x = running(x, ["subscription_id"], "paid_at", [], [previous], strict_time=True)
+    # an invoice without a subscription has no history: a key of its own, so that they do not all meet in one
+    x = x.withColumn("_sub", F.coalesce("subscription_id", F.concat(F.lit("none:"), "invoice_id")))
+    x = running(x, ["_sub"], "paid_at", [], [previous], strict_time=True)
     x = x.withColumn("pp", F.when(F.col("subscription_id").isNotNull(), F.col("_prev.p"))).drop("_prev")
-    state = states.select("subscription_id", "changed_at", "stripe_event_id", *[F.col(c).alias("st_" + c) for c in ("pack_quantity", "plan_tier", "billing_interval", "plan_tier_code")])
-    x = latest(x, state, ["subscription_id"], "paid_at", "changed_at", [F.col("changed_at"), F.col("stripe_event_id")],
-               ["st_pack_quantity", "st_plan_tier", "st_billing_interval", "st_plan_tier_code"])
+    state = states.where("subscription_id is not null").select(F.col("subscription_id").alias("_sub"), "changed_at", "stripe_event_id", *[F.col(c).alias("st_" + c) for c in ("pack_quantity", "plan_tier", "billing_interval", "plan_tier_code")])
+    x = latest(x, state, ["_sub"], "paid_at", "changed_at", [F.col("changed_at"), F.col("stripe_event_id")],
+               ["st_pack_quantity", "st_plan_tier", "st_billing_interval", "st_plan_tier_code"]).drop("_sub")
     pay = keep_first(payments, ["invoice_id"], [F.col("payment_created_at"), F.col("invoice_payment_id")]).select("invoice_id", "payment_intent_id", "charge_id")
     x = x.join(pay, "invoice_id", "left")
     name, rule = classify_purchase("billing_reason", F.col("old_plan").isNotNull(), F.coalesce("has_pack_line", F.lit(False)))
