@@ -69,11 +69,14 @@ add("fit_cells", """SELECT DISTINCT c.cf_fold, c.signup_week, f.fit_id FROM (SEL
 add("opp", "SELECT f.fit_id, p.plan_tier, p.country_bucket, p.renewed FROM pout p JOIN fit_cells f ON f.cf_fold = p.cf_fold AND f.signup_week = p.signup_week WHERE p.opp AND p.obs")
 
 
-@query("ml_13_renewal_rates", sql("""SELECT g.fit_id, g.plan_tier, g.b AS country_bucket, coalesce(c.n, 0) AS opportunities, coalesce(c.x, 0) AS renewals, round(t.p, 9) AS tier_renewal_prob, round((coalesce(c.x, 0) + 20.0::DOUBLE * t.p) / (coalesce(c.n, 0) + 20.0::DOUBLE), 9) AS renewal_prob
+add("renewal", """SELECT g.fit_id, g.plan_tier, g.b AS country_bucket, coalesce(c.n, 0) AS opportunities, coalesce(c.x, 0) AS renewals, round(t.p, 9) AS tier_renewal_prob, round((coalesce(c.x, 0) + 20.0::DOUBLE * t.p) / (coalesce(c.n, 0) + 20.0::DOUBLE), 9) AS renewal_prob
     FROM (SELECT DISTINCT fit_id, plan_tier, b FROM fits, (VALUES ('essential'), ('advanced'), ('infinite'), ('wonder')) v(plan_tier), (VALUES ('us'), ('tier1'), ('rest'), ('unknown')) w(b)) g
     JOIN (SELECT h.fit_id, h.plan_tier, (coalesce(sum(CASE WHEN o.renewed THEN 1 END), 0) + 10.0::DOUBLE * 0.8::DOUBLE) / (count(o.renewed) + 10.0::DOUBLE) AS p FROM (SELECT DISTINCT fit_id, plan_tier FROM fits, (VALUES ('essential'), ('advanced'), ('infinite'), ('wonder')) v(plan_tier)) h
         LEFT JOIN opp o ON o.fit_id = h.fit_id AND o.plan_tier = h.plan_tier GROUP BY 1, 2) t ON t.fit_id = g.fit_id AND t.plan_tier = g.plan_tier
-    LEFT JOIN (SELECT fit_id, plan_tier, country_bucket, count(*) AS n, count(*) FILTER (WHERE renewed) AS x FROM opp GROUP BY 1, 2, 3) c ON c.fit_id = g.fit_id AND c.plan_tier = g.plan_tier AND c.country_bucket = g.b"""))
+    LEFT JOIN (SELECT fit_id, plan_tier, country_bucket, count(*) AS n, count(*) FILTER (WHERE renewed) AS x FROM opp GROUP BY 1, 2, 3) c ON c.fit_id = g.fit_id AND c.plan_tier = g.plan_tier AND c.country_bucket = g.b""")
+
+
+@query("ml_13_renewal_rates", sql("SELECT * FROM renewal"))
 def _(s, d):
     fits, w = _fits(s, d)
     return V.renewal_rates(feats(s, d), outs(s, d), fits, w, D.TIERS, P)
@@ -118,20 +121,66 @@ def scored(s, d):
     return stage(V.score_purchase(rows, rates, params, S.converter_value(o, usage(s, d), w, P), S.cost_per_credit(o, usage(s, d), w, ARMS, P), PACK_CREDITS, P))
 
 
-@query("ml_15_score_purchase", sql("""SELECT 'serve' AS purpose, count(*) AS n, true AS identity_holds, true AS interval_contains FROM pfeat WHERE cf_fold IS NOT NULL UNION ALL
-    SELECT 'oot_test', count(*), true, true FROM pout JOIN weeks ON test_week_start = signup_week WHERE complete"""))
+# what was known at each purchase, in plain range joins
+add("vbefore", """SELECT p.event_id, count(*) AS n, sum(g.credits) AS credits, sum(g.cost_cents) / 100.0::DOUBLE AS cost, sum(CASE WHEN g.credit_field <> 'trial_credit_balance' THEN g.credits ELSE 0 END) AS paid_credits
+    FROM purchase p JOIN usage g ON g.user_id = p.user_id AND g.created_at < p.occurred_at AND NOT g.is_failed GROUP BY 1""")
+add("vmonths", """SELECT p.event_id, count(*) AS months FROM purchase p JOIN purchase b ON b.user_id = p.user_id AND (b.occurred_at, b.event_id) < (p.occurred_at, p.event_id)
+    WHERE b.event_name IN ('purchase_first', 'purchase_renewal') AND b.billing_interval = 'month' GROUP BY 1""")
+add("varm", """SELECT p.event_id, max(x.arm) FILTER (WHERE x.flag_key LIKE '%image') AS image_arm, max(x.arm) FILTER (WHERE x.flag_key LIKE '%video') AS video_arm FROM purchase p JOIN exposure x ON x.user_id = p.user_id AND x.first_exposed_at <= p.occurred_at GROUP BY 1""")
+add("vcatalog", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{i}', {price}::DOUBLE, {credits})" for t, i, price, credits in CATALOG) + ") v(plan_tier, billing_interval, list_price, plan_credits)")
+add("vrow", """SELECT 'serve' AS purpose, 'xf' || cf_fold AS fit_id, event_id FROM pfeat WHERE cf_fold IS NOT NULL
+    UNION ALL SELECT 'oot_test', w.fit_id, p.event_id FROM pout p JOIN weeks w ON w.test_week_start = p.signup_week WHERE p.complete""")
+add("vrate", """SELECT fit_id, arm, media_type, any_value(cost_per_credit) AS own, any_value(pooled_cost_per_credit) AS pooled FROM cpc GROUP BY 1, 2, 3""")
+add("vin", """SELECT r.purpose, r.fit_id, p.event_id, p.user_id, p.occurred_at, p.event_name, p.purchase_kind, p.acquisition_channel, p.country_bucket, p.cf_fold, p.signup_week, p.revenue_minor / 100.0::DOUBLE AS price, coalesce(p.acquisition_channel = 'affiliate', false) AS affiliate,
+    CASE WHEN p.purchase_kind = 'monthly' THEN coalesce(q.renewal_prob, 0.8::DOUBLE) ELSE 0::DOUBLE END AS again, c.list_price, coalesce(c.plan_credits, 0) AS plan_credits, coalesce(b.credits, 0) AS used, b.cost, coalesce(b.paid_credits, 0) AS used_paid, coalesce(o.months, 0) AS months,
+    v.paid_video_credit_share * coalesce(cv.own, pv.pooled, 0.002::DOUBLE) + (1 - v.paid_video_credit_share) * coalesce(ci.own, pi.pooled, 0.002::DOUBLE) AS arm_cost,
+    """ + ", ".join(f"round(m.{c}, 9) AS {c}" for c in ("addon_per_month", "plan_utilization", "burn_cv", "pack_utilization", "pack_future_revenue", "pack_future_q90", "refund_rate", "chargeback_rate")) + """
+    FROM vrow r JOIN pfeat p USING (event_id) LEFT JOIN vcatalog c ON c.plan_tier = p.plan_tier AND c.billing_interval = p.billing_interval LEFT JOIN vbefore b ON b.event_id = p.event_id LEFT JOIN vmonths o ON o.event_id = p.event_id LEFT JOIN varm a ON a.event_id = p.event_id
+    LEFT JOIN renewal q ON q.fit_id = r.fit_id AND q.plan_tier = p.plan_tier AND q.country_bucket = p.country_bucket LEFT JOIN vparam m ON m.fit_id = r.fit_id LEFT JOIN conv_val v ON v.fit_id = r.fit_id
+    LEFT JOIN vrate ci ON ci.fit_id = r.fit_id AND ci.media_type = 'image' AND ci.arm = a.image_arm LEFT JOIN vrate cv ON cv.fit_id = r.fit_id AND cv.media_type = 'video' AND cv.arm = a.video_arm
+    LEFT JOIN (SELECT DISTINCT fit_id, media_type, pooled FROM vrate) pi ON pi.fit_id = r.fit_id AND pi.media_type = 'image' LEFT JOIN (SELECT DISTINCT fit_id, media_type, pooled FROM vrate) pv ON pv.fit_id = r.fit_id AND pv.media_type = 'video'""")
+# 0, 1 and 2 renewals of a monthly plan have chance 1 - r, r - r^2 and r^2; the other kinds have none
+add("vmid", f"""SELECT *, CASE WHEN event_name IN ('purchase_first', 'purchase_renewal') THEN price ELSE coalesce(list_price, price) END AS next_price, again + again * again AS renewals, CASE purchase_kind WHEN 'monthly' THEN 1 + again + again * again WHEN 'annual' THEN {P.horizon_days} / 30.4375::DOUBLE ELSE 0 END AS paid_months,
+    (used * coalesce(cost / nullif(used, 0), arm_cost) + 2000.0::DOUBLE * arm_cost) / (used + 2000.0::DOUBLE) AS credit_cost, CASE WHEN months > 0 THEN (used_paid + 2.0::DOUBLE * plan_utilization * plan_credits) / (months + 2.0::DOUBLE) ELSE plan_utilization * plan_credits END AS burn,
+    CASE WHEN again <= 0.9::DOUBLE THEN 0 WHEN again * again <= 0.9::DOUBLE THEN 1 ELSE 2 END AS few, CASE WHEN again <= 0.1::DOUBLE THEN 0 WHEN again * again <= 0.1::DOUBLE THEN 1 ELSE 2 END AS many FROM vin""")
+
+
+def _outcome(k: str, months: str, pack_value: str, cost_factor: str) -> str:
+    """Profit of a purchase if it renews k times, as SQL."""
+    return f"""(price + next_price * {k} + CASE purchase_kind WHEN 'pack' THEN {pack_value} ELSE addon_per_month * {months} END) * (1 - 0.036::DOUBLE - CASE WHEN affiliate THEN 0.2::DOUBLE ELSE 0 END - refund_rate - chargeback_rate)
+    - (1 + {k}) * (0.3::DOUBLE + 15.0::DOUBLE * chargeback_rate) - CASE purchase_kind WHEN 'pack' THEN {PACK_CREDITS}::DOUBLE * pack_utilization ELSE burn * {months} END * credit_cost * {cost_factor}"""
+
+
+_YEAR = f"CASE purchase_kind WHEN 'annual' THEN {P.horizon_days} / 30.4375::DOUBLE ELSE 1 + "
+add("vsum", f"""SELECT *, price + next_price * renewals + CASE purchase_kind WHEN 'pack' THEN pack_future_revenue ELSE addon_per_month * paid_months END AS income, CASE purchase_kind WHEN 'pack' THEN {PACK_CREDITS}::DOUBLE * pack_utilization ELSE burn * paid_months END * credit_cost AS usage_cost,
+    {_outcome("few", _YEAR + "few END", "0", "(1 + 1.2816::DOUBLE * burn_cv)")} AS worst, {_outcome("many", _YEAR + "many END", "pack_future_q90", "greatest(0, 1 - 1.2816::DOUBLE * burn_cv)")} AS best FROM vmid""")
+add("vscore", """SELECT *, round(predicted_revenue - predicted_generation_cost - predicted_fees - predicted_refund_risk, 6) AS predicted_profit FROM (SELECT *, round(income, 6) AS predicted_revenue, round(usage_cost, 6) AS predicted_generation_cost,
+    round(income * (0.036::DOUBLE + CASE WHEN affiliate THEN 0.2::DOUBLE ELSE 0 END) + (1 + renewals) * (0.3::DOUBLE + 15.0::DOUBLE * chargeback_rate), 6) AS predicted_fees, round(income * (refund_rate + chargeback_rate), 6) AS predicted_refund_risk FROM vsum)""")
+add("vfinal", "SELECT *, round(least(worst, predicted_profit), 6) AS interval_low, round(greatest(best, predicted_profit), 6) AS interval_high FROM vscore")
+AMOUNTS = ("predicted_revenue", "predicted_generation_cost", "predicted_fees", "predicted_refund_risk", "predicted_profit", "interval_low", "interval_high")
+
+
+def shown():
+    """The amounts as scored (six decimals), without a negative zero."""
+    return [(F.col(c) + 0.0).alias(c) for c in AMOUNTS]
+
+
+@query("ml_15_score_purchase", sql("SELECT purpose, fit_id, purchase_kind, count(*) AS n, count(*) FILTER (WHERE interval_low < predicted_profit AND predicted_profit < interval_high) AS strictly_inside, count(*) FILTER (WHERE predicted_profit < 0) AS losses, "
+    + ", ".join(f"round(sum(CAST({c} AS DECIMAL(18, 6)))::DOUBLE, 2) + 0.0 AS {c}" for c in AMOUNTS) + " FROM vfinal GROUP BY 1, 2, 3"))
 def _(s, d):
-    x = scored(s, d)
-    gap = F.abs(F.col("predicted_revenue") - F.col("predicted_generation_cost") - F.col("predicted_fees") - F.col("predicted_refund_risk") - F.col("predicted_profit"))
-    inside = (F.col("interval_low") <= F.col("predicted_profit")) & (F.col("predicted_profit") <= F.col("interval_high"))
-    return x.groupBy("purpose").agg(F.count(F.lit(1)).alias("n"), F.bool_and(gap < 0.00001).alias("identity_holds"), F.bool_and(inside).alias("interval_contains"))
+    profit = F.col("predicted_profit")
+    return scored(s, d).groupBy("purpose", "fit_id", "purchase_kind").agg(
+        F.count(F.lit(1)).alias("n"), C.tally((F.col("interval_low") < profit) & (profit < F.col("interval_high"))).alias("strictly_inside"), C.tally(profit < 0).alias("losses"),
+        *[(F.round(F.sum(F.col(c).cast("decimal(18,6)")).cast("double"), 2) + 0.0).alias(c) for c in AMOUNTS])
 
 
-@query("ml_15_score_rows")
+@query("ml_15_score_rows", sql("SELECT purpose, fit_id, event_id, purchase_kind, " + ", ".join(f"{c} + 0.0 AS {c}" for c in AMOUNTS) + " FROM vfinal"))
 def _(s, d):
-    return scored(s, d).select("purpose", "fit_id", "event_id", "purchase_kind", "predicted_revenue", "predicted_generation_cost", "predicted_fees", "predicted_refund_risk", "predicted_profit", "interval_low", "interval_high")
+    return scored(s, d).select("purpose", "fit_id", "event_id", "purchase_kind", *shown())
 
 
-@query("ml_16_served_values", sql("SELECT event_id, purchase_kind, true AS never_negative, 7 AS horizon_days FROM pfeat"))
+@query("ml_16_served_values", sql(f"""SELECT event_id, user_id, occurred_at, event_name, purchase_kind, acquisition_channel, country_bucket, fit_id, cf_fold, signup_week, {P.horizon_days} AS horizon_days, '{P.pvs_model_version}' AS model_version,
+    greatest(predicted_profit, 0) + 0.0 AS platform_value, """ + ", ".join(f"{c} + 0.0 AS {c}" for c in AMOUNTS) + " FROM vfinal WHERE purpose = 'serve' AND predicted_profit IS NOT NULL"))
 def _(s, d):
-    return V.served_values(scored(s, d), P).select("event_id", "purchase_kind", (F.col("platform_value") >= 0).alias("never_negative"), "horizon_days")
+    x = V.served_values(scored(s, d), P)
+    return x.select("event_id", "user_id", "occurred_at", "event_name", "purchase_kind", "acquisition_channel", "country_bucket", "fit_id", "cf_fold", "signup_week", "horizon_days", "model_version", (F.col("platform_value") + 0.0).alias("platform_value"), *shown())

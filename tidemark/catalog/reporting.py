@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -41,9 +42,11 @@ def _(s, d):
     return x.select("exposure_date", "flag_key", "arm", "allocation_slice", "exposed_users", "matured_users", "converted_users", F.round("predicted_profit_per_scored", 3).alias("predicted_profit_per_scored"))
 
 
-@query("rpt_3_purchase_value", sql("SELECT CAST(date_trunc('month', occurred_at) AS DATE) AS purchase_month, acquisition_channel, purchase_kind, 'pvs-v0.1-structural-eb-xf' AS model_version, count(*) AS purchases FROM pfeat GROUP BY 1, 2, 3"))
+@query("rpt_3_purchase_value", sql("""SELECT CAST(date_trunc('month', occurred_at) AS DATE) AS purchase_month, acquisition_channel, purchase_kind, 'pvs-v0.1-structural-eb-xf' AS model_version, count(*) AS purchases, round(sum(predicted_profit), 2) + 0.0 AS predicted_profit,
+    round(sum(greatest(predicted_profit, 0)), 2) + 0.0 AS platform_value, round(avg(interval_high - interval_low), 4) AS mean_interval_width, count(*) FILTER (WHERE predicted_profit < 0) AS negative_value_purchases FROM vfinal WHERE purpose = 'serve' GROUP BY 1, 2, 3"""))
 def _(s, d):
-    return T.purchase_value(V.served_values(purchase.scored(s, d), scores.P)).select("purchase_month", "acquisition_channel", "purchase_kind", "model_version", "purchases")
+    x = T.purchase_value(V.served_values(purchase.scored(s, d), scores.P))
+    return x.withColumns({c: F.round(c, 2) + 0.0 for c in ("predicted_profit", "platform_value")}).withColumn("mean_interval_width", F.round("mean_interval_width", 4))
 
 
 @query("rpt_4_data_quality", sql("""SELECT CAST(ts AS DATE) AS day, 'stripe_event_type_not_handled' AS issue, 'flagged' AS severity, count(*) AS records FROM ev WHERE event_type = 'error' GROUP BY 1
@@ -54,26 +57,50 @@ def _(s, d):
     return T.data_quality(x, "seen_on").drop("ledger_difference_minor")
 
 
-@query("rpt_5_passthrough", sql("SELECT flag_key, arm, n AS exposed_users FROM rarm"))
+# every measure of the arm readout: name -> (SQL over the arm statistics, places); counts and ranks have no places
+_RANK = "rank() OVER (PARTITION BY flag_key ORDER BY {} DESC NULLS LAST)"
+add("rranked", f"SELECT *, 1.96::DOUBLE * sqrt(coalesce(psd * psd / nullif(sc, 0), 0) + coalesce(mvar, 0)) AS half, 1.96::DOUBLE * sqrt(coalesce(svar, 0) + coalesce(mvar, 0)) AS shalf, 1.96::DOUBLE * sqrt(rate * (1 - rate) / n) AS rhalf, 1.96::DOUBLE * prsd / sqrt(mat) AS phalf, "
+    + ", ".join(f"{_RANK.format(c)} AS {r}" for c, r in (("rate", "by_rate"), ("pred", "by_pred"), ("pr", "by_profit"))) + " FROM rci")
+add("rwinner", "SELECT flag_key AS wk, max(pred) FILTER (WHERE by_rate = 1) AS rate_winner, max(pred) FILTER (WHERE by_pred = 1) AS pred_winner FROM rranked GROUP BY 1")
+ARM_MEASURES = {
+    "exposed_users": ("n", None), "contaminated_users": ("bad", None), "converters": ("conv", None), "matured_users": ("mat", None), "scored_users": ("sc", None), "residual_users": ("rn_arm", None),
+    "conversion_rate": ("rate", 4), "conversion_low": ("rate - rhalf", 4), "conversion_high": ("rate + rhalf", 4), "revenue_per_exposed": ("rev", 6), "cost_per_exposed": ("cost", 6), "realised_profit_per_exposed": ("pr", 3),
+    "realised_low": ("pr - phalf", 3), "realised_high": ("pr + phalf", 3), "predicted_profit_per_exposed": ("pred", 3), "predicted_low": ("pred - half", 3), "predicted_high": ("pred + half", 3), "stratified_per_exposed": ("strat", 3),
+    "stratified_low": ("strat - shalf", 3), "stratified_high": ("strat + shalf", 3), "model_bias": ("bias", 3), "model_error_se": ("sqrt(mvar)", 3), "ppi_per_exposed": ("pred + coalesce(bias, 0)", 3), "cuped_theta": ("theta", 4),
+    "cuped_per_exposed": ("pr - theta * (ca - cm)", 3), "value_if_converted": ("vic", 3), "min_propensity": ("min_propensity", None), "conversion_rank": ("by_rate", None), "predicted_rank": ("by_pred", None), "realised_rank": ("by_profit", None),
+    "predicted_vs_conversion_winner": ("pred - rate_winner", 3), "profit_left_by_conversion_ranking": ("pred_winner - rate_winner", 3),
+}
+
+
+@query("rpt_5_passthrough", sql("SELECT flag_key, arm, " + ", ".join(f"{x} AS {n}" if places is None else f"round({x}, {places}) + 0.0 AS {n}" for n, (x, places) in ARM_MEASURES.items()) + " FROM rranked JOIN rwinner ON wk = flag_key"))
 def _(s, d):
     from tidemark.sinks.tables import create_views
     create_views({"rpt_experiment_profit_by_arm": E.arm_readout(experiment.readout(s, d), experiment.P)}, ["user_id"])
-    return s.table("rpt_experiment_profit_by_arm").select("flag_key", "arm", "exposed_users")
+    return s.table("rpt_experiment_profit_by_arm").select("flag_key", "arm", *[F.col(n) if places is None else (F.round(n, places) + 0.0).alias(n) for n, (_x, places) in ARM_MEASURES.items()])
+
+
+_CONSTANTS = ", ".join("('{}', '{}')".format(f.name, str(getattr(scores.P, f.name)).replace("'", "''")) for f in fields(scores.P))
+_FITTED = ("revenue_per_converter", "charges_per_converter", "paid_credits_per_converter", "paid_video_credit_share", "trial_cost_per_credit")
+add("rparam", f"SELECT * FROM (VALUES {_CONSTANTS}) v(name, value) UNION ALL SELECT 'p_convert.' || fit_id || '.' || segment, printf('%.9f', p_convert) FROM seg_rate UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{c}.' || fit_id, printf('%.9f', {c}) FROM conv_val" for c in _FITTED))
 
 
-@query("rpt_5b_model_parameters", sql("SELECT count(*) AS fitted, 1 AS refs FROM seg_rate"))
+@query("rpt_5b_model_parameters", sql("SELECT name, value, (SELECT sha256(string_agg(name || '=' || value, '|' ORDER BY name, value)) FROM rparam) AS fitted_params_ref FROM rparam"))
 def _(s, d):
     from tidemark.sinks.tables import create_views
     _f, o, w = scores.model(s, d)
     create_views({"rpt_model_parameters": S.current_parameters(s, scores.P, S.segment_rates(o, w, scores.P), S.converter_value(o, scores.usage(s, d), w, scores.P))}, [])
-    return s.table("rpt_model_parameters").agg(C.tally(F.col("name").startswith("p_convert.")).alias("fitted"), F.countDistinct("fitted_params_ref").alias("refs"))
+    return s.table("rpt_model_parameters")
 
 
-@query("rpt_5c_reconciliation", sql("SELECT l.l AS report_layer, count(*) * CASE l.l WHEN 'tag_received' THEN 13 ELSE 16 END AS steps FROM months g, (VALUES ('tag_received'), ('ads_attributed')) l(l) GROUP BY l.l"))
+@query("rpt_5c_reconciliation", sql("""SELECT g.m AS period_month, g.platform, l.l AS report_layer, CASE l.l WHEN 'tag_received' THEN 13 ELSE 16 END AS steps, coalesce(t.dn, 0)::DOUBLE AS reported_conversions, round(coalesce(t.dv, 0), 2) + 0.0 AS reported_value
+    FROM months g, (VALUES ('tag_received', 'a'), ('ads_attributed', 'r')) l(l, base) LEFT JOIN rsum t ON t.base = l.base AND t.m = g.m AND t.platform = g.platform"""))
 def _(s, d):
     from tidemark.sinks.tables import create_views
     create_views({"rpt_reconciliation": R.waterfall(reconcile.wide(s, d))}, [])
-    return s.table("rpt_reconciliation").groupBy("report_layer").agg(F.count(F.lit(1)).alias("steps"))
+    last = F.col("step_name") == "platform_reported"
+    return s.table("rpt_reconciliation").groupBy("period_month", "platform", "report_layer").agg(
+        F.count(F.lit(1)).alias("steps"), F.sum(F.when(last, F.col("conversions_delta"))).alias("reported_conversions"), (F.round(F.sum(F.when(last, F.col("value_delta"))), 2) + 0.0).alias("reported_value"))
 
 
 add("rtruth", "SELECT CAST(date_trunc('month', occurred_at) AS DATE) AS m, count(*) AS n, sum(cash_minor) / 100.0::DOUBLE AS v FROM purchase GROUP BY 1")
