@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -64,6 +65,57 @@ def test_running_sum_and_previous(data, block):
         assert (r.prev.w if r.prev else None) == (earlier[-1][2] if earlier else None)
 
 
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """One key with 3,000 rows in eight minutes of one day, half of them at few instants; a key over days; rows without a key."""
+    rnd = random.Random(7)
+    rows = [(i, 0, T0 + timedelta(seconds=rnd.choice([rnd.randrange(480), 60, 61])), rnd.randrange(100)) for i in range(3000)]
+    rows += [(3000 + i, 1, T0 + timedelta(hours=7 * i), rnd.randrange(100)) for i in range(40)] + [(4000 + i, None, T0 + timedelta(seconds=i), 1) for i in range(300)]
+    return rows, spark.createDataFrame(rows, "fid long, k long, ft timestamp, w long")
+
+
+def test_crowded_days_are_cut_by_density(spark, crowded):
+    from tidemark.operators import running as N
+
+    rows, df = crowded
+    base = df.withColumn("_t", F.unix_micros("ft")).withColumn("_b", N._block(F.col("_t"), N.DAY))
+    sizes = {}
+    cut = N._in_pieces(base, N._cuts(base, ["k"], 100), ["k"])
+    assert cut.count() == len(rows)
+    cut = cut.withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("k", "ft")))
+    for r in cut.groupBy("k", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("ft").alias("lo"), F.max("ft").alias("hi"), F.max("alike").alias("alike")).collect():
+        sizes.setdefault(r.k, []).append((r["_b"], r.n, r.lo, r.hi, r.alike))
+    hot = sorted(sizes[0])
+    # an instant is never cut; beside its fullest instant no block holds more than about its share
+    assert len(hot) > 8 and max(alike for *_, alike in hot) > 900 and all(n - alike <= 150 for _b, n, _lo, _hi, alike in hot)
+    assert all(a[3] < b[2] for a, b in zip(hot, hot[1:]))  # block numbers follow time and no instant is in two blocks
+    assert len(sizes[None]) > 1 and sum(n for _b, n, *_ in sizes[1]) == 40
+    assert N._cuts(base, ["k"], 10_000) is None
+
+
+def test_results_do_not_depend_on_the_cuts(spark, crowded):
+    rows, df = crowded
+    aggs = [Agg("before", "sum", F.col("w")), Agg("prev", "max", F.struct("ft", "fid", "w"))]
+    pick = lambda x: sorted(tuple(r) for r in x.select("fid", "before", "prev.fid").collect())
+    got = {r.fid: r for r in running(df, ["k"], "ft", ["fid"], aggs, block_rows=100).collect()}
+    for key in (0, 1):
+        total, last = 0, None
+        for fid, _k, _ft, w in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            assert (got[fid].before or 0) == total and (got[fid].prev and got[fid].prev.fid) == last
+            total, last = total + w, fid
+    for strict in (False, True):
+        frames = [running(df, ["k"], "ft", [] if strict else ["fid"], aggs[:1], strict_time=strict, block_rows=n).select("fid", "before") for n in (None, 100)]
+        assert frames[0].exceptAll(frames[1]).isEmpty()
+    assert pick(running(df, ["k"], "ft", ["fid"], aggs, block_rows=100)) == pick(running(df, ["k"], "ft", ["fid"], aggs))
+    anchors = df.where("fid % 3 = 0").select("fid", "k", "ft")
+    for inclusive in (True, False):
+        a, b = (latest(anchors, df, ["k"], "ft", "ft", [F.col("ft"), F.col("fid")], ["w"], inclusive, prefix="at_", block_rows=n) for n in (None, 100))
+        assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str) and a.count() == anchors.count()
+    ends = anchors.withColumn("e", C.add_seconds("ft", 90))
+    a, b = (in_window(ends, df, ["k"], "ft", "e", "ft", [Agg("n", "count")], block_rows=n) for n in (None, 100))
+    assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
+
+
 def test_running_strict_time_skips_equal_times(data):
     _, f, _, df = data
     x = running(df, ["k"], "ft", [], [Agg("before", "count")], block_seconds=300, strict_time=True)

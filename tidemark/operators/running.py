@@ -6,6 +6,11 @@ key would put a hot key into one task, and a range join would emit all pairs of
 Both are avoided: histories are cut into time blocks, the frame runs inside
 (key, block), and the totals of earlier blocks (one small row per key and block)
 are carried in.
+
+A block is a fixed stretch of time (a day). With ``block_rows`` the rows of every (key, stretch) are
+counted first and a stretch with more rows is cut at quantiles of its times, so that a key with all its
+rows in one day is spread over many tasks. Rows of one key at one instant stay together. Results do not
+depend on the blocks.
 """
 
 from __future__ import annotations
@@ -17,6 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
+#: Rows of a key that a task orders at a time where blocks are cut by density.
+BLOCK_ROWS = 1_000_000
+#: Most stretches that are cut (each of the others holds at most one in so many of all rows) and most pieces of one.
+DENSE, PIECES = 16_384, 1024
 
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -51,6 +60,50 @@ def _block(micros: Column, seconds: int) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def _cuts(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame | None:
+    """The times that cut crowded (key, stretch) groups into pieces of about ``block_rows`` rows; None if there are none.
+
+    The list has at most DENSE groups and 2 * DENSE times. It is made once, here, since the frame and the carried totals
+    must use the same cuts and approximate quantiles may differ between two runs.
+    """
+    spark = rows.sparkSession
+    crowded = rows.where(F.col("_t").isNotNull()).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).orderBy(F.desc("_n")).limit(DENSE)
+    listed = crowded.collect()  # at most DENSE rows
+    if not listed:
+        return None
+    share = max(block_rows, sum(r["_n"] for r in listed) / DENSE)
+    small = _listed(spark.createDataFrame(listed, crowded.schema), keys)
+    quantiles = F.percentile_approx("_t", [i / PIECES for i in range(1, PIECES)], 10 * PIECES)
+    found = _meet(rows.select(*keys, "_t", "_b"), small, keys).groupBy(*keys, "_b").agg(quantiles.alias("_q"), F.max("_n").alias("_n"))
+    pieces = F.least(F.lit(PIECES), F.ceil(F.col("_n") / F.lit(share))).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.col("_p") - 1), lambda i: F.get(F.col("_q"), F.floor(i * PIECES / F.col("_p")).cast("int") - 1))
+    cuts = found.withColumn("_p", pieces).where("_p > 1").select(*keys, "_b", F.array_distinct(picked).alias("_at"))
+    return _listed(spark.createDataFrame(cuts.collect(), cuts.schema), keys)
+
+
+def _listed(small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns of a list of (key, stretch) groups under names of their own."""
+    return small.select(*[F.col(k).alias(f"_dk{i}") for i, k in enumerate(keys)], F.col("_b").alias("_db"), *[c for c in small.columns if c not in (*keys, "_b")])
+
+
+def _meet(rows: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with their entry of a short list of (key, stretch) groups; NULL keys are equal."""
+    match = F.col("_b") == F.col("_db")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_dk{i}"))
+    return rows.join(F.broadcast(small), match, how).drop("_db", *[f"_dk{i}" for i in range(len(keys))])
+
+
+def _in_pieces(rows: DataFrame, cuts: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Number the blocks of a key in the order of time: PIECES numbers a stretch, by the cuts at or before the row's time."""
+    if cuts is None:
+        return rows
+    steps = F.array(*[F.lit(PIECES >> i) for i in range(1, PIECES.bit_length())])
+    at_or_before = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(F.col("_at"), n + step - 1) <= F.col("_t"), n + step).otherwise(n))
+    piece = F.when(F.col("_at").isNotNull(), at_or_before).otherwise(F.lit(0))
+    return _meet(rows, cuts, keys, "left").withColumn("_b", F.col("_b") * F.lit(PIECES) + piece).drop("_at")
+
+
 def _carry(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Agg]) -> DataFrame:
     """Per (key, block): the aggregate over all earlier blocks of the key."""
     totals = rows.groupBy(*keys, "_b").agg(*[_FOLD[a.kind](F.col(f"_i{i}")).alias(f"_p{i}") for i, a in enumerate(aggs)])
@@ -78,12 +131,17 @@ def running(
     include_current: bool = False,
     block_seconds: int = DAY,
     strict_time: bool = False,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Aggregate over the rows of a key before (or through) the current one in (ts, tie) order.
 
-    ``strict_time`` counts only rows with an earlier time, whatever their tie-break.
+    ``strict_time`` counts only rows with an earlier time, whatever their tie-break. ``block_rows`` cuts crowded blocks
+    (those of a key that is not NULL) after a count of the rows.
     """
     base = df.withColumn("_t", F.unix_micros(F.col(ts))).withColumn("_b", _block(F.col("_t"), block_seconds))
+    if block_rows:
+        known = base.dropna(subset=list(keys)).select(*keys, "_t", "_b")
+        base = _in_pieces(base, _cuts(known, keys, block_rows), keys)
     base = base.select("*", *[a.input().alias(f"_i{i}") for i, a in enumerate(aggs)])
     end = Window.currentRow if include_current else -1
     if strict_time:
@@ -125,11 +183,13 @@ class Facts:
 
 def lookup_many(
     anchors: DataFrame, sides: Sequence[Facts], keys: Sequence[str], anchor_ts: str, block_seconds: int = DAY,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """For each anchor, aggregate several fact tables of its keys up to its instant.
 
     All sides and the anchors meet in one ordered frame: one shuffle and one sort,
-    linear in anchors + facts, however many lookups are asked for.
+    linear in anchors + facts, however many lookups are asked for. ``block_rows`` cuts
+    crowded blocks, anchors without a key among them, after a count of anchors and facts.
     """
     left = anchors.select(
         *keys, F.unix_micros(F.col(anchor_ts)).alias("_t"), F.lit(1).alias("_k"), F.struct(*anchors.columns).alias("_row"),
@@ -149,8 +209,11 @@ def lookup_many(
         facts = part if facts is None else facts.unionByName(part, allowMissingColumns=True)
     aggs = [Agg(n, kind) for n, kind, _ in names]
 
+    times = blocks.unionByName(facts.select(*keys, "_t")).withColumn("_b", _block(F.col("_t"), block_seconds))
+    cuts = _cuts(times, keys, block_rows) if block_rows else None
+
     def with_block(df):
-        return df.withColumn("_b", _block(F.col("_t"), block_seconds))
+        return _in_pieces(df.withColumn("_b", _block(F.col("_t"), block_seconds)), cuts, keys)
 
     both = with_block(left.unionByName(facts, allowMissingColumns=True))
     frame = Window.partitionBy(*keys, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -166,10 +229,10 @@ def lookup_many(
 
 def lookup(
     anchors: DataFrame, facts: DataFrame, keys: Sequence[str], anchor_ts: str, fact_ts: str, aggs: Sequence[Agg],
-    inclusive: bool = True, block_seconds: int = DAY,
+    inclusive: bool = True, block_seconds: int = DAY, block_rows: int | None = None,
 ) -> DataFrame:
     """For each anchor, aggregate the facts of its keys at or before (or strictly before) its instant."""
-    return lookup_many(anchors, [Facts(facts, fact_ts, aggs, inclusive)], keys, anchor_ts, block_seconds)
+    return lookup_many(anchors, [Facts(facts, fact_ts, aggs, inclusive)], keys, anchor_ts, block_seconds, block_rows)
 
 
 def latest_of(order: Sequence[Column], payload: Sequence[str], name: str = "_best") -> Agg:
@@ -180,16 +243,16 @@ def latest_of(order: Sequence[Column], payload: Sequence[str], name: str = "_bes
 def latest(
     anchors: DataFrame, facts: DataFrame, keys: Sequence[str], anchor_ts: str, fact_ts: str,
     order: Sequence[Column], payload: Sequence[str], inclusive: bool = True, prefix: str = "",
-    block_seconds: int = DAY,
+    block_seconds: int = DAY, block_rows: int | None = None,
 ) -> DataFrame:
     """As-of join: the state with the greatest order among facts at or before the anchor."""
-    out = lookup(anchors, facts, keys, anchor_ts, fact_ts, [latest_of(order, payload)], inclusive, block_seconds)
+    out = lookup(anchors, facts, keys, anchor_ts, fact_ts, [latest_of(order, payload)], inclusive, block_seconds, block_rows)
     return out.select(*anchors.columns, *[F.col("_best")[f"p{i}"].alias(prefix + p) for i, p in enumerate(payload)])
 
 
 def in_window(
     anchors: DataFrame, facts: DataFrame, keys: Sequence[str], start: str, end: str, fact_ts: str,
-    aggs: Sequence[Agg], block_seconds: int = DAY,
+    aggs: Sequence[Agg], block_seconds: int = DAY, block_rows: int | None = None,
 ) -> DataFrame:
     """Sums and counts over facts in [start, end) for anchors whose windows may overlap.
 
@@ -199,8 +262,8 @@ def in_window(
     assert all(a.kind in ("sum", "count") for a in aggs)
     low = [Agg(f"_lo{i}", a.kind, a.value) for i, a in enumerate(aggs)]
     high = [Agg(f"_hi{i}", a.kind, a.value) for i, a in enumerate(aggs)]
-    out = lookup(anchors, facts, keys, start, fact_ts, low, False, block_seconds)
-    out = lookup(out, facts, keys, end, fact_ts, high, False, block_seconds)
+    out = lookup(anchors, facts, keys, start, fact_ts, low, False, block_seconds, block_rows)
+    out = lookup(out, facts, keys, end, fact_ts, high, False, block_seconds, block_rows)
     return out.select(
         *anchors.columns,
         *[(F.coalesce(F.col(f"_hi{i}"), F.lit(0)) - F.coalesce(F.col(f"_lo{i}"), F.lit(0))).alias(a.name) for i, a in enumerate(aggs)],
