@@ -12,7 +12,7 @@ from tidemark.catalog.registry import query
 from tidemark.functions import columns as C
 from tidemark.functions import segments as G
 from tidemark.operators import rows as R
-from tidemark.operators.running import Agg, in_window, latest, lookup, running
+from tidemark.operators.running import BLOCK_ROWS, Agg, in_window, latest, lookup, running
 from tidemark.sources import driver_tables as D
 
 AS_OF = datetime(2024, 1, 20)
@@ -289,7 +289,7 @@ def _(s, d):
     ON p.user_id = c.user_id AND p.occurred_at >= c.click_id_created_at"""))
 def _(s, d):
     out = latest(D.purchase(s, d), D.click(s, d), ["user_id"], "occurred_at", "click_id_created_at",
-                 [F.col("click_id_created_at"), F.col("event_id")], ["click_id_value", "click_id_created_at"])
+                 [F.col("click_id_created_at"), F.col("event_id")], ["click_id_value", "click_id_created_at"], block_rows=BLOCK_ROWS)
     return out.select("event_id", "click_id_value", "click_id_created_at")
 
 
@@ -297,7 +297,7 @@ def _(s, d):
     ON p.user_id = t.user_id AND p.occurred_at + INTERVAL 300 SECOND >= t.event_time"""))
 def _(s, d):
     p = D.purchase(s, d).withColumn("until", C.add_seconds("occurred_at", 300))
-    out = latest(p, D.device_events(s, d), ["user_id"], "until", "event_time", [F.col("event_time"), F.col("device_id")], ["device_id"])
+    out = latest(p, D.device_events(s, d), ["user_id"], "until", "event_time", [F.col("event_time"), F.col("device_id")], ["device_id"], block_rows=BLOCK_ROWS)
     return out.select("event_id", "device_id")
 
 
@@ -325,7 +325,7 @@ def _(s, d):
 @query("jn_7_previous_record", sql("""SELECT event_id, lag(plan_tier) OVER (PARTITION BY subscription_id ORDER BY occurred_at, event_id) AS previous_tier FROM purchase"""))
 def _(s, d):
     prev = Agg("p", "max", F.struct(F.unix_micros("occurred_at").alias("t"), F.col("event_id").alias("i"), F.col("plan_tier").alias("tier")))
-    return running(D.purchase(s, d), ["subscription_id"], "occurred_at", ["event_id"], [prev]).select("event_id", F.col("p.tier").alias("previous_tier"))
+    return running(D.purchase(s, d), ["subscription_id"], "occurred_at", ["event_id"], [prev], block_rows=BLOCK_ROWS).select("event_id", F.col("p.tier").alias("previous_tier"))
 
 
 @query("jn_8_validity_range", sql("""SELECT i.invoice_id, f.per_unit, f.digits FROM invoice i LEFT JOIN fx f ON f.currency = i.currency
@@ -651,12 +651,12 @@ def _(s, d):
 
 @query("win_8_sum_before", sql("SELECT event_id, coalesce(sum(cash_minor) OVER (PARTITION BY user_id ORDER BY occurred_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_minor FROM purchase"))
 def _(s, d):
-    return running(D.purchase(s, d), ["user_id"], "occurred_at", ["event_id"], [Agg("before_minor", "sum", F.col("cash_minor"))]).select("event_id", "before_minor")
+    return running(D.purchase(s, d), ["user_id"], "occurred_at", ["event_id"], [Agg("before_minor", "sum", F.col("cash_minor"))], block_rows=BLOCK_ROWS).select("event_id", "before_minor")
 
 
 @query("win_9_running_sum", sql("SELECT event_id, sum(cash_minor) OVER (PARTITION BY user_id ORDER BY occurred_at, event_id ROWS UNBOUNDED PRECEDING) AS running_minor FROM purchase"))
 def _(s, d):
-    return running(D.purchase(s, d), ["user_id"], "occurred_at", ["event_id"], [Agg("running_minor", "sum", F.col("cash_minor"))], include_current=True).select("event_id", "running_minor")
+    return running(D.purchase(s, d), ["user_id"], "occurred_at", ["event_id"], [Agg("running_minor", "sum", F.col("cash_minor"))], include_current=True, block_rows=BLOCK_ROWS).select("event_id", "running_minor")
 
 
 @query("win_10_partition_count", sql("SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n FROM purchase"))

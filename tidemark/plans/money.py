@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators.rows import anti, bounded, keep_first, key_map, link, lookup, overlaps, to_ranges, valid_on
-from tidemark.operators.running import Agg, latest, running
+from tidemark.operators.running import Agg, Facts, latest_of, lookup_many, running
 from tidemark.params import Params
 from tidemark.sinks.tables import stage
 
@@ -99,6 +99,10 @@ def classify_purchase(reason: str, has_old_plan, has_pack):
     return name, rule
 
 
+#: Columns of a subscription's state that fill a purchase without a plan of its own.
+STATE = ("pack_quantity", "plan_tier", "billing_interval", "plan_tier_code")
+
+
 def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: DataFrame, states: DataFrame, catalog: DataFrame, fx: DataFrame) -> DataFrame:
     """Canonical purchases: five kinds, plan by three fallbacks, tax-free revenue, reporting value, first flag."""
     done = sessions.where("session_status = 'complete' and payment_status = 'paid'")
@@ -107,16 +111,19 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
         inv.where("invoice_status = 'paid' and amount_paid_minor > 0"), packs.where("invoice_id is not null"), ["invoice_id"]
     )
     x = paid.join(line_evidence(lines, catalog), "invoice_id", "left")
-    # used by two ordered frames: computed once
+    # both the anchors and the facts of the ordered frame: computed once
     x = stage(x)
-    previous = Agg("_prev", "max", F.when(F.col("new_plan").isNotNull(), F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), F.col("new_plan").alias("p"))))
+    previous = Agg("_prev", "max", F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), F.col("new_plan").alias("p")))
     # an invoice without a subscription has no history: a key of its own, so that they do not all meet in one
     x = x.withColumn("_sub", F.coalesce("subscription_id", F.concat(F.lit("none:"), "invoice_id")))
-    x = running(x, ["_sub"], "paid_at", [], [previous], strict_time=True)
-    x = x.withColumn("pp", F.when(F.col("subscription_id").isNotNull(), F.col("_prev.p"))).drop("_prev")
-    state = states.where("subscription_id is not null").select(F.col("subscription_id").alias("_sub"), "changed_at", "stripe_event_id", *[F.col(c).alias("st_" + c) for c in ("pack_quantity", "plan_tier", "billing_interval", "plan_tier_code")])
-    x = latest(x, state, ["_sub"], "paid_at", "changed_at", [F.col("changed_at"), F.col("stripe_event_id")],
-               ["st_pack_quantity", "st_plan_tier", "st_billing_interval", "st_plan_tier_code"]).drop("_sub")
+    state = states.where("subscription_id is not null").select(F.col("subscription_id").alias("_sub"), "changed_at", "stripe_event_id", *STATE)
+    invoiced = x.where("new_plan is not null").select("_sub", "paid_at", "invoice_id", "new_plan")
+    # the last plan invoiced before and the newest state so far, in one ordered frame
+    x = lookup_many(x, [
+        Facts(invoiced, "paid_at", [previous], inclusive=False), Facts(state, "changed_at", [latest_of([F.col("changed_at"), F.col("stripe_event_id")], STATE, "_state")]),
+    ], ["_sub"], "paid_at").drop("_sub")
+    x = x.withColumn("pp", F.when(F.col("subscription_id").isNotNull(), F.col("_prev.p")))
+    x = x.withColumns({f"st_{c}": F.col(f"_state.p{i}") for i, c in enumerate(STATE)}).drop("_prev", "_state")
     pay = keep_first(payments, ["invoice_id"], [F.col("payment_created_at"), F.col("invoice_payment_id")]).select("invoice_id", "payment_intent_id", "charge_id")
     x = x.join(pay, "invoice_id", "left")
     name, rule = classify_purchase("billing_reason", F.col("old_plan").isNotNull(), F.coalesce("has_pack_line", F.lit(False)))
@@ -200,7 +207,12 @@ def net_disputes(x: DataFrame) -> DataFrame:
     """Cut each lost dispute to what earlier money-out left of its purchase; restate the order value.
 
     Needs adjusts_event_id, adjusted_purchase_cash_minor, cash_value_minor (negative), is_money_lost, event_name.
+
+    One ordered frame is enough: with T taken before, a dispute of a counts min(a, max(P - T, 0)) and a refund all of a. Until
+    the sum of all that was taken reaches the price P nothing is cut, and from then on nothing is left, so the restated value
+    is max(P - T - a, 0) whatever was cut. Money not known to be lost is not.
     """
+    x = x.withColumn("is_money_lost", F.coalesce("is_money_lost", F.lit(False)))
     lost = F.when(F.col("is_money_lost"), -F.col("cash_value_minor")).otherwise(F.lit(0))
     loose = x.where("adjusts_event_id is null")
     tied = running(x.where("adjusts_event_id is not null"), ["adjusts_event_id"], "occurred_at", ["event_id"], [Agg("taken_before_minor", "sum", lost)])
@@ -209,10 +221,9 @@ def net_disputes(x: DataFrame) -> DataFrame:
         F.when(~F.col("is_money_lost"), F.lit(0)).when(F.col("event_name") == "refund", F.col("cash_value_minor"))
         .otherwise(-F.least(-F.col("cash_value_minor"), left))
     )
-    tied = stage(tied.withColumn("ledger_cash_value_minor", ledger))
-    tied = running(tied, ["adjusts_event_id"], "occurred_at", ["event_id"], [Agg("_out", "sum", F.col("ledger_cash_value_minor"))], include_current=True)
-    restated = F.when(F.col("adjusted_purchase_cash_minor").isNotNull(), F.greatest(F.col("adjusted_purchase_cash_minor") + F.col("_out"), F.lit(0)))
-    tied = tied.withColumn("restated_order_value_minor", restated).drop("_out")
+    paid = F.col("adjusted_purchase_cash_minor")
+    restated = F.when(paid.isNotNull(), F.greatest(paid - F.coalesce("taken_before_minor", F.lit(0)) - lost, F.lit(0)))
+    tied = tied.withColumn("ledger_cash_value_minor", ledger).withColumn("restated_order_value_minor", restated)
     loose = loose.withColumn("taken_before_minor", F.lit(0).cast("bigint")).withColumn(
         "ledger_cash_value_minor", F.when(~F.col("is_money_lost"), F.lit(0)).otherwise(F.col("cash_value_minor"))
     )
