@@ -8,7 +8,7 @@ from tidemark.catalog.registry import ORACLE, QUERIES
 
 MODULES = (
     "primitives", "money", "identity", "usage", "scores", "purchase", "experiment", "allocation", "reconcile",
-    "audience", "dispatch", "tracking", "reporting", "sizing", "backtest", "checks", "sinks", "streams",
+    "audience", "dispatch", "tracking", "reporting", "sizing", "backtest", "checks", "sinks", "streams", "build",
 )
 
 
