@@ -54,9 +54,9 @@ def built(s, d):
     return f"{folder}/warehouse"
 
 
-add("paid_order", """SELECT o_orderkey AS k, 'cus_' || o_custkey AS user_id, CAST(o_orderdate AS TIMESTAMP) AS at, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders""")
+add("paid_order", """SELECT o_orderkey AS k, 'cus_' || o_custkey AS user_id, CAST(o_orderdate AS TIMESTAMP) AS paid_at, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders""")
 add("order_out", """SELECT *, CASE WHEN k % 5 = 0 THEN cents * 2 // 4 ELSE 0 END AS refunded, k % 7 = 0 AS disputed, k % 14 = 0 AS lost FROM paid_order""")
-add("order_net", """SELECT 'purchase_in_' || k AS event_id, user_id, at AS occurred_at, CASE WHEN k % 4 = 0 THEN 'purchase_first' ELSE 'purchase_renewal' END AS event_name, CASE WHEN k % 2 = 0 THEN 'essential' ELSE 'wonder' END AS plan_tier,
+add("order_net", """SELECT 'purchase_in_' || k AS event_id, user_id, paid_at AS occurred_at, CASE WHEN k % 4 = 0 THEN 'purchase_first' ELSE 'purchase_renewal' END AS event_name, CASE WHEN k % 2 = 0 THEN 'essential' ELSE 'wonder' END AS plan_tier,
     cents AS gross_minor, CASE WHEN lost THEN cents ELSE refunded END AS taken_minor FROM order_out""")
 
 
@@ -66,9 +66,9 @@ def _(s, d):
         "event_id", "user_id", "occurred_at", "event_name", "plan_tier", F.col("cash_value_minor").alias("gross_minor"), "taken_minor", "restated_minor", F.round("restated_reporting", 6).alias("restated_reporting"))
 
 
-@query("bld_2_money_out", sql("""SELECT 'refund_ch_' || k || '_' || (cents // 4) AS event_id, 'purchase_in_' || k AS adjusts_event_id, at + INTERVAL 1 HOUR AS occurred_at, 'refund' AS disposition, -(cents // 4) AS ledger_minor, cents - cents // 4 AS restated_minor FROM order_out WHERE k % 5 = 0
-    UNION ALL SELECT 'refund_ch_' || k || '_' || refunded, 'purchase_in_' || k, at + INTERVAL 2 HOUR, 'refund', cents // 4 - refunded, cents - refunded FROM order_out WHERE k % 5 = 0
-    UNION ALL SELECT 'chargeback_dp_' || k, 'purchase_in_' || k, at + INTERVAL 3 HOUR, CASE WHEN lost THEN 'chargeback' ELSE 'dispute_won_or_inquiry' END, CASE WHEN lost THEN refunded - cents ELSE 0 END, CASE WHEN lost THEN 0 ELSE cents - refunded END FROM order_out WHERE disputed"""))
+@query("bld_2_money_out", sql("""SELECT 'refund_ch_' || k || '_' || (cents // 4) AS event_id, 'purchase_in_' || k AS adjusts_event_id, paid_at + INTERVAL 1 HOUR AS occurred_at, 'refund' AS disposition, -(cents // 4) AS ledger_minor, cents - cents // 4 AS restated_minor FROM order_out WHERE k % 5 = 0
+    UNION ALL SELECT 'refund_ch_' || k || '_' || refunded, 'purchase_in_' || k, paid_at + INTERVAL 2 HOUR, 'refund', cents // 4 - refunded, cents - refunded FROM order_out WHERE k % 5 = 0
+    UNION ALL SELECT 'chargeback_dp_' || k, 'purchase_in_' || k, paid_at + INTERVAL 3 HOUR, CASE WHEN lost THEN 'chargeback' ELSE 'dispute_won_or_inquiry' END, CASE WHEN lost THEN refunded - cents ELSE 0 END, CASE WHEN lost THEN 0 ELSE cents - refunded END FROM order_out WHERE disputed"""))
 def _(s, d):
     return W.read_marts(s, built(s, d))["adjustments"].select(
         "event_id", "adjusts_event_id", "occurred_at", "disposition", F.col("ledger_cash_value_minor").alias("ledger_minor"), F.col("restated_order_value_minor").alias("restated_minor"))

@@ -18,7 +18,7 @@ from tidemark.plans import money as M
 from tidemark.sinks import tables as K
 from tidemark.sources import readers as R
 
-#: Days are written by the mart's time column, rows of a day next to others of their user.
+#: A mart is partitioned by the month of its time column, rows of a month next to others of their user.
 MARTS = {"purchases": "occurred_at", "adjustments": "occurred_at", "net_cash": "occurred_at"}
 
 
@@ -34,17 +34,17 @@ class Warehouse:
 
     def mart(self, name: str, df: DataFrame) -> DataFrame:
         # a mart without rows has no files, so its columns are kept beside it
-        K.write_layer(df.drop("day").limit(0), self.folder, "columns", name)
-        K.write_mart(df, f"{self.folder}/marts/{name}", MARTS[name], ["user_id"])
+        K.write_layer(df.drop("month").limit(0), self.folder, "columns", name)
+        K.write_mart(df.withColumn("month", F.trunc(MARTS[name], "month")), f"{self.folder}/marts/{name}", "month", ["user_id"], day="month")
         return read_mart(self.spark, self.folder, name)
 
 
 def read_mart(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A mart of a run, also one without rows; ``day`` is its partition column."""
+    """A mart of a run, also one without rows; ``month`` is its partition column."""
     if name not in MARTS:
         return spark.read.parquet(f"{folder}/marts/{name}")
     columns = spark.read.parquet(f"{folder}/columns/{name}").schema
-    return spark.read.schema(columns.add("day", "date")).parquet(f"{folder}/marts/{name}")
+    return spark.read.schema(columns.add("month", "date")).parquet(f"{folder}/marts/{name}")
 
 
 def staging(w: Warehouse, deliveries: DataFrame, p: Params) -> dict[str, DataFrame]:
@@ -78,9 +78,10 @@ def read_marts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 def views(m: dict[str, DataFrame]) -> list[str]:
     """Reporting views without identifiers: revenue by day and kind, money out by day and disposition, subscriptions by status."""
-    revenue = m["net_cash"].groupBy("day", "event_name", "currency").agg(
+    day = F.to_date("occurred_at").alias("day")
+    revenue = m["net_cash"].groupBy(day, "event_name", "currency").agg(
         F.count(F.lit(1)).alias("purchases"), F.sum("cash_value_minor").alias("gross_minor"), F.sum("taken_minor").alias("taken_minor"), F.sum("restated_minor").alias("restated_minor"))
-    out = m["adjustments"].groupBy("day", "disposition", "currency").agg(F.count(F.lit(1)).alias("adjustments"), F.sum("ledger_cash_value_minor").alias("ledger_cash_minor"))
+    out = m["adjustments"].groupBy(day, "disposition", "currency").agg(F.count(F.lit(1)).alias("adjustments"), F.sum("ledger_cash_value_minor").alias("ledger_cash_minor"))
     status = m["subscriptions"].groupBy("status_as_of", "plan_tier", "billing_interval").agg(F.count(F.lit(1)).alias("subscriptions"))
     return K.create_views({"rpt_revenue_daily": revenue, "rpt_money_out_daily": out, "rpt_subscriptions": status}, ["user_id"])
 
