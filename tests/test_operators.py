@@ -191,3 +191,59 @@ def test_quantiles_from_counts_equal_percentile(spark):
     assert {k: [round(x, 9) for x in v] for k, v in got.items()} == {k: [round(x, 9) for x in v] for k, v in plain.items()}
     weighed = df.groupBy("k", "v").count()
     assert {r.k: r.mid for r in R.quantiles(weighed, ["k"], "v", {"mid": 0.5}, "count").collect()} == {k: v[1] for k, v in plain.items()}
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Every join and window goes over the network, without changes at run time."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
+def test_whole_histories_are_cut_only_where_crowded(crowded):
+    rows, df = crowded
+    aggs = [Agg("before", "sum", F.col("w")), Agg("prev", "max", F.struct("ft", "fid", "w"))]
+    for n in (100, 100_000):
+        got = {r.fid: r for r in running(df, ["k"], "ft", ["fid"], aggs, block_seconds=None, block_rows=n).collect()}
+        assert len(got) == len(rows)
+        for key in (0, 1, None):
+            total, last = 0, None
+            for fid, _k, _ft, w in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+                assert got[fid].before == total and (got[fid].prev and got[fid].prev.fid) == last
+                total, last = total + w, fid
+    anchors = df.where("fid % 3 = 0").select("fid", "k", "ft")
+    for inclusive in (True, False):
+        a, b, c = (sorted(latest(anchors, df, ["k"], "ft", "ft", [F.col("ft"), F.col("fid")], ["w"], inclusive, prefix="at_", block_seconds=s, block_rows=n).collect(), key=str) for s, n in ((86_400, None), (None, 100), (None, None)))
+        assert a == b == c and len(a) == anchors.count()
+        assert all(r.at_w is None for r in b if r.k is None)
+
+
+def test_numbers_of_a_whole_history(spark):
+    from tidemark.operators.running import running_by_number
+
+    df = spark.createDataFrame([(k, 7 * i * i) for k in (1, None) for i in range(500)], "k long, v long")
+    for n in (50, None):
+        got = running_by_number(df, ["k"], "v", [Agg("prev", "max", F.col("v"))], block_width=None, block_rows=n).collect()
+        assert len(got) == 1000 and all(r.prev == (7 * i * i if (i := round((r.v / 7) ** 0.5) - 1) >= 0 else None) for r in got)
+
+
+def test_a_sparse_history_goes_over_the_network_once(shuffled, data):
+    _, _, da, df = data
+    plan = lookup_many(da, [Facts(df, "ft", [Agg("n", "count")])], ["k"], "t", None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(shuffled):
+    child = shuffled.range(2000).select("id", F.when(F.col("id") < 100, F.concat(F.lit("k"), "id")).alias("key"), F.lit(None).cast("long").alias("other"))
+    # a real key that looks like a made-up one takes no row without a key
+    side = shuffled.range(70_000).select(F.col("id").cast("string").alias("key"), F.lit("wrong").alias("parent")).unionByName(child.where("id < 50").select("key", F.lit("right").alias("parent")))
+    empty = shuffled.createDataFrame([(1, "wrong")], "other long, parent string")
+    for how in (R.link, R.link_wide):
+        out = how(child, [("a", "key", side), ("b", "other", empty)], "parent").withColumn("task", F.spark_partition_id()).collect()
+        assert len(out) == 2000 and all((r.parent, r.link_path) == (("right", "a") if r.id < 50 else (None, None)) for r in out)
+        held = [r.task for r in out if r.key is None]
+        assert max(held.count(t) for t in set(held)) < 1000, how.__name__

@@ -12,6 +12,7 @@ from tidemark.functions.segments import url_param
 from tidemark.operators.rows import keep_first
 from tidemark.operators.running import Agg, running_by_number
 from tidemark.params import Params
+from tidemark.sinks.tables import stage
 from tidemark.sources.schemas import BILLING_OBJECT, BILLING_PREVIOUS
 
 # Event types the staging jobs read (fixed values); others are only flagged.
@@ -139,7 +140,8 @@ def subscription_items(changes: DataFrame) -> DataFrame:
 
 def cumulative_steps(df: DataFrame, keys: Sequence[str], cumulative: str, step: str) -> DataFrame:
     """Cumulative amounts to steps: each minus the largest smaller amount of the key."""
-    out = running_by_number(df, keys, cumulative, [Agg("_prev", "max", F.col(cumulative))])
+    # counted and then ordered: computed once
+    out = running_by_number(stage(df), keys, cumulative, [Agg("_prev", "max", F.col(cumulative))], block_width=None)
     return out.withColumn(step, F.col(cumulative) - F.coalesce("_prev", F.lit(0))).drop("_prev")
 
 

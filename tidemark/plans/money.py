@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import anti, bounded, keep_first, key_map, link, lookup, overlaps, to_ranges, valid_on
+from tidemark.operators.rows import anti, bounded, keep_first, key_map, known_equal, link_wide, lookup, overlaps, to_ranges, valid_on
 from tidemark.operators.running import Agg, Facts, latest_of, lookup_many, running
 from tidemark.params import Params
 from tidemark.sinks.tables import stage
@@ -50,8 +50,15 @@ def to_reporting(minor: str):
 
 def mark_first(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
     """First-ever flag: the smallest order per key (pre-aggregated), joined back."""
-    low = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    return df.join(low, key, "left").withColumn(name, F.col("_first").eqNullSafe(F.struct(*order))).drop("_first")
+    return mark_firsts(df, key, {name: (F.lit(True), order)})
+
+
+def mark_firsts(df: DataFrame, key: str, flags: dict[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """Several first-ever flags (which rows compete, by what order) with one aggregation and one join; rows without a key are first in nothing."""
+    low = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_low")).agg(*[F.min(F.when(rows, F.struct(*order))).alias(f"_f{i}") for i, (rows, order) in enumerate(flags.values())])
+    x = df.join(low, known_equal(df, key, "_low"), "left")
+    x = x.withColumns({name: rows & F.col(f"_f{i}").eqNullSafe(F.struct(*order)) for i, (name, (rows, order)) in enumerate(flags.items())})
+    return x.drop("_low", *[f"_f{i}" for i in range(len(flags))])
 
 
 def line_evidence(lines: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -110,39 +117,47 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
     paid = anti(
         inv.where("invoice_status = 'paid' and amount_paid_minor > 0"), packs.where("invoice_id is not null"), ["invoice_id"]
     )
+    # all that is known of an invoice by its id, in the partitions of the evidence
     x = paid.join(line_evidence(lines, catalog), "invoice_id", "left")
+    name, rule = classify_purchase("billing_reason", F.col("old_plan").isNotNull(), F.coalesce("has_pack_line", F.lit(False)))
+    x = x.withColumn("event_name", name).withColumn("classification_rule", rule)
+    pay = keep_first(payments, ["invoice_id"], [F.col("payment_created_at"), F.col("invoice_payment_id")]).select("invoice_id", "payment_intent_id", "charge_id")
+    x = x.join(pay, "invoice_id", "left")
+    sub = done.where("checkout_mode = 'subscription' and invoice_id is not null").select(F.col("invoice_id").alias("_k"), "checkout_session_id", "ga_client_id", "ga_session_id", "tolt_referral")
+    # only a first purchase has a checkout; the rule is part of the condition, so the others stay where they are
+    x = x.join(sub, (F.col("invoice_id") == F.col("_k")) & (F.col("event_name") == "purchase_first"), "left").drop("_k")
+    x = x.select(
+        "invoice_id", "paid_event_id", "user_id", "subscription_id", "paid_at", "billing_reason", "amount_paid_minor", "total_minor", "total_excluding_tax_minor", "currency", "event_name", "classification_rule",
+        F.col("new_plan.t").alias("np_t"), F.col("new_plan.tc").alias("np_tc"), F.col("new_plan.bi").alias("np_bi"), F.col("new_plan").isNotNull().alias("has_new_plan"), F.col("old_plan.t").alias("op_t"),
+        "pack_line_quantity", "has_unknown_price_lines", F.coalesce("payment_intent_id", "legacy_payment_intent_id").alias("payment_intent_id"), F.coalesce("charge_id", "legacy_charge_id").alias("charge_id"),
+        "checkout_session_id", "ga_client_id", "ga_session_id", "tolt_referral")
     # both the anchors and the facts of the ordered frame: computed once
     x = stage(x)
-    previous = Agg("_prev", "max", F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), F.col("new_plan").alias("p")))
+    plan = F.struct(F.col("np_t").alias("t"), F.col("np_tc").alias("tc"), F.col("np_bi").alias("bi"))
+    previous = Agg("_prev", "max", F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), plan.alias("p")))
     # an invoice without a subscription has no history: a key of its own, so that they do not all meet in one
     x = x.withColumn("_sub", F.coalesce("subscription_id", F.concat(F.lit("none:"), "invoice_id")))
     state = states.where("subscription_id is not null").select(F.col("subscription_id").alias("_sub"), "changed_at", "stripe_event_id", *STATE)
-    invoiced = x.where("new_plan is not null").select("_sub", "paid_at", "invoice_id", "new_plan")
-    # the last plan invoiced before and the newest state so far, in one ordered frame
+    invoiced = x.where("has_new_plan and subscription_id is not null").select("_sub", "paid_at", "invoice_id", "np_t", "np_tc", "np_bi")
+    # the last plan invoiced before and the newest state so far, in one ordered frame of the subscription's history
     x = lookup_many(x, [
         Facts(invoiced, "paid_at", [previous], inclusive=False), Facts(state, "changed_at", [latest_of([F.col("changed_at"), F.col("stripe_event_id")], STATE, "_state")]),
-    ], ["_sub"], "paid_at").drop("_sub")
+    ], ["_sub"], "paid_at", None).drop("_sub")
     x = x.withColumn("pp", F.when(F.col("subscription_id").isNotNull(), F.col("_prev.p")))
     x = x.withColumns({f"st_{c}": F.col(f"_state.p{i}") for i, c in enumerate(STATE)}).drop("_prev", "_state")
-    pay = keep_first(payments, ["invoice_id"], [F.col("payment_created_at"), F.col("invoice_payment_id")]).select("invoice_id", "payment_intent_id", "charge_id")
-    x = x.join(pay, "invoice_id", "left")
-    name, rule = classify_purchase("billing_reason", F.col("old_plan").isNotNull(), F.coalesce("has_pack_line", F.lit(False)))
-    x = x.withColumn("event_name", name).withColumn("classification_rule", rule)
     taxed = (F.col("total_minor") > 0) & F.col("total_excluding_tax_minor").isNotNull()
     net = F.round(F.col("amount_paid_minor") * F.col("total_excluding_tax_minor").cast("double") / F.col("total_minor"), 0).cast("bigint")
-    sub = done.where("checkout_mode = 'subscription' and invoice_id is not null").select("invoice_id", "checkout_session_id", "ga_client_id", "ga_session_id", "tolt_referral")
-    x = x.withColumn("_k", F.when(F.col("event_name") == "purchase_first", F.col("invoice_id"))).join(sub.withColumnRenamed("invoice_id", "_k"), "_k", "left")
     add_on = F.col("event_name").isin("purchase_add_on", "purchase_upgrade")
-    invoiced = mark_first(x, "user_id", ["paid_at", "invoice_id"], "is_first_purchase").select(
+    invoiced = x.select(
         F.concat(F.lit("purchase_"), "invoice_id").alias("event_id"), F.concat(F.lit("sub_"), "invoice_id").alias("order_id"), "event_name",
         F.col("paid_at").alias("occurred_at"), F.col("paid_event_id").alias("source_event_id"), "user_id", "invoice_id", "subscription_id", "checkout_session_id",
-        F.coalesce("payment_intent_id", "legacy_payment_intent_id").alias("payment_intent_id"), F.coalesce("charge_id", "legacy_charge_id").alias("charge_id"),
+        "payment_intent_id", "charge_id",
         F.col("amount_paid_minor").alias("cash_value_minor"), F.when(taxed, net).otherwise(F.col("amount_paid_minor")).alias("revenue_minor"), "currency",
-        F.coalesce("new_plan.t", "st_plan_tier", "pp.t").alias("plan_tier"), F.coalesce("new_plan.tc", "st_plan_tier_code", "pp.tc").alias("plan_tier_code"),
-        F.coalesce("new_plan.bi", "st_billing_interval", "pp.bi").alias("billing_interval"),
-        F.when(F.col("event_name") == "purchase_upgrade", F.col("old_plan.t")).alias("previous_plan_tier"),
+        F.coalesce("np_t", "st_plan_tier", "pp.t").alias("plan_tier"), F.coalesce("np_tc", "st_plan_tier_code", "pp.tc").alias("plan_tier_code"),
+        F.coalesce("np_bi", "st_billing_interval", "pp.bi").alias("billing_interval"),
+        F.when(F.col("event_name") == "purchase_upgrade", F.col("op_t")).alias("previous_plan_tier"),
         F.when(add_on, F.coalesce(F.nullif("st_pack_quantity", F.lit(0)), "pack_line_quantity")).otherwise(F.col("pack_line_quantity")).alias("credit_pack_quantity"),
-        "is_first_purchase", F.coalesce(F.coalesce("new_plan.t", "st_plan_tier", "pp.t").isin(*BUSINESS_TIERS), F.lit(False)).alias("is_business"),
+        F.coalesce(F.coalesce("np_t", "st_plan_tier", "pp.t").isin(*BUSINESS_TIERS), F.lit(False)).alias("is_business"),
         "billing_reason", "classification_rule", F.coalesce("has_unknown_price_lines", F.lit(False)).alias("has_unknown_price_lines"),
         "ga_client_id", "ga_session_id", "tolt_referral",
     )
@@ -155,9 +170,11 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
         "ga_client_id", "ga_session_id", "tolt_referral",
     )
     every = invoiced.unionByName(packed, allowMissingColumns=True)
-    # a pack is a first purchase when nothing of the user precedes it; invoices compare among invoices
-    every = mark_first(every, "user_id", ["occurred_at", "event_id"], "_first_any")
-    every = every.withColumn("is_first_purchase", F.when(F.col("event_name") == "purchase_one_time_pack", F.col("_first_any")).otherwise(F.col("is_first_purchase")))
+    # a pack is a first purchase when nothing of the user precedes it; invoices compare among invoices, by their own ids
+    pack = F.col("event_name").eqNullSafe("purchase_one_time_pack")
+    every = mark_firsts(every, "user_id", {
+        "_first_invoice": (~pack, ("occurred_at", "invoice_id")), "_first_any": (F.lit(True), ("occurred_at", "event_id"))})
+    every = every.withColumn("is_first_purchase", F.when(pack, F.col("_first_any")).otherwise(F.col("_first_invoice"))).drop("_first_invoice")
     out = value_at(every, fx, "occurred_at")
     return out.withColumn("cash_value_reporting", to_reporting("cash_value_minor")).withColumn("revenue_reporting", to_reporting("revenue_minor")).withColumn(
         "fx_rate_to_reporting", F.col("reporting_per_unit")).drop("_first_any", "reporting_per_unit", "minor_unit_digits")
@@ -170,23 +187,25 @@ def adjustments(refunds: DataFrame, disputes: DataFrame, payments: DataFrame, pu
     by_intent = key_map([via, p], "payment_intent_id", "event_id").withColumnRenamed("event_id", "adjusts_event_id")
     by_charge = key_map([via, p], "charge_id", "event_id").withColumnRenamed("event_id", "adjusts_event_id")
     by_invoice = p.where("invoice_id is not null").select(F.col("invoice_id").alias("legacy_invoice_id"), F.col("event_id").alias("adjusts_event_id"))
+    # event ids are made of other columns: not carried along
     r = refunds.select(
-        F.concat_ws("_", F.lit("refund"), "charge_id", F.col("amount_refunded_cumulative_minor").cast("string")).alias("event_id"), F.lit("refund").alias("event_name"),
-        F.col("refunded_at").alias("occurred_at"), F.col("stripe_event_id").alias("source_event_id"), F.col("user_id").alias("charge_user_id"), "charge_id",
-        "payment_intent_id", "legacy_invoice_id", (-F.col("refund_step_minor")).alias("cash_value_minor"), "currency", F.lit(True).alias("is_money_lost"),
+        F.lit("refund").alias("event_name"), F.col("refunded_at").alias("occurred_at"), F.col("stripe_event_id").alias("source_event_id"), F.col("user_id").alias("charge_user_id"), "charge_id",
+        "payment_intent_id", "legacy_invoice_id", "amount_refunded_cumulative_minor", (-F.col("refund_step_minor")).alias("cash_value_minor"), "currency", F.lit(True).alias("is_money_lost"),
     )
     c = disputes.select(
-        F.concat(F.lit("chargeback_"), "dispute_id").alias("event_id"), F.lit("chargeback").alias("event_name"), F.col("disputed_at").alias("occurred_at"),
-        F.col("stripe_event_id").alias("source_event_id"), "charge_id", "payment_intent_id", (-F.col("amount_minor")).alias("cash_value_minor"), "currency",
-        "dispute_reason", "dispute_status", "is_money_lost",
+        "dispute_id", F.lit("chargeback").alias("event_name"), F.col("disputed_at").alias("occurred_at"), F.col("stripe_event_id").alias("source_event_id"), "charge_id", "payment_intent_id",
+        (-F.col("amount_minor")).alias("cash_value_minor"), "currency", "dispute_reason", "dispute_status", "is_money_lost",
     )
+    event_id = F.when(F.col("event_name") == "refund", F.concat_ws("_", F.lit("refund"), "charge_id", F.col("amount_refunded_cumulative_minor").cast("string"))).otherwise(F.concat(F.lit("chargeback_"), "dispute_id"))
     maps = [("payment_intent", "payment_intent_id", by_intent), ("charge", "charge_id", by_charge), ("legacy_invoice", "legacy_invoice_id", by_invoice)]
-    linked = link(r.unionByName(c, allowMissingColumns=True), maps, "adjusts_event_id")
+    linked = link_wide(r.unionByName(c, allowMissingColumns=True), maps, "adjusts_event_id")
     base = p.select(
         F.col("event_id").alias("adjusts_event_id"), F.col("user_id").alias("p_user"), F.col("order_id").alias("adjusts_order_id"), "invoice_id", "subscription_id",
-        "plan_tier", "plan_tier_code", "billing_interval", F.col("cash_value_minor").alias("adjusted_purchase_cash_minor"), F.col("revenue_minor").alias("p_revenue"), F.lit(True).alias("_linked"),
+        "plan_tier", "plan_tier_code", "billing_interval", F.col("cash_value_minor").alias("adjusted_purchase_cash_minor"), F.col("revenue_minor").alias("p_revenue"),
     )
-    x = net_disputes(stage(linked.join(base, "adjusts_event_id", "left")))
+    # what the lookups needed alone is left out
+    x = stage(linked.drop("payment_intent_id", "legacy_invoice_id"))
+    x = net_disputes(x.withColumn("event_id", event_id).drop("dispute_id", "amount_refunded_cumulative_minor"), base)
     x = value_at(x, fx, "occurred_at")
     share = F.coalesce(F.col("p_revenue").cast("double") / F.nullif("adjusted_purchase_cash_minor", F.lit(0)), F.lit(1.0))
     major = F.col("ledger_cash_value_minor") / F.pow(F.lit(10.0), F.col("minor_unit_digits")) * F.col("reporting_per_unit")
@@ -203,10 +222,11 @@ def adjustments(refunds: DataFrame, disputes: DataFrame, payments: DataFrame, pu
     )
 
 
-def net_disputes(x: DataFrame) -> DataFrame:
+def net_disputes(x: DataFrame, purch: DataFrame | None = None) -> DataFrame:
     """Cut each lost dispute to what earlier money-out left of its purchase; restate the order value.
 
-    Needs adjusts_event_id, adjusted_purchase_cash_minor, cash_value_minor (negative), is_money_lost, event_name.
+    Needs adjusts_event_id, adjusted_purchase_cash_minor, cash_value_minor (negative), is_money_lost, event_name. Columns of
+    the purchases may come in ``purch`` (one row an adjusts_event_id): they are joined where the frame has put the rows.
 
     One ordered frame is enough: with T taken before, a dispute of a counts min(a, max(P - T, 0)) and a refund all of a. Until
     the sum of all that was taken reaches the price P nothing is cut, and from then on nothing is left, so the restated value
@@ -215,7 +235,9 @@ def net_disputes(x: DataFrame) -> DataFrame:
     x = x.withColumn("is_money_lost", F.coalesce("is_money_lost", F.lit(False)))
     lost = F.when(F.col("is_money_lost"), -F.col("cash_value_minor")).otherwise(F.lit(0))
     loose = x.where("adjusts_event_id is null")
-    tied = running(x.where("adjusts_event_id is not null"), ["adjusts_event_id"], "occurred_at", ["event_id"], [Agg("taken_before_minor", "sum", lost)])
+    tied = running(x.where("adjusts_event_id is not null"), ["adjusts_event_id"], "occurred_at", ["event_id"], [Agg("taken_before_minor", "sum", lost)], block_seconds=None)
+    if purch is not None:
+        tied = tied.join(purch, "adjusts_event_id", "left")
     left = F.greatest(F.coalesce(F.col("adjusted_purchase_cash_minor") - F.col("taken_before_minor"), F.lit(0)), F.lit(0))
     ledger = (
         F.when(~F.col("is_money_lost"), F.lit(0)).when(F.col("event_name") == "refund", F.col("cash_value_minor"))
