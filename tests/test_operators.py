@@ -247,3 +247,18 @@ def test_rows_without_a_key_do_not_meet_in_one_task(shuffled):
         assert len(out) == 2000 and all((r.parent, r.link_path) == (("right", "a") if r.id < 50 else (None, None)) for r in out)
         held = [r.task for r in out if r.key is None]
         assert max(held.count(t) for t in set(held)) < 1000, how.__name__
+
+
+def test_sides_that_grow_are_not_sent_to_every_task(spark):
+    from tidemark.plans.audiences import audience_diff
+
+    df = spark.createDataFrame([("meta", "seed", f"m{i % 60}", i, float(i)) for i in range(90)], "platform string, list_name string, member_key string, user_id long, value double")
+    known = R.keep_first_counted(df, ["platform", "list_name", "member_key"], [F.col("user_id")], "copies")
+    assert sorted((r.user_id, r.copies) for r in known.collect()) == [(i, 2 if i < 30 else 1) for i in range(60)]
+    ids = df.select("user_id")
+    diff = audience_diff(known.where("user_id % 5 <> 0"), known.where("user_id % 7 <> 0"), ids.where("user_id % 14 = 0"), ids.where("user_id % 21 <> 0"), ["seed"])
+    for r in diff.collect():
+        assert r.action == ("add" if r.user_id % 5 == 0 else "remove" if r.user_id % 7 == 0 else "unchanged")
+        assert r.change_reason == (None if r.action != "remove" else "consent_withdrawn" if r.user_id % 14 == 0 else "no_longer_a_candidate" if r.user_id % 21 == 0 else "no_longer_qualifies")
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 6

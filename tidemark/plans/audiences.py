@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators.rows import bounded, global_rank, keep_first, keep_first_counted, top_fraction
+from tidemark.operators.rows import bounded, global_rank, keep_first, keep_first_counted, known_equal, top_fraction
 from tidemark.params import Params
 from tidemark.plans.consent import consent_country, denied, opted_out
 
@@ -135,10 +135,12 @@ def audience_diff(prev: DataFrame, curr: DataFrame, dropped: DataFrame, candidat
     a = prev.select(*keys, F.col("user_id").alias("prev_user"), F.col("value").alias("prev_value"), F.lit(True).alias("_p"))
     b = curr.select(*keys, F.col("user_id").alias("curr_user"), F.col("value").alias("curr_value"), F.lit(True).alias("_c"))
     x = a.join(b, keys, "full_outer")
-    still = curr.select("platform", "list_name", F.col("user_id").alias("prev_user")).distinct().withColumn("_still", F.lit(True))
-    x = x.join(still, ["platform", "list_name", "prev_user"], "left")
-    x = x.join(dropped.select(F.col("user_id").alias("prev_user"), F.lit(True).alias("_drop")).distinct(), "prev_user", "left")
-    x = x.join(candidate_ids.select(F.col("user_id").alias("prev_user"), F.lit(True).alias("_cand")).distinct(), "prev_user", "left")
+    # the three sides grow with the users: joined in partitions, whatever size they are guessed at; added members have no previous user
+    still = curr.select(F.col("platform").alias("_sp"), F.col("list_name").alias("_sl"), F.col("user_id").alias("_su")).distinct().withColumn("_still", F.lit(True)).hint("merge")
+    x = x.join(still, (F.col("platform") == F.col("_sp")) & (F.col("list_name") == F.col("_sl")) & known_equal(x, "prev_user", "_su"), "left").drop("_sp", "_sl", "_su")
+    for side, flag in ((dropped, "_drop"), (candidate_ids, "_cand")):
+        ids = side.select(F.col("user_id").alias("_u"), F.lit(True).alias(flag)).distinct().hint("merge")
+        x = x.join(ids, known_equal(x, "prev_user", "_u"), "left").drop("_u")
     moved = F.col("list_name").isin(*value_lists) & ~value_bucket(F.col("prev_value")).eqNullSafe(value_bucket(F.col("curr_value")))
     action = F.when(F.col("_p").isNull(), "add").when(F.col("_c").isNull(), "remove").when(moved, "update").otherwise("unchanged")
     reason = F.when(F.col("_drop"), "consent_withdrawn").when(F.col("_still"), "identifier_changed").when(F.col("_cand").isNull(), "no_longer_a_candidate").otherwise("no_longer_qualifies")
