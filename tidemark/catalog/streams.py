@@ -28,9 +28,9 @@ def run(s, d, stream, sink, mode="append"):
 def replay(s, df, order, files=3):
     """Write a table slice after slice in time order and read the files as a stream in several micro-batches."""
     p = scratch(s)
-    per_batch = max(1, df.count() // 1_000_000)
     span = F.floor(F.unix_micros(order) / (86_400_000_000 * 12)).cast("int")
-    base = df.withColumn("_slice", span)
+    base = K.stage(df.withColumn("_slice", span))  # counted and cut into slices: computed once
+    per_batch = max(1, base.count() // 1_000_000)
     for i in range(files):
         lo, hi = 1643 + i, 1644 + i
         part = base.where((F.col("_slice") >= (lo if i else -10_000)) & (F.col("_slice") < (hi if i < files - 1 else 10_000_000)))
