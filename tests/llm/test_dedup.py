@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import ODD
@@ -161,3 +162,34 @@ def test_classes_are_equal_strings(letters, length):
         assert place.tolist() == starts
         by = {}
         assert all(by.setdefault(flat[p : p + length], c) == c for p, c in zip(starts, number)) and len(set(by.values())) == len(by)
+
+
+def wide_segments(n, length, seed=1):
+    """One text a row, each with one gram in the middle of other bytes, and the wanted segments around the gram."""
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices("abcdefghij ", k=length)) + "the gram they all have in common" + "".join(rng.choices("abcdefghij ", k=length)) for _ in range(n)]
+    look = np.zeros(1, suffix_dedup.LOOKUP)
+    look["first"], look["last"] = 40, 100
+    return pa.RecordBatch.from_pydict({"t": texts, "doc": list(range(n)), "sum": [0] * n, "blobs": pa.array([[suffix_dedup.pack(look)]] * n, pa.list_(pa.binary()))})
+
+
+def test_segments_of_a_wide_anchor_are_cut_at_longer_grams(monkeypatch):
+    """Single strings were 6,100 bytes a segment, in a piece a bucket for every part of text."""
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 1000)
+    n, buckets = 60, 8
+    rows = pa.Table.from_batches(list(suffix_dedup.cut_segments(100, buckets)(iter([wide_segments(n, 100)])))).to_pylist()
+    assert len(rows) <= buckets
+    heads = [suffix_dedup.unpack([r["blob"][8 : 8 + int.from_bytes(r["blob"][:8], "little")]], suffix_dedup.SEGMENT) for r in rows]
+    found = np.concatenate(heads)
+    assert found["size"].sum() < n * 1500
+    strings = sorted((int(d), int(f) + i) for d, f, size in zip(found["doc"], found["first"], found["size"]) for i in range(size - 99))
+    assert strings == [(d, p) for d in range(n) for p in range(40, 101)]
+
+
+@pytest.mark.parametrize("wide, widest", [(1, 50_000), (0, 1)])
+def test_wide_anchors_lose_no_string(documents, monkeypatch, wide, widest):
+    monkeypatch.setattr(suffix_dedup, "WIDE_SEGMENTS", wide)
+    monkeypatch.setattr(suffix_dedup, "WIDEST_SEGMENTS", widest)
+    rows = passages(80, 5)
+    got = dedup(documents(rows)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str(x[:5]) for x in removed(rows, 100))

@@ -23,8 +23,11 @@ ANCHOR_BUCKET_BYTES = 32 << 20
 SEGMENT_BUCKET_BYTES = 1 << 20
 #: An anchor in more than this share of the sampled anchors is spread over its strings.
 HOT_SHARE = 1 / 20_000
-#: A known anchor with more different segments than this is spread over its strings as well.
-WIDE_SEGMENTS = 2000
+#: A known anchor with more different segments than this is filed again by longer grams, and beyond the second number, as one
+#: line may be in all of them, spread over its strings as well.
+WIDE_SEGMENTS, WIDEST_SEGMENTS = 2000, 50_000
+#: Bytes that a task gathers before it deals them out to buckets, so that the pieces of a bucket do not get smaller as buckets get more.
+GATHERED_BYTES = 8 << 20
 
 ANCHOR = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("sum", "<i8"), ("first", "<i4"), ("last", "<i4")])
 SPAN = np.dtype([("doc", "<i8"), ("sum", "<i8"), ("first", "<i4"), ("last", "<i4")])
@@ -38,6 +41,13 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
+def least_grams(hashes: Hashes, width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of ``width`` bytes, and for each string of ``length`` bytes the place of its gram of least hash."""
+    gram = hashes.grams(width)
+    packed = (gram >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64)
+    return gram, (sliding_least(packed, length - width + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Hashes | None, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring strings with one anchor: (row, first start, last start, hash of the anchor's gram).
 
@@ -49,9 +59,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Hashes
     if len(data) < length or not (sizes >= length).any():
         return None, nothing, nothing, nothing, np.zeros(0, np.uint64)
     hashes = Hashes(data)
-    gram = hashes.grams(GRAM)
-    packed = (gram >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64)
-    anchor = (sliding_least(packed, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    gram, anchor = least_grams(hashes, GRAM, length)
     row = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
     whole = np.arange(len(anchor)) + length <= offsets[1:][row]
     start = np.flatnonzero(whole)
@@ -62,6 +70,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[Hashes
     return hashes, row[first], first, last, gram[anchor[first]]
 
 
+def long_gram(length: int) -> int:
+    """Bytes of the gram by which the strings of a wide anchor are filed: half-way from the anchor's to the string."""
+    return (GRAM + length) // 2
+
+
+def by_long_gram(hashes: Hashes, row: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut where the strings' longer gram of least hash changes: row, first, last and that gram's hash. Equal strings have equal ones."""
+    gram, least = least_grams(hashes, long_gram(length), length)
+    n = last - first + 1
+    ends = np.cumsum(n)
+    start = np.arange(ends[-1]) + np.repeat(first - (ends - n), n)
+    cut = np.zeros(len(start), bool)
+    cut[ends - n] = True
+    at = least[start]
+    cut[1:] |= at[1:] != at[:-1]
+    head = np.flatnonzero(cut)
+    return np.repeat(row, n)[head], start[head], start[np.r_[head[1:], len(start)] - 1], gram[at[head]]
+
+
 def each_string(hashes: Hashes, row: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The strings of runs one by one: row, start, and two hashes of the whole string."""
     n = last - first + 1
@@ -153,7 +180,16 @@ def as_spans(found: np.ndarray) -> np.ndarray:
 def scan_anchors(length: int, buckets: int, hot: np.ndarray) -> Callable:
     """Per part of text: anchors by bucket, after the copies within the part have been set aside for removal."""
 
+    def dealt(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate(gathered)
+        bucket = (found["key"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, bucket = found[order], bucket[order]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        return flow([(0, int(bucket[i]), 0, 0, pack(found[i:j])) for i, j in zip(edge, np.r_[edge[1:], len(bucket)])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
         for batch in batches:
             data, offsets = base.flat(batch.column("t"))
             docs, sums = batch.column("doc").to_numpy(), batch.column("sum").to_numpy()
@@ -173,19 +209,23 @@ def scan_anchors(length: int, buckets: int, hot: np.ndarray) -> Callable:
                 found["key"], found["seg"], found["doc"], found["sum"] = key, seg, docs[a:b][row], sums[a:b][row]
                 found["first"], found["last"] = first - own[row], last - own[row]
                 found, head = earliest(found)
-                rows = removals(as_spans(found[~head]), buckets)
-                found = found[head]
-                bucket = (found["key"] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                found, bucket = found[order], bucket[order]
-                edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows += [(0, i, 0, 0, pack(found[edge[i] : edge[i + 1]])) for i in range(buckets) if edge[i + 1] > edge[i]]
-                yield flow(rows)
+                yield flow(removals(as_spans(found[~head]), buckets))
+                gathered.append(found[head])
+                size += gathered[-1].nbytes
+                if size >= GATHERED_BYTES:
+                    yield dealt(gathered)
+                    gathered, size = [], 0
+        if gathered:
+            yield dealt(gathered)
 
     return run
 
 
-def match_anchors(length: int) -> Callable:
+#: Keys of segments that are looked up by longer grams or by their single strings, instead of by the anchor.
+BY_LONG_GRAM, BY_STRING = np.uint64(0), np.uint64(1)
+
+
+def match_anchors(length: int, wide: int, widest: int) -> Callable:
     """One bucket of anchors: segments that appear earlier are removed whole, different segments of one anchor are looked up."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -197,14 +237,15 @@ def match_anchors(length: int) -> Callable:
         new[1:] = found["key"][1:] != found["key"][:-1]
         segments = np.diff(np.r_[np.flatnonzero(new), len(found)])
         several = np.repeat(segments, segments)
-        some, wide = found[several > 1], several[several > 1] > WIDE_SEGMENTS
+        some, several = found[several > 1], several[several > 1]
         order = np.lexsort((some["first"], some["sum"], some["doc"]))
-        some, wide = some[order], wide[order]
-        # a wide anchor's segments are spread by their strings: key zero says so
-        some["key"] = np.where(wide, np.uint64(0), np.maximum(some["key"], np.uint64(1)))
+        some, several = some[order], several[order]
+        some["key"] = np.where(several > widest, BY_STRING, np.where(several > wide, BY_LONG_GRAM, np.maximum(some["key"], np.uint64(2))))
+        # starts of a run that share a longer gram, on average
+        run_of = (length - long_gram(length)) // 2 + 1
         for doc, check, own in per_document(some):
             n = own["last"].astype(np.int64) - own["first"]
-            size = np.where(own["key"] == 0, (n + 1) * length, n + length).sum()
+            size = np.where(own["key"] == BY_STRING, (n + 1) * length, np.where(own["key"] == BY_LONG_GRAM, n + length * (1 + n // run_of), n + length)).sum()
             rows.append((2, int(size), doc, check, pack(own[["key", "first", "last"]])))
         return pa.concat_tables([pa.Table.from_batches([flow(rows)]), table.filter(pa.array(~anchored)).select(["kind", "bucket", "doc", "sum", "blob"])])
 
@@ -216,9 +257,25 @@ SEGMENT = np.dtype([("doc", "<i8"), ("sum", "<i8"), ("first", "<i4"), ("size", "
 
 
 def cut_segments(length: int, buckets: int) -> Callable:
-    """Bytes of the wanted segments, by bucket of their anchor (or, if that is wide, of each string)."""
+    """Bytes of the wanted segments, by bucket of their anchor (or, if that is wide, of their longer grams or each string)."""
+
+    def dealt(gathered: list[tuple[np.ndarray, np.ndarray, bytes]]) -> pa.RecordBatch:
+        bucket, head = np.concatenate([x[0] for x in gathered]), np.concatenate([x[1] for x in gathered])
+        text = b"".join([x[2] for x in gathered])
+        ends = np.cumsum(head["size"].astype(np.int64))
+        order = np.argsort(bucket, kind="stable")
+        bucket, head, ends = bucket[order], head[order], ends[order]
+        starts = ends - head["size"]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        rows = []
+        for i, j in zip(edge, np.r_[edge[1:], len(bucket)]):
+            own = b"".join([text[x:y] for x, y in zip(starts[i:j], ends[i:j])])
+            blob = pack(head[i:j])
+            rows.append((3, int(bucket[i]), 0, 0, len(blob).to_bytes(8, "little") + blob + pa.compress(own, codec="zstd", asbytes=True)))
+        return flow(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, held = [], 0
         for batch in batches:
             data, offsets = base.flat(batch.column("t"))
             docs, sums = batch.column("doc").to_numpy(), batch.column("sum").to_numpy()
@@ -229,22 +286,27 @@ def cut_segments(length: int, buckets: int) -> Callable:
                 row = np.repeat(np.arange(b - a), [len(x) for x in some])
                 look = np.concatenate(some)
                 first, last, key = own[row] + look["first"], own[row] + look["last"], look["key"]
-                wide = key == 0
-                if wide.any():
-                    more_row, start, more_key, _ = each_string(Hashes(part), row[wide], first[wide], last[wide], length)
-                    row, first, last, key = np.r_[row[~wide], more_row], np.r_[first[~wide], start], np.r_[last[~wide], start], np.r_[key[~wide], more_key]
+                wide, widest = key == BY_LONG_GRAM, key == BY_STRING
+                if wide.any() or widest.any():
+                    hashes, stay = Hashes(part), ~wide & ~widest
+                    several = [(row[stay], first[stay], last[stay], key[stay])]
+                    if wide.any():
+                        several.append(by_long_gram(hashes, row[wide], first[wide], last[wide], length))
+                    if widest.any():
+                        more_row, start, more_key, _ = each_string(hashes, row[widest], first[widest], last[widest], length)
+                        several.append((more_row, start, start, more_key))
+                    row, first, last, key = [np.concatenate(x) for x in zip(*several)]
                 bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                row, first, last, bucket = row[order], first[order], last[order], bucket[order]
                 head = np.empty(len(row), SEGMENT)
                 head["doc"], head["sum"], head["first"], head["size"] = docs[a:b][row], sums[a:b][row], first - own[row], last - first + length
-                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-                rows = []
-                for i, j in zip(edge, np.r_[edge[1:], len(bucket)]):
-                    text = b"".join([part[x : y + length].tobytes() for x, y in zip(first[i:j], last[i:j])])
-                    blob = pack(head[i:j])
-                    rows.append((3, int(bucket[i]), 0, 0, len(blob).to_bytes(8, "little") + blob + pa.compress(text, codec="zstd", asbytes=True)))
-                yield flow(rows)
+                whole = part.tobytes()
+                gathered.append((bucket, head, b"".join([whole[x:y] for x, y in zip(first.tolist(), (last + length).tolist())])))
+                held += len(gathered[-1][2])
+                if held >= GATHERED_BYTES:
+                    yield dealt(gathered)
+                    gathered, held = [], 0
+        if gathered:
+            yield dealt(gathered)
 
     return run
 
@@ -320,7 +382,8 @@ def repeats(docs: DataFrame, keep: tuple[str, ...], length: int = 100) -> tuple[
     segments whose anchors meet are compared. Equal segments are settled by their hashes (two of 64 bits), copies first within
     a part of text, so a hot group leaves one row per part. Anchors with several different
     segments are settled on the bytes: the segments of a bucket are put through a Burrows-Wheeler transform.
-    Anchors that fill a large share, or have very many segments, are spread over their strings.
+    Anchors with many segments are filed again by longer grams; those that fill a large share, or have very many segments, are
+    spread over their strings.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     identified = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("sum"), text.alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
@@ -331,7 +394,7 @@ def repeats(docs: DataFrame, keep: tuple[str, ...], length: int = 100) -> tuple[
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, -(-total // ANCHOR_BUCKET_BYTES))
     filed = rows.mapInArrow(scan_anchors(length, buckets, hot_anchors(rows, length, total)), FLOW)
-    first = base.stage(filed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match_anchors(length), FLOW), ["kind"])
+    first = base.stage(filed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(match_anchors(length, WIDE_SEGMENTS, WIDEST_SEGMENTS), FLOW), ["kind"])
     wanted = first.where("kind = 2").groupBy("doc", "sum").agg(F.collect_list("blob").alias("blobs"))
     # rows that repeat doc_id and text are one document: its segments are cut once
     repeated = ids.where(F.col("size") >= length).groupBy("doc", "sum").count().where("count > 1").head(1)
