@@ -262,3 +262,18 @@ def test_sides_that_grow_are_not_sent_to_every_task(spark):
         assert r.change_reason == (None if r.action != "remove" else "consent_withdrawn" if r.user_id % 14 == 0 else "no_longer_a_candidate" if r.user_id % 21 == 0 else "no_longer_qualifies")
     plan = diff._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 6
+
+
+def test_sides_of_one_row_a_key_meet_in_one_aggregation(shuffled):
+    """A chain of joins sorted every side in one task."""
+    df = shuffled.createDataFrame([(i, f"r{i}") for i in range(50)] + [(None, "none")], "k long, a string")
+    sides = [
+        shuffled.createDataFrame([(i, i * 2, None if i % 4 else "x") for i in range(0, 80, 3)] + [(None, 7, "y")], "k long, b long, c string"),
+        shuffled.createDataFrame([(i, {"m": i}) for i in range(0, 50, 7)], "k long, d map<string,int>"),
+    ]
+    out = R.beside(df, sides, "k")
+    assert out.columns == ["k", "a", "b", "c", "d"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want = [(i, f"r{i}", i * 2 if i % 3 == 0 else None, "x" if i % 12 == 0 else None, {"m": i} if i % 7 == 0 else None) for i in range(50)] + [(None, "none", None, None, None)]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
