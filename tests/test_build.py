@@ -60,3 +60,21 @@ def test_wrong_counts_and_open_runs_stop_before_writing(spark, folder, tmp_path)
     with pytest.raises(ValueError, match="as_of"):
         W.run(spark, f"{folder}/inbox", f"{folder}/seeds", f"{folder}/warehouse", Params())
     assert not (tmp_path / "warehouse").exists()
+
+
+def test_purchases_that_name_their_plan_stay_out_of_the_history(spark, folder, monkeypatch):
+    """All purchases were sent to the frame of their subscription."""
+    from tidemark.plans import money as M
+
+    anchors, original = [], M.lookup_many
+    monkeypatch.setattr(M, "lookup_many", lambda x, *a, **k: anchors.append(sorted(r.invoice_id for r in x.collect())) or original(x, *a, **k))
+    event = lambda i, user, day, price, reason="subscription_cycle": delivery(
+        f"e{i}", "invoice.paid", {**INVOICE, "id": f"in_{i}", "customer": user, "created": 1_788_300_000 + 86_400 * i, "charge": f"ch_{i}", "billing_reason": reason,
+                                  "lines": {"data": [{"id": f"il_{i}", "amount": 2000, "quantity": 1, "price": {"id": price}}]}}, at(day))
+    put(spark, folder, [event(1, "u1", 2, "full"), event(2, "u1", 3, "unknown"), event(3, "u2", 4, "full", "subscription_update"), event(4, "u2", 5, "full"), event(5, None, 6, "full")])
+    spark.createDataFrame([("full", "x", "plan", "essential", "month", None, 1, *[None] * 4)], S.SEEDS["plan_catalog"]).write.mode("overwrite").option("header", True).csv(f"{folder}/seeds/plan_catalog.csv")
+    go(spark, folder)
+    assert anchors == [["in_2", "in_3"]]
+    rows = {r.invoice_id: r for r in W.read_marts(spark, f"{folder}/warehouse")["purchases"].collect()}
+    assert all(r.plan_tier == "essential" and r.billing_interval == "month" and r.plan_tier_code == 1 for r in rows.values())
+    assert {i: r.is_first_purchase for i, r in rows.items()} == {"in_1": True, "in_2": False, "in_3": True, "in_4": False, "in_5": False}

@@ -110,6 +110,22 @@ def classify_purchase(reason: str, has_old_plan, has_pack):
 STATE = ("pack_quantity", "plan_tier", "billing_interval", "plan_tier_code")
 
 
+def pack_events(packs: DataFrame) -> DataFrame:
+    return packs.withColumn("event_id", F.concat(F.lit("purchase_"), F.coalesce("invoice_id", "checkout_session_id")))
+
+
+def first_purchases(paid: DataFrame, packs: DataFrame) -> DataFrame:
+    """Per user: the first invoice (``_ft``, ``_fi``: its instant and id) and the first purchase of any kind, by time and id.
+
+    A pack is a first purchase when nothing of the user precedes it; invoices compare among invoices, by their own ids. Rows
+    without a user are first in nothing.
+    """
+    invoiced = paid.select("user_id", F.struct(F.col("paid_at").alias("_ft"), F.col("invoice_id").alias("_fi")).alias("i"), F.struct(F.col("paid_at").alias("at"), F.concat(F.lit("purchase_"), "invoice_id").alias("id")).alias("a"))
+    packed = pack_events(packs).select("user_id", F.struct(F.col("completed_at").alias("at"), F.col("event_id").alias("id")).alias("a"))
+    rows = invoiced.unionByName(packed, allowMissingColumns=True).where("user_id is not null")
+    return rows.groupBy("user_id").agg(F.min("i").alias("first_invoice"), F.min("a").alias("first_any"))
+
+
 def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: DataFrame, states: DataFrame, catalog: DataFrame, fx: DataFrame) -> DataFrame:
     """Canonical purchases: five kinds, plan by three fallbacks, tax-free revenue, reporting value, first flag."""
     done = sessions.where("session_status = 'complete' and payment_status = 'paid'")
@@ -117,8 +133,12 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
     paid = anti(
         inv.where("invoice_status = 'paid' and amount_paid_minor > 0"), packs.where("invoice_id is not null"), ["invoice_id"]
     )
+    first = stage(first_purchases(paid, packs))
     # all that is known of an invoice by its id, in the partitions of the evidence
     x = paid.join(line_evidence(lines, catalog), "invoice_id", "left")
+    # at most one row an invoice and user: only the users' firsts go over the network, not all purchases
+    won = first.where("first_invoice is not null").select(F.col("user_id").alias("_fu"), "first_invoice.*")
+    x = x.join(won, (F.col("invoice_id") == F.col("_fi")) & (F.col("user_id") == F.col("_fu")) & F.col("paid_at").eqNullSafe(F.col("_ft")), "left")
     name, rule = classify_purchase("billing_reason", F.col("old_plan").isNotNull(), F.coalesce("has_pack_line", F.lit(False)))
     x = x.withColumn("event_name", name).withColumn("classification_rule", rule)
     pay = keep_first(payments, ["invoice_id"], [F.col("payment_created_at"), F.col("invoice_payment_id")]).select("invoice_id", "payment_intent_id", "charge_id")
@@ -130,8 +150,8 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
         "invoice_id", "paid_event_id", "user_id", "subscription_id", "paid_at", "billing_reason", "amount_paid_minor", "total_minor", "total_excluding_tax_minor", "currency", "event_name", "classification_rule",
         F.col("new_plan.t").alias("np_t"), F.col("new_plan.tc").alias("np_tc"), F.col("new_plan.bi").alias("np_bi"), F.col("new_plan").isNotNull().alias("has_new_plan"), F.col("old_plan.t").alias("op_t"),
         "pack_line_quantity", "has_unknown_price_lines", F.coalesce("payment_intent_id", "legacy_payment_intent_id").alias("payment_intent_id"), F.coalesce("charge_id", "legacy_charge_id").alias("charge_id"),
-        "checkout_session_id", "ga_client_id", "ga_session_id", "tolt_referral")
-    # both the anchors and the facts of the ordered frame: computed once
+        "checkout_session_id", "ga_client_id", "ga_session_id", "tolt_referral", F.col("_fu").isNotNull().alias("is_first_purchase"))
+    # counted and then ordered: computed once
     x = stage(x)
     plan = F.struct(F.col("np_t").alias("t"), F.col("np_tc").alias("tc"), F.col("np_bi").alias("bi"))
     previous = Agg("_prev", "max", F.struct(F.unix_micros("paid_at").alias("t"), F.col("invoice_id").alias("i"), plan.alias("p")))
@@ -139,15 +159,18 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
     x = x.withColumn("_sub", F.coalesce("subscription_id", F.concat(F.lit("none:"), "invoice_id")))
     state = states.where("subscription_id is not null").select(F.col("subscription_id").alias("_sub"), "changed_at", "stripe_event_id", *STATE)
     invoiced = x.where("has_new_plan and subscription_id is not null").select("_sub", "paid_at", "invoice_id", "np_t", "np_tc", "np_bi")
+    # a purchase that names all of its plan, and is no add-on or upgrade, needs nothing of the history: it stays where it is
+    add_on = F.col("event_name").isin("purchase_add_on", "purchase_upgrade")
+    open_ = F.coalesce(add_on, F.lit(False)) | F.col("np_t").isNull() | F.col("np_tc").isNull() | F.col("np_bi").isNull()
+    settled = x.where(~open_).drop("_sub")
     # the last plan invoiced before and the newest state so far, in one ordered frame of the subscription's history
-    x = lookup_many(x, [
+    x = lookup_many(x.where(open_), [
         Facts(invoiced, "paid_at", [previous], inclusive=False), Facts(state, "changed_at", [latest_of([F.col("changed_at"), F.col("stripe_event_id")], STATE, "_state")]),
     ], ["_sub"], "paid_at", None).drop("_sub")
     x = x.withColumn("pp", F.when(F.col("subscription_id").isNotNull(), F.col("_prev.p")))
-    x = x.withColumns({f"st_{c}": F.col(f"_state.p{i}") for i, c in enumerate(STATE)}).drop("_prev", "_state")
+    x = x.withColumns({f"st_{c}": F.col(f"_state.p{i}") for i, c in enumerate(STATE)}).drop("_prev", "_state").unionByName(settled, allowMissingColumns=True)
     taxed = (F.col("total_minor") > 0) & F.col("total_excluding_tax_minor").isNotNull()
     net = F.round(F.col("amount_paid_minor") * F.col("total_excluding_tax_minor").cast("double") / F.col("total_minor"), 0).cast("bigint")
-    add_on = F.col("event_name").isin("purchase_add_on", "purchase_upgrade")
     invoiced = x.select(
         F.concat(F.lit("purchase_"), "invoice_id").alias("event_id"), F.concat(F.lit("sub_"), "invoice_id").alias("order_id"), "event_name",
         F.col("paid_at").alias("occurred_at"), F.col("paid_event_id").alias("source_event_id"), "user_id", "invoice_id", "subscription_id", "checkout_session_id",
@@ -159,25 +182,21 @@ def purchases(inv: DataFrame, lines: DataFrame, sessions: DataFrame, payments: D
         F.when(add_on, F.coalesce(F.nullif("st_pack_quantity", F.lit(0)), "pack_line_quantity")).otherwise(F.col("pack_line_quantity")).alias("credit_pack_quantity"),
         F.coalesce(F.coalesce("np_t", "st_plan_tier", "pp.t").isin(*BUSINESS_TIERS), F.lit(False)).alias("is_business"),
         "billing_reason", "classification_rule", F.coalesce("has_unknown_price_lines", F.lit(False)).alias("has_unknown_price_lines"),
-        "ga_client_id", "ga_session_id", "tolt_referral",
+        "ga_client_id", "ga_session_id", "tolt_referral", "is_first_purchase",
     )
     ref = F.coalesce("invoice_id", "checkout_session_id")
-    packed = packs.select(
-        F.concat(F.lit("purchase_"), ref).alias("event_id"), F.concat(F.lit("sub_"), ref).alias("order_id"), F.lit("purchase_one_time_pack").alias("event_name"),
+    any_first = first.select(F.col("user_id").alias("_fu"), "first_any")
+    packed = pack_events(packs).join(any_first, known_equal(packs, "user_id", "_fu"), "left").select(
+        "event_id", F.concat(F.lit("sub_"), ref).alias("order_id"), F.lit("purchase_one_time_pack").alias("event_name"),
         F.col("completed_at").alias("occurred_at"), F.col("completed_event_id").alias("source_event_id"), "user_id", "invoice_id", "checkout_session_id", "payment_intent_id",
         F.col("amount_total_minor").alias("cash_value_minor"), (F.col("amount_total_minor") - F.coalesce("amount_tax_minor", F.lit(0))).alias("revenue_minor"),
         "currency", F.lit(False).alias("is_business"), F.lit("payment_mode_checkout").alias("classification_rule"), F.lit(False).alias("has_unknown_price_lines"),
-        "ga_client_id", "ga_session_id", "tolt_referral",
+        "ga_client_id", "ga_session_id", "tolt_referral", (F.col("first_any").isNotNull() & F.col("first_any.at").eqNullSafe(F.col("completed_at")) & F.col("first_any.id").eqNullSafe(F.col("event_id"))).alias("is_first_purchase"),
     )
     every = invoiced.unionByName(packed, allowMissingColumns=True)
-    # a pack is a first purchase when nothing of the user precedes it; invoices compare among invoices, by their own ids
-    pack = F.col("event_name").eqNullSafe("purchase_one_time_pack")
-    every = mark_firsts(every, "user_id", {
-        "_first_invoice": (~pack, ("occurred_at", "invoice_id")), "_first_any": (F.lit(True), ("occurred_at", "event_id"))})
-    every = every.withColumn("is_first_purchase", F.when(pack, F.col("_first_any")).otherwise(F.col("_first_invoice"))).drop("_first_invoice")
     out = value_at(every, fx, "occurred_at")
     return out.withColumn("cash_value_reporting", to_reporting("cash_value_minor")).withColumn("revenue_reporting", to_reporting("revenue_minor")).withColumn(
-        "fx_rate_to_reporting", F.col("reporting_per_unit")).drop("_first_any", "reporting_per_unit", "minor_unit_digits")
+        "fx_rate_to_reporting", F.col("reporting_per_unit")).drop("reporting_per_unit", "minor_unit_digits")
 
 
 def adjustments(refunds: DataFrame, disputes: DataFrame, payments: DataFrame, purch: DataFrame, fx: DataFrame) -> DataFrame:
