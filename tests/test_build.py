@@ -78,3 +78,13 @@ def test_purchases_that_name_their_plan_stay_out_of_the_history(spark, folder, m
     rows = {r.invoice_id: r for r in W.read_marts(spark, f"{folder}/warehouse")["purchases"].collect()}
     assert all(r.plan_tier == "essential" and r.billing_interval == "month" and r.plan_tier_code == 1 for r in rows.values())
     assert {i: r.is_first_purchase for i, r in rows.items()} == {"in_1": True, "in_2": False, "in_3": True, "in_4": False, "in_5": False}
+
+
+def test_layers_and_marts_are_written_small(spark, tmp_path):
+    from tidemark.sinks import tables as K
+
+    df = spark.range(10).selectExpr("id as user_id", "timestamp'2024-01-01' as at")
+    K.write_layer(df, str(tmp_path), "staging", "x")
+    K.write_mart(df, f"{tmp_path}/mart", "at", ["user_id"])
+    files = list(tmp_path.rglob("*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)

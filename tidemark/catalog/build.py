@@ -46,7 +46,7 @@ def raw_deliveries(s, d):
 def built(s, d):
     """The run over JSON deliveries and CSV seeds in a folder of its own; where its tables are."""
     folder = scratch(s)
-    raw_deliveries(s, d).write.json(f"{folder}/inbox")
+    raw_deliveries(s, d).write.option("compression", "gzip").json(f"{folder}/inbox")
     seeds = {"plan_catalog": [(*plan, *[None] * 6) for plan in PLANS], "fx_rates": [("USD", date(1990, 1, 1), 1.0, "fixed")], "currency_minor_units": [("USD", 2, "fixed")]}
     for name, rows in seeds.items():
         s.createDataFrame(rows, S.SEEDS[name]).write.option("header", True).csv(f"{folder}/seeds/{name}.csv")
