@@ -54,3 +54,13 @@ def test_events_are_parsed_once(spark, monkeypatch):
     scores.features(spark, SMOKE)
     scores.features(spark, SMOKE)
     assert read.count("events") <= 1
+
+
+def test_readout_reads_the_parsed_events(spark, monkeypatch):
+    from tidemark.catalog import experiment, scores
+
+    scores.events(spark, SMOKE)
+    read, table = [], D.table
+    monkeypatch.setattr(D, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    assert experiment.segments(spark, SMOKE).count() > 0
+    assert "events" not in read

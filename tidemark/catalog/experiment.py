@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.cte import add, sql
 from tidemark.catalog.registry import query, shared
 from tidemark.catalog.scores import P as SCORE_P
-from tidemark.catalog.scores import features, model, scores, usage
+from tidemark.catalog.scores import events, features, model, scores, usage
 from tidemark.functions import columns as C
 from tidemark.plans import experiment as E
 from tidemark.plans import scores_24h as S
@@ -33,7 +33,7 @@ def _(s, d):
 
 def segments(s, d):
     u = F.col("user_id")
-    return D.ev(s, d).select("user_id").distinct().select("user_id", D.pick(u % 4, ("us", "tier1", "rest", "unknown")).alias("country_bucket"), D.pick(u % 3, ("desktop", "mobile", "tablet")).alias("device"), D.pick(u % 2, ("organic", "google_cpc")).alias("acquisition_channel"))
+    return events(s, d).select("user_id").distinct().select("user_id", D.pick(u % 4, ("us", "tier1", "rest", "unknown")).alias("country_bucket"), D.pick(u % 3, ("desktop", "mobile", "tablet")).alias("device"), D.pick(u % 2, ("organic", "google_cpc")).alias("acquisition_channel"))
 
 
 def covariates(s, d):
@@ -45,8 +45,8 @@ def readout(s, d):
     f = model(s, d)[0]
     served = S.served_scores(scores(s, d), P)
     log = E.allocation_log(s, D.seed_from(s, LOG, LOG_DDL))
-    events = D.ev(s, d).select("user_id", F.col("ts").alias("event_time"))
-    return stage(E.user_readout(E.exposures(D.exposure_rows(s, d)), served, D.purchase(s, d), D.adjustment(s, d), usage(s, d), events, segments(s, d), f.select("user_id", "acquisition_channel"), log, covariates(s, d), P))
+    e = events(s, d)
+    return stage(E.user_readout(E.exposures(D.exposure_rows(s, e)), served, D.purchase(s, e), D.adjustment(s, e), usage(s, d), e.select("user_id", F.col("ts").alias("event_time")), segments(s, d), f.select("user_id", "acquisition_channel"), log, covariates(s, d), P))
 
 
 add("seg", "SELECT DISTINCT user_id, (['us', 'tier1', 'rest', 'unknown'])[user_id % 4 + 1] AS country_bucket, (['desktop', 'mobile', 'tablet'])[user_id % 3 + 1] AS device, (['organic', 'google_cpc'])[user_id % 2 + 1] AS acquisition_channel FROM ev")

@@ -68,7 +68,7 @@ def user_readout(expo: DataFrame, scores: DataFrame, purch: DataFrame, adj: Data
     back = w.select(*key, F.col("event_id").alias("adjusts_event_id"), "horizon_end").join(a, "adjusts_event_id").where(F.col("out_at") < F.col("horizon_end"))
     back = back.groupBy(*key).agg(F.sum("out").alias("adj"), C.tally(F.col("cb")).alias("cbs"), F.count(F.lit(1)).alias("adjs"))
     cost = usage.join(span, "user_id").where(inside("created_at")).groupBy(*key).agg(F.sum("cost_micros").alias("cost"))
-    e = lookup(e, events, ["user_id"], "first_exposed_at", "event_time", [Agg("pre_exposure_events", "count")], inclusive=False)
+    e = lookup(e, events, ["user_id"], "first_exposed_at", "event_time", [Agg("pre_exposure_events", "count")], inclusive=False, block_seconds=None)
     x = e
     for side in (money, back, cost):
         x = x.join(side, key, "left")
