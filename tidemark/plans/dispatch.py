@@ -45,9 +45,10 @@ def consent_as_of(events: DataFrame, states: DataFrame, now: datetime) -> DataFr
 
 def platform_consent(x: DataFrame, regulated: Sequence[str], unknown_region: str = "block", opt_out: str = "drop") -> DataFrame:
     """Consent mode or block reason of each event x platform."""
-    country = consent_country(F.col("region"))
-    no = denied("ad_storage", "ad_user_data")
-    yes = (F.col("consent_source") == "cmp") & ~no & F.coalesce(F.col("ad_user_data") == "granted", F.lit(False)) & F.coalesce(F.col("ad_storage") == "granted", F.lit(False))
+    # parts that the rules name often are columns of their own: inlined, they are worked out wherever they are named
+    x = x.withColumns({"_country": consent_country(F.col("region")), "_no": denied("ad_storage", "ad_user_data")})
+    country, no, yes = F.col("_country"), F.col("_no"), F.col("_yes")
+    x = x.withColumn("_yes", (F.col("consent_source") == "cmp") & ~no & F.coalesce(F.col("ad_user_data") == "granted", F.lit(False)) & F.coalesce(F.col("ad_storage") == "granted", F.lit(False)))
     in_law = F.coalesce(country.isin(*regulated), F.lit(False))
     p = F.col("platform")
     limited = (
@@ -57,8 +58,8 @@ def platform_consent(x: DataFrame, regulated: Sequence[str], unknown_region: str
     reason = (
         F.when(opted_out(), "gpc_or_sale_opt_out").when(~yes & no & (in_law | country.isNull() | drop), "consent_denied")
         .when(country.isNull() & F.lit(unknown_region == "block") & ~yes, "consent_region_unknown").when(yes, F.lit(None)).when(in_law, "consent_required_regulated_region").when(no, limited))
-    mode = F.when(reason.isNotNull(), F.lit(None)).when(yes, "granted").when(no, "restricted").otherwise("unspecified")
-    return x.withColumn("block_reason", reason).withColumn("consent_mode", mode)
+    mode = F.when(F.col("block_reason").isNotNull(), F.lit(None)).when(yes, "granted").when(no, "restricted").otherwise("unspecified")
+    return x.withColumn("block_reason", reason).withColumn("consent_mode", mode).drop("_country", "_no", "_yes")
 
 
 def dispatch_plan(x: DataFrame, now: datetime | Column, enabled: Sequence[str], fixes_live: DataFrame, multi_source: bool, dedup_verified: bool, skew_seconds: int = 300) -> DataFrame:
@@ -67,13 +68,14 @@ def dispatch_plan(x: DataFrame, now: datetime | Column, enabled: Sequence[str],
     Needs the columns of ``expand_mapping`` (send, max_age_days, twin_window_seconds, browser_twin, twin_observed, requires_web_fix)
     and of ``platform_consent``; ``fixes_live``: event_name, platform, live_at. ``now``: a time, or a column with each row's own.
     """
-    y = x.join(bounded(fixes_live), ["event_name", "platform"], "left")
     us = lambda c: F.unix_micros(c)
     at, t = us(F.lit(now)), us(F.col("occurred_at"))
     twin = F.when(F.col("browser_twin"), F.col("twin_window_seconds"))
     age = F.col("max_age_days") * DAY
     window = F.when(twin.isNull(), age).otherwise(F.least(age, twin))
-    deadline = t + window * 1_000_000
+    # the deadline and the reasons are columns of their own, worked out once (see platform_consent)
+    y = x.join(bounded(fixes_live), ["event_name", "platform"], "left").withColumn("_deadline", t + window * 1_000_000)
+    deadline = F.col("_deadline")
     p = F.col("platform")
     skipped = (
         F.when(~p.isin(*enabled), "platform_disabled").when(~F.col("send"), "not_sent_by_mapping")
@@ -83,8 +85,9 @@ def dispatch_plan(x: DataFrame, now: datetime | Column, enabled: Sequence[str],
     held = (
         F.when(F.col("requires_web_fix") & F.col("live_at").isNull(), "awaiting_web_fix").when((p == "google_ads") & F.col("twin_observed") & F.lit(not multi_source), "awaiting_google_multi_source")
         .when((p == "reddit") & F.col("browser_twin") & F.lit(not dedup_verified), "awaiting_reddit_dedup").when(F.coalesce("value_pending", F.lit(False)), "awaiting_value_score"))
-    status = F.when(skipped.isNotNull(), "skipped").when(held.isNotNull(), "held").otherwise("pending")
-    return y.withColumn("status", status).withColumn("reason", F.coalesce(skipped, held)).withColumn("deadline_at", F.timestamp_micros(deadline)).drop("live_at")
+    y = y.withColumns({"_skipped": skipped, "_held": held})
+    status = F.when(F.col("_skipped").isNotNull(), "skipped").when(F.col("_held").isNotNull(), "held").otherwise("pending")
+    return y.withColumn("status", status).withColumn("reason", F.coalesce("_skipped", "_held")).withColumn("deadline_at", F.timestamp_micros(deadline)).drop("live_at", "_deadline", "_skipped", "_held")
 
 
 def restate(adjustments: DataFrame, originals: DataFrame, sends: DataFrame) -> DataFrame:
